@@ -16,6 +16,12 @@ from exposa.functions import content as T
 from exposa.functions import fixed
 from exposa.functions import secrets as X
 from exposa.functions import urls as U
+from exposa.session import materialize
+
+
+def _tagger(name: str, i: int):
+    """(value, position) -> struct(name=i, pos, v), for ``transform`` over extracted matches."""
+    return lambda v, j: F.struct(F.lit(i).alias(name), j.alias("pos"), v.alias("v"))
 
 
 def keyed_captures(captures: DataFrame) -> DataFrame:
@@ -93,10 +99,11 @@ def path_exposure(targets: DataFrame, captures: DataFrame, paths: list[str]) ->
     c = targets.select("hostname", "base_url", F.explode(arr).alias("c"))
     c = c.select("hostname", "base_url", F.col("c.rank").alias("rank"), F.col("c.path_in").alias("path_in"))
     c = U.with_resolved(c, "base_url", "path_in", "url")
-    c = U.with_normalized(c, "url", "normalized_url")
+    c = materialize(U.with_normalized(c, "url", "normalized_url"))
     c = c.select("normalized_url", "hostname", "url", F.lit("COMMON_PATHS").alias("source"),
                  F.col("path_in").alias("context"))
-    return analyze(c, captures, use_calibration=False).where(F.col("resource_type") != "PUBLIC_EXPECTED")
+    return materialize(analyze(c, captures, use_calibration=False)).where(
+        F.col("resource_type") != "PUBLIC_EXPECTED")
 
 
 def secret_matches(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -107,7 +114,7 @@ def secret_matches(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     lines = d.select(*keys, F.posexplode(X.split_lines(F.col(text_col))).alias("line_idx", "line"))
     lines = lines.where(F.col("line").rlike(X.ANY_SECRET))
     arrays = [F.transform(F.regexp_extract_all("line", F.lit(pat), 1),
-                          lambda v, j, i=i: F.struct(F.lit(i).alias("type_rank"), j.alias("pos"), v.alias("v")))
+                          _tagger("type_rank", i))
               for i, (_, pat, _) in enumerate(X.SECRET_PATTERNS)]
     m = lines.select(*keys, (F.col("line_idx") + 1).alias("line_number"),
                      F.explode(F.concat(*arrays)).alias("m"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from exposa.functions import fixed
 from exposa.functions import scope as S
 from exposa.functions import urls as U
+from exposa.session import materialize
 
 LINK_TAGS = [t for t, _ in fixed.LINK_TAG_ATTRS]
 TAG_REGEX = r"(?i)<(?:" + "|".join(LINK_TAGS) + r")\s[^>]*>"
@@ -30,6 +31,11 @@ PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
 SOURCE_RANK = {"HTML": 0, "ROBOTS": 1, "SITEMAP": 2, "COMMON_PATHS": 3}
 
 
+def _tagger(name: str, i: int):
+    """(value, position) -> struct(name=i, pos, v), for ``transform`` over extracted matches."""
+    return lambda v, j: F.struct(F.lit(i).alias(name), j.alias("pos"), v.alias("v"))
+
+
 def strip_markup_noise(html: Column) -> Column:
     """Remove comments and the bodies of script/style elements (their text is not markup)."""
     h = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
@@ -89,8 +95,8 @@ def html_links(captures: DataFrame, include_subdomains: bool = False) -> DataFra
                  F.col("_av.c").alias("context"),
                  decode_entities(unquote(F.col("_av.v"))).alias("href"))
     c = c.where(F.col("href") != "")
-    return finish_links(c, "page_url", "href", include_subdomains).select(
-        "page_url", "tag_rank", "pos", "context", "href", "url", "normalized_url", "in_scope")
+    return materialize(finish_links(c, "page_url", "href", include_subdomains).select(
+        "page_url", "tag_rank", "pos", "context", "href", "url", "normalized_url", "in_scope"))
 
 
 def _script_or_style_bodies(captures: DataFrame, tag: str) -> DataFrame:
@@ -121,20 +127,20 @@ def js_links(captures: DataFrame, include_subdomains: bool = False) -> DataFrame
     for i, pat in enumerate(JS_PATTERNS):
         grp = 1 if i == 2 else 0
         arrays.append(F.transform(F.regexp_extract_all("text", F.lit(pat), grp),
-                                  lambda v, j, i=i: F.struct(F.lit(i).alias("pattern"), j.alias("pos"), v.alias("v"))))
+                                  _tagger("pattern", i)))
     s = s.select("page_url", "tg_host", "tg_base_domain", "block", F.explode(F.concat(*arrays)).alias("m"))
     s = s.select("page_url", "tg_host", "tg_base_domain", "block", F.col("m.pattern").alias("pattern"),
                  (F.col("m.pos") + 1).alias("pos"),
                  F.regexp_replace(F.col("m.v"), r"""^['"()]+|['"()]+$""", "").alias("href"))
-    return finish_links(s, "page_url", "href", include_subdomains).select(
-        "page_url", "block", "pattern", "pos", "href", "url", "normalized_url", "in_scope")
+    return materialize(finish_links(s, "page_url", "href", include_subdomains).select(
+        "page_url", "block", "pattern", "pos", "href", "url", "normalized_url", "in_scope"))
 
 
 def css_links(captures: DataFrame, include_subdomains: bool = False) -> DataFrame:
     """``url(...)`` and ``@import`` references in style blocks, ``data:`` skipped (L3)."""
     s = _script_or_style_bodies(captures, "style")
     arrays = [F.transform(F.regexp_extract_all("text", F.lit(pat), 1),
-                          lambda v, j, i=i: F.struct(F.lit(i).alias("pattern"), j.alias("pos"), v.alias("v")))
+                          _tagger("pattern", i))
               for i, pat in enumerate(CSS_PATTERNS)]
     s = s.select("page_url", "tg_host", "tg_base_domain", "block", F.explode(F.concat(*arrays)).alias("m"))
     s = s.select("page_url", "tg_host", "tg_base_domain", "block", F.col("m.pattern").alias("pattern"),
@@ -143,7 +149,8 @@ def css_links(captures: DataFrame, include_subdomains: bool = False) -> DataFram
     s = U.with_resolved(s, "page_url", "href", "url")
     s = U.with_normalized(s, "url", "normalized_url", keep_parts=True, prefix="l_")
     s = s.withColumn("in_scope", S.in_scope("l_netloc", "tg_host", "tg_base_domain", include_subdomains))
-    return s.select("page_url", "block", "pattern", "pos", "href", "url", "normalized_url", "in_scope")
+    return materialize(s.select("page_url", "block", "pattern", "pos", "href", "url", "normalized_url",
+                                "in_scope"))
 
 
 def _probe_files(captures: DataFrame, targets: DataFrame, path: str) -> DataFrame:
@@ -169,8 +176,8 @@ def robots_urls(captures: DataFrame, targets: DataFrame, include_subdomains: boo
     r = U.with_resolved(r, "base_url", "value", "url")
     r = U.with_normalized(r, "url", "normalized_url", keep_parts=True, prefix="l_")
     r = r.withColumn("in_scope", S.in_scope("l_netloc", "hostname", "base_domain", include_subdomains))
-    return r.select("hostname", (F.col("line_no") + 1).alias("line_no"), "value", "url",
-                    "normalized_url", "in_scope")
+    return materialize(r.select("hostname", (F.col("line_no") + 1).alias("line_no"), "value", "url",
+                                "normalized_url", "in_scope"))
 
 
 def sitemap_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bool = False) -> DataFrame:
@@ -188,8 +195,9 @@ def sitemap_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bo
     s = s.where(F.col("url") != "")
     s = U.with_normalized(s, "url", "normalized_url", keep_parts=True, prefix="l_")
     s = s.withColumn("in_scope", S.in_scope("l_netloc", "hostname", "base_domain", include_subdomains))
-    return s.select("hostname", "kind", "pos", "url", "normalized_url",
-                    F.when(F.col("kind") == 1, F.lit("sitemap_index")).alias("context"), "in_scope")
+    return materialize(s.select("hostname", "kind", "pos", "url", "normalized_url",
+                                F.when(F.col("kind") == 1, F.lit("sitemap_index")).alias("context"),
+                                "in_scope"))
 
 
 def candidate_paths(limit: int = 50) -> list[str]:
@@ -203,7 +211,7 @@ def candidate_urls_all(targets: DataFrame, limit: int = 50) -> DataFrame:
     c = targets.select("hostname", "base_url", F.explode(paths).alias("c"))
     c = c.select("hostname", "base_url", F.col("c.rank").alias("rank"), F.col("c.path").alias("path"))
     c = U.with_resolved(c, "base_url", "path", "url")
-    return U.with_normalized(c, "url", "normalized_url")
+    return materialize(U.with_normalized(c, "url", "normalized_url"))
 
 
 def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bool = False,
@@ -239,7 +247,7 @@ def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains:
     cand_rows = cands.select("hostname", F.lit("COMMON_PATHS").alias("source"),
                              F.col("path").alias("context"), F.lit(3).alias("k1"), F.lit(0).alias("k2"),
                              F.col("rank").alias("k3"), F.lit("").alias("parent"), "url", "normalized_url")
-    return known.unionByName(cand_rows)
+    return materialize(known.unionByName(cand_rows))
 
 
 def dedup_urls(rows: DataFrame) -> DataFrame:

@@ -1 +1,225 @@
-ORACLES = {}
+"""DuckDB SQL oracles: for each registered query, an independent statement of the same result in
+ANSI SQL over the pre-registered views (``pages``, ``documents``, ...).
+
+The SQL is written separately from the Spark plans (RE2 regexes, DuckDB list functions); only the
+fixed values are shared. Queries that are iterative (the crawl) or nested (the JSON report) have
+no oracle and are checked against brute force in the tests instead.
+"""
+
+from __future__ import annotations
+
+from exposa.functions import fixed
+from exposa.sources.captures import PROBES
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def in_list(values) -> str:
+    return "(" + ", ".join(q(v) for v in values) + ")"
+
+
+URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+PARAM_SCHEMES = ["", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps",
+                 "rtspu", "sip", "sips", "mms", "sftp", "tel"]
+
+
+def clean(x: str) -> str:
+    return f"regexp_replace(replace(replace(replace({x}, chr(9), ''), chr(13), ''), chr(10), ''), '^[\\x00-\\x20]+', '')"
+
+
+def part(x: str, i: int) -> str:
+    return f"regexp_extract({clean(x)}, '(?s){URL_RE}', {i})"
+
+
+def scheme(x):
+    return f"lower({part(x, 1)})"
+
+
+def netloc(x):
+    return part(x, 2)
+
+
+def path(x):
+    raw = part(x, 3)
+    return (f"(CASE WHEN {scheme(x)} IN {in_list(PARAM_SCHEMES)} "
+            f"THEN regexp_replace({raw}, ';[^/]*$', '') ELSE {raw} END)")
+
+
+def query(x):
+    return part(x, 4)
+
+
+def host_of_netloc(n: str) -> str:
+    """Host after the last '@': bracket content, else text before ':'; lower; NULL if empty."""
+    hostinfo = f"regexp_extract({n}, '([^@]*)$', 1)"
+    return (f"nullif(lower(CASE WHEN strpos({hostinfo}, '[') > 0 "
+            f"THEN regexp_extract({hostinfo}, '\\[([^\\]]*)', 1) "
+            f"ELSE split_part({hostinfo}, ':', 1) END), '')")
+
+
+def host(x):
+    return host_of_netloc(netloc(x))
+
+
+def normalized(x: str) -> str:
+    p = path(x)
+    qy = query(x)
+    n = netloc(x)
+    body = (f"{scheme(x)} || '://' || lower({n}) || "
+            f"(CASE WHEN {p} <> '/' AND ends_with({p}, '/') THEN left({p}, length({p}) - 1) ELSE {p} END) || "
+            f"(CASE WHEN {qy} <> '' THEN '?' || {qy} ELSE '' END)")
+    bad = f"((strpos({n}, '[') > 0) <> (strpos({n}, ']') > 0))"
+    return f"(CASE WHEN {bad} THEN lower({x}) ELSE {body} END)"
+
+
+def extension(p: str) -> str:
+    return f"(CASE WHEN strpos({p}, '.') > 0 THEN '.' || lower(regexp_extract({p}, '\\.([^.]*)$', 1)) ELSE '' END)"
+
+
+def base_domain(h: str) -> str:
+    labels = f"string_split({h}, '.')"
+    last2 = f"array_to_string({labels}[-2:], '.')"
+    last3 = f"array_to_string({labels}[-3:], '.')"
+    return (f"(CASE WHEN len({labels}) <= 2 THEN {h} WHEN {last2} IN {in_list(fixed.MULTI_PART_TLDS)} "
+            f"THEN {last3} ELSE {last2} END)")
+
+
+IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+IPV6 = r"^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}(:(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3})?$"
+
+
+def is_private(h: str) -> str:
+    """IPv4 by octet arithmetic and range compare; IPv6 by first hextet."""
+    o = [f"TRY_CAST(split_part({h}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
+    v4 = f"({o[0]} * 16777216 + {o[1]} * 65536 + {o[2]} * 256 + {o[3]})"
+    ranges = [(127 << 24, (128 << 24) - 1), (10 << 24, (11 << 24) - 1),
+              ((172 << 24) + (16 << 16), (172 << 24) + (32 << 16) - 1),
+              ((192 << 24) + (168 << 16), (192 << 24) + (169 << 16) - 1),
+              ((169 << 24) + (254 << 16), (169 << 24) + (255 << 16) - 1)]
+    in_v4 = " OR ".join(f"{v4} BETWEEN {lo} AND {hi}" for lo, hi in ranges)
+    lh = f"lower({h})"
+    v6 = (f"(regexp_matches({lh}, '^[0:]*:0{{0,3}}1$') OR regexp_matches({lh}, '^f[cd][0-9a-f]{{2}}:') "
+          f"OR regexp_matches({lh}, '^fe[89ab][0-9a-f]:'))")
+    return (f"coalesce(CASE WHEN regexp_matches({h}, '{IPV4}') THEN ({in_v4}) "
+            f"WHEN regexp_matches({lh}, '{IPV6}') THEN {v6} ELSE false END, false)")
+
+
+# ------------------------------------------------------------------ shared CTEs
+def captures_cte() -> str:
+    """page captures + per-target probe captures (targets from page hosts)."""
+    rows = []
+    for i, (p, status, ctype, server, location, body) in enumerate(PROBES):
+        def v(x):
+            return "NULL" if x is None else q(x)
+        rows.append(f"({i}, {q(p)}, {status}, {v(ctype)}, {v(server)}, {v(location)}, {v(body)})")
+    h = host("url")
+    return f"""
+hosts AS (SELECT DISTINCT {h} AS hostname FROM pages WHERE {h} IS NOT NULL),
+targets AS (
+  SELECT hostname, 'https' AS scheme, 443 AS port, {base_domain('hostname')} AS base_domain,
+         'https://' || hostname AS normalized_target, 'https://' || hostname || '/' AS base_url
+  FROM hosts WHERE hostname <> 'metadata.google.internal' AND NOT {is_private('hostname')}),
+probe_defs(probe_id, path, status_code, content_type, server, location, body) AS (VALUES {", ".join(rows)}),
+probes AS (
+  SELECT t.base_url || p.path AS url, t.base_url || p.path AS final_url, p.status_code, p.content_type,
+         CAST(CASE WHEN p.body IS NULL THEN NULL ELSE strlen(replace(replace(p.body, '{{base}}', t.base_url), '{{host}}', t.hostname)) END AS BIGINT) AS content_length,
+         p.server, replace(p.location, '{{host}}', t.hostname) AS location,
+         replace(replace(p.body, '{{base}}', t.base_url), '{{host}}', t.hostname) AS body
+  FROM targets t CROSS JOIN probe_defs p),
+captures AS (
+  SELECT url, url AS final_url, 200 AS status_code, 'text/html; charset=utf-8' AS content_type,
+         CAST(strlen(html) AS BIGINT) AS content_length, CAST(NULL AS VARCHAR) AS server,
+         CAST(NULL AS VARCHAR) AS location, html AS body FROM pages
+  UNION ALL SELECT * FROM probes)"""
+
+
+def with_ctes(*ctes: str, body: str) -> str:
+    return "WITH " + ",".join(ctes) + "\n" + body
+
+
+TEXTUAL = " OR ".join(f"strpos(lower(coalesce(content_type, '')), {q(t)}) > 0" for t in fixed.TEXTUAL_CONTENT_TYPES)
+SAMPLE = f"(CASE WHEN status_code = 200 AND (({TEXTUAL}) OR coalesce(content_type, '') = '') THEN coalesce(body, '') END)"
+
+
+def title_expr(sample: str) -> str:
+    raw = f"regexp_extract(coalesce({sample}, ''), '(?is)<title>(.*?)</title>', 1)"
+    ws = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    return (f"(CASE WHEN strpos(lower(coalesce(content_type, '')), 'text/html') > 0 AND {raw} <> '' "
+            f"THEN regexp_replace({raw}, '^{ws}+|{ws}+$', '', 'g') END)")
+
+
+def listing_expr(sample: str) -> str:
+    inds = " OR ".join(f"strpos(lower(coalesce({sample}, '')), {q(i)}) > 0" for i in fixed.LISTING_INDICATORS)
+    return f"coalesce(status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0 AND ({inds}), false)"
+
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["captures_load"] = with_ctes(captures_cte(), body="""
+SELECT url, CAST(status_code AS BIGINT) AS status_code, content_type, content_length,
+       CAST(length(body) AS BIGINT) AS body_chars FROM captures""")
+
+ORACLES["content_sample"] = with_ctes(captures_cte(), body=f"""
+SELECT url, CAST(length({SAMPLE}) AS BIGINT) AS sample_chars FROM captures""")
+
+ORACLES["page_title"] = with_ctes(captures_cte(), body=f"""
+SELECT url, {title_expr(SAMPLE)} AS title FROM captures WHERE status_code = 200""")
+
+ORACLES["directory_listing"] = with_ctes(captures_cte(), body=f"""
+SELECT url, {listing_expr(SAMPLE)} AS is_directory_listing FROM captures""")
+
+ORACLES["url_parts"] = f"""
+SELECT page_id, {scheme('url')} AS scheme, {netloc('url')} AS netloc, {path('url')} AS path,
+       {query('url')} AS query, {part('url', 5)} AS fragment FROM pages"""
+
+ORACLES["base_domain"] = f"""
+WITH hosts AS (SELECT DISTINCT {host('url')} AS host FROM pages WHERE {host('url')} IS NOT NULL)
+SELECT host, {base_domain('host')} AS base_domain FROM hosts"""
+
+ORACLES["normalize_target"] = f"""
+WITH hosts AS (SELECT DISTINCT {host('url')} AS host FROM pages WHERE {host('url')} IS NOT NULL)
+SELECT host AS original_url,
+       CASE WHEN p THEN NULL ELSE 'https' END AS scheme, CASE WHEN p THEN NULL ELSE host END AS hostname,
+       CAST(CASE WHEN p THEN NULL ELSE 443 END AS BIGINT) AS port,
+       CASE WHEN p THEN NULL ELSE {base_domain('host')} END AS base_domain,
+       CASE WHEN p THEN NULL ELSE 'https://' || host END AS normalized_target,
+       CASE WHEN host = 'metadata.google.internal' THEN 'metadata_host'
+            WHEN p THEN 'private_address' END AS error
+FROM (SELECT host, host = 'metadata.google.internal' OR {is_private('host')} AS p FROM hosts)"""
+
+ORACLES["target_base_url"] = with_ctes(captures_cte(), body="SELECT hostname, base_url FROM targets")
+
+ORACLES["catch_all_hosts"] = with_ctes(captures_cte(), body=f"""
+SELECT {host('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
+WHERE regexp_matches({path('url')}, '{fixed.CALIBRATION_PATTERN}') GROUP BY 1""")
+
+_LOC_HOSTS = f"SELECT {host('location')} AS host FROM captures WHERE location IS NOT NULL AND {host('location')} IS NOT NULL"
+
+ORACLES["private_hosts"] = with_ctes(captures_cte(), body=f"""
+SELECT host, {is_private('host')} AS is_private,
+       CASE WHEN host = 'metadata.google.internal' THEN 'metadata_host'
+            WHEN {is_private('host')} THEN 'private_address' END AS reason
+FROM (SELECT hostname AS host FROM hosts UNION {_LOC_HOSTS})""")
+
+ORACLES["unsafe_urls"] = with_ctes(captures_cte(), body=f"""
+SELECT url, (h IS NULL OR lower(h) IN {in_list(fixed.LOCALHOST_NAMES)} OR {is_private('h')}
+             OR h IN ('169.254.169.254', 'metadata.google.internal')) AS is_unsafe
+FROM (SELECT url, {host('url')} AS h FROM (SELECT url FROM captures UNION SELECT location FROM captures WHERE location IS NOT NULL))""")
+
+_REDIRECTS = f"""redirects AS (
+  SELECT url, status_code, location, {host('url')} AS th, {host('location')} AS lh FROM captures
+  WHERE status_code IN (301, 302, 303, 307, 308) AND location IS NOT NULL AND location <> ''),
+verdicts AS (
+  SELECT *, CASE WHEN lh IS NULL THEN 'relative' WHEN {is_private('lh')} THEN 'blocked_private'
+                 WHEN lh = th THEN 'allowed' WHEN ends_with(lh, '.' || {base_domain('th')}) THEN 'allowed'
+                 ELSE 'blocked_domain' END AS verdict FROM redirects)"""
+
+ORACLES["redirect_verdict"] = with_ctes(captures_cte(), _REDIRECTS, body="""
+SELECT url, CAST(status_code AS BIGINT) AS status_code, location, verdict FROM verdicts""")
+
+ORACLES["redirects_blocked"] = with_ctes(captures_cte(), _REDIRECTS, body="""
+SELECT th AS hostname, CAST(count(*) FILTER (WHERE starts_with(verdict, 'blocked')) AS BIGINT) AS redirects_blocked
+FROM verdicts GROUP BY th""")

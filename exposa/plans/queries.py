@@ -19,13 +19,13 @@ from exposa.operators import discovery as D
 from exposa.operators import graph as G
 from exposa.operators import report as R
 from exposa.operators import risk as K
-from exposa.plans.scan import Scan
+from exposa.plans.scan import Scan, scan_for
 
 L = "bigint"
 
 
 def _scan(spark, d) -> Scan:
-    return Scan(spark, d)
+    return scan_for(spark, d)
 
 
 # ---------------------------------------------------------------- sources and sinks (S)
@@ -151,7 +151,7 @@ def scope_filter(spark, d):
 def _raw_hrefs(spark, d) -> DataFrame:
     c = _scan(spark, d).captures.where(F.col("status_code") == 200)
     h = F.regexp_extract_all(D.strip_markup_noise(F.col("body")),
-                             F.lit(r"(?is)<a\s[^>]*?\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
+                             F.lit(r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
     return c.select(F.explode(h).alias("raw")).select(D.decode_entities(D.unquote(F.col("raw"))).alias("href"))
 
 

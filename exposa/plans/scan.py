@@ -16,6 +16,7 @@ from exposa.operators import analysis as A
 from exposa.operators import discovery as D
 from exposa.operators import report as R
 from exposa.operators import risk as K
+from exposa.session import materialize
 from exposa.sources import captures as SRC
 
 
@@ -38,7 +39,7 @@ class Scan:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return SRC.targets(self.spark, self.sf_dir)
+        return materialize(SRC.targets(self.spark, self.sf_dir))
 
     @cached_property
     def captures(self) -> DataFrame:
@@ -54,11 +55,11 @@ class Scan:
 
     @cached_property
     def urls(self) -> DataFrame:
-        return D.dedup_urls(self.discovered_rows)
+        return materialize(D.dedup_urls(self.discovered_rows))
 
     @cached_property
     def analyzed(self) -> DataFrame:
-        return A.analyze(self.urls, self.captures, self.sample_chars)
+        return materialize(A.analyze(self.urls, self.captures, self.sample_chars))
 
     @cached_property
     def secrets(self) -> DataFrame:
@@ -67,7 +68,7 @@ class Scan:
     @cached_property
     def resources(self) -> DataFrame:
         """Analysed resources with secrets attached and risk assessed."""
-        return K.with_assessment(A.with_secrets(self.analyzed, self.secrets))
+        return materialize(K.with_assessment(A.with_secrets(self.analyzed, self.secrets)))
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -90,5 +91,12 @@ class Scan:
         return R.report_findings(self.findings, self.secrets)
 
 
-def lit_bool(v: bool):
-    return F.lit(bool(v))
+_SCANS: dict[tuple, Scan] = {}
+
+
+def scan_for(spark: SparkSession, sf_dir: str) -> Scan:
+    """One scan per (session, data folder): the report queries all read the same resources."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCANS:
+        _SCANS[key] = Scan(spark, sf_dir)
+    return _SCANS[key]

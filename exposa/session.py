@@ -64,3 +64,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="exposa-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df):
+    """Write ``df`` to the checkpoint folder and continue from the written copy.
+
+    Used where a derived table is reused by several later steps, and as a planning barrier:
+    later filters are not inlined into the expressions that produced these columns, so plans
+    stay small however many URL stages precede them. Lost executors recompute at most the step
+    after the last barrier.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
