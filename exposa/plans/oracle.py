@@ -223,3 +223,225 @@ SELECT url, CAST(status_code AS BIGINT) AS status_code, location, verdict FROM v
 ORACLES["redirects_blocked"] = with_ctes(captures_cte(), _REDIRECTS, body="""
 SELECT th AS hostname, CAST(count(*) FILTER (WHERE starts_with(verdict, 'blocked')) AS BIGINT) AS redirects_blocked
 FROM verdicts GROUP BY th""")
+
+
+# ------------------------------------------------------------------ links and resolution
+NETLOC_SCHEMES = ["", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms",
+                  "https", "shttp", "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync", "svn",
+                  "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services"]
+RELATIVE_SCHEMES = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp",
+                    "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+
+
+def parts_select(col: str, p: str) -> str:
+    raw = part(col, 3)
+    sch = scheme(col)
+    return (f"{sch} AS {p}scheme, {netloc(col)} AS {p}netloc, "
+            f"CASE WHEN {sch} IN {in_list(PARAM_SCHEMES)} THEN regexp_replace({raw}, ';[^/]*$', '') ELSE {raw} END AS {p}path, "
+            f"CASE WHEN {sch} IN {in_list(PARAM_SCHEMES)} THEN regexp_extract({raw}, ';([^/]*)$', 1) ELSE '' END AS {p}params, "
+            f"{query(col)} AS {p}query, {part(col, 5)} AS {p}fragment")
+
+
+def unsplit(s, n, pth, params, qy, frag) -> str:
+    pwp = f"(CASE WHEN {params} <> '' THEN {pth} || ';' || {params} ELSE {pth} END)"
+    with_slash = f"(CASE WHEN {pwp} <> '' AND NOT starts_with({pwp}, '/') THEN '/' || {pwp} ELSE {pwp} END)"
+    needs = f"({n} <> '' OR ({s} <> '' AND {s} IN {in_list(NETLOC_SCHEMES)} AND NOT starts_with({pwp}, '//')))"
+    body = f"(CASE WHEN {needs} THEN '//' || {n} || {with_slash} ELSE {pwp} END)"
+    out = f"(CASE WHEN {s} <> '' THEN {s} || ':' || {body} ELSE {body} END)"
+    out = f"(CASE WHEN {qy} <> '' THEN {out} || '?' || {qy} ELSE {out} END)"
+    return f"(CASE WHEN {frag} <> '' THEN {out} || '#' || {frag} ELSE {out} END)"
+
+
+def resolved_select(rel: str, base: str, href: str, keep: str) -> str:
+    """SELECT keep, url FROM rel, with url = href resolved against base (standard join rules,
+    dot segments removed by folding over the segments)."""
+    fold = ("list_reduce(segs, lambda acc, s: CASE WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') "
+            "WHEN s = '.' THEN acc ELSE acc || '/' || s END, '')")
+    return f"""
+SELECT {keep}, CASE
+  WHEN {href} IS NULL OR {href} = '' THEN {base}
+  WHEN {base} IS NULL OR {base} = '' THEN {href}
+  WHEN hs <> b_scheme OR hs NOT IN {in_list(RELATIVE_SCHEMES)} THEN {href}
+  WHEN hs IN {in_list(NETLOC_SCHEMES)} AND h_netloc <> '' THEN {unsplit('hs', 'h_netloc', 'h_path', 'h_params', 'h_query', 'h_fragment')}
+  WHEN h_path = '' AND h_params = '' THEN {unsplit('hs', 'rn', 'b_path', 'b_params', "CASE WHEN h_query = '' THEN b_query ELSE h_query END", 'h_fragment')}
+  ELSE {unsplit('hs', 'rn', "CASE WHEN joined = '' THEN '/' ELSE joined END", 'h_params', 'h_query', 'h_fragment')}
+END AS url FROM (
+  SELECT *, substr({fold}, 2) || CASE WHEN segs[-1] IN ('.', '..') THEN '/' ELSE '' END AS joined FROM (
+    SELECT *, CASE WHEN starts_with(h_path, '/') THEN string_split(h_path, '/')
+                   WHEN len(rel) <= 2 THEN rel
+                   ELSE [rel[1]] || list_filter(rel[2:len(rel) - 1], lambda x: x <> '') || [rel[-1]] END AS segs
+    FROM (
+      SELECT *, (CASE WHEN string_split(b_path, '/')[-1] <> '' THEN string_split(b_path, '/')[:-2]
+                      ELSE string_split(b_path, '/') END) || string_split(h_path, '/') AS rel,
+             CASE WHEN h_scheme = '' THEN b_scheme ELSE h_scheme END AS hs,
+             CASE WHEN (CASE WHEN h_scheme = '' THEN b_scheme ELSE h_scheme END) IN {in_list(NETLOC_SCHEMES)}
+                  THEN b_netloc ELSE h_netloc END AS rn
+      FROM (SELECT *, {parts_select(base, 'b_')}, {parts_select(href, 'h_')} FROM {rel}))))"""
+
+
+TAG_RE = r"(?i)<(?:" + "|".join(t for t, _ in fixed.LINK_TAG_ATTRS) + r")\s[^>]*>"
+_INVALID = (r"^(?:[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+            r"\x{202f}\x{205f}\x{3000}]*$|mailto:|tel:|javascript:|data:|ftp:|file:|#)")
+
+
+def decode(v: str) -> str:
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
+                    ("&apos;", "'"), ("&amp;", "&")]:
+        v = f"replace({v}, {q(ent)}, {q(ch)})"
+    return v
+
+
+def links_ctes(include_subdomains: bool = False) -> list[str]:
+    rank = " ".join(f"WHEN {q(t)} THEN {i}" for i, (t, _) in enumerate(fixed.LINK_TAG_ATTRS))
+    ctx = " ".join(f"WHEN {q(t)} THEN {q(t + '.' + a)}" for t, a in fixed.LINK_TAG_ATTRS)
+    val = " ".join(
+        f"WHEN {q(t)} THEN regexp_extract(tag_html, {q('(?is)^.*' + chr(92) + 's' + a + r'''\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)''')}, 1)"
+        for t, a in fixed.LINK_TAG_ATTRS)
+    strip = ("regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), "
+             "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1', 'g')")
+    sub = "true" if include_subdomains else "false"
+    return [f"""
+lk_pages AS (SELECT url AS page_url, {strip} AS h FROM captures
+             WHERE status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0),
+lk_tags AS (SELECT page_url, unnest(regexp_extract_all(h, {q(TAG_RE)})) AS tag_html,
+                   unnest(generate_series(1, len(regexp_extract_all(h, {q(TAG_RE)})))) AS pos FROM lk_pages),
+lk_vals AS (SELECT page_url, pos, lower(regexp_extract(tag_html, '^<([A-Za-z]+)', 1)) AS tag, tag_html FROM lk_tags),
+lk_raw AS (SELECT page_url, pos, CASE tag {rank} END AS tag_rank, CASE tag {ctx} END AS context,
+                  {decode("regexp_replace(CASE tag " + val + " END, '^\"(.*)\"$|^''(.*)''$', '\\1\\2')")} AS href
+           FROM lk_vals),
+lk_valid AS (SELECT * FROM lk_raw WHERE href <> '' AND NOT regexp_matches(href, {q(_INVALID)})),
+lk_res AS ({resolved_select('lk_valid', 'page_url', 'href', 'page_url, pos, tag_rank, context, href')}),
+links AS (SELECT page_url, CAST(tag_rank AS BIGINT) AS tag_rank, CAST(pos AS BIGINT) AS pos, context, href, url,
+                 {normalized('url')} AS normalized_url,
+                 coalesce({netloc('url')} <> '' AND ({netloc('url')} = {host('page_url')}
+                   OR ({sub} AND ends_with({netloc('url')}, '.' || {base_domain(host('page_url'))}))), false) AS in_scope
+          FROM lk_res)"""]
+
+
+def candidates_cte(limit: int = 50) -> str:
+    vals = ", ".join(f"({i}, {q(p)})" for i, p in enumerate(fixed.CANDIDATE_PATHS[:limit]))
+    return f"""
+cand_defs(rank, path) AS (VALUES {vals}),
+cand_in AS (SELECT t.hostname, t.base_url, c.rank, c.path FROM targets t CROSS JOIN cand_defs c),
+cand_all AS ({resolved_select('cand_in', 'base_url', 'path', 'hostname, base_url, rank, path')})"""
+
+
+LINK_URLS = "link_urls AS (SELECT url FROM links UNION SELECT url FROM cand_all UNION SELECT url FROM captures)"
+
+
+def _with_links(body: str, extra: tuple = ()) -> str:
+    return with_ctes(captures_cte(), *links_ctes(), *extra, body=body)
+
+
+ORACLES["html_links"] = _with_links("SELECT * FROM links")
+ORACLES["resolve_links"] = _with_links("SELECT page_url, pos, href, url FROM links")
+ORACLES["normalize_url"] = _with_links(f"""
+SELECT url, {normalized('url')} AS normalized_url FROM (SELECT url FROM pages UNION SELECT url FROM links)""")
+_LU = (candidates_cte(), LINK_URLS)
+ORACLES["url_extension"] = _with_links(f"SELECT url, {extension(path('url'))} AS extension FROM link_urls", _LU)
+
+
+def file_category_expr(p: str) -> str:
+    ext = extension(f"lower({p})")
+    arms = " ".join(f"WHEN {ext} IN {in_list(exts)} THEN {q(name)}" for name, exts in fixed.FILE_CATEGORY_EXTENSIONS)
+    return f"(CASE {arms} END)"
+
+
+def should_crawl_expr(p: str) -> str:
+    lp = f"lower({p})"
+    skip = " OR ".join(f"ends_with({lp}, {q(e)})" for e in fixed.CRAWL_SKIP_EXTENSIONS)
+    page = " OR ".join(f"ends_with({lp}, {q(e)})" for e in fixed.CRAWL_PAGE_EXTENSIONS)
+    return (f"(CASE WHEN {skip} THEN false WHEN {page} THEN true "
+            f"ELSE strpos({lp}, '.') = 0 OR (strpos({lp}, '/') > 0 AND "
+            f"length({lp}) - strpos(reverse({lp}), '.') < length({lp}) - strpos(reverse({lp}), '/')) END)")
+
+
+ORACLES["file_category"] = _with_links(f"SELECT url, {file_category_expr(path('url'))} AS file_category FROM link_urls", _LU)
+ORACLES["should_crawl"] = _with_links(f"SELECT url, {should_crawl_expr(path('url'))} AS should_crawl FROM link_urls", _LU)
+
+
+def category_expr(lp: str) -> str:
+    def alt(pats):
+        seen = []
+        for p in pats:
+            p = p.lower()
+            if p not in seen:
+                seen.append(p)
+        return "|".join(f"(?:{p})" for p in seen)
+    arms = []
+    for cat in fixed.CATEGORY_ORDER:
+        pats = fixed.framework_patterns() if cat == "laravel" else fixed.PATTERNS[cat]
+        arms.append(f"WHEN regexp_matches({lp}, {q(alt(pats))}) THEN {q(cat)}")
+    return "(CASE " + " ".join(arms) + " END)"
+
+
+def classification_exprs(cat: str, fn: str) -> tuple[str, str]:
+    t_arms = " ".join(f"WHEN {q(k)} THEN {q(v[0])}" for k, v in fixed.CATEGORY_MAP.items())
+    s_arms = " ".join(f"WHEN {q(k)} THEN {q(v[1])}" for k, v in fixed.CATEGORY_MAP.items())
+    is_doc = " OR ".join(f"ends_with({fn}, {q(e)})" for e in fixed.SENSITIVE_DOC_EXTENSIONS)
+    is_img = " OR ".join(f"ends_with({fn}, {q(e)})" for e in fixed.CLASSIFIER_IMAGE_EXTENSIONS)
+    kw = " OR ".join(f"strpos({fn}, {q(w)}) > 0" for w in fixed.SENSITIVE_KEYWORDS)
+    rtype = (f"(CASE WHEN {cat} IS NOT NULL THEN coalesce(CASE {cat} {t_arms} END, 'PUBLIC_EXPECTED') "
+             f"WHEN ({is_doc}) AND ({kw}) THEN 'POTENTIAL_SENSITIVE_DOCUMENT' WHEN {is_doc} THEN 'PUBLIC_DOCUMENT' "
+             f"WHEN {is_img} THEN 'PUBLIC_IMAGE' ELSE 'PUBLIC_EXPECTED' END)")
+    sev = (f"(CASE WHEN {cat} IS NOT NULL THEN coalesce(CASE {cat} {s_arms} END, 'LOW') "
+           f"WHEN ({is_doc}) AND ({kw}) THEN 'MEDIUM' WHEN {is_doc} THEN 'LOW' ELSE 'INFORMATIONAL' END)")
+    return rtype, sev
+
+
+_CLS = (candidates_cte(), LINK_URLS, f"""
+cls_in AS (SELECT url, lower({path('url')}) AS lp FROM link_urls),
+cls AS (SELECT url, lp, {category_expr('lp')} AS category, split_part(lp, '/', -1) AS fn FROM cls_in)""")
+_RT, _SV = classification_exprs("category", "fn")
+ORACLES["path_category"] = _with_links("SELECT url, category FROM cls", _CLS)
+ORACLES["classify_urls"] = _with_links(f"SELECT url, {_RT} AS resource_type, {_SV} AS severity FROM cls", _CLS)
+_DOC = " OR ".join(f"ends_with(fn, {q(e)})" for e in fixed.SENSITIVE_DOC_EXTENSIONS)
+_KW = " OR ".join(f"strpos(fn, {q(w)}) > 0" for w in fixed.SENSITIVE_KEYWORDS)
+ORACLES["sensitive_documents"] = _with_links(f"SELECT url, ({_KW}) AS has_keyword FROM cls WHERE {_DOC}", _CLS)
+
+ORACLES["scope_filter"] = with_ctes(captures_cte(), *links_ctes(False), body=f"""
+SELECT page_url, pos, url, in_scope,
+       coalesce({netloc('url')} <> '' AND ({netloc('url')} = {host('page_url')}
+                 OR ends_with({netloc('url')}, '.' || {base_domain(host('page_url'))})), false) AS in_scope_with_subdomains
+FROM links""")
+
+ORACLES["path_safety"] = _with_links(f"""
+SELECT path, NOT (strpos(path, '../') > 0 OR strpos(path, '..\\') > 0 OR starts_with(path, '/')
+                  OR starts_with(path, '\\') OR (length(path) > 1 AND substr(path, 2, 1) = ':')
+                  OR {" OR ".join(f"strpos(lower(path), {q(s)}) > 0" for s in fixed.UNSAFE_PATH_SUBSTRINGS)}) AS is_safe
+FROM (SELECT href AS path FROM links UNION SELECT path FROM (VALUES {", ".join(f"({q(p)})" for p in fixed.CANDIDATE_PATHS)}) v(path))""")
+
+# ------------------------------------------------------------------ secrets on documents
+from exposa.functions.secrets import SECRET_PATTERNS  # noqa: E402
+
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_LINES = f"""
+doc_lines0 AS (SELECT doc_id, regexp_split_to_array(text, {q(LINE_BREAK)}) AS parts,
+                      regexp_matches(text, {q('(?:' + LINE_BREAK + ')$')}) AS ends_break, text FROM documents),
+doc_lines AS (SELECT doc_id, CASE WHEN text = '' THEN [] WHEN ends_break THEN parts[:-2] ELSE parts END AS lines FROM doc_lines0)"""
+_MATCH_ARMS = " UNION ALL ".join(
+    f"SELECT doc_id, line_number, {i} AS type_rank, {q(name)} AS secret_type, {pct} AS confidence, "
+    f"unnest(regexp_extract_all(line, {q(pat)}, 1)) AS v, "
+    f"unnest(generate_series(1, len(regexp_extract_all(line, {q(pat)}, 1)))) AS match_pos FROM dl"
+    for i, (name, pat, pct) in enumerate(SECRET_PATTERNS))
+_SECRETS = with_ctes(_LINES, f"""
+dl AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS line_number FROM doc_lines),
+m AS ({_MATCH_ARMS})""", body="")
+
+ORACLES["secret_matches"] = _SECRETS + """
+SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(match_pos AS BIGINT) AS match_pos, secret_type,
+       CAST(confidence AS BIGINT) AS confidence FROM m WHERE v <> ''"""
+ORACLES["secret_redaction"] = _SECRETS + """
+SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(match_pos AS BIGINT) AS match_pos, secret_type,
+       CASE WHEN secret_type = 'PRIVATE_KEY' THEN '***' WHEN length(v) >= 12 THEN substr(v, 1, 4) || '****'
+            ELSE '***' END AS redacted_value FROM m WHERE v <> ''"""
+
+_WS = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ORACLES["redacted_snippet"] = with_ctes(_LINES, body=f"""
+SELECT doc_id,
+  regexp_replace(array_to_string(list_transform(lines[1:{fixed.SNIPPET_MAX_LINES}],
+      lambda l: regexp_replace(l, {q(fixed.SNIPPET_SECRET_KEY_PATTERN)}, '\\1\\2[REDACTED]', 'g')), chr(10)),
+      '^{_WS}+|{_WS}+$', '', 'g')
+  || CASE WHEN len(lines) > {fixed.SNIPPET_MAX_LINES}
+          THEN chr(10) || '... (' || CAST(len(lines) - {fixed.SNIPPET_MAX_LINES} AS VARCHAR) || ' more lines)' ELSE '' END AS snippet
+FROM doc_lines""")
