@@ -445,3 +445,261 @@ SELECT doc_id,
   || CASE WHEN len(lines) > {fixed.SNIPPET_MAX_LINES}
           THEN chr(10) || '... (' || CAST(len(lines) - {fixed.SNIPPET_MAX_LINES} AS VARCHAR) || ' more lines)' ELSE '' END AS snippet
 FROM doc_lines""")
+
+
+# ------------------------------------------------------------------ the scan pipeline
+PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
+           r"|[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+$")
+
+
+def in_scope_expr(url: str, h: str, bd: str) -> str:
+    return f"coalesce({netloc(url)} <> '' AND {netloc(url)} = {h}, false)"
+
+
+def any_contains(col: str, needles) -> str:
+    return "(" + " OR ".join(f"strpos({col}, {q(n)}) > 0" for n in needles) + ")"
+
+
+def soft404_expr() -> str:
+    body = "coalesce(sample, '')"
+    head = f"substr({body}, 1, {fixed.SNIFF_CHARS})"
+    html_like = any_contains(f"lower({head})", fixed.HTML_MARKERS)
+    non_html = f"(ext IN {in_list(fixed.NON_HTML_EXTENSIONS)} OR {any_contains('filename', fixed.NON_HTML_FILENAME_MARKERS)})"
+    html_type = "strpos(lower(coalesce(content_type, '')), 'text/html') > 0"
+    ws = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    matches = (f"(CASE WHEN starts_with(filename, '.env') OR ext IN {in_list(fixed.ENV_LIKE_EXTENSIONS)} "
+               f"THEN regexp_matches({head}, {q(fixed.ENV_LINE_PATTERN)}) "
+               f"WHEN ext = '.json' OR ends_with(filename, '.json') THEN regexp_matches({head}, {q('^' + ws + '*[\\[{]')}) "
+               f"WHEN ext = '.sql' THEN {any_contains(f'upper({head})', fixed.SQL_MARKERS)} "
+               f"WHEN ext IN {in_list(fixed.KEY_EXTENSIONS)} THEN strpos({head}, {q(fixed.KEY_MARKER)}) > 0 "
+               f"WHEN ext = '.log' THEN regexp_matches({head}, {q(fixed.LOG_LINE_PATTERN)}) ELSE false END)")
+    return (f"(CASE WHEN {body} <> '' AND {html_like} AND {non_html} THEN true "
+            f"WHEN {body} <> '' AND NOT {html_like} AND {matches} THEN false "
+            f"WHEN NOT ({html_type}) THEN false WHEN {non_html} THEN true ELSE coalesce(catch_all, false) END)")
+
+
+def lines_expr(text: str) -> str:
+    parts = f"regexp_split_to_array({text}, {q(LINE_BREAK)})"
+    return (f"(CASE WHEN {text} IS NULL OR {text} = '' THEN CAST([] AS VARCHAR[]) "
+            f"WHEN regexp_matches({text}, {q('(?:' + LINE_BREAK + ')$')}) THEN {parts}[:-2] ELSE {parts} END)")
+
+
+def snippet_expr(text: str) -> str:
+    lines = lines_expr(text)
+    n = fixed.SNIPPET_MAX_LINES
+    return (f"(regexp_replace(array_to_string(list_transform({lines}[1:{n}], lambda l: regexp_replace(l, "
+            f"{q(fixed.SNIPPET_SECRET_KEY_PATTERN)}, '\\1\\2[REDACTED]', 'g')), chr(10)), '^{_WS}+|{_WS}+$', '', 'g') "
+            f"|| CASE WHEN len({lines}) > {n} THEN chr(10) || '... (' || CAST(len({lines}) - {n} AS VARCHAR) "
+            f"|| ' more lines)' ELSE '' END)")
+
+
+def case_map(col: str, mapping: dict, default: str) -> str:
+    arms = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
+    return f"coalesce(CASE {col} {arms} END, {q(default)})"
+
+
+def pipeline_ctes() -> str:
+    rt, sv = classification_exprs("category", "filename_c")
+    matrix = " ".join(f"WHEN resource_type = {q(t)} AND has_secrets = {str(s).lower()} AND is_accessible = {str(a).lower()} "
+                      f"THEN {q(sev)}" for t, s, a, sev in fixed.RISK_MATRIX)
+    sens = any_contains("lower(coalesce(path, ''))", fixed.SENSITIVE_PATH_WORDS)
+    gate_types = any_contains("lower(content_type)", fixed.SECRET_SCAN_TYPES)
+    match_arms = " UNION ALL ".join(
+        f"SELECT normalized_url, line_number, {i} AS type_rank, {q(name)} AS secret_type, {pct} AS confidence, "
+        f"unnest(regexp_extract_all(line, {q(pat)}, 1)) AS v, "
+        f"unnest(generate_series(1, len(regexp_extract_all(line, {q(pat)}, 1)))) AS match_pos FROM sl"
+        for i, (name, pat, pct) in enumerate(SECRET_PATTERNS))
+    title = case_map("resource_type", fixed.FINDING_TITLES, fixed.FINDING_TITLE_DEFAULT)
+    desc = case_map("resource_type", fixed.FINDING_DESCRIPTIONS, fixed.FINDING_DESCRIPTION_DEFAULT)
+    remed = case_map("resource_type", fixed.FINDING_REMEDIATIONS, fixed.FINDING_REMEDIATION_DEFAULT)
+    return f"""
+rb AS (SELECT t.hostname, t.base_domain, t.base_url, c.body FROM targets t
+       JOIN captures c ON c.url = t.base_url || 'robots.txt' AND c.status_code = 200),
+rb_lines AS (SELECT hostname, base_url, unnest(string_split(coalesce(body, ''), chr(10))) AS line,
+                    unnest(generate_series(1, len(string_split(coalesce(body, ''), chr(10))))) AS line_no FROM rb),
+rb_t AS (SELECT hostname, base_url, line_no, regexp_replace(line, {q(PY_TRIM)}, '', 'g') AS l FROM rb_lines),
+rb_v AS (SELECT hostname, base_url, line_no, regexp_replace(regexp_extract(l, '(?s)^[^:]*:(.*)$', 1), {q(PY_TRIM)}, '', 'g') AS value
+         FROM rb_t WHERE starts_with(l, 'Disallow:') OR starts_with(l, 'Allow:') OR starts_with(l, 'Sitemap:')),
+rb_ok AS (SELECT * FROM rb_v WHERE value <> '' AND value <> '/'),
+rb_res AS ({resolved_select('rb_ok', 'base_url', 'value', 'hostname, line_no, value')}),
+robots AS (SELECT hostname, CAST(line_no AS BIGINT) AS line_no, value, url, {normalized('url')} AS normalized_url,
+                  {in_scope_expr('url', 'hostname', '')} AS in_scope FROM rb_res),
+sm AS (SELECT t.hostname, coalesce(c.body, '') AS body FROM targets t
+       JOIN captures c ON c.url = t.base_url || 'sitemap.xml' AND c.status_code = 200),
+sm_m AS (
+  SELECT hostname, 0 AS kind, unnest(regexp_extract_all(body, '(?is)<loc\\b[^>]*>(.*?)</loc\\s*>', 1)) AS v,
+         unnest(generate_series(1, len(regexp_extract_all(body, '(?is)<loc\\b[^>]*>(.*?)</loc\\s*>', 1)))) AS pos FROM sm
+  UNION ALL
+  SELECT hostname, 1 AS kind, unnest(regexp_extract_all(body, '(?is)<sitemap\\b[^>]*>.*?<loc\\b[^>]*>(.*?)</loc\\s*>', 1)) AS v,
+         unnest(generate_series(1, len(regexp_extract_all(body, '(?is)<sitemap\\b[^>]*>.*?<loc\\b[^>]*>(.*?)</loc\\s*>', 1)))) AS pos FROM sm),
+sm_u AS (SELECT hostname, kind, pos, regexp_replace({decode('v')}, {q(PY_TRIM)}, '', 'g') AS url FROM sm_m),
+sitemap AS (SELECT hostname, CAST(kind AS BIGINT) AS kind, CAST(pos AS BIGINT) AS pos, url, {normalized('url')} AS normalized_url,
+                   CASE WHEN kind = 1 THEN 'sitemap_index' END AS context, {in_scope_expr('url', 'hostname', '')} AS in_scope
+            FROM sm_u WHERE url <> ''),
+known AS (
+  SELECT {host('url')} AS hostname, 'HTML' AS source, CAST(NULL AS VARCHAR) AS context, 0 AS k1, url AS parent, -1 AS k2, 0 AS k3,
+         url, {normalized('url')} AS normalized_url FROM captures WHERE status_code = 200
+  UNION ALL SELECT {host('page_url')}, 'HTML', context, 0, page_url, tag_rank, pos, url, normalized_url FROM links WHERE in_scope
+  UNION ALL SELECT hostname, 'ROBOTS', NULL, 1, '', 0, line_no, url, normalized_url FROM robots WHERE in_scope
+  UNION ALL SELECT hostname, 'SITEMAP', context, 2, '', kind, pos, url, normalized_url FROM sitemap WHERE in_scope),
+cand_k AS (SELECT hostname, rank, path, url, {normalized('url')} AS normalized_url FROM cand_all),
+discovered AS (
+  SELECT * FROM known
+  UNION ALL SELECT hostname, 'COMMON_PATHS', path, 3, '', 0, rank, url, normalized_url FROM cand_k
+  WHERE normalized_url NOT IN (SELECT normalized_url FROM known)),
+urls AS (SELECT normalized_url, hostname, url, source, context FROM (
+  SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY k1, parent, k2, k3, url, source,
+                                 context NULLS FIRST, hostname) AS rn FROM discovered) WHERE rn = 1),
+kc AS (SELECT normalized_url, status_code, content_type, content_length, server, location, body FROM (
+  SELECT *, {normalized('url')} AS normalized_url,
+         row_number() OVER (PARTITION BY {normalized('url')} ORDER BY url, final_url, status_code,
+           content_type NULLS FIRST, content_length NULLS FIRST, server NULLS FIRST, location NULLS FIRST,
+           body NULLS FIRST) AS rn FROM captures) WHERE rn = 1),
+catch AS (SELECT {host('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
+          WHERE regexp_matches({path('url')}, {q(fixed.CALIBRATION_PATTERN)}) GROUP BY 1),
+a0 AS (SELECT u.*, k.status_code, k.content_type, k.content_length, k.server, k.location,
+              {SAMPLE.replace('status_code', 'k.status_code').replace('content_type', 'k.content_type').replace('body', 'k.body')} AS sample,
+              {path('u.url')} AS path FROM urls u LEFT JOIN kc k USING (normalized_url)),
+a1 AS (SELECT a0.*, {category_expr('lower(path)')} AS category, split_part(lower(path), '/', -1) AS filename_c,
+              {extension('path')} AS ext, lower(split_part(path, '/', -1)) AS filename, status_code IS NOT NULL AS has_response,
+              c.catch_all FROM a0 LEFT JOIN catch c USING (hostname)),
+a2 AS (SELECT *, {rt} AS class_type, {sv} AS class_severity,
+              coalesce(status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0
+                       AND {any_contains("lower(coalesce(sample, ''))", fixed.LISTING_INDICATORS)}, false) AS is_directory_listing,
+              coalesce(status_code = 200 AND {soft404_expr()}, false) AS soft_404 FROM a1),
+a3 AS (SELECT *, coalesce(status_code = 200 AND NOT soft_404, false) AS is_accessible FROM a2),
+analyzed AS (SELECT *,
+  CASE WHEN has_response AND soft_404 THEN 'FALSE_POSITIVE' WHEN has_response AND is_directory_listing THEN 'DIRECTORY_LISTING'
+       ELSE class_type END AS resource_type,
+  CASE WHEN has_response AND soft_404 THEN 'INFORMATIONAL'
+       WHEN has_response AND class_type IN ('SOURCE_CONTROL_EXPOSURE', 'DATABASE_EXPOSURE') AND is_accessible
+            AND class_severity <> 'CRITICAL' THEN 'CRITICAL'
+       WHEN has_response AND is_directory_listing THEN 'MEDIUM' ELSE class_severity END AS severity,
+  CASE WHEN has_response AND soft_404 THEN {q(fixed.SOFT_404_DESCRIPTION)}
+       WHEN has_response AND is_directory_listing THEN {q(fixed.LISTING_DESCRIPTION)} END AS description,
+  CASE WHEN has_response AND soft_404 THEN 'Soft-404 detected at ' || url || ': status 200 with content-type ' || coalesce(content_type, 'None')
+       WHEN has_response AND is_directory_listing THEN 'Directory listing detected at ' || url END AS analysis_note,
+  true AS is_current FROM a3),
+gated AS (SELECT normalized_url, sample FROM analyzed
+          WHERE is_accessible AND content_type IS NOT NULL AND {gate_types} AND content_length IS NOT NULL
+                AND content_length <> 0 AND content_length < {fixed.SECRET_SCAN_MAX_BYTES} AND sample IS NOT NULL AND sample <> ''),
+sl0 AS (SELECT normalized_url, {lines_expr('sample')} AS lines FROM gated),
+sl AS (SELECT normalized_url, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS line_number FROM sl0),
+sm_all AS ({match_arms}),
+secrets AS (SELECT normalized_url, line_number, match_pos, type_rank, secret_type, confidence,
+                   CASE WHEN secret_type = 'PRIVATE_KEY' THEN '***' WHEN length(v) >= 12 THEN substr(v, 1, 4) || '****'
+                        ELSE '***' END AS redacted_value FROM sm_all WHERE v <> ''),
+rollup AS (SELECT normalized_url, CAST(count(*) AS BIGINT) AS secret_count,
+                  bool_or(secret_type IN {in_list(fixed.CRITICAL_SECRET_TYPES)}) AS has_critical_secret,
+                  string_agg('  - ' || secret_type || ': ' || redacted_value || ' (confidence: ' || CAST(confidence AS VARCHAR) || '%)',
+                             chr(10) ORDER BY line_number, match_pos, type_rank) AS secret_lines
+           FROM secrets GROUP BY normalized_url),
+r0 AS (SELECT a.*, coalesce(r.secret_count, 0) AS secret_count, coalesce(r.has_critical_secret, false) AS has_critical_secret,
+              r.secret_lines FROM analyzed a LEFT JOIN rollup r USING (normalized_url)),
+r1 AS (SELECT *, coalesce(CASE {matrix} END, 'INFORMATIONAL') AS base_severity
+       FROM (SELECT *, secret_count > 0 AS has_secrets FROM r0)),
+r2 AS (SELECT *, CASE WHEN is_current AND s0 = 'LOW' THEN 'MEDIUM' ELSE s0 END AS s1
+       FROM (SELECT *, CASE WHEN has_critical_secret THEN 'CRITICAL' ELSE base_severity END AS s0 FROM r1)),
+resources AS (SELECT *, CASE WHEN {sens} AND s1 = 'INFORMATIONAL' THEN 'LOW' WHEN {sens} AND s1 = 'LOW' THEN 'MEDIUM'
+                              ELSE s1 END AS assessed_severity FROM r2),
+findings AS (SELECT *, assessed_severity AS finding_severity,
+  {title} || CASE WHEN secret_count > 0 THEN ' (Contains ' || CAST(secret_count AS VARCHAR) || ' Potential Secret'
+                  || CASE WHEN secret_count > 1 THEN 's' ELSE '' END || ')' ELSE '' END AS title,
+  {desc} || CASE WHEN NOT is_current THEN {q(fixed.STATUS_HISTORICAL)} WHEN is_accessible THEN {q(fixed.STATUS_ACCESSIBLE)}
+                 ELSE {q(fixed.STATUS_NOT_ACCESSIBLE)} END AS finding_description,
+  {remed} AS remediation,
+  concat_ws(chr(10), 'URL: ' || url, 'Discovery Source: ' || source,
+    CASE WHEN has_response THEN 'HTTP Status: ' || CAST(status_code AS VARCHAR) END,
+    CASE WHEN has_response AND content_type IS NOT NULL AND content_type <> '' THEN 'Content-Type: ' || content_type END,
+    CASE WHEN has_response AND server IS NOT NULL AND server <> '' THEN 'Server: ' || server END,
+    CASE WHEN secret_count > 0 THEN chr(10) || 'Secrets Detected:' || chr(10) || secret_lines END,
+    CASE WHEN has_response AND is_directory_listing THEN 'Directory listing is ENABLED on this resource' END,
+    CASE WHEN is_accessible AND has_response AND sample IS NOT NULL AND sample <> '' AND {snippet_expr('sample')} <> ''
+         THEN chr(10) || 'Verified Content (redacted):' || chr(10) || {snippet_expr('sample')} END) AS evidence
+  FROM resources WHERE severity <> 'INFORMATIONAL'),
+grp AS (SELECT hostname, normalized_url, url, g AS group_name FROM (
+  SELECT hostname, normalized_url, url, unnest([CASE {" ".join(f"WHEN resource_type IN {in_list(t)} THEN {q(n)}" for n, t in fixed.RESOURCE_GROUPS)} END,
+                                               CASE WHEN NOT is_current THEN 'historical' END,
+                                               CASE WHEN NOT is_accessible THEN 'not_accessible' END]) AS g FROM resources) WHERE g IS NOT NULL)"""
+
+
+def _pipe(body: str) -> str:
+    return with_ctes(captures_cte(), *links_ctes(), candidates_cte(), pipeline_ctes(), body=body)
+
+
+ORACLES["robots_urls"] = _pipe("SELECT * FROM robots")
+ORACLES["sitemap_urls"] = _pipe("SELECT * FROM sitemap")
+ORACLES["dedup_urls"] = _pipe("SELECT * FROM urls")
+ORACLES["union_sources"] = _pipe("""SELECT hostname, source, CAST(count(*) AS BIGINT) AS rows,
+  CAST(count(DISTINCT normalized_url) AS BIGINT) AS distinct_urls FROM discovered GROUP BY hostname, source""")
+ORACLES["candidate_urls"] = _pipe("""SELECT hostname, CAST(k3 AS BIGINT) AS rank, context AS path, url, normalized_url
+  FROM discovered WHERE source = 'COMMON_PATHS'""")
+_GATE = any_contains("lower(content_type)", fixed.SECRET_SCAN_TYPES)
+ORACLES["secret_scan_gate"] = _pipe(f"""SELECT normalized_url, coalesce(is_accessible AND content_type IS NOT NULL AND
+  {_GATE} AND content_length IS NOT NULL AND content_length <> 0 AND content_length < {fixed.SECRET_SCAN_MAX_BYTES}, false) AS scan
+  FROM analyzed WHERE has_response""")
+ORACLES["soft_404"] = _pipe("SELECT normalized_url, ext, filename, catch_all, soft_404 FROM analyzed WHERE status_code = 200")
+ORACLES["analyze_resources"] = _pipe("""SELECT normalized_url, hostname, source, CAST(status_code AS BIGINT) AS status_code,
+  category, resource_type, severity, is_accessible, is_directory_listing, description, analysis_note FROM analyzed""")
+ORACLES["resource_secrets"] = _pipe("SELECT normalized_url, secret_count, has_critical_secret FROM resources WHERE secret_count > 0")
+ORACLES["risk_lookup"] = _pipe("SELECT normalized_url, resource_type, has_secrets, is_accessible, base_severity FROM resources")
+ORACLES["secret_severity"] = _pipe("""SELECT normalized_url, has_critical_secret, base_severity, assessed_severity
+  FROM resources WHERE secret_count > 0""")
+ORACLES["assess_risk"] = _pipe("SELECT normalized_url, assessed_severity FROM resources")
+ORACLES["risk_modifiers"] = _pipe("SELECT normalized_url, is_current, base_severity, assessed_severity FROM resources")
+ORACLES["findings"] = _pipe("SELECT normalized_url, hostname, resource_type, severity, finding_severity FROM findings")
+ORACLES["finding_text"] = _pipe("SELECT normalized_url, title, finding_description AS description, remediation FROM findings")
+ORACLES["finding_evidence"] = _pipe("SELECT normalized_url, evidence FROM findings")
+ORACLES["resource_groups"] = _pipe("SELECT normalized_url, hostname, group_name FROM grp")
+ORACLES["group_counts"] = _pipe("SELECT hostname, group_name, CAST(count(*) AS BIGINT) AS resources FROM grp GROUP BY 1, 2")
+ORACLES["report_url_list"] = _pipe("""SELECT hostname, CASE WHEN status_code IS NOT NULL THEN '[' || CAST(status_code AS VARCHAR) || '] '
+  ELSE '[UNKNOWN] ' END || url AS line FROM resources""")
+ORACLES["secret_summary"] = _pipe("""SELECT hostname, CAST(sum(secret_count) AS BIGINT) AS total_secrets_found,
+  CAST(count(*) FILTER (WHERE secret_count > 0) AS BIGINT) AS resources_with_secrets FROM resources GROUP BY hostname""")
+ORACLES["sensitive_file_count"] = _pipe(f"""SELECT hostname, CAST(count(*) FILTER (WHERE resource_type IN {in_list(fixed.SENSITIVE_FILE_TYPES)}) AS BIGINT)
+  AS potential_sensitive_files FROM resources GROUP BY hostname""")
+_FC = file_category_expr("path")
+ORACLES["scan_statistics"] = _pipe(f"""
+SELECT coalesce(d.hostname, r.hostname) AS hostname, coalesce(d.n, 0) AS urls_discovered,
+       coalesce(r.urls_checked, 0) AS urls_checked, coalesce(r.currently_accessible, 0) AS currently_accessible,
+       coalesce(r.documents, 0) AS documents, coalesce(r.images, 0) AS images, coalesce(r.data_files, 0) AS data_files
+FROM (SELECT hostname, CAST(count(*) AS BIGINT) AS n FROM discovered GROUP BY hostname) d
+FULL JOIN (SELECT hostname, CAST(count(*) AS BIGINT) AS urls_checked,
+                  CAST(count(*) FILTER (WHERE status_code = 200) AS BIGINT) AS currently_accessible,
+                  CAST(count(*) FILTER (WHERE status_code = 200 AND {_FC} = 'document') AS BIGINT) AS documents,
+                  CAST(count(*) FILTER (WHERE status_code = 200 AND {_FC} = 'image') AS BIGINT) AS images,
+                  CAST(count(*) FILTER (WHERE status_code = 200 AND {_FC} = 'data') AS BIGINT) AS data_files
+           FROM resources GROUP BY hostname) r ON d.hostname = r.hostname""")
+ORACLES["severity_counts"] = _pipe("""
+SELECT r.hostname, coalesce(f.critical_count, 0) AS critical_count, coalesce(f.high_count, 0) AS high_count,
+       coalesce(f.medium_count, 0) AS medium_count, coalesce(f.low_count, 0) AS low_count,
+       coalesce(f.info_findings, 0) + r.info_resources AS info_count
+FROM (SELECT hostname, CAST(count(*) FILTER (WHERE severity = 'INFORMATIONAL') AS BIGINT) AS info_resources
+      FROM resources GROUP BY hostname) r
+LEFT JOIN (SELECT hostname,
+             CAST(count(*) FILTER (WHERE finding_severity = 'CRITICAL') AS BIGINT) AS critical_count,
+             CAST(count(*) FILTER (WHERE finding_severity = 'HIGH') AS BIGINT) AS high_count,
+             CAST(count(*) FILTER (WHERE finding_severity = 'MEDIUM') AS BIGINT) AS medium_count,
+             CAST(count(*) FILTER (WHERE finding_severity = 'LOW') AS BIGINT) AS low_count,
+             CAST(count(*) FILTER (WHERE finding_severity = 'INFORMATIONAL') AS BIGINT) AS info_findings
+           FROM findings GROUP BY hostname) f ON r.hostname = f.hostname""")
+ORACLES["top_findings"] = _pipe(f"""
+SELECT hostname, finding_severity, CAST(rank AS BIGINT) AS rank, url, title, CAST(greatest(total - {fixed.TOP_FINDINGS}, 0) AS BIGINT) AS more
+FROM (SELECT hostname, finding_severity, url, title,
+             row_number() OVER (PARTITION BY hostname, finding_severity ORDER BY normalized_url) AS rank,
+             count(*) OVER (PARTITION BY hostname, finding_severity) AS total
+      FROM findings WHERE finding_severity IN ('CRITICAL', 'HIGH')) WHERE rank <= {fixed.TOP_FINDINGS}""")
+ORACLES["top_resources"] = _pipe(f"""
+SELECT hostname, group_name, CAST(rank AS BIGINT) AS rank, url, CAST(greatest(total - {fixed.TOP_RESOURCES}, 0) AS BIGINT) AS more
+FROM (SELECT hostname, group_name, url,
+             row_number() OVER (PARTITION BY hostname, group_name ORDER BY normalized_url) AS rank,
+             count(*) OVER (PARTITION BY hostname, group_name) AS total
+      FROM grp WHERE group_name IN ('documents', 'images')) WHERE rank <= {fixed.TOP_RESOURCES}""")
+ORACLES["historical_urls"] = _pipe(f"""
+SELECT hostname, CAST(rank AS BIGINT) AS rank, url, CAST(total AS BIGINT) AS total
+FROM (SELECT hostname, url, row_number() OVER (PARTITION BY hostname ORDER BY normalized_url) AS rank,
+             count(*) OVER (PARTITION BY hostname) AS total FROM resources WHERE NOT is_current) WHERE rank <= {fixed.TOP_RESOURCES}""")
+_SEV_RANK = " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(fixed.SEVERITIES))
+ORACLES["findings_by_severity"] = _pipe(f"""
+SELECT hostname, finding_severity, CAST(CASE finding_severity {_SEV_RANK} END AS BIGINT) AS severity_rank, url, title
+FROM findings WHERE finding_severity <> 'INFORMATIONAL'""")
