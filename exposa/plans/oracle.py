@@ -498,6 +498,43 @@ def case_map(col: str, mapping: dict, default: str) -> str:
     return f"coalesce(CASE {col} {arms} END, {q(default)})"
 
 
+def analysis_ctes(src: str, p: str, calibration: bool) -> str:
+    """Resource verdict CTEs over ``src`` (normalized_url, hostname, url, source, context), named
+    with prefix ``p``; without calibration the catch-all flag is false."""
+    rt, sv = classification_exprs("category", "filename_c")
+    text = f"""a0 AS (SELECT u.*, k.status_code, k.content_type, k.content_length, k.server, k.location,
+              {SAMPLE.replace('status_code', 'k.status_code').replace('content_type', 'k.content_type').replace('body', 'k.body')} AS sample,
+              {path('u.url')} AS path FROM urls u LEFT JOIN kc k USING (normalized_url)),
+a1 AS (SELECT a0.*, {category_expr('lower(path)')} AS category, split_part(lower(path), '/', -1) AS filename_c,
+              {extension('path')} AS ext, lower(split_part(path, '/', -1)) AS filename, status_code IS NOT NULL AS has_response,
+              c.catch_all FROM a0 LEFT JOIN catch c USING (hostname)),
+a2 AS (SELECT *, {rt} AS class_type, {sv} AS class_severity,
+              coalesce(status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0
+                       AND {any_contains("lower(coalesce(sample, ''))", fixed.LISTING_INDICATORS)}, false) AS is_directory_listing,
+              coalesce(status_code = 200 AND {soft404_expr()}, false) AS soft_404 FROM a1),
+a3 AS (SELECT *, coalesce(status_code = 200 AND NOT soft_404, false) AS is_accessible FROM a2),
+analyzed AS (SELECT *,
+  CASE WHEN has_response AND soft_404 THEN 'FALSE_POSITIVE' WHEN has_response AND is_directory_listing THEN 'DIRECTORY_LISTING'
+       ELSE class_type END AS resource_type,
+  CASE WHEN has_response AND soft_404 THEN 'INFORMATIONAL'
+       WHEN has_response AND class_type IN ('SOURCE_CONTROL_EXPOSURE', 'DATABASE_EXPOSURE') AND is_accessible
+            AND class_severity <> 'CRITICAL' THEN 'CRITICAL'
+       WHEN has_response AND is_directory_listing THEN 'MEDIUM' ELSE class_severity END AS severity,
+  CASE WHEN has_response AND soft_404 THEN {q(fixed.SOFT_404_DESCRIPTION)}
+       WHEN has_response AND is_directory_listing THEN {q(fixed.LISTING_DESCRIPTION)} END AS description,
+  CASE WHEN has_response AND soft_404 THEN 'Soft-404 detected at ' || url || ': status 200 with content-type ' || coalesce(content_type, 'None')
+       WHEN has_response AND is_directory_listing THEN 'Directory listing detected at ' || url END AS analysis_note,
+  true AS is_current FROM a3),
+"""
+    text = text.replace("FROM urls u LEFT JOIN kc k", f"FROM {src} u LEFT JOIN kc k")
+    if not calibration:
+        text = text.replace("c.catch_all FROM a0 LEFT JOIN catch c USING (hostname)", "false AS catch_all FROM a0")
+    for name in ["analyzed", "a0", "a1", "a2", "a3"]:
+        text = text.replace(f"{name} AS (", f"{p}{name} AS (").replace(f"FROM {name}", f"FROM {p}{name}")
+        text = text.replace(f"{name}.*", f"{p}{name}.*")
+    return text
+
+
 def pipeline_ctes() -> str:
     rt, sv = classification_exprs("category", "filename_c")
     matrix = " ".join(f"WHEN resource_type = {q(t)} AND has_secrets = {str(s).lower()} AND is_accessible = {str(a).lower()} "
@@ -557,30 +594,7 @@ kc AS (SELECT normalized_url, status_code, content_type, content_length, server,
            body NULLS FIRST) AS rn FROM captures) WHERE rn = 1),
 catch AS (SELECT {host('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
           WHERE regexp_matches({path('url')}, {q(fixed.CALIBRATION_PATTERN)}) GROUP BY 1),
-a0 AS (SELECT u.*, k.status_code, k.content_type, k.content_length, k.server, k.location,
-              {SAMPLE.replace('status_code', 'k.status_code').replace('content_type', 'k.content_type').replace('body', 'k.body')} AS sample,
-              {path('u.url')} AS path FROM urls u LEFT JOIN kc k USING (normalized_url)),
-a1 AS (SELECT a0.*, {category_expr('lower(path)')} AS category, split_part(lower(path), '/', -1) AS filename_c,
-              {extension('path')} AS ext, lower(split_part(path, '/', -1)) AS filename, status_code IS NOT NULL AS has_response,
-              c.catch_all FROM a0 LEFT JOIN catch c USING (hostname)),
-a2 AS (SELECT *, {rt} AS class_type, {sv} AS class_severity,
-              coalesce(status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0
-                       AND {any_contains("lower(coalesce(sample, ''))", fixed.LISTING_INDICATORS)}, false) AS is_directory_listing,
-              coalesce(status_code = 200 AND {soft404_expr()}, false) AS soft_404 FROM a1),
-a3 AS (SELECT *, coalesce(status_code = 200 AND NOT soft_404, false) AS is_accessible FROM a2),
-analyzed AS (SELECT *,
-  CASE WHEN has_response AND soft_404 THEN 'FALSE_POSITIVE' WHEN has_response AND is_directory_listing THEN 'DIRECTORY_LISTING'
-       ELSE class_type END AS resource_type,
-  CASE WHEN has_response AND soft_404 THEN 'INFORMATIONAL'
-       WHEN has_response AND class_type IN ('SOURCE_CONTROL_EXPOSURE', 'DATABASE_EXPOSURE') AND is_accessible
-            AND class_severity <> 'CRITICAL' THEN 'CRITICAL'
-       WHEN has_response AND is_directory_listing THEN 'MEDIUM' ELSE class_severity END AS severity,
-  CASE WHEN has_response AND soft_404 THEN {q(fixed.SOFT_404_DESCRIPTION)}
-       WHEN has_response AND is_directory_listing THEN {q(fixed.LISTING_DESCRIPTION)} END AS description,
-  CASE WHEN has_response AND soft_404 THEN 'Soft-404 detected at ' || url || ': status 200 with content-type ' || coalesce(content_type, 'None')
-       WHEN has_response AND is_directory_listing THEN 'Directory listing detected at ' || url END AS analysis_note,
-  true AS is_current FROM a3),
-gated AS (SELECT normalized_url, sample FROM analyzed
+{analysis_ctes('urls', '', True)}gated AS (SELECT normalized_url, sample FROM analyzed
           WHERE is_accessible AND content_type IS NOT NULL AND {gate_types} AND content_length IS NOT NULL
                 AND content_length <> 0 AND content_length < {fixed.SECRET_SCAN_MAX_BYTES} AND sample IS NOT NULL AND sample <> ''),
 sl0 AS (SELECT normalized_url, {lines_expr('sample')} AS lines FROM gated),
@@ -703,3 +717,45 @@ _SEV_RANK = " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(fixed.SEVERIT
 ORACLES["findings_by_severity"] = _pipe(f"""
 SELECT hostname, finding_severity, CAST(CASE finding_severity {_SEV_RANK} END AS BIGINT) AS severity_rank, url, title
 FROM findings WHERE finding_severity <> 'INFORMATIONAL'""")
+
+ORACLES["path_exposure"] = with_ctes(
+    captures_cte(), *links_ctes(), candidates_cte(), pipeline_ctes(),
+    "pe_src AS (SELECT cand_k.normalized_url, hostname, url, 'COMMON_PATHS' AS source, path AS context FROM cand_k)",
+    analysis_ctes("pe_src", "pe_", False),
+    body="""SELECT normalized_url, hostname, resource_type, severity, is_accessible FROM pe_analyzed
+            WHERE resource_type <> 'PUBLIC_EXPECTED'""")
+
+_STRIP_ALL = ("regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), "
+              "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1', 'g')")
+_A_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ORACLES["valid_links"] = with_ctes(captures_cte(), f"""
+raw AS (SELECT unnest(regexp_extract_all({_STRIP_ALL}, {q(_A_HREF)}, 1)) AS r FROM captures WHERE status_code = 200),
+hrefs AS (SELECT {decode("regexp_replace(r, '^\"(.*)\"$|^''(.*)''$', '\\1\\2')")} AS href FROM raw)""", body=f"""
+SELECT href, CAST(count(*) AS BIGINT) AS occurrences, coalesce(NOT regexp_matches(href, {q(_INVALID)}), false) AS is_valid
+FROM hrefs GROUP BY href""")
+
+
+def _block_links(tag: str, patterns: list, groups: list, valid_filter: bool) -> str:
+    arms = " UNION ALL ".join(
+        f"SELECT page_url, block, {i} AS pattern, unnest(regexp_extract_all(text, {q(pat)}, {g})) AS v, "
+        f"unnest(generate_series(1, len(regexp_extract_all(text, {q(pat)}, {g})))) AS pos FROM blk"
+        for i, (pat, g) in enumerate(zip(patterns, groups)))
+    blk_re = f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>"
+    href = "regexp_replace(v, '^[''\"()]+|[''\"()]+$', '', 'g')" if tag == "script" else "v"
+    cond = (f"NOT regexp_matches(href, {q(_INVALID)})" if valid_filter
+            else "href <> '' AND NOT starts_with(href, 'data:')")
+    return with_ctes(captures_cte(), f"""
+bodies AS (SELECT url AS page_url, regexp_replace(body, '(?s)<!--.*?-->', '', 'g') AS b FROM captures WHERE status_code = 200),
+blk AS (SELECT page_url, unnest(regexp_extract_all(b, '{blk_re}', 1)) AS text,
+               unnest(generate_series(0, len(regexp_extract_all(b, '{blk_re}', 1)) - 1)) AS block FROM bodies),
+m AS ({arms}),
+hv AS (SELECT page_url, block, pattern, pos, {href} AS href FROM m WHERE {cond}),
+res AS ({resolved_select('hv', 'page_url', 'href', 'page_url, block, pattern, pos, href')})""", body=f"""
+SELECT page_url, CAST(block AS BIGINT) AS block, CAST(pattern AS BIGINT) AS pattern, CAST(pos AS BIGINT) AS pos, href, url,
+       {in_scope_expr('url', host('page_url'), '')} AS in_scope FROM res""")
+
+
+from exposa.operators.discovery import CSS_PATTERNS, JS_PATTERNS  # noqa: E402
+
+ORACLES["js_links"] = _block_links("script", JS_PATTERNS, [0, 0, 1], True)
+ORACLES["css_links"] = _block_links("style", CSS_PATTERNS, [1, 1], False)
