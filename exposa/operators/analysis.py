@@ -24,13 +24,42 @@ def _tagger(name: str, i: int):
     return lambda v, j: F.struct(F.lit(i).alias(name), j.alias("pos"), v.alias("v"))
 
 
-def keyed_captures(captures: DataFrame) -> DataFrame:
-    """One capture per dedup key: the row with the smallest URL (partial ``min`` aggregate)."""
+FEATURE_COLUMNS = ["url", "final_url", "status_code", "content_type", "content_length", "server",
+                   "location", "is_directory_listing", "has_sample", "head", "snippet"]
+
+
+def capture_features(captures: DataFrame, sample_chars: int | None = None) -> DataFrame:
+    """Per capture, everything later steps need from the body, computed where the body is read
+    (a narrow projection, no shuffle): directory-listing flag, whether a sample exists, the head
+    used for content sniffing and the redacted evidence snippet. Bodies never reach a shuffle."""
     c = U.with_normalized(captures, "url", "normalized_url")
-    cols = ["url", "final_url", "status_code", "content_type", "content_length", "server", "location", "body"]
-    first = F.min(F.struct(*cols))
+    c = c.withColumn("sample", T.response_sample(F.col("body"), F.col("status_code"),
+                                                 F.col("content_type"), sample_chars))
+    has_sample = F.col("sample").isNotNull() & (F.col("sample") != "")
+    return c.select(
+        "normalized_url", "url", "final_url", "status_code", "content_type", "content_length", "server",
+        "location",
+        F.coalesce((F.col("status_code") == 200) & T.is_directory_listing(F.col("sample"), F.col("content_type")),
+                   F.lit(False)).alias("is_directory_listing"),
+        has_sample.alias("has_sample"),
+        F.substring(F.col("sample"), 1, fixed.SNIFF_CHARS).alias("head"),
+        F.when(has_sample, X.redacted_snippet(F.col("sample"))).alias("snippet"))
+
+
+def keyed_captures(features: DataFrame) -> DataFrame:
+    """One capture per dedup key: the row with the smallest URL (``min`` over an ordered struct,
+    aggregated map-side before the shuffle; rows carry features, not bodies)."""
+    first = F.min(F.struct(*FEATURE_COLUMNS))
+    return features.groupBy("normalized_url").agg(first.alias("c")).select(
+        "normalized_url", *[F.col(f"c.{k}").alias(k if k != "url" else "capture_url") for k in FEATURE_COLUMNS])
+
+
+def keyed_status(captures: DataFrame) -> DataFrame:
+    """(normalized_url, status_code, content_type) of the capture chosen per dedup key."""
+    c = U.with_normalized(captures.select("url", "final_url", "status_code", "content_type"), "url", "normalized_url")
+    first = F.min(F.struct("url", "final_url", "status_code", "content_type"))
     return c.groupBy("normalized_url").agg(first.alias("c")).select(
-        "normalized_url", *[F.col(f"c.{k}").alias(k if k != "url" else "capture_url") for k in cols])
+        "normalized_url", F.col("c.status_code").alias("status_code"), F.col("c.content_type").alias("content_type"))
 
 
 def catch_all_hosts(captures: DataFrame) -> DataFrame:
@@ -51,7 +80,7 @@ def analyze(urls: DataFrame, captures: DataFrame, sample_chars: int | None = Non
     type and severity, the fixed description/evidence notes, and ``is_current`` (captures are
     current responses).
     """
-    r = urls.join(keyed_captures(captures), "normalized_url", "left")
+    r = urls.join(keyed_captures(capture_features(captures, sample_chars)), "normalized_url", "left")
     r = U.with_parts(r, "url", "u_")
     r = r.withColumn("path", F.col("u_path")).drop(*[f"u_{k}" for k in U.PART_NAMES])
     r = C.with_classification(r, "path")
@@ -59,17 +88,15 @@ def analyze(urls: DataFrame, captures: DataFrame, sample_chars: int | None = Non
         "ext": U.extension("path"),
         "filename": F.lower(C.filename_of(F.col("path"))),
         "has_response": F.col("status_code").isNotNull(),
-        "sample": T.response_sample(F.col("body"), F.col("status_code"), F.col("content_type"), sample_chars),
-    }).drop("body")
-    r = r.withColumn("is_directory_listing", F.coalesce(
-        (F.col("status_code") == 200) & T.is_directory_listing(F.col("sample"), F.col("content_type")),
-        F.lit(False)))
+        "is_directory_listing": F.coalesce(F.col("is_directory_listing"), F.lit(False)),
+        "has_sample": F.coalesce(F.col("has_sample"), F.lit(False)),
+    })
     if use_calibration:
         r = r.join(catch_all_hosts(captures), "hostname", "left")
     else:
         r = r.withColumn("catch_all", F.lit(False))
     r = r.withColumn("soft_404", F.coalesce((F.col("status_code") == 200) & T.soft_404(
-        F.col("sample"), F.col("content_type"), F.col("ext"), F.col("filename"), F.col("catch_all")),
+        F.col("head"), F.col("content_type"), F.col("ext"), F.col("filename"), F.col("catch_all")),
         F.lit(False)))
     r = r.withColumn("is_accessible", F.coalesce((F.col("status_code") == 200) & ~F.col("soft_404"),
                                                  F.lit(False)))
@@ -131,12 +158,23 @@ def secret_matches(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
                     X.redact(F.col("secret_type"), F.col("m.v")).alias("redacted_value"), "confidence")
 
 
-def resource_secrets(resources: DataFrame) -> DataFrame:
-    """Secret matches of resources passing the scan gate (F7), keyed by normalized_url."""
-    gated = resources.where(T.secret_scan_gate(F.col("is_accessible"), F.col("content_type"),
-                                               F.col("content_length"))
-                            & F.col("sample").isNotNull() & (F.col("sample") != ""))
-    return secret_matches(gated.select("normalized_url", "sample"), ["normalized_url"], "sample")
+def capture_secrets(captures: DataFrame, sample_chars: int | None = None) -> DataFrame:
+    """Secret matches of every capture that passes the response part of the scan gate (F7:
+    textual type, known size under the limit, non-empty sample), scanned where the body is read.
+    Keyed by (normalized_url, capture_url)."""
+    c = U.with_normalized(captures, "url", "normalized_url")
+    sample = T.response_sample(F.col("body"), F.col("status_code"), F.col("content_type"), sample_chars)
+    c = c.select("normalized_url", F.col("url").alias("capture_url"), "status_code", "content_type",
+                 "content_length", sample.alias("sample"))
+    c = c.where(T.secret_scan_gate(F.col("status_code") == 200, F.col("content_type"), F.col("content_length"))
+                & F.col("sample").isNotNull() & (F.col("sample") != ""))
+    return secret_matches(c, ["normalized_url", "capture_url"], "sample")
+
+
+def resource_secrets(resources: DataFrame, cap_secrets: DataFrame) -> DataFrame:
+    """Secret matches of the resources that are accessible (the rest of the scan gate, F7)."""
+    ok = resources.where(F.col("is_accessible")).select("normalized_url", "capture_url")
+    return cap_secrets.join(ok, ["normalized_url", "capture_url"], "left_semi").drop("capture_url")
 
 
 def secret_rollup(secrets: DataFrame) -> DataFrame:

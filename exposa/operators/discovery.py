@@ -157,7 +157,9 @@ def _probe_files(captures: DataFrame, targets: DataFrame, path: str) -> DataFram
     """200 captures of ``<base_url><path>`` joined to their target (one row per target)."""
     t = targets.select("hostname", "base_domain", "base_url",
                        F.concat(F.col("base_url"), F.lit(path)).alias("probe_url"))
-    c = captures.where(F.col("status_code") == 200).select(F.col("url").alias("probe_url"), "body")
+    # narrow the captures to this file name before the join, so only these rows are shuffled
+    c = captures.where((F.col("status_code") == 200) & F.col("url").endswith("/" + path)).select(
+        F.col("url").alias("probe_url"), "body")
     return t.join(c, "probe_url")
 
 

@@ -53,8 +53,7 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
     ``file`` (a non-HTML 200 page) or ``link`` (a newly seen in-scope link), plus ``page`` rows
     for every crawled 200 page (used by the statistics)."""
     checkpoint_dir(spark)
-    caps = A.keyed_captures(captures).select(F.col("normalized_url").alias("key"), "status_code",
-                                              "content_type")
+    caps = A.keyed_status(captures).withColumnRenamed("normalized_url", "key")
     edges = _edges(captures, include_subdomains)
 
     base = targets.select("hostname", F.col("base_url").alias("url"))

@@ -75,8 +75,8 @@ def evidence(df_cols: dict[str, Column] | None = None) -> Column:
     note and the redacted snippet of accessible samples; absent parts are skipped."""
     c = F.col
     has = c("has_response")
-    snippet = X.redacted_snippet(c("sample"))
-    show_snippet = c("is_accessible") & has & c("sample").isNotNull() & (c("sample") != "")
+    snippet = F.coalesce(c("snippet"), F.lit(""))
+    show_snippet = c("is_accessible") & has & c("has_sample")
     parts = [
         F.concat(F.lit("URL: "), c("url")),
         F.concat(F.lit("Discovery Source: "), c("source")),

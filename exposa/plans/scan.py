@@ -61,9 +61,13 @@ class Scan:
     def analyzed(self) -> DataFrame:
         return materialize(A.analyze(self.urls, self.captures, self.sample_chars))
 
+    @cached_property
+    def capture_secrets(self) -> DataFrame:
+        return materialize(A.capture_secrets(self.captures, self.sample_chars))
+
     @cached_property
     def secrets(self) -> DataFrame:
-        return A.resource_secrets(self.analyzed)
+        return A.resource_secrets(self.analyzed, self.capture_secrets)
 
     @cached_property
     def resources(self) -> DataFrame:
