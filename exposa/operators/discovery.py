@@ -217,7 +217,7 @@ def candidate_urls_all(targets: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bool = False,
-                    candidate_limit: int = 50) -> DataFrame:
+                    candidate_limit: int = 50, links: DataFrame | None = None) -> DataFrame:
     """All discovered URL rows before dedup (J2): captured pages and their in-scope links
     (HTML), robots.txt entries (ROBOTS), sitemap entries (SITEMAP), then candidate paths not
     already known (COMMON_PATHS). Columns: hostname, source, context, order keys, url,
@@ -229,7 +229,7 @@ def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains:
                              F.lit(None).cast("string").alias("context"), F.lit(0).alias("k1"),
                              F.lit(-1).alias("k2"), F.lit(0).alias("k3"), F.col("url").alias("parent"),
                              "url", "normalized_url")
-    links = html_links(captures, include_subdomains).where("in_scope")
+    links = (links if links is not None else html_links(captures, include_subdomains)).where("in_scope")
     links = with_target_of(links, "page_url")
     link_rows = links.select(F.col("tg_host").alias("hostname"), F.lit("HTML").alias("source"), "context",
                              F.lit(0).alias("k1"), F.col("tag_rank").alias("k2"), F.col("pos").alias("k3"),

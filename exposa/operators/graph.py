@@ -11,8 +11,9 @@ Breadth-first search done one level at a time with joins, the way a FIFO crawl v
 * links of the visited HTML pages form the next frontier; a link is recorded when its target was
   not yet visited at the moment its page was processed (earlier level, or same level and not
   later in queue order);
-* each level is checkpointed to the session's checkpoint folder, so lineage stays short and a
-  lost executor recomputes at most one level.
+* each level is written as a table under the session's checkpoint folder, so lineage stays
+  short and a lost executor recomputes at most one level; the visited set is the union of those
+  tables.
 
 At most ``max_depth + 1`` levels run. Links are extracted once for all captures, keyed by the
 page's dedup key.
@@ -27,7 +28,7 @@ from exposa.functions import fixed
 from exposa.functions import urls as U
 from exposa.operators import analysis as A
 from exposa.operators import discovery as D
-from exposa.session import checkpoint_dir
+from exposa.session import materialize
 
 
 def page_seeds(captures: DataFrame) -> DataFrame:
@@ -38,8 +39,8 @@ def page_seeds(captures: DataFrame) -> DataFrame:
     return c.select(F.col("tg_host").alias("hostname"), "url")
 
 
-def _edges(captures: DataFrame, include_subdomains: bool) -> DataFrame:
-    links = D.html_links(captures, include_subdomains).where("in_scope")
+def _edges(captures: DataFrame, include_subdomains: bool, links: DataFrame | None = None) -> DataFrame:
+    links = (links if links is not None else D.html_links(captures, include_subdomains)).where("in_scope")
     links = U.with_normalized(links.withColumnRenamed("normalized_url", "link_key"), "page_url", "page_key")
     links = U.with_parts(links, "url", "x_")
     return links.select("page_key", "tag_rank", "pos", F.col("url").alias("link_url"), "link_key",
@@ -48,13 +49,12 @@ def _edges(captures: DataFrame, include_subdomains: bool) -> DataFrame:
 
 def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: DataFrame | None = None,
           max_depth: int = fixed.MAX_DEPTH, max_pages: int = fixed.MAX_PAGES,
-          include_subdomains: bool = False) -> DataFrame:
+          include_subdomains: bool = False, links: DataFrame | None = None) -> DataFrame:
     """Recorded URLs of the crawl: (hostname, url, normalized_url, depth, kind) where kind is
     ``file`` (a non-HTML 200 page) or ``link`` (a newly seen in-scope link), plus ``page`` rows
     for every crawled 200 page (used by the statistics)."""
-    checkpoint_dir(spark)
     caps = A.keyed_status(captures).withColumnRenamed("normalized_url", "key")
-    edges = _edges(captures, include_subdomains)
+    edges = materialize(_edges(captures, include_subdomains, links))
 
     base = targets.select("hostname", F.col("base_url").alias("url"))
     if seeds is not None:
@@ -83,11 +83,14 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
         cand = cand.withColumn("budget", budget.cast("long"))
         ok = cand.where(F.col("status_code") == 200)
         w = Window.partitionBy("hostname").orderBy("ord")
-        cut = (ok.withColumn("r", F.row_number().over(w)).where(F.col("r") == F.col("budget"))
-               .select("hostname", F.col("ord").alias("cut_ord")))
+        # the literal bound lets Spark keep only max_pages rows per host and partition before the
+        # shuffle (a hot host never sorts its whole frontier in one task); the per-host budget
+        # (<= max_pages) then picks the cut row
+        top = ok.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.lit(max_pages))
+        cut = top.where(F.col("r") == F.col("budget")).select("hostname", F.col("ord").alias("cut_ord"))
         level = cand.join(cut, "hostname", "left").where(
             (F.col("budget") > 0) & (F.col("cut_ord").isNull() | (F.col("ord") <= F.col("cut_ord"))))
-        level = level.select("hostname", "url", "key", "ord", "status_code", "content_type").checkpoint()
+        level = materialize(level.select("hostname", "url", "key", "ord", "status_code", "content_type"))
 
         pages = level.where(F.col("status_code") == 200)
         is_html = F.col("content_type").isNull() | (F.col("content_type") == "") | \
@@ -108,7 +111,8 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
             found = found.join(visited.withColumnRenamed("key", "link_key"), ["hostname", "link_key"], "left_anti")
         found = found.select("hostname", "link_url", "link_key", "crawlable", "parent",
                              F.struct(F.col("p_ord").alias("p"), F.col("tag_rank").cast("long").alias("t"),
-                                      F.col("pos").cast("long").alias("q")).alias("ord")).checkpoint()
+                                      F.col("pos").cast("long").alias("q")).alias("ord"))
+        found = materialize(found)
         outputs.append(found.select("hostname", F.col("link_url").alias("url"), F.col("link_key").alias("key"),
                                     F.lit(depth + 1).alias("depth"), F.lit("link").alias("kind"), "parent"))
         outputs.append(html.join(edges, "page_key").select(
@@ -117,12 +121,11 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
 
         lv = level.select("hostname", "key")
         visited = lv if visited is None else visited.unionByName(lv)
-        visited = visited.checkpoint()
         n = pages.groupBy("hostname").agg(F.count("*").alias("n"))
         crawled = (n.withColumnRenamed("n", "pages") if crawled is None else
                    crawled.join(n, "hostname", "full").select(
                        "hostname", (F.coalesce("pages", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("pages")))
-        crawled = crawled.checkpoint()
+        crawled = materialize(crawled)
         frontier = found.where("crawlable").select("hostname", F.col("link_url").alias("url"),
                                                    F.col("link_key").alias("key"), "ord")
     out = outputs[0]

@@ -260,14 +260,14 @@ def candidate_urls(spark, d):
 
 def crawl_reachability(spark, d):
     s = _scan(spark, d)
-    return G.crawl(spark, s.captures, s.targets, seeds=None).where(F.col("kind") != "found").select(
+    return G.crawl(spark, s.captures, s.targets, seeds=None, links=s.links).where(F.col("kind") != "found").select(
         "hostname", "url", "normalized_url", F.col("depth").cast(L).alias("depth"), "kind")
 
 
 def seed_reachability(spark, d):
     s = _scan(spark, d)
     seeds = G.page_seeds(s.captures)
-    return G.crawl(spark, s.captures, s.targets, seeds=seeds).where(F.col("kind") != "found").select(
+    return G.crawl(spark, s.captures, s.targets, seeds=seeds, links=s.links).where(F.col("kind") != "found").select(
         "hostname", "url", "normalized_url", F.col("depth").cast(L).alias("depth"), "kind")
 
 
@@ -409,7 +409,7 @@ def group_counts(spark, d):
 
 def crawl_statistics(spark, d):
     s = _scan(spark, d)
-    c = G.crawl(spark, s.captures, s.targets, seeds=G.page_seeds(s.captures))
+    c = G.crawl(spark, s.captures, s.targets, seeds=G.page_seeds(s.captures), links=s.links)
     return G.crawl_statistics(c)
 
 

@@ -51,7 +51,8 @@ class Scan:
 
     @cached_property
     def discovered_rows(self) -> DataFrame:
-        return D.discovered_urls(self.captures, self.targets, self.include_subdomains, self.candidate_limit)
+        return D.discovered_urls(self.captures, self.targets, self.include_subdomains, self.candidate_limit,
+                                 links=self.links)
 
     @cached_property
     def urls(self) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -67,12 +68,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+    """Write ``df`` as a Parquet table under the checkpoint folder and continue from it.
 
-    Used where a derived table is reused by several later steps, and as a planning barrier:
-    later filters are not inlined into the expressions that produced these columns, so plans
-    stay small however many URL stages precede them. Lost executors recompute at most the step
-    after the last barrier.
+    Used where a derived table is reused by several later steps and as a planning barrier: later
+    filters are not inlined into the expressions that produced these columns, so plans stay small
+    however many URL stages precede them. The table is computed once (an RDD checkpoint would run
+    the plan a second time to write it), read back with column pruning, and lives on the shared
+    checkpoint storage, so a lost executor costs at most the step after the last table.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/exposa-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -56,17 +56,16 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One target per page host, normalised like a user-supplied target.
 
-    The target columns are computed per page row and then reduced per host; the validity filter
-    reads the aggregate's output, so it is not inlined into the parsing projection below it.
+    Hosts are reduced first (partial aggregation) and written as a small table, so the target
+    expressions run once per host and the validity filter is not inlined into URL parsing.
     """
-    p = U.with_parts(pages(spark, sf_dir).select("url"), "url", "p_")
-    h = p.select(U.hostname_of_netloc("p_netloc").alias("original_url"))
-    t = S.with_target(h, "original_url", "t_")
-    cols = {"t_error": "error", "t_scheme": "scheme", "t_hostname": "hostname", "t_port": "port",
-            "t_base_domain": "base_domain", "t_normalized": "normalized_target", "t_base_url": "base_url"}
-    t = t.where(F.col("original_url").isNotNull()).groupBy("original_url").agg(
-        *[F.min(k).alias(v) for k, v in cols.items()])
-    return t.where(F.col("error").isNull()).drop("error")
+    from exposa.session import materialize
+    hosts = materialize(page_hosts(spark, sf_dir).withColumnRenamed("host", "original_url"))
+    t = S.with_target(hosts, "original_url", "t_")
+    return t.where(F.col("t_error").isNull()).select(
+        "original_url", F.col("t_scheme").alias("scheme"), F.col("t_hostname").alias("hostname"),
+        F.col("t_port").alias("port"), F.col("t_base_domain").alias("base_domain"),
+        F.col("t_normalized").alias("normalized_target"), F.col("t_base_url").alias("base_url"))
 
 
 # Probe catalogue: (path, status, content type, server, location, body). Bodies are short test
