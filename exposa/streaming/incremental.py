@@ -34,7 +34,9 @@ def analyze_captures(captures: DataFrame, catch_all: DataFrame | None = None,
         "sample": T.response_sample(F.col("body"), F.col("status_code"), F.col("content_type"), sample_chars),
     }).drop("body")
     if catch_all is not None:
-        c = c.join(F.broadcast(catch_all.select("hostname", "catch_all")), "hostname", "left")
+        # one row per host: grows with the number of hosts, so no broadcast hint; the planner
+        # broadcasts it only when its measured size is under the threshold
+        c = c.join(catch_all.select("hostname", "catch_all"), "hostname", "left")
     else:
         c = c.withColumn("catch_all", F.lit(False))
     c = c.withColumn("soft_404", F.coalesce((F.col("status_code") == 200) & T.soft_404(
@@ -55,10 +57,12 @@ def analyze_captures(captures: DataFrame, catch_all: DataFrame | None = None,
 
 
 def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_location: str,
-          catch_all: DataFrame | None = None, trigger_seconds: int = 30) -> StreamingQuery:
-    """Start the streaming analysis: parquet files in ``source_dir`` -> parquet in ``sink_dir``."""
+          catch_all: DataFrame | None = None, trigger_seconds: int | None = 30) -> StreamingQuery:
+    """Start the streaming analysis: parquet files in ``source_dir`` -> parquet in ``sink_dir``.
+    ``trigger_seconds=None`` processes what is available and stops (backfills, tests)."""
     stream = spark.readStream.schema(CAPTURE_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(source_dir)
     out = analyze_captures(stream, catch_all)
-    return (out.writeStream.outputMode("append").format("parquet")
-            .option("path", sink_dir).option("checkpointLocation", checkpoint_location)
-            .partitionBy("hostname").trigger(processingTime=f"{trigger_seconds} seconds").start())
+    w = (out.writeStream.outputMode("append").format("parquet")
+         .option("path", sink_dir).option("checkpointLocation", checkpoint_location).partitionBy("hostname"))
+    w = w.trigger(availableNow=True) if trigger_seconds is None else w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()
