@@ -32,6 +32,21 @@ SECRET_PATTERNS = [
 ANY_SECRET = "|".join(f"(?:{p.replace('(?i)', '')})" if "(?i)" not in p else f"(?i:{p[4:]})"
                       for _, p, _ in SECRET_PATTERNS)
 
+# A keyword every pattern needs (compared on the lower-cased text, so it is a superset test):
+# a text without any of them cannot match, and is dropped by cheap substring checks before the
+# regexes run.
+SECRET_KEYWORDS = ["akia", "asia", "-----begin", "eyj", "://", "authorization", "api", "token",
+                   "pass", "pwd", "encryption", "app_key"]
+
+
+def may_contain_secret(text: Column) -> Column:
+    lt = F.lower(text)
+    cond = F.lit(False)
+    for k in SECRET_KEYWORDS:
+        cond = cond | lt.contains(k)
+    return cond & text.rlike(ANY_SECRET)
+
+
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 

@@ -137,9 +137,9 @@ def secret_matches(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """One row per secret match: keys, line_number, match_pos, secret_type, redacted_value,
     confidence (percent). Texts without any candidate match are dropped before the per-line
     explode; the raw value never leaves this function."""
-    d = df.where(F.col(text_col).rlike(X.ANY_SECRET))
+    d = df.where(X.may_contain_secret(F.col(text_col)))
     lines = d.select(*keys, F.posexplode(X.split_lines(F.col(text_col))).alias("line_idx", "line"))
-    lines = lines.where(F.col("line").rlike(X.ANY_SECRET))
+    lines = lines.where(X.may_contain_secret(F.col("line")))
     arrays = [F.transform(F.regexp_extract_all("line", F.lit(pat), 1),
                           _tagger("type_rank", i))
               for i, (_, pat, _) in enumerate(X.SECRET_PATTERNS)]
