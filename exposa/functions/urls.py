@@ -41,25 +41,28 @@ def with_parts(df: DataFrame, url: str, prefix: str) -> DataFrame:
     """Add ``{prefix}scheme`` (lower), ``netloc``, ``path`` (``;params`` removed), ``params``,
     ``query`` and ``fragment`` columns for the URL column ``url``.
 
-    Two projections: the first evaluates the split regex, the second only reads its output, so
-    no regex expression is copied into later expressions.
+    Staged projections: the first evaluates the split regex, the next ones only read its output,
+    so no regex expression is copied into later expressions.
     """
+    for stage in _cached_stages(("parts", url, prefix), lambda: _parts_stages(url, prefix)):
+        df = df.withColumns(stage)
+    return df.drop(f"{prefix}_clean", f"{prefix}_rawpath")
+
+
+def _parts_stages(url: str, prefix: str) -> list[dict]:
     u = f"{prefix}_clean"
     raw = f"{prefix}_rawpath"
-    df = df.withColumn(u, clean(url))
-    df = df.withColumns({
-        f"{prefix}scheme": F.lower(F.regexp_extract(u, URL_REGEX, 1)),
-        f"{prefix}netloc": F.regexp_extract(u, URL_REGEX, 2),
-        raw: F.regexp_extract(u, URL_REGEX, 3),
-        f"{prefix}query": F.regexp_extract(u, URL_REGEX, 4),
-        f"{prefix}fragment": F.regexp_extract(u, URL_REGEX, 5),
-    })
     takes_params = F.col(f"{prefix}scheme").isin(PARAM_SCHEMES)
-    df = df.withColumns({
-        f"{prefix}path": F.when(takes_params, F.regexp_replace(raw, r";[^/]*$", "")).otherwise(F.col(raw)),
-        f"{prefix}params": F.when(takes_params, F.regexp_extract(raw, r";([^/]*)$", 1)).otherwise(F.lit("")),
-    })
-    return df.drop(u, raw)
+    return [
+        {u: clean(url)},
+        {f"{prefix}scheme": F.lower(F.regexp_extract(u, URL_REGEX, 1)),
+         f"{prefix}netloc": F.regexp_extract(u, URL_REGEX, 2),
+         raw: F.regexp_extract(u, URL_REGEX, 3),
+         f"{prefix}query": F.regexp_extract(u, URL_REGEX, 4),
+         f"{prefix}fragment": F.regexp_extract(u, URL_REGEX, 5)},
+        {f"{prefix}path": F.when(takes_params, F.regexp_replace(raw, r";[^/]*$", "")).otherwise(F.col(raw)),
+         f"{prefix}params": F.when(takes_params, F.regexp_extract(raw, r";([^/]*)$", 1)).otherwise(F.lit(""))},
+    ]
 
 
 def netloc_has_bad_brackets(net) -> Column:
@@ -128,6 +131,20 @@ def _remove_dot_segments(segments: Column) -> Column:
         .otherwise(F.concat(acc, F.array(s))))
 
 
+_STAGE_CACHE: dict[tuple, list] = {}
+
+
+def _cached_stages(key: tuple, build) -> list:
+    """Column expressions depend only on column names, so each stage list is built once per
+    Spark context (building them is hundreds of driver-to-JVM calls) and reused."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    full = (id(sc), sc.applicationId if sc else None) + key
+    if full not in _STAGE_CACHE:
+        _STAGE_CACHE[full] = build()
+    return _STAGE_CACHE[full]
+
+
 def with_resolved(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
     """Add ``out`` = absolute URL of ``href`` relative to ``base`` (U4), following the standard
     library's join: same-scheme check, netloc takeover, empty-path handling, dot-segment removal,
@@ -135,12 +152,20 @@ def with_resolved(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
     regex evaluated once per row."""
     df = with_parts(df, base, "_rb_")
     df = with_parts(df, href, "_rh_")
+    for stage in _cached_stages(("resolve", base, href, out), lambda: _resolve_stages(base, href, out)):
+        df = df.withColumns(stage)
+    drop = [f"_rb_{k}" for k in PART_NAMES] + [f"_rh_{k}" for k in PART_NAMES] + [
+        "_r_scheme", "_r_kind", "_r_net", "_r_segs", "_r_segs2", "_r_joined"]
+    return df.drop(*drop)
+
+
+def _resolve_stages(base: str, href: str, out: str) -> list[dict]:
     b = {k: F.col(f"_rb_{k}") for k in PART_NAMES}
     r = {k: F.col(f"_rh_{k}") for k in PART_NAMES}
-    df = df.withColumn("_r_scheme", F.when(r["scheme"] == "", b["scheme"]).otherwise(r["scheme"]))
+    stages = [{"_r_scheme": F.when(r["scheme"] == "", b["scheme"]).otherwise(r["scheme"])}]
     sch = F.col("_r_scheme")
     uses_net = sch.isin(NETLOC_SCHEMES)
-    df = df.withColumns({
+    stages.append({
         "_r_kind": (F.when(F.col(href).isNull() | (F.col(href) == ""), F.lit("base"))
                     .when(F.col(base).isNull() | (F.col(base) == ""), F.lit("href"))
                     .when((sch != b["scheme"]) | ~sch.isin(RELATIVE_SCHEMES), F.lit("href"))
@@ -153,28 +178,27 @@ def with_resolved(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
     base_dirs = F.split(b["path"], "/", -1)
     base_dirs = F.when(F.element_at(base_dirs, -1) != "",
                        F.slice(base_dirs, 1, F.size(base_dirs) - 1)).otherwise(base_dirs)
-    df = df.withColumn("_r_segs", F.when(F.col("_r_kind") == "root", F.split(r["path"], "/", -1))
-                       .when(F.col("_r_kind") == "relative", F.concat(base_dirs, F.split(r["path"], "/", -1))))
+    stages.append({"_r_segs": F.when(F.col("_r_kind") == "root", F.split(r["path"], "/", -1))
+                   .when(F.col("_r_kind") == "relative", F.concat(base_dirs, F.split(r["path"], "/", -1)))})
     segs = F.col("_r_segs")
     n = F.size(segs)
-    df = df.withColumn("_r_segs", F.when((F.col("_r_kind") == "relative") & (n > 2), F.concat(
-        F.slice(segs, 1, 1), F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(1))), lambda s: s != ""),
-        F.slice(segs, -1, 1))).otherwise(segs))
-    folded = _remove_dot_segments(segs)
-    folded = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    df = df.withColumn("_r_joined", F.array_join(folded, "/"))
+    stages.append({"_r_segs2": F.when((F.col("_r_kind") == "relative") & (n > 2), F.concat(
+        F.slice(segs, 1, 1), F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(1))), lambda x: x != ""),
+        F.slice(segs, -1, 1))).otherwise(segs)})
+    segs2 = F.col("_r_segs2")
+    folded = _remove_dot_segments(segs2)
+    folded = F.when(F.element_at(segs2, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    stages.append({"_r_joined": F.array_join(folded, "/")})
     joined = F.when(F.col("_r_joined") == "", F.lit("/")).otherwise(F.col("_r_joined"))
     net = F.col("_r_net")
     kind = F.col("_r_kind")
-    df = df.withColumn(out, F.when(kind == "base", F.col(base))
-                       .when(kind == "href", F.col(href))
-                       .when(kind == "own_net", _unsplit(sch, r["netloc"], r["path"], r["params"], r["query"], r["fragment"]))
-                       .when(kind == "base_path", _unsplit(sch, net, b["path"], b["params"],
-                             F.when(r["query"] == "", b["query"]).otherwise(r["query"]), r["fragment"]))
-                       .otherwise(_unsplit(sch, net, joined, r["params"], r["query"], r["fragment"])))
-    drop = [f"_rb_{k}" for k in PART_NAMES] + [f"_rh_{k}" for k in PART_NAMES] + [
-        "_r_scheme", "_r_kind", "_r_net", "_r_segs", "_r_joined"]
-    return df.drop(*drop)
+    stages.append({out: F.when(kind == "base", F.col(base))
+                   .when(kind == "href", F.col(href))
+                   .when(kind == "own_net", _unsplit(sch, r["netloc"], r["path"], r["params"], r["query"], r["fragment"]))
+                   .when(kind == "base_path", _unsplit(sch, net, b["path"], b["params"],
+                         F.when(r["query"] == "", b["query"]).otherwise(r["query"]), r["fragment"]))
+                   .otherwise(_unsplit(sch, net, joined, r["params"], r["query"], r["fragment"]))})
+    return stages
 
 
 def base_domain(host) -> Column:
