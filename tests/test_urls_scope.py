@@ -68,3 +68,29 @@ def test_targets(spark):
     assert got["https://www.example.com"].t_base_domain == "example.com"
     assert got[""].t_error == "empty"
     assert got["192.168.1.1"].t_error == "private_address"
+
+
+def test_random_urls_match_stdlib(spark):
+    """Seeded random URL fragments: split, dedup key and join agree with the standard library."""
+    import random
+    rnd = random.Random(7)
+    atoms = ["http", "https", "ftp", "HTTP", ":", "//", "/", "a", "b.c", "..", ".", "?", "#", "q=1",
+             ";p", "@", "u:p@", "[::1]", ":80", "%20", " ", "x.php", "", "-", "~", "&", "=",
+             "mailto:", "\t", "ex.com", "A.COM"]
+    bases = ["https://ex.com/a/b/c?x=1#f", "http://ex.org", "https://ex.org/d/", "http://h.com/a;p?q"]
+    rows = [(rnd.choice(bases), "".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 7))))
+            for _ in range(1000)]
+    df = spark.createDataFrame(rows, "base string, href string")
+    df = U.with_resolved(df, "base", "href", "r")
+    df = U.with_normalized(df, "href", "n", keep_parts=True, prefix="h_")
+    for r in df.collect():
+        try:
+            exp = urljoin(r.base, r.href)
+            p = urlparse(r.href)
+        except ValueError:
+            continue
+        path = p.path[:-1] if p.path != "/" and p.path.endswith("/") else p.path
+        assert r.r == exp, (r.base, r.href)
+        assert r.n == f"{p.scheme}://{p.netloc.lower()}{path}" + (f"?{p.query}" if p.query else "")
+        assert (r.h_scheme, r.h_netloc, r.h_path, r.h_query, r.h_fragment) == (
+            p.scheme, p.netloc, p.path, p.query, p.fragment)
