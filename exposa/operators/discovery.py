@@ -217,7 +217,8 @@ def candidate_urls_all(targets: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bool = False,
-                    candidate_limit: int = 50, links: DataFrame | None = None) -> DataFrame:
+                    candidate_limit: int = 50, links: DataFrame | None = None,
+                    candidates: DataFrame | None = None) -> DataFrame:
     """All discovered URL rows before dedup (J2): captured pages and their in-scope links
     (HTML), robots.txt entries (ROBOTS), sitemap entries (SITEMAP), then candidate paths not
     already known (COMMON_PATHS). Columns: hostname, source, context, order keys, url,
@@ -244,7 +245,7 @@ def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains:
                         F.col("kind").alias("k2"), F.col("pos").alias("k3"), F.lit("").alias("parent"),
                         "url", "normalized_url")
     known = page_rows.unionByName(link_rows).unionByName(robot_rows).unionByName(sm_rows)
-    cands = candidate_urls_all(targets, candidate_limit)
+    cands = candidates if candidates is not None else candidate_urls_all(targets, candidate_limit)
     cands = cands.join(known.select("normalized_url").distinct(), "normalized_url", "left_anti")
     cand_rows = cands.select("hostname", F.lit("COMMON_PATHS").alias("source"),
                              F.col("path").alias("context"), F.lit(3).alias("k1"), F.lit(0).alias("k2"),

@@ -69,6 +69,7 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
 
     visited = None          # (hostname, key) of all visited URLs so far
     crawled = None          # per target: crawled 200 pages so far
+    crawled_pages = None
     outputs = []
     for depth in range(max_depth + 1):
         # first occurrence per URL in queue order, minus earlier levels
@@ -121,11 +122,10 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
 
         lv = level.select("hostname", "key")
         visited = lv if visited is None else visited.unionByName(lv)
-        n = pages.groupBy("hostname").agg(F.count("*").alias("n"))
-        crawled = (n.withColumnRenamed("n", "pages") if crawled is None else
-                   crawled.join(n, "hostname", "full").select(
-                       "hostname", (F.coalesce("pages", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("pages")))
-        crawled = materialize(crawled)
+        # pages crawled so far per host: counted from the level tables already written
+        crawled_pages = pages.select("hostname") if crawled_pages is None else \
+            crawled_pages.unionByName(pages.select("hostname"))
+        crawled = crawled_pages.groupBy("hostname").agg(F.count("*").alias("pages"))
         frontier = found.where("crawlable").select("hostname", F.col("link_url").alias("url"),
                                                    F.col("link_key").alias("key"), "ord")
     out = outputs[0]

@@ -87,7 +87,7 @@ def _link_urls(spark, d) -> DataFrame:
     """Distinct resolved link URLs plus candidate and probe URLs."""
     s = _scan(spark, d)
     links = s.links.select("url")
-    cands = D.candidate_urls_all(s.targets).select("url")
+    cands = s.candidates.select("url")
     probes = s.captures.select("url")
     return links.unionByName(cands).unionByName(probes).distinct()
 

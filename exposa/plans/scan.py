@@ -49,10 +49,14 @@ class Scan:
     def links(self) -> DataFrame:
         return D.html_links(self.captures, self.include_subdomains)
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return D.candidate_urls_all(self.targets, self.candidate_limit)
+
     @cached_property
     def discovered_rows(self) -> DataFrame:
         return D.discovered_urls(self.captures, self.targets, self.include_subdomains, self.candidate_limit,
-                                 links=self.links)
+                                 links=self.links, candidates=self.candidates)
 
     @cached_property
     def urls(self) -> DataFrame:
