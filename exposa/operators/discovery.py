@@ -28,7 +28,6 @@ TAG_REGEX = r"(?i)<(?:" + "|".join(LINK_TAGS) + r")\s[^>]*>"
 ATTR_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
            r"|[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+$")
-SOURCE_RANK = {"HTML": 0, "ROBOTS": 1, "SITEMAP": 2, "COMMON_PATHS": 3}
 
 
 def _tagger(name: str, i: int):

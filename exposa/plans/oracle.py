@@ -759,3 +759,79 @@ from exposa.operators.discovery import CSS_PATTERNS, JS_PATTERNS  # noqa: E402
 
 ORACLES["js_links"] = _block_links("script", JS_PATTERNS, [0, 0, 1], True)
 ORACLES["css_links"] = _block_links("style", CSS_PATTERNS, [1, 1], False)
+
+
+# ------------------------------------------------------------------ crawl, unrolled by level
+def crawl_ctes(seeded: bool, max_depth: int = fixed.MAX_DEPTH, max_pages: int = fixed.MAX_PAGES) -> str:
+    """Breadth-first crawl as one CTE per level (the depth bound is a fixed parameter). Queue
+    order keys are BIGINT lists compared lexicographically: (parent key..., tag rank, position)."""
+    sc = should_crawl_expr(path("url"))
+    out = [f"""
+ks AS (SELECT nk, status_code, content_type FROM (
+  SELECT *, {normalized('url')} AS nk, row_number() OVER (PARTITION BY {normalized('url')}
+         ORDER BY url, final_url, status_code, content_type NULLS FIRST) AS rn FROM captures) WHERE rn = 1),
+edges AS (SELECT {normalized('page_url')} AS page_key, tag_rank, pos, url AS link_url, normalized_url AS link_key,
+                 {sc} AS crawlable FROM links WHERE in_scope)"""]
+    if seeded:
+        out.append(f"""
+seeds AS (SELECT {host('url')} AS hostname, url FROM captures
+          WHERE status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0),
+frontier_0 AS (
+  SELECT hostname, url, {normalized('url')} AS key, [row_number() OVER (PARTITION BY hostname ORDER BY url)] AS ord FROM seeds
+  UNION ALL SELECT hostname, base_url, {normalized('base_url')}, [CAST({2 ** 31 - 1} AS BIGINT)] FROM targets)""")
+    else:
+        out.append(f"""
+frontier_0 AS (SELECT hostname, base_url AS url, {normalized('base_url')} AS key, [CAST(0 AS BIGINT)] AS ord FROM targets)""")
+    for d in range(max_depth + 1):
+        prev_v = f"visited_{d - 1}" if d else None
+        not_visited = (f"AND NOT EXISTS (SELECT 1 FROM {prev_v} v WHERE v.hostname = f.hostname AND v.key = f.key)"
+                       if prev_v else "")
+        pc = f"LEFT JOIN pc_{d - 1} pc USING (hostname)" if d else ""
+        pages_so_far = "coalesce(pc.pages, 0)" if d else "0"
+        not_visited_link = (f"AND NOT EXISTS (SELECT 1 FROM {prev_v} v WHERE v.hostname = fa.hostname AND v.key = fa.link_key)"
+                            if prev_v else "")
+        out.append(f"""
+first_{d} AS (SELECT hostname, url, key, ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY hostname, key ORDER BY ord, url) AS rn FROM frontier_{d}) WHERE rn = 1),
+cand_{d} AS (SELECT f.hostname, f.url, f.key, f.ord, k.status_code, k.content_type, {max_pages} - {pages_so_far} AS budget
+             FROM first_{d} f LEFT JOIN ks k ON f.key = k.nk {pc} WHERE true {not_visited}),
+cut_{d} AS (SELECT hostname, ord AS cut_ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY ord) AS r FROM cand_{d} WHERE status_code = 200) WHERE r = budget),
+level_{d} AS (SELECT c.* FROM cand_{d} c LEFT JOIN cut_{d} USING (hostname)
+              WHERE budget > 0 AND (cut_ord IS NULL OR ord <= cut_ord)),
+pages_{d} AS (SELECT * FROM level_{d} WHERE status_code = 200),
+html_{d} AS (SELECT hostname, key AS page_key, ord AS p_ord FROM pages_{d}
+             WHERE content_type IS NULL OR content_type = '' OR strpos(lower(content_type), 'text/html') > 0),
+found_all_{d} AS (SELECT h.hostname, h.p_ord, e.* FROM html_{d} h JOIN edges e USING (page_key)),
+found_{d} AS (SELECT fa.* FROM found_all_{d} fa LEFT JOIN level_{d} s ON s.hostname = fa.hostname AND s.key = fa.link_key
+              WHERE (s.ord IS NULL OR s.ord > fa.p_ord) {not_visited_link}),
+visited_{d} AS ({f"SELECT hostname, key FROM {prev_v} UNION ALL " if prev_v else ""}SELECT hostname, key FROM level_{d}),
+pc_{d} AS (SELECT hostname, count(*) AS pages FROM ({" UNION ALL ".join(f"SELECT hostname FROM pages_{i}" for i in range(d + 1))})
+           GROUP BY hostname),
+frontier_{d + 1} AS (SELECT hostname, link_url AS url, link_key AS key, list_concat(p_ord, [CAST(tag_rank AS BIGINT), CAST(pos AS BIGINT)]) AS ord
+                     FROM found_{d} WHERE crawlable)""")
+    rows = []
+    for d in range(max_depth + 1):
+        rows += [
+            f"SELECT hostname, url, key, {d} AS depth, 'page' AS kind FROM pages_{d}",
+            f"SELECT hostname, url, key, {d}, 'file' FROM pages_{d} WHERE NOT (content_type IS NULL OR content_type = '' "
+            f"OR strpos(lower(content_type), 'text/html') > 0)",
+            f"SELECT hostname, link_url, link_key, {d + 1}, 'link' FROM found_{d}",
+            f"SELECT hostname, link_url, link_key, {d + 1}, 'found' FROM found_all_{d}",
+        ]
+    out.append("crawl AS (" + " UNION ALL ".join(rows) + ")")
+    return ",".join(out)
+
+
+def _crawl_sql(seeded: bool, body: str) -> str:
+    return with_ctes(captures_cte(), *links_ctes(), crawl_ctes(seeded), body=body)
+
+
+_REACH = "SELECT hostname, url, key AS normalized_url, CAST(depth AS BIGINT) AS depth, kind FROM crawl WHERE kind <> 'found'"
+ORACLES["crawl_reachability"] = _crawl_sql(False, _REACH)
+ORACLES["seed_reachability"] = _crawl_sql(True, _REACH)
+ORACLES["crawl_statistics"] = _crawl_sql(True, """
+SELECT hostname, CAST(count(*) FILTER (WHERE kind = 'page') AS BIGINT) AS pages_crawled,
+       CAST(count(*) FILTER (WHERE kind = 'found') AS BIGINT) AS total_urls_found,
+       CAST(count(*) FILTER (WHERE kind = 'link') AS BIGINT) AS unique_urls_found
+FROM crawl GROUP BY hostname""")
