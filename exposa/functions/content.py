@@ -74,31 +74,54 @@ def implies_non_html(ext: Column, filename: Column) -> Column:
     return ext.isin(fixed.NON_HTML_EXTENSIONS) | _contains_any(filename, fixed.NON_HTML_FILENAME_MARKERS)
 
 
-def matches_claimed_type(filename: Column, ext: Column, head: Column) -> Column:
+HEAD_FLAGS = ["head_nonempty", "head_html", "head_env", "head_json", "head_sql", "head_key", "head_log"]
+
+
+def head_flags(sample: Column) -> dict[str, Column]:
+    """Everything the soft-404 rules read from a response body, as booleans of its head (the first
+    ``SNIFF_CHARS`` characters). Computed where the body is read; only these flags travel."""
+    head = F.substring(F.coalesce(sample, F.lit("")), 1, fixed.SNIFF_CHARS)
+    # (?d): only '\n' ends a line, as for the scanner's multi-line anchors.
+    return {
+        "head_nonempty": head != "",
+        "head_html": looks_like_html(head),
+        "head_env": head.rlike("(?d)" + fixed.ENV_LINE_PATTERN),
+        "head_json": head.rlike(r"^" + PY_SPACE + r"*[\[{]"),
+        "head_sql": _contains_any(F.upper(head), fixed.SQL_MARKERS),
+        "head_key": head.contains(fixed.KEY_MARKER),
+        "head_log": head.rlike("(?d)" + fixed.LOG_LINE_PATTERN),
+    }
+
+
+def matches_claimed_type(filename: Column, ext: Column, flags: dict[str, Column]) -> Column:
     """The head positively matches the type the file name claims (first rule that applies)."""
     env_like = filename.startswith(".env") | ext.isin(fixed.ENV_LIKE_EXTENSIONS)
     is_json = (ext == ".json") | filename.endswith(".json")
     is_key = ext.isin(fixed.KEY_EXTENSIONS)
-    # (?d): only '\n' ends a line, as for the scanner's multi-line anchors.
-    return (F.when(env_like, head.rlike("(?d)" + fixed.ENV_LINE_PATTERN))
-            .when(is_json, head.rlike(r"^" + PY_SPACE + r"*[\[{]"))
-            .when(ext == ".sql", _contains_any(F.upper(head), fixed.SQL_MARKERS))
-            .when(is_key, head.contains(fixed.KEY_MARKER))
-            .when(ext == ".log", head.rlike("(?d)" + fixed.LOG_LINE_PATTERN))
+    return (F.when(env_like, flags["head_env"])
+            .when(is_json, flags["head_json"])
+            .when(ext == ".sql", flags["head_sql"])
+            .when(is_key, flags["head_key"])
+            .when(ext == ".log", flags["head_log"])
             .otherwise(F.lit(False)))
 
 
-def soft_404(sample: Column, content_type: Column, ext: Column, filename: Column,
-             catch_all: Column) -> Column:
-    """Soft-404 verdict for a 200 response (C5); ``ext`` from the URL path, ``filename`` its
-    lower-cased last segment."""
-    body = F.coalesce(sample, F.lit(""))
-    head = F.substring(body, 1, fixed.SNIFF_CHARS)
-    html_like = looks_like_html(head)
+def soft_404_from_flags(flags: dict[str, Column], content_type: Column, ext: Column, filename: Column,
+                        catch_all: Column) -> Column:
+    """Soft-404 verdict for a 200 response (C5) from the head flags; ``ext`` from the URL path,
+    ``filename`` its lower-cased last segment."""
+    body = flags["head_nonempty"]
+    html_like = flags["head_html"]
     non_html = implies_non_html(ext, filename)
     html_type = lower_ct(content_type).contains("text/html")
-    return (F.when((body != "") & html_like & non_html, F.lit(True))
-            .when((body != "") & ~html_like & matches_claimed_type(filename, ext, head), F.lit(False))
+    return (F.when(body & html_like & non_html, F.lit(True))
+            .when(body & ~html_like & matches_claimed_type(filename, ext, flags), F.lit(False))
             .when(~html_type, F.lit(False))
             .when(non_html, F.lit(True))
             .otherwise(F.coalesce(catch_all, F.lit(False))))
+
+
+def soft_404(sample: Column, content_type: Column, ext: Column, filename: Column,
+             catch_all: Column) -> Column:
+    """Soft-404 verdict computed directly from the sample (row-local use, e.g. streaming)."""
+    return soft_404_from_flags(head_flags(sample), content_type, ext, filename, catch_all)

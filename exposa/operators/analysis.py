@@ -24,26 +24,39 @@ def _tagger(name: str, i: int):
     return lambda v, j: F.struct(F.lit(i).alias(name), j.alias("pos"), v.alias("v"))
 
 
-FEATURE_COLUMNS = ["url", "final_url", "status_code", "content_type", "content_length", "server",
-                   "location", "is_directory_listing", "has_sample", "head", "snippet"]
+FEATURE_COLUMNS = (["url", "final_url", "status_code", "content_type", "content_length", "server",
+                    "location", "is_directory_listing", "has_sample"] + T.HEAD_FLAGS + ["snippet"])
 
 
 def capture_features(captures: DataFrame, sample_chars: int | None = None) -> DataFrame:
     """Per capture, everything later steps need from the body, computed where the body is read
-    (a narrow projection, no shuffle): directory-listing flag, whether a sample exists, the head
-    used for content sniffing and the redacted evidence snippet. Bodies never reach a shuffle."""
-    c = U.with_normalized(captures, "url", "normalized_url")
+    (a narrow projection, no shuffle): the directory-listing flag, whether a sample exists, the
+    booleans the soft-404 rules read from the head, and the redacted evidence snippet. Bodies
+    never reach a shuffle.
+
+    The snippet is only kept when the resource can become a finding: a listing, or a path whose
+    category or document test fires. A resource sharing this capture's dedup key has this path
+    with or without one trailing '/', so both are tested (an exact superset of the findings).
+    """
+    c = U.with_normalized(captures, "url", "normalized_url", keep_parts=True, prefix="cf_")
     c = c.withColumn("sample", T.response_sample(F.col("body"), F.col("status_code"),
                                                  F.col("content_type"), sample_chars))
     has_sample = F.col("sample").isNotNull() & (F.col("sample") != "")
+    listing = F.coalesce((F.col("status_code") == 200) & T.is_directory_listing(F.col("sample"), F.col("content_type")),
+                         F.lit(False))
+    c = c.withColumns({"is_directory_listing": listing, "has_sample": has_sample,
+                       "_p": F.lower(F.regexp_replace(F.col("cf_path"), r"(?s)(.)/$", "$1"))})
+    fn = C.filename_of(F.col("_p"))
+    doc = F.lit(False)
+    for e in fixed.SENSITIVE_DOC_EXTENSIONS:
+        doc = doc | fn.endswith(e)
+    may_find = (F.col("is_directory_listing") | C.path_category(F.col("_p")).isNotNull()
+                | C.path_category(F.concat(F.col("_p"), F.lit("/"))).isNotNull() | doc)
+    flags = T.head_flags(F.col("sample"))
     return c.select(
         "normalized_url", "url", "final_url", "status_code", "content_type", "content_length", "server",
-        "location",
-        F.coalesce((F.col("status_code") == 200) & T.is_directory_listing(F.col("sample"), F.col("content_type")),
-                   F.lit(False)).alias("is_directory_listing"),
-        has_sample.alias("has_sample"),
-        F.substring(F.col("sample"), 1, fixed.SNIFF_CHARS).alias("head"),
-        F.when(has_sample, X.redacted_snippet(F.col("sample"))).alias("snippet"))
+        "location", "is_directory_listing", "has_sample", *[v.alias(k) for k, v in flags.items()],
+        F.when(F.col("has_sample") & may_find, X.redacted_snippet(F.col("sample"))).alias("snippet"))
 
 
 def keyed_captures(features: DataFrame) -> DataFrame:
@@ -95,8 +108,9 @@ def analyze(urls: DataFrame, captures: DataFrame, sample_chars: int | None = Non
         r = r.join(catch_all_hosts(captures), "hostname", "left")
     else:
         r = r.withColumn("catch_all", F.lit(False))
-    r = r.withColumn("soft_404", F.coalesce((F.col("status_code") == 200) & T.soft_404(
-        F.col("head"), F.col("content_type"), F.col("ext"), F.col("filename"), F.col("catch_all")),
+    flags = {k: F.coalesce(F.col(k), F.lit(False)) for k in T.HEAD_FLAGS}
+    r = r.withColumn("soft_404", F.coalesce((F.col("status_code") == 200) & T.soft_404_from_flags(
+        flags, F.col("content_type"), F.col("ext"), F.col("filename"), F.col("catch_all")),
         F.lit(False)))
     r = r.withColumn("is_accessible", F.coalesce((F.col("status_code") == 200) & ~F.col("soft_404"),
                                                  F.lit(False)))
