@@ -245,7 +245,7 @@ def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains:
                         "url", "normalized_url")
     known = page_rows.unionByName(link_rows).unionByName(robot_rows).unionByName(sm_rows)
     cands = candidates if candidates is not None else candidate_urls_all(targets, candidate_limit)
-    cands = cands.join(known.select("normalized_url").distinct(), "normalized_url", "left_anti")
+    cands = cands.join(known.select("normalized_url"), "normalized_url", "left_anti")
     cand_rows = cands.select("hostname", F.lit("COMMON_PATHS").alias("source"),
                              F.col("path").alias("context"), F.lit(3).alias("k1"), F.lit(0).alias("k2"),
                              F.col("rank").alias("k3"), F.lit("").alias("parent"), "url", "normalized_url")
