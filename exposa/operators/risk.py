@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposa.functions import fixed
-from exposa.functions import secrets as X
 
 
 def _map(d: dict) -> Column:
@@ -70,7 +69,7 @@ def remediation(rtype: Column) -> Column:
                       F.lit(fixed.FINDING_REMEDIATION_DEFAULT))
 
 
-def evidence(df_cols: dict[str, Column] | None = None) -> Column:
+def evidence() -> Column:
     """Evidence text (R6) from resource columns: URL, source, response facts, secrets, listing
     note and the redacted snippet of accessible samples; absent parts are skipped."""
     c = F.col

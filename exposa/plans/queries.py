@@ -18,7 +18,6 @@ from exposa.operators import analysis as A
 from exposa.operators import discovery as D
 from exposa.operators import graph as G
 from exposa.operators import report as R
-from exposa.operators import risk as K
 from exposa.plans.scan import Scan, scan_for
 
 L = "bigint"

@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from exposa.functions import fixed
 from exposa.operators import analysis as A
