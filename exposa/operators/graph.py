@@ -128,6 +128,8 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
         crawled = crawled_pages.groupBy("hostname").agg(F.count("*").alias("pages"))
         frontier = found.where("crawlable").select("hostname", F.col("link_url").alias("url"),
                                                    F.col("link_key").alias("key"), "ord")
+        if frontier.isEmpty():  # reads the small level table just written
+            break
     out = outputs[0]
     for o in outputs[1:]:
         out = out.unionByName(o)
