@@ -447,7 +447,7 @@ SELECT doc_id,
 FROM doc_lines""")
 
 
-# ------------------------------------------------------------------ the scan pipeline
+# ------------------------------------------------------------------ the whole scan
 PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
            r"|[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+$")
 
@@ -535,7 +535,7 @@ analyzed AS (SELECT *,
     return text
 
 
-def pipeline_ctes() -> str:
+def scan_ctes() -> str:
     rt, sv = classification_exprs("category", "filename_c")
     matrix = " ".join(f"WHEN resource_type = {q(t)} AND has_secrets = {str(s).lower()} AND is_accessible = {str(a).lower()} "
                       f"THEN {q(sev)}" for t, s, a, sev in fixed.RISK_MATRIX)
@@ -637,43 +637,43 @@ grp AS (SELECT hostname, normalized_url, url, g AS group_name FROM (
                                                CASE WHEN NOT is_accessible THEN 'not_accessible' END]) AS g FROM resources) WHERE g IS NOT NULL)"""
 
 
-def _pipe(body: str) -> str:
-    return with_ctes(captures_cte(), *links_ctes(), candidates_cte(), pipeline_ctes(), body=body)
+def _scan_sql(body: str) -> str:
+    return with_ctes(captures_cte(), *links_ctes(), candidates_cte(), scan_ctes(), body=body)
 
 
-ORACLES["robots_urls"] = _pipe("SELECT * FROM robots")
-ORACLES["sitemap_urls"] = _pipe("SELECT * FROM sitemap")
-ORACLES["dedup_urls"] = _pipe("SELECT * FROM urls")
-ORACLES["union_sources"] = _pipe("""SELECT hostname, source, CAST(count(*) AS BIGINT) AS rows,
+ORACLES["robots_urls"] = _scan_sql("SELECT * FROM robots")
+ORACLES["sitemap_urls"] = _scan_sql("SELECT * FROM sitemap")
+ORACLES["dedup_urls"] = _scan_sql("SELECT * FROM urls")
+ORACLES["union_sources"] = _scan_sql("""SELECT hostname, source, CAST(count(*) AS BIGINT) AS rows,
   CAST(count(DISTINCT normalized_url) AS BIGINT) AS distinct_urls FROM discovered GROUP BY hostname, source""")
-ORACLES["candidate_urls"] = _pipe("""SELECT hostname, CAST(k3 AS BIGINT) AS rank, context AS path, url, normalized_url
+ORACLES["candidate_urls"] = _scan_sql("""SELECT hostname, CAST(k3 AS BIGINT) AS rank, context AS path, url, normalized_url
   FROM discovered WHERE source = 'COMMON_PATHS'""")
 _GATE = any_contains("lower(content_type)", fixed.SECRET_SCAN_TYPES)
-ORACLES["secret_scan_gate"] = _pipe(f"""SELECT normalized_url, coalesce(is_accessible AND content_type IS NOT NULL AND
+ORACLES["secret_scan_gate"] = _scan_sql(f"""SELECT normalized_url, coalesce(is_accessible AND content_type IS NOT NULL AND
   {_GATE} AND content_length IS NOT NULL AND content_length <> 0 AND content_length < {fixed.SECRET_SCAN_MAX_BYTES}, false) AS scan
   FROM analyzed WHERE has_response""")
-ORACLES["soft_404"] = _pipe("SELECT normalized_url, ext, filename, catch_all, soft_404 FROM analyzed WHERE status_code = 200")
-ORACLES["analyze_resources"] = _pipe("""SELECT normalized_url, hostname, source, CAST(status_code AS BIGINT) AS status_code,
+ORACLES["soft_404"] = _scan_sql("SELECT normalized_url, ext, filename, catch_all, soft_404 FROM analyzed WHERE status_code = 200")
+ORACLES["analyze_resources"] = _scan_sql("""SELECT normalized_url, hostname, source, CAST(status_code AS BIGINT) AS status_code,
   category, resource_type, severity, is_accessible, is_directory_listing, description, analysis_note FROM analyzed""")
-ORACLES["resource_secrets"] = _pipe("SELECT normalized_url, secret_count, has_critical_secret FROM resources WHERE secret_count > 0")
-ORACLES["risk_lookup"] = _pipe("SELECT normalized_url, resource_type, has_secrets, is_accessible, base_severity FROM resources")
-ORACLES["secret_severity"] = _pipe("""SELECT normalized_url, has_critical_secret, base_severity, assessed_severity
+ORACLES["resource_secrets"] = _scan_sql("SELECT normalized_url, secret_count, has_critical_secret FROM resources WHERE secret_count > 0")
+ORACLES["risk_lookup"] = _scan_sql("SELECT normalized_url, resource_type, has_secrets, is_accessible, base_severity FROM resources")
+ORACLES["secret_severity"] = _scan_sql("""SELECT normalized_url, has_critical_secret, base_severity, assessed_severity
   FROM resources WHERE secret_count > 0""")
-ORACLES["assess_risk"] = _pipe("SELECT normalized_url, assessed_severity FROM resources")
-ORACLES["risk_modifiers"] = _pipe("SELECT normalized_url, is_current, base_severity, assessed_severity FROM resources")
-ORACLES["findings"] = _pipe("SELECT normalized_url, hostname, resource_type, severity, finding_severity FROM findings")
-ORACLES["finding_text"] = _pipe("SELECT normalized_url, title, finding_description AS description, remediation FROM findings")
-ORACLES["finding_evidence"] = _pipe("SELECT normalized_url, evidence FROM findings")
-ORACLES["resource_groups"] = _pipe("SELECT normalized_url, hostname, group_name FROM grp")
-ORACLES["group_counts"] = _pipe("SELECT hostname, group_name, CAST(count(*) AS BIGINT) AS resources FROM grp GROUP BY 1, 2")
-ORACLES["report_url_list"] = _pipe("""SELECT hostname, CASE WHEN status_code IS NOT NULL THEN '[' || CAST(status_code AS VARCHAR) || '] '
+ORACLES["assess_risk"] = _scan_sql("SELECT normalized_url, assessed_severity FROM resources")
+ORACLES["risk_modifiers"] = _scan_sql("SELECT normalized_url, is_current, base_severity, assessed_severity FROM resources")
+ORACLES["findings"] = _scan_sql("SELECT normalized_url, hostname, resource_type, severity, finding_severity FROM findings")
+ORACLES["finding_text"] = _scan_sql("SELECT normalized_url, title, finding_description AS description, remediation FROM findings")
+ORACLES["finding_evidence"] = _scan_sql("SELECT normalized_url, evidence FROM findings")
+ORACLES["resource_groups"] = _scan_sql("SELECT normalized_url, hostname, group_name FROM grp")
+ORACLES["group_counts"] = _scan_sql("SELECT hostname, group_name, CAST(count(*) AS BIGINT) AS resources FROM grp GROUP BY 1, 2")
+ORACLES["report_url_list"] = _scan_sql("""SELECT hostname, CASE WHEN status_code IS NOT NULL THEN '[' || CAST(status_code AS VARCHAR) || '] '
   ELSE '[UNKNOWN] ' END || url AS line FROM resources""")
-ORACLES["secret_summary"] = _pipe("""SELECT hostname, CAST(sum(secret_count) AS BIGINT) AS total_secrets_found,
+ORACLES["secret_summary"] = _scan_sql("""SELECT hostname, CAST(sum(secret_count) AS BIGINT) AS total_secrets_found,
   CAST(count(*) FILTER (WHERE secret_count > 0) AS BIGINT) AS resources_with_secrets FROM resources GROUP BY hostname""")
-ORACLES["sensitive_file_count"] = _pipe(f"""SELECT hostname, CAST(count(*) FILTER (WHERE resource_type IN {in_list(fixed.SENSITIVE_FILE_TYPES)}) AS BIGINT)
+ORACLES["sensitive_file_count"] = _scan_sql(f"""SELECT hostname, CAST(count(*) FILTER (WHERE resource_type IN {in_list(fixed.SENSITIVE_FILE_TYPES)}) AS BIGINT)
   AS potential_sensitive_files FROM resources GROUP BY hostname""")
 _FC = file_category_expr("path")
-ORACLES["scan_statistics"] = _pipe(f"""
+ORACLES["scan_statistics"] = _scan_sql(f"""
 SELECT coalesce(d.hostname, r.hostname) AS hostname, coalesce(d.n, 0) AS urls_discovered,
        coalesce(r.urls_checked, 0) AS urls_checked, coalesce(r.currently_accessible, 0) AS currently_accessible,
        coalesce(r.documents, 0) AS documents, coalesce(r.images, 0) AS images, coalesce(r.data_files, 0) AS data_files
@@ -684,7 +684,7 @@ FULL JOIN (SELECT hostname, CAST(count(*) AS BIGINT) AS urls_checked,
                   CAST(count(*) FILTER (WHERE status_code = 200 AND {_FC} = 'image') AS BIGINT) AS images,
                   CAST(count(*) FILTER (WHERE status_code = 200 AND {_FC} = 'data') AS BIGINT) AS data_files
            FROM resources GROUP BY hostname) r ON d.hostname = r.hostname""")
-ORACLES["severity_counts"] = _pipe("""
+ORACLES["severity_counts"] = _scan_sql("""
 SELECT r.hostname, coalesce(f.critical_count, 0) AS critical_count, coalesce(f.high_count, 0) AS high_count,
        coalesce(f.medium_count, 0) AS medium_count, coalesce(f.low_count, 0) AS low_count,
        coalesce(f.info_findings, 0) + r.info_resources AS info_count
@@ -697,29 +697,29 @@ LEFT JOIN (SELECT hostname,
              CAST(count(*) FILTER (WHERE finding_severity = 'LOW') AS BIGINT) AS low_count,
              CAST(count(*) FILTER (WHERE finding_severity = 'INFORMATIONAL') AS BIGINT) AS info_findings
            FROM findings GROUP BY hostname) f ON r.hostname = f.hostname""")
-ORACLES["top_findings"] = _pipe(f"""
+ORACLES["top_findings"] = _scan_sql(f"""
 SELECT hostname, finding_severity, CAST(rank AS BIGINT) AS rank, url, title, CAST(greatest(total - {fixed.TOP_FINDINGS}, 0) AS BIGINT) AS more
 FROM (SELECT hostname, finding_severity, url, title,
              row_number() OVER (PARTITION BY hostname, finding_severity ORDER BY normalized_url) AS rank,
              count(*) OVER (PARTITION BY hostname, finding_severity) AS total
       FROM findings WHERE finding_severity IN ('CRITICAL', 'HIGH')) WHERE rank <= {fixed.TOP_FINDINGS}""")
-ORACLES["top_resources"] = _pipe(f"""
+ORACLES["top_resources"] = _scan_sql(f"""
 SELECT hostname, group_name, CAST(rank AS BIGINT) AS rank, url, CAST(greatest(total - {fixed.TOP_RESOURCES}, 0) AS BIGINT) AS more
 FROM (SELECT hostname, group_name, url,
              row_number() OVER (PARTITION BY hostname, group_name ORDER BY normalized_url) AS rank,
              count(*) OVER (PARTITION BY hostname, group_name) AS total
       FROM grp WHERE group_name IN ('documents', 'images')) WHERE rank <= {fixed.TOP_RESOURCES}""")
-ORACLES["historical_urls"] = _pipe(f"""
+ORACLES["historical_urls"] = _scan_sql(f"""
 SELECT hostname, CAST(rank AS BIGINT) AS rank, url, CAST(total AS BIGINT) AS total
 FROM (SELECT hostname, url, row_number() OVER (PARTITION BY hostname ORDER BY normalized_url) AS rank,
              count(*) OVER (PARTITION BY hostname) AS total FROM resources WHERE NOT is_current) WHERE rank <= {fixed.TOP_RESOURCES}""")
 _SEV_RANK = " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(fixed.SEVERITIES))
-ORACLES["findings_by_severity"] = _pipe(f"""
+ORACLES["findings_by_severity"] = _scan_sql(f"""
 SELECT hostname, finding_severity, CAST(CASE finding_severity {_SEV_RANK} END AS BIGINT) AS severity_rank, url, title
 FROM findings WHERE finding_severity <> 'INFORMATIONAL'""")
 
 ORACLES["path_exposure"] = with_ctes(
-    captures_cte(), *links_ctes(), candidates_cte(), pipeline_ctes(),
+    captures_cte(), *links_ctes(), candidates_cte(), scan_ctes(),
     "pe_src AS (SELECT cand_k.normalized_url, hostname, url, 'COMMON_PATHS' AS source, path AS context FROM cand_k)",
     analysis_ctes("pe_src", "pe_", False),
     body="""SELECT normalized_url, hostname, resource_type, severity, is_accessible FROM pe_analyzed
