@@ -107,20 +107,20 @@ def resolve_links(spark, d):
 
 
 def normalize_target(spark, d):
-    h = SRC_hosts(spark, d)
+    h = _page_hosts(spark, d)
     t = S.with_target(h.withColumnRenamed("host", "original_url"), "original_url", "t_")
     return t.select("original_url", F.col("t_scheme").alias("scheme"), F.col("t_hostname").alias("hostname"),
                     F.col("t_port").cast(L).alias("port"), F.col("t_base_domain").alias("base_domain"),
                     F.col("t_normalized").alias("normalized_target"), F.col("t_error").alias("error"))
 
 
-def SRC_hosts(spark, d):
+def _page_hosts(spark, d):
     from exposa.sources import captures as SRC
     return SRC.page_hosts(spark, d)
 
 
 def base_domain(spark, d):
-    h = SRC_hosts(spark, d)
+    h = _page_hosts(spark, d)
     return h.select("host", U.base_domain(F.col("host")).alias("base_domain"))
 
 
@@ -166,7 +166,7 @@ def _location_hosts(spark, d) -> DataFrame:
 
 
 def private_hosts(spark, d):
-    h = SRC_hosts(spark, d).unionByName(_location_hosts(spark, d)).distinct()
+    h = _page_hosts(spark, d).unionByName(_location_hosts(spark, d)).distinct()
     return h.select("host", S.is_private_ip(F.col("host")).alias("is_private"),
                     S.private_reason(F.col("host")).alias("reason"))
 

@@ -47,3 +47,42 @@ def test_framework_rule_size():
     # "\.name/.*" twins of the directory patterns match exactly the same paths.
     assert len(fixed.framework_patterns()) == 143 * 2 + 142 + 156
     assert len(fixed.CANDIDATE_PATHS) == 50
+
+
+def test_random_paths_match_direct_search(spark):
+    """Spark's CASE over lower-cased alternations equals a first-match search of every pattern
+    (case-insensitive) on random paths built from pattern fragments."""
+    import random
+    import re
+
+    from exposa.functions import fixed
+
+    rnd = random.Random(11)
+    atoms = ["config", ".env", ".env.local", "storage/", "logs/", ".yml", ".yaml", "tests/", "app/Models/",
+             ".git/", "HEAD", "~", ".tar.gz", "Thumbs.db", "x", "/", ".", "debug/", "backup", ".sql",
+             "red", "Homestead", ".homestead/", "composer.", "json", "lock", "vendor/", "k8s/", ".php",
+             ".bak", "settings.", "id_rsa", ".pem", "package", "-lock", "docker-compose", "Dockerfile",
+             "nova", "public/", "index.php", "routes/", "web", "error.log", "credentials", ".aws/"]
+
+    def rand_case(s):
+        return "".join(c.upper() if rnd.random() < 0.2 else c for c in s)
+
+    paths = ["/" + "".join(rand_case(rnd.choice(atoms)) for _ in range(rnd.randint(1, 5))) for _ in range(1500)]
+    compiled = {c: [re.compile(p, re.IGNORECASE) for p in
+                    (fixed.framework_patterns() + [p + ".*" for p in fixed.framework_patterns()
+                                                   if p.endswith("/")]
+                     if c == "laravel" else fixed.PATTERNS[c])]
+                for c in fixed.CATEGORY_ORDER}
+
+    def direct(path):
+        lp = path.lower()
+        fn = lp.rsplit("/", 1)[-1]
+        for c in fixed.CATEGORY_ORDER:
+            if any(p.search(fn) or p.search(lp) for p in compiled[c]):
+                return c
+        return None
+
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r.path: r.category for r in df.select("path", C.path_category(F.lower("path")).alias("category")).collect()}
+    for p in paths:
+        assert got[p] == direct(p), p
