@@ -56,16 +56,17 @@ def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: D
     caps = A.keyed_status(captures).withColumnRenamed("normalized_url", "key")
     edges = materialize(_edges(captures, include_subdomains, links))
 
+    # Level-0 queue order: seeds in URL order, then the base URL. The key is data (no window
+    # over a host's seeds, which could be a third of all pages).
     base = targets.select("hostname", F.col("base_url").alias("url"))
     if seeds is not None:
-        s = seeds.select("hostname", "url")
-        w = Window.partitionBy("hostname").orderBy("url")
-        s = s.withColumn("o", F.row_number().over(w))
-        frontier = s.unionByName(base.withColumn("o", F.lit(2 ** 31 - 1)))
+        frontier = seeds.select("hostname", "url", F.lit(0).alias("o")).unionByName(
+            base.withColumn("o", F.lit(1)))
     else:
         frontier = base.withColumn("o", F.lit(0))
     frontier = U.with_normalized(frontier, "url", "key")
-    frontier = frontier.select("hostname", "url", "key", F.struct(F.col("o").cast("long").alias("o")).alias("ord"))
+    frontier = frontier.select("hostname", "url", "key",
+                               F.struct(F.col("o").alias("o"), F.col("url").alias("u")).alias("ord"))
 
     visited = None          # (hostname, key) of all visited URLs so far
     crawled = None          # per target: crawled 200 pages so far
