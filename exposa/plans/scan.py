@@ -59,7 +59,9 @@ class Scan:
 
     @cached_property
     def urls(self) -> DataFrame:
-        return materialize(D.dedup_urls(self.discovered_rows))
+        # not written out: the dedup aggregate is hash-partitioned on normalized_url, the key of
+        # the join with the keyed captures, so that join needs no further shuffle of the URLs
+        return D.dedup_urls(self.discovered_rows)
 
     @cached_property
     def analyzed(self) -> DataFrame:
