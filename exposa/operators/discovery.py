@@ -24,7 +24,10 @@ from exposa.functions import urls as U
 from exposa.session import materialize
 
 LINK_TAGS = [t for t, _ in fixed.LINK_TAG_ATTRS]
-TAG_REGEX = r"(?i)<(?:" + "|".join(LINK_TAGS) + r")\s[^>]*>"
+# A start tag up to its closing '>', where quoted attribute values may contain '>' (as for an
+# HTML parser). Possessive quantifiers: the three alternatives start with different characters,
+# so nothing is ever given back and the match cannot backtrack.
+TAG_REGEX = r"(?i)<(?:" + "|".join(LINK_TAGS) + r""")\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 ATTR_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
            r"|[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+$")

@@ -279,7 +279,7 @@ END AS url FROM (
       FROM (SELECT *, {parts_select(base, 'b_')}, {parts_select(href, 'h_')} FROM {rel}))))"""
 
 
-TAG_RE = r"(?i)<(?:" + "|".join(t for t, _ in fixed.LINK_TAG_ATTRS) + r")\s[^>]*>"
+TAG_RE = r"(?i)<(?:" + "|".join(t for t, _ in fixed.LINK_TAG_ATTRS) + r""")\s(?:[^>"']+|"[^"]*"|'[^']*')*>"""
 _INVALID = (r"^(?:[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
             r"\x{202f}\x{205f}\x{3000}]*$|mailto:|tel:|javascript:|data:|ftp:|file:|#)")
 
