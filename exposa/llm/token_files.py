@@ -131,7 +131,7 @@ def write(documents: DataFrame, folder: str, tokenizer_path: str | None = None)
                     fs, root = _filesystem(folder)
                     fs.create_dir(root, recursive=True)
                     name = f"tokens-{part:06d}-{uuid.uuid4().hex}.zst"
-                    writer = FrameWriter(fs.open_output_stream(f"{root}/{name}"))
+                    writer = FrameWriter(fs.open_output_stream(f"{root}/{name}", compression=None))
                 ids = bpe.encoder(path).packed(text) + end
                 writer.add(doc_id, ids)
                 n_ids += len(ids) // 4
