@@ -50,9 +50,9 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     slots = keys.groupBy(slot(max_depth).alias("slot")).agg(F.count("*").alias("n"))
     levels = (slots.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
               .withColumn("bucket", bucket(max_depth)))
-    held = F.sum("n").over(Window.partitionBy("depth", "bucket"))
-    return (levels.withColumn("held", held).where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-            .groupBy("slot").agg(F.min("depth").alias("depth")))
+    fits = (levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
+            .where((F.col("held") <= capacity) | (F.col("depth") == max_depth)).select("depth", "bucket"))
+    return levels.join(fits, ["depth", "bucket"]).groupBy("slot").agg(F.min("depth").alias("depth"))
 
 
 def build_index(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -79,3 +79,12 @@ def exact_dedup(documents: DataFrame, capacity: int = CAPACITY, max_depth: int =
     return (members.join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("sha")).alias("text_sha256")))
+
+
+def keep_last(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The kept document of each text, with all its columns. Rows that repeat a kept doc_id and its text
+    all stay, as they share the kept flag."""
+    kept = (build_index(documents, capacity, max_depth)
+            .select(F.col("keep_id").alias("kept_id"), F.col("sha").alias("kept_sha")))
+    found = documents.withColumn("kept_key", F.unhex(F.sha2(normalised(text_of()), 256)))
+    return found.join(kept, F.expr("doc_id <=> kept_id AND kept_key = kept_sha"), "left_semi").drop("kept_key")

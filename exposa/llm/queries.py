@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from exposa.llm import exact_dedup, quality, secret_scan, sentencepieces, token_files, url_filter
+from exposa.llm import (exact_dedup, html_extract, packing, quality, secret_scan, sentencepieces, simhash,
+                        token_files, url_filter, vector_graph)
 from exposa.llm.common import table
 
 
@@ -16,6 +18,14 @@ def op2_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, d, "pages")).drop("n_candidates")
 
 
+def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+def op4_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
@@ -28,11 +38,20 @@ def op7_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.score(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op8_vector_graph(spark: SparkSession, d: str) -> DataFrame:
+    return vector_graph.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return sentencepieces.digests(table(spark, d, "documents"))
 
 
-_QUERIES = [op1_secret_scan, op2_url_filter, op5_exact_dedup, op6_token_files, op7_quality, op9_sentencepiece]
+def op10_html_extract(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(table(spark, d, "pages"))
+
+
+_QUERIES = [op1_secret_scan, op2_url_filter, op3_simhash, op4_packing, op5_exact_dedup, op6_token_files, op7_quality,
+            op8_vector_graph, op9_sentencepiece, op10_html_extract]
 LLM_QUERIES = {f.__name__: f for f in _QUERIES}
 
 LLM_ORACLES = {
