@@ -84,7 +84,6 @@ def exact_dedup(documents: DataFrame, capacity: int = CAPACITY, max_depth: int =
 def keep_last(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The kept document of each text, with all its columns. Rows that repeat a kept doc_id and its text
     all stay, as they share the kept flag."""
-    kept = (build_index(documents, capacity, max_depth)
-            .select(F.col("keep_id").alias("kept_id"), F.col("sha").alias("kept_sha")))
-    found = documents.withColumn("kept_key", F.unhex(F.sha2(normalised(text_of()), 256)))
-    return found.join(kept, F.expr("doc_id <=> kept_id AND kept_key = kept_sha"), "left_semi").drop("kept_key")
+    kept = build_index(documents, capacity, max_depth).select("keep_id", "sha")
+    sha = F.unhex(F.sha2(normalised(F.coalesce(documents["text"], F.lit(""))), 256))
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["keep_id"]) & (sha == kept["sha"]), "left_semi")

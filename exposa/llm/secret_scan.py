@@ -4,8 +4,8 @@
    of ``MIN_RUN`` or more token characters that touch no base match. Only positions and character
    classes leave the task, no secret.
 2. ``learn`` takes up to ``EXAMPLES`` base matches of each kind (those of smallest hash) as labelled
-   credentials, examples of public token formats drawn from a rule, and as many ordinary candidates;
-   prefix trees of their character classes are merged into automata (``automata``).
+   credentials, examples of public token formats drawn from a rule, and as many ordinary candidates
+   (without those that fit a format); prefix trees of their character classes are merged into automata (``automata``).
 3. ``score`` gives every candidate its likelihood under each format. A candidate is a secret of kind
    ``format`` if some format fits it as well as it fits its own examples (per symbol), and better than
    the automaton of ordinary runs by ``MARGIN``, and it holds a digit, as all labelled formats do.
@@ -113,9 +113,15 @@ class Formats:
             a = infer(sorted(shapes.items()))
             fits = sorted(a.log_likelihood(s) / (len(s) + 1) for s, n in shapes.items() for _ in range(n))
             self.formats.append((name, a, fits[int(FLOOR * len(fits))]))
-        self.ordinary = infer(sorted(ordinary.items())) if ordinary else None
+        # unlabelled runs that look like a credential would teach the wrong thing
+        plain = {s: n for s, n in ordinary.items() if "0" not in s or not any(self._fits(f, s) for f in self.formats)}
+        self.ordinary = infer(sorted(plain.items())) if plain else None
         self.seen: dict[str, bool] = {}
 
+    @staticmethod
+    def _fits(form: tuple[str, Automaton, float], shape: str) -> bool:
+        return form[1].log_likelihood(shape) / (len(shape) + 1) >= form[2]
+
     def is_secret(self, shape: str) -> bool:
         if "0" not in shape:
             return False

@@ -346,5 +346,6 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, max_bits: int
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The document of smallest doc_id of each group, with all its columns."""
-    kept = near_duplicates(documents, shingle, max_bits).where("doc_id <=> component_id").select("doc_id").distinct()
-    return documents.join(kept.withColumnRenamed("doc_id", "kept_id"), F.expr("doc_id <=> kept_id"), "left_semi")
+    kept = (near_duplicates(documents, shingle, max_bits).where("doc_id <=> component_id")
+            .select(F.col("doc_id").alias("kept_id")).distinct())
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
