@@ -150,7 +150,7 @@ def write(documents: DataFrame, folder: str, tokenizer_path: str | None = None)
 
 def read(manifest: DataFrame) -> DataFrame:
     """Every document back from the files: doc_id, start, n_tokens, ids_crc32. A task reads a file
-    frame by frame."""
+    or a few, frame by frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -169,7 +169,8 @@ def read(manifest: DataFrame) -> DataFrame:
                             out = {f.name: [] for f in READ}
                     yield batch(READ, out)
 
-    files = manifest.select("path", "start").repartitionByRange(F.col("start"))
+    # a given number of partitions: the manifest is small, and would else be read by one task
+    files = manifest.select("path", "start").repartitionByRange(max(1, manifest.count()), "start")
     return in_batches(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=1)
 
 
