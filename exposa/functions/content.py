@@ -1,8 +1,8 @@
 """Response-content columns: sample gate (S2), title (S3), directory listing (F8), secret-scan
 gate (F7) and the soft-404 verdict (C5).
 
-All built-in expressions. Content sniffing looks at the head of the body (``SNIFF_CHARS``)
-because the rule is defined on the head; everything else reads the whole sample.
+All built-in expressions over the whole sample. ``sniff_chars`` and ``max_bytes`` bring back the
+scanner's own limits (a head of the body, small responses only); both are off by default.
 """
 
 from __future__ import annotations
@@ -58,12 +58,12 @@ def is_directory_listing(sample: Column, content_type: Column) -> Column:
     return html & _contains_any(F.lower(F.coalesce(sample, F.lit(""))), fixed.LISTING_INDICATORS)
 
 
-def secret_scan_gate(accessible: Column, content_type: Column, content_length: Column) -> Column:
-    """Accessible, textual type and a known size under the limit."""
-    ct = F.lower(content_type)
-    return (accessible & content_type.isNotNull() & _contains_any(ct, fixed.SECRET_SCAN_TYPES)
-            & content_length.isNotNull() & (content_length != 0)
-            & (content_length < fixed.SECRET_SCAN_MAX_BYTES))
+def secret_scan_gate(accessible: Column, content_type: Column, content_length: Column,
+                     max_bytes: int | None = None) -> Column:
+    """Accessible, of a textual type and not known to be empty."""
+    gate = (accessible & content_type.isNotNull() & _contains_any(F.lower(content_type), fixed.SECRET_SCAN_TYPES)
+            & (F.coalesce(content_length, F.lit(1)) != 0))
+    return gate if max_bytes is None else gate & content_length.isNotNull() & (content_length < max_bytes)
 
 
 def looks_like_html(head: Column) -> Column:
@@ -77,10 +77,12 @@ def implies_non_html(ext: Column, filename: Column) -> Column:
 HEAD_FLAGS = ["head_nonempty", "head_html", "head_env", "head_json", "head_sql", "head_key", "head_log"]
 
 
-def head_flags(sample: Column) -> dict[str, Column]:
-    """Everything the soft-404 rules read from a response body, as booleans of its head (the first
-    ``SNIFF_CHARS`` characters). Computed where the body is read; only these flags travel."""
-    head = F.substring(F.coalesce(sample, F.lit("")), 1, fixed.SNIFF_CHARS)
+def head_flags(sample: Column, sniff_chars: int | None = None) -> dict[str, Column]:
+    """Everything the soft-404 rules read from a response body, as booleans. Computed where the body
+    is read; only these flags travel."""
+    head = F.coalesce(sample, F.lit(""))
+    if sniff_chars is not None:
+        head = F.substring(head, 1, sniff_chars)
     # (?d): only '\n' ends a line, as for the scanner's multi-line anchors.
     return {
         "head_nonempty": head != "",

@@ -13,20 +13,32 @@ from pyspark.sql import functions as F
 from exposa.functions import fixed
 from exposa.functions.content import PY_SPACE
 
-# (secret_type, pattern with one capture group for the value, confidence percent)
-SECRET_PATTERNS = [
-    ("AWS_CREDENTIALS", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", 95),
-    ("PRIVATE_KEY", r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)", 95),
-    ("JWT", r"\b(eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})", 90),
-    ("DATABASE_CONNECTION",
-     r"\b((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:@/]+:[^\s@]+@[^\s\"']+)", 90),
-    ("AUTHORIZATION_HEADER", r"(?i)\bauthorization\s*:\s*(?:bearer|basic)\s+([\w.+/=-]{8,})", 85),
-    ("API_KEY", r"(?i)\bapi[_-]?key[\"']?\s*[:=]\s*[\"']?([\w-]{16,})", 80),
-    ("ACCESS_TOKEN", r"(?i)\b(?:access[_-]?)?token[\"']?\s*[:=]\s*[\"']?([\w.-]{16,})", 80),
-    ("PASSWORD", r"(?i)\b(?:password|passwd|pwd)[\"']?\s*[:=]\s*[\"']?([^\s\"']{4,})", 70),
-    ("ENCRYPTION_KEY",
-     r"(?i)\b(?:encryption[_-]?key|app_key)[\"']?\s*[:=]\s*[\"']?([\w+/=:-]{16,})", 80),
+# (secret_type, what stands before the value, the value, what stands after it, confidence percent)
+SECRET_PARTS = [
+    ("AWS_CREDENTIALS", r"\b", r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"\b", 95),
+    ("PRIVATE_KEY", "", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "", 95),
+    ("JWT", r"\b", r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", "", 90),
+    ("DATABASE_CONNECTION", r"\b",
+     r"(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:@/]+:[^\s@]+@[^\s\"']+", "", 90),
+    ("AUTHORIZATION_HEADER", r"(?i)\bauthorization\s*:\s*(?:bearer|basic)\s+", r"[\w.+/=-]{8,}", "", 85),
+    ("API_KEY", r"(?i)\bapi[_-]?key[\"']?\s*[:=]\s*[\"']?", r"[\w-]{16,}", "", 80),
+    ("ACCESS_TOKEN", r"(?i)\b(?:access[_-]?)?token[\"']?\s*[:=]\s*[\"']?", r"[\w.-]{16,}", "", 80),
+    ("PASSWORD", r"(?i)\b(?:password|passwd|pwd)[\"']?\s*[:=]\s*[\"']?", r"[^\s\"']{4,}", "", 70),
+    ("ENCRYPTION_KEY", r"(?i)\b(?:encryption[_-]?key|app_key)[\"']?\s*[:=]\s*[\"']?", r"[\w+/=:-]{16,}", "", 80),
 ]
+# (secret_type, pattern with one capture group for the value, confidence percent)
+SECRET_PATTERNS = [(name, f"{before}({value}){after}", pct) for name, before, value, after, pct in SECRET_PARTS]
+
+
+def _masking(before: str, value: str, after: str) -> tuple[str, str]:
+    """Pattern and replacement that keep what surrounds the value."""
+    flags, before = ("(?i)", before[4:]) if before.startswith("(?i)") else ("", before)
+    return f"{flags}({before}){value}{after}", "$1[REDACTED]"
+
+
+#: Applied to each line in this order; a private key's whole block is masked before.
+LINE_MASKS = [_masking(b, v, a) for name, b, v, a, _ in SECRET_PARTS if name != "PRIVATE_KEY"]
+KEY_BLOCK = r"(?s)-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----.*?(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----|\z)"
 
 # Any-type prefilter: a document with no match skips the per-line explode entirely.
 ANY_SECRET = "|".join(f"(?:{p.replace('(?i)', '')})" if "(?i)" not in p else f"(?i:{p[4:]})"
@@ -67,13 +79,18 @@ def split_lines(text: Column) -> Column:
             .otherwise(parts))
 
 
+def mask_secrets(line: Column) -> Column:
+    """A line with every secret value (X1) and every secret-looking assignment masked."""
+    for pattern, replacement in LINE_MASKS:
+        line = F.regexp_replace(line, pattern, replacement)
+    return F.regexp_replace(line, fixed.SNIPPET_SECRET_KEY_PATTERN, "$1$2[REDACTED]")
+
+
 def redacted_snippet(sample: Column, max_lines: int = fixed.SNIPPET_MAX_LINES) -> Column:
-    """First ``max_lines`` lines with secret-looking assignments masked, stripped, plus a
-    ``... (N more lines)`` note (X4)."""
-    lines = split_lines(sample)
-    masked = F.transform(F.slice(lines, 1, max_lines),
-                         lambda ln: F.regexp_replace(ln, fixed.SNIPPET_SECRET_KEY_PATTERN,
-                                                     "$1$2[REDACTED]"))
+    """First ``max_lines`` lines, stripped, without secrets (private keys as whole blocks, X1 matches,
+    secret-looking assignments), plus a ``... (N more lines)`` note (X4)."""
+    lines = split_lines(F.regexp_replace(sample, KEY_BLOCK, "[REDACTED PRIVATE KEY]"))
+    masked = F.transform(F.slice(lines, 1, max_lines), mask_secrets)
     body = F.regexp_replace(F.array_join(masked, "\n"), f"^{PY_SPACE}+|{PY_SPACE}+$", "")
     n = F.size(lines)
     return F.when(n > max_lines, F.concat(body, F.lit("\n... ("), (n - max_lines).cast("string"),

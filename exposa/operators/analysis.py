@@ -25,10 +25,11 @@ def _tagger(name: str, i: int):
 
 
 FEATURE_COLUMNS = (["url", "final_url", "status_code", "content_type", "content_length", "server",
-                    "location", "is_directory_listing", "has_sample"] + T.HEAD_FLAGS + ["snippet"])
+                    "location", "captured_at", "is_current", "is_directory_listing", "has_sample"] + T.HEAD_FLAGS + ["snippet"])
 
 
-def capture_features(captures: DataFrame, sample_chars: int | None = None) -> DataFrame:
+def capture_features(captures: DataFrame, sample_chars: int | None = None,
+                     sniff_chars: int | None = None) -> DataFrame:
     """Per capture, everything later steps need from the body, computed where the body is read
     (a narrow projection, no shuffle): the directory-listing flag, whether a sample exists, the
     booleans the soft-404 rules read from the head, and the redacted evidence snippet. Bodies
@@ -52,25 +53,38 @@ def capture_features(captures: DataFrame, sample_chars: int | None = None) -> Da
         doc = doc | fn.endswith(e)
     may_find = (F.col("is_directory_listing") | C.path_category(F.col("_p")).isNotNull()
                 | C.path_category(F.concat(F.col("_p"), F.lit("/"))).isNotNull() | doc)
-    flags = T.head_flags(F.col("sample"))
+    flags = T.head_flags(F.col("sample"), sniff_chars)
     return c.select(
         "normalized_url", "url", "final_url", "status_code", "content_type", "content_length", "server",
-        "location", "is_directory_listing", "has_sample", *[v.alias(k) for k, v in flags.items()],
+        "location", "captured_at", "is_current", "is_directory_listing", "has_sample", *[v.alias(k) for k, v in flags.items()],
         F.when(F.col("has_sample") & may_find, X.redacted_snippet(F.col("sample"))).alias("snippet"))
 
 
-def keyed_captures(features: DataFrame) -> DataFrame:
-    """One capture per dedup key: the row with the smallest URL (``min`` over an ordered struct,
-    aggregated map-side before the shuffle; rows carry features, not bodies)."""
-    first = F.min(F.struct(*FEATURE_COLUMNS))
-    return features.groupBy("normalized_url").agg(first.alias("c")).select(
-        "normalized_url", *[F.col(f"c.{k}").alias(k if k != "url" else "capture_url") for k in FEATURE_COLUMNS])
+def _order() -> list[F.Column]:
+    """Which capture of a URL counts: status 200 first, then the newest."""
+    return [(F.coalesce(F.col("status_code"), F.lit(0)) != 200).alias("o1"),
+            (-F.coalesce(F.col("captured_at"), F.lit(0))).alias("o2")]
+
+
+def with_captures(urls: DataFrame, features: DataFrame) -> DataFrame:
+    """Each URL (one row per normalized_url) with one capture of its dedup key, if there is any: of its
+    own spelling first, then status 200, then the newest. Copies of a URL are reduced before the join
+    (``min`` over an ordered struct, aggregated map-side; rows carry features, not bodies)."""
+    rest = [c for c in FEATURE_COLUMNS if c != "url"]
+    copies = features.groupBy("normalized_url", F.col("url").alias("capture_url")).agg(
+        F.min(F.struct(*_order(), *rest)).alias("c"))
+    both = urls.join(copies, "normalized_url", "left")
+    best = F.min(F.struct((~F.coalesce(F.col("capture_url") == F.col("url"), F.lit(False))).alias("o0"),
+                          F.col("c.o1").alias("o1"), F.col("c.o2").alias("o2"), "capture_url", "c"))
+    one = both.groupBy(*urls.columns).agg(best.alias("b"))
+    return one.select(*urls.columns, F.col("b.capture_url").alias("capture_url"),
+                      *[F.col(f"b.c.{k}").alias(k) for k in rest])
 
 
 def keyed_status(captures: DataFrame) -> DataFrame:
-    """(normalized_url, status_code, content_type) of the capture chosen per dedup key."""
-    c = U.with_normalized(captures.select("url", "final_url", "status_code", "content_type"), "url", "normalized_url")
-    first = F.min(F.struct("url", "final_url", "status_code", "content_type"))
+    """(normalized_url, status_code, content_type) of the capture that counts per dedup key."""
+    c = U.with_normalized(captures.select("url", "status_code", "content_type", "captured_at"), "url", "normalized_url")
+    first = F.min(F.struct(*_order(), "url", "status_code", "content_type"))
     return c.groupBy("normalized_url").agg(first.alias("c")).select(
         "normalized_url", F.col("c.status_code").alias("status_code"), F.col("c.content_type").alias("content_type"))
 
@@ -84,16 +98,38 @@ def catch_all_hosts(captures: DataFrame) -> DataFrame:
     return c.groupBy("hostname").agg(F.max("ok").alias("catch_all"))
 
 
+def with_verdict(r: DataFrame) -> DataFrame:
+    """Soft-404, accessibility, resource type and severity of classified responses (C5, C6) from their
+    features; shared by the batch scan and the stream."""
+    flags = {k: F.coalesce(F.col(k), F.lit(False)) for k in T.HEAD_FLAGS}
+    r = r.withColumn("soft_404", F.coalesce((F.col("status_code") == 200) & T.soft_404_from_flags(
+        flags, F.col("content_type"), F.col("ext"), F.col("filename"), F.col("catch_all")),
+        F.lit(False)))
+    r = r.withColumn("is_accessible", F.coalesce((F.col("status_code") == 200) & ~F.col("soft_404"),
+                                                 F.lit(False)))
+    has, soft, listing = F.col("has_response"), F.col("soft_404"), F.col("is_directory_listing")
+    ctype, csev = F.col("class_type"), F.col("class_severity")
+    upgrade = (has & ctype.isin("SOURCE_CONTROL_EXPOSURE", "DATABASE_EXPOSURE") & F.col("is_accessible")
+               & (csev != "CRITICAL"))
+    return r.withColumns({
+        "resource_type": F.when(has & soft, F.lit("FALSE_POSITIVE"))
+        .when(has & listing, F.lit("DIRECTORY_LISTING")).otherwise(ctype),
+        "severity": F.when(has & soft, F.lit("INFORMATIONAL")).when(upgrade, F.lit("CRITICAL"))
+        .when(has & listing, F.lit("MEDIUM")).otherwise(csev),
+    })
+
+
 def analyze(urls: DataFrame, captures: DataFrame, sample_chars: int | None = None,
-            use_calibration: bool = True) -> DataFrame:
+            use_calibration: bool = True, sniff_chars: int | None = None) -> DataFrame:
     """Classify every discovered URL and grade its response.
 
     ``urls`` has (normalized_url, hostname, url, source, context). Adds the capture (if any),
     path, extension, file name, classification, soft-404 verdict, accessibility, final resource
-    type and severity, the fixed description/evidence notes, and ``is_current`` (captures are
-    current responses).
+    type and severity, the fixed description/evidence notes, and ``is_current`` (false where the
+    response that counts is from an earlier crawl).
     """
-    r = urls.join(keyed_captures(capture_features(captures, sample_chars)), "normalized_url", "left")
+    r = with_captures(urls.select("normalized_url", "hostname", "url", "source", "context"),
+                      capture_features(captures, sample_chars, sniff_chars))
     r = U.with_parts(r, "url", "u_")
     r = r.withColumn("path", F.col("u_path")).drop(*[f"u_{k}" for k in U.PART_NAMES])
     r = C.with_classification(r, "path")
@@ -108,41 +144,24 @@ def analyze(urls: DataFrame, captures: DataFrame, sample_chars: int | None = Non
         r = r.join(catch_all_hosts(captures), "hostname", "left")
     else:
         r = r.withColumn("catch_all", F.lit(False))
-    flags = {k: F.coalesce(F.col(k), F.lit(False)) for k in T.HEAD_FLAGS}
-    r = r.withColumn("soft_404", F.coalesce((F.col("status_code") == 200) & T.soft_404_from_flags(
-        flags, F.col("content_type"), F.col("ext"), F.col("filename"), F.col("catch_all")),
-        F.lit(False)))
-    r = r.withColumn("is_accessible", F.coalesce((F.col("status_code") == 200) & ~F.col("soft_404"),
-                                                 F.lit(False)))
+    r = with_verdict(r)
     has, soft, listing = F.col("has_response"), F.col("soft_404"), F.col("is_directory_listing")
-    ctype, csev = F.col("class_type"), F.col("class_severity")
-    upgrade = (has & ctype.isin("SOURCE_CONTROL_EXPOSURE", "DATABASE_EXPOSURE") & F.col("is_accessible")
-               & (csev != "CRITICAL"))
     return r.withColumns({
-        "resource_type": F.when(has & soft, F.lit("FALSE_POSITIVE"))
-        .when(has & listing, F.lit("DIRECTORY_LISTING")).otherwise(ctype),
-        "severity": F.when(has & soft, F.lit("INFORMATIONAL")).when(upgrade, F.lit("CRITICAL"))
-        .when(has & listing, F.lit("MEDIUM")).otherwise(csev),
         "description": F.when(has & soft, F.lit(fixed.SOFT_404_DESCRIPTION))
         .when(has & listing, F.lit(fixed.LISTING_DESCRIPTION)),
         "analysis_note": F.when(has & soft, F.concat(
             F.lit("Soft-404 detected at "), F.col("url"), F.lit(": status 200 with content-type "),
             F.coalesce(F.col("content_type"), F.lit("None"))))
         .when(has & listing, F.concat(F.lit("Directory listing detected at "), F.col("url"))),
-        "is_current": F.lit(True),
+        "is_current": F.coalesce(F.col("is_current"), F.lit(True)),
     })
 
 
-def path_exposure(targets: DataFrame, captures: DataFrame, paths: list[str]) -> DataFrame:
-    """Each path joined to each target's base URL and analysed without calibration; rows whose
-    type is not PUBLIC_EXPECTED are kept (C7)."""
-    arr = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("path_in")) for i, p in enumerate(paths)])
-    c = targets.select("hostname", "base_url", F.explode(arr).alias("c"))
-    c = c.select("hostname", "base_url", F.col("c.rank").alias("rank"), F.col("c.path_in").alias("path_in"))
-    c = U.with_resolved(c, "base_url", "path_in", "url")
-    c = materialize(U.with_normalized(c, "url", "normalized_url"))
-    c = c.select("normalized_url", "hostname", "url", F.lit("COMMON_PATHS").alias("source"),
-                 F.col("path_in").alias("context"))
+def path_exposure(candidates: DataFrame, captures: DataFrame) -> DataFrame:
+    """Each candidate URL of each target analysed without calibration; rows whose type is not
+    PUBLIC_EXPECTED are kept (C7)."""
+    c = candidates.select("normalized_url", "hostname", "url", F.lit("COMMON_PATHS").alias("source"),
+                          F.col("path").alias("context"))
     return materialize(analyze(c, captures, use_calibration=False)).where(
         F.col("resource_type") != "PUBLIC_EXPECTED")
 
@@ -172,23 +191,28 @@ def secret_matches(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
                     X.redact(F.col("secret_type"), F.col("m.v")).alias("redacted_value"), "confidence")
 
 
-def capture_secrets(captures: DataFrame, sample_chars: int | None = None) -> DataFrame:
+def capture_secrets(captures: DataFrame, sample_chars: int | None = None,
+                    max_bytes: int | None = None) -> DataFrame:
     """Secret matches of every capture that passes the response part of the scan gate (F7:
-    textual type, known size under the limit, non-empty sample), scanned where the body is read.
-    Keyed by (normalized_url, capture_url)."""
+    textual type, non-empty sample), scanned where the body is read. Keyed by ``CAPTURE_KEY``."""
     c = U.with_normalized(captures, "url", "normalized_url")
     sample = T.response_sample(F.col("body"), F.col("status_code"), F.col("content_type"), sample_chars)
     c = c.select("normalized_url", F.col("url").alias("capture_url"), "status_code", "content_type",
-                 "content_length", sample.alias("sample"))
-    c = c.where(T.secret_scan_gate(F.col("status_code") == 200, F.col("content_type"), F.col("content_length"))
+                 "content_length", F.coalesce("captured_at", F.lit(0)).alias("captured_at"), sample.alias("sample"))
+    c = c.where(T.secret_scan_gate(F.col("status_code") == 200, F.col("content_type"), F.col("content_length"), max_bytes)
                 & F.col("sample").isNotNull() & (F.col("sample") != ""))
-    return secret_matches(c, ["normalized_url", "capture_url"], "sample")
+    return secret_matches(c, CAPTURE_KEY, "sample")
+
+
+#: What tells a capture from others of its URL.
+CAPTURE_KEY = ["normalized_url", "capture_url", "captured_at"]
 
 
 def resource_secrets(resources: DataFrame, cap_secrets: DataFrame) -> DataFrame:
     """Secret matches of the resources that are accessible (the rest of the scan gate, F7)."""
-    ok = resources.where(F.col("is_accessible")).select("normalized_url", "capture_url")
-    return cap_secrets.join(ok, ["normalized_url", "capture_url"], "left_semi").drop("capture_url")
+    ok = resources.where(F.col("is_accessible")).select(
+        "normalized_url", "capture_url", F.coalesce("captured_at", F.lit(0)).alias("captured_at"))
+    return cap_secrets.join(ok, CAPTURE_KEY, "left_semi").drop("capture_url", "captured_at")
 
 
 def secret_rollup(secrets: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@
   bodies.
 * ``robots_urls`` / ``sitemap_urls`` (S4, S5): directives and ``<loc>`` entries of captured
   robots.txt and sitemap.xml files.
-* ``candidate_urls`` (J3): every target x the curated candidate paths, generated by ``explode``
-  of a literal array (no join), minus URLs already discovered (anti-join on the dedup key).
-* ``discovered_urls`` (J2) and ``dedup_urls`` (J1): union of all sources and first-wins dedup by
+* ``candidate_urls_all`` (J3): every target x the curated candidate paths, generated by ``explode``
+  of a literal array (no join). Candidates that are already known lose in the dedup, which ranks
+  their source last, so no anti-join is needed.
+* ``known_urls``, ``candidate_rows`` (J2) and ``dedup_urls`` (J1): all sources and first-wins dedup by
   normalized URL. First-wins is a ``min`` over an ordered struct per key, which Spark aggregates
   partially before the shuffle, so a URL linked from millions of pages costs one row per map
   task, not one task holding every copy.
@@ -28,7 +29,10 @@ LINK_TAGS = [t for t, _ in fixed.LINK_TAG_ATTRS]
 # HTML parser). Possessive quantifiers: the three alternatives start with different characters,
 # so nothing is ever given back and the match cannot backtrack.
 TAG_REGEX = r"(?i)<(?:" + "|".join(LINK_TAGS) + r""")\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-ATTR_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# One attribute with its value, if it has one.
+ATTR_REGEX = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+# A character reference, a run without one, or a lone '&'.
+REFERENCE_REGEX = r"&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&[A-Za-z]+;|[^&]+|&"
 PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
            r"|[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+$")
 
@@ -45,15 +49,37 @@ def strip_markup_noise(html: Column) -> Column:
     return F.regexp_replace(h, r"(?is)(<style\b[^>]*>).*?</style\s*>", "$1")
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point, null where there is none."""
+    ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def decode_entities(v: Column) -> Column:
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")]:
-        v = F.replace(v, F.lit(ent), F.lit(ch))
-    return v
+    """Numeric and common named character references decoded in one pass; unknown ones stay."""
+    named = F.create_map(*[F.lit(x) for n, c in fixed.ENTITIES.items() for x in (f"&{n};", c)])
+
+    def piece(p: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10).try_cast("bigint")
+        decimal = F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1).try_cast("bigint")
+        return (F.when(p.rlike("^&#[xX]"), F.coalesce(_character(hexadecimal), p))
+                .when(p.startswith("&#"), F.coalesce(_character(decimal), p))
+                .otherwise(F.coalesce(F.try_element_at(named, p), p)))
+
+    decoded = F.array_join(F.transform(F.regexp_extract_all(v, F.lit(REFERENCE_REGEX), 0), piece), "")
+    return F.when(v.contains("&"), decoded).otherwise(v)
+
+
+def attribute(tag_html: Column, name: str) -> Column:
+    """The value of an attribute of a start tag, unquoted; the last one counts; '' without."""
+    inside = F.regexp_replace(tag_html, r"^<[A-Za-z0-9]+|/?>$", "")
+    own = F.filter(F.regexp_extract_all(inside, F.lit(ATTR_REGEX), 0),
+                   lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name)
+    return unquote(F.regexp_extract(F.coalesce(F.try_element_at(own, F.lit(-1)), F.lit("")), r"(?s)=\s*(.*)$", 1))
 
 
 def unquote(v: Column) -> Column:
-    return F.regexp_replace(v, r"""^"(.*)"$|^'(.*)'$""", "$1$2")
+    return F.regexp_replace(v, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
 
 
 def with_target_of(df: DataFrame, url_col: str, prefix: str = "tg_") -> DataFrame:
@@ -69,64 +95,63 @@ def finish_links(df: DataFrame, base_col: str, href_col: str, include_subdomains
     df = df.where(S.is_valid_link(F.col(href_col)))
     df = U.with_resolved(df, base_col, href_col, "url")
     df = U.with_normalized(df, "url", "normalized_url", keep_parts=True, prefix="l_")
-    df = df.withColumn("in_scope", S.in_scope("l_netloc", "tg_host", "tg_base_domain", include_subdomains))
+    df = df.withColumns({
+        "in_scope": S.in_scope("l_netloc", "tg_host", "tg_base_domain", include_subdomains),
+        "in_scope_with_subdomains": S.in_scope("l_netloc", "tg_host", "tg_base_domain", True)})
     return df.drop(*[f"l_{k}" for k in U.PART_NAMES])
 
 
+def is_html(content_type: Column) -> Column:
+    """An HTML response; one without a content type is read as HTML."""
+    ct = F.lower(F.coalesce(content_type, F.lit("")))
+    return (ct == "") | ct.contains("text/html")
+
+
 def html_links(captures: DataFrame, include_subdomains: bool = False) -> DataFrame:
-    """(page_url, tag_rank, pos, context, href, url, normalized_url, in_scope) for HTML
-    captures with status 200."""
-    c = captures.where((F.col("status_code") == 200)
-                       & F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html"))
+    """(page_url, hostname, tag_rank, pos, context, href, url, normalized_url, in_scope,
+    in_scope_with_subdomains) for HTML captures with status 200."""
+    c = captures.where((F.col("status_code") == 200) & is_html(F.col("content_type")))
     c = c.select(F.col("url").alias("page_url"), F.col("body"))
     c = with_target_of(c, "page_url")
     c = c.select("page_url", "tg_host", "tg_base_domain",
                  F.posexplode(F.regexp_extract_all(strip_markup_noise(F.col("body")), F.lit(TAG_REGEX), 0))
                  .alias("pos", "tag_html"))
     c = c.withColumn("tag", F.lower(F.regexp_extract("tag_html", r"^<([A-Za-z]+)", 1)))
-    rank = None
-    attr_val = None
+    rank = context = value = None
     for i, (tag, attr) in enumerate(fixed.LINK_TAG_ATTRS):
-        val = F.regexp_extract("tag_html", r"(?is)^.*\s" + attr + ATTR_VALUE, 1)
-        rank = F.when(F.col("tag") == tag, F.lit(i)) if rank is None else rank.when(F.col("tag") == tag, F.lit(i))
-        ctx = F.lit(f"{tag}.{attr}")
-        attr_val = (F.when(F.col("tag") == tag, F.struct(val.alias("v"), ctx.alias("c"))) if attr_val is None
-                    else attr_val.when(F.col("tag") == tag, F.struct(val.alias("v"), ctx.alias("c"))))
-    c = c.withColumns({"tag_rank": rank, "_av": attr_val})
-    c = c.select("page_url", "tg_host", "tg_base_domain", "tag_rank", (F.col("pos") + 1).alias("pos"),
-                 F.col("_av.c").alias("context"),
-                 decode_entities(unquote(F.col("_av.v"))).alias("href"))
+        here = F.col("tag") == tag
+        rank = F.when(here, F.lit(i)) if rank is None else rank.when(here, F.lit(i))
+        context = F.when(here, F.lit(f"{tag}.{attr}")) if context is None else context.when(here, F.lit(f"{tag}.{attr}"))
+    for attr in dict.fromkeys(a for _, a in fixed.LINK_TAG_ATTRS):
+        here = F.col("tag").isin([t for t, a in fixed.LINK_TAG_ATTRS if a == attr])
+        own = attribute(F.col("tag_html"), attr)
+        value = F.when(here, own) if value is None else value.when(here, own)
+    c = c.select("page_url", "tg_host", "tg_base_domain", rank.alias("tag_rank"), (F.col("pos") + 1).alias("pos"),
+                 context.alias("context"), decode_entities(value).alias("href"))
     c = c.where(F.col("href") != "")
     return materialize(finish_links(c, "page_url", "href", include_subdomains).select(
-        "page_url", "tag_rank", "pos", "context", "href", "url", "normalized_url", "in_scope"))
+        "page_url", F.col("tg_host").alias("hostname"), "tag_rank", "pos", "context", "href", "url", "normalized_url",
+        "in_scope", "in_scope_with_subdomains"))
 
 
-def _script_or_style_bodies(captures: DataFrame, tag: str) -> DataFrame:
-    c = captures.where(F.col("status_code") == 200).select(F.col("url").alias("page_url"), "body")
+def _script_or_style_bodies(captures: DataFrame, tag: str, media: str) -> DataFrame:
+    """Inline blocks of every 200 response (block: their number), and the whole bodies of responses
+    that are scripts or style sheets themselves (block 0)."""
+    c = captures.where(F.col("status_code") == 200).select(
+        F.col("url").alias("page_url"), "body", F.lower(F.coalesce("content_type", F.lit(""))).contains(media).alias("own"))
     c = with_target_of(c, "page_url")
-    body = F.regexp_replace(F.col("body"), r"(?s)<!--.*?-->", "")
-    return c.select("page_url", "tg_host", "tg_base_domain",
-                    F.posexplode(F.regexp_extract_all(body, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), 1))
-                    .alias("block", "text"))
-
-
-JS_PATTERNS = [
-    r"""["']https?://[^"']+["']""",
-    r"""["'][/][^"']+["']""",
-    r"""url\(["']?([^"')]+)["']?\)""",
-]
-CSS_PATTERNS = [
-    r"""url\(["']?([^"'()]+)["']?\)""",
-    r"""@import\s+["']?([^"'()]+)["']?""",
-]
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"(?s)<!--.*?-->", "")
+    blocks = F.regexp_extract_all(body, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), 1)
+    return c.select("page_url", "tg_host", "tg_base_domain", F.posexplode(
+        F.when(F.col("own"), F.array(F.coalesce("body", F.lit("")))).otherwise(blocks)).alias("block", "text"))
 
 
 def js_links(captures: DataFrame, include_subdomains: bool = False) -> DataFrame:
-    """Quoted absolute URLs, quoted root paths and ``url(...)`` in inline scripts (L2). The
+    """Quoted absolute URLs, quoted root paths and ``url(...)`` in scripts (L2). The
     first two take the whole match without quotes; ``url(...)`` takes its argument."""
-    s = _script_or_style_bodies(captures, "script")
+    s = _script_or_style_bodies(captures, "script", "javascript")
     arrays = []
-    for i, pat in enumerate(JS_PATTERNS):
+    for i, pat in enumerate(fixed.JS_PATTERNS):
         grp = 1 if i == 2 else 0
         arrays.append(F.transform(F.regexp_extract_all("text", F.lit(pat), grp),
                                   _tagger("pattern", i)))
@@ -140,10 +165,10 @@ def js_links(captures: DataFrame, include_subdomains: bool = False) -> DataFrame
 
 def css_links(captures: DataFrame, include_subdomains: bool = False) -> DataFrame:
     """``url(...)`` and ``@import`` references in style blocks, ``data:`` skipped (L3)."""
-    s = _script_or_style_bodies(captures, "style")
+    s = _script_or_style_bodies(captures, "style", "css")
     arrays = [F.transform(F.regexp_extract_all("text", F.lit(pat), 1),
                           _tagger("pattern", i))
-              for i, pat in enumerate(CSS_PATTERNS)]
+              for i, pat in enumerate(fixed.CSS_PATTERNS)]
     s = s.select("page_url", "tg_host", "tg_base_domain", "block", F.explode(F.concat(*arrays)).alias("m"))
     s = s.select("page_url", "tg_host", "tg_base_domain", "block", F.col("m.pattern").alias("pattern"),
                  (F.col("m.pos") + 1).alias("pos"), F.col("m.v").alias("href"))
@@ -156,13 +181,14 @@ def css_links(captures: DataFrame, include_subdomains: bool = False) -> DataFram
 
 
 def _probe_files(captures: DataFrame, targets: DataFrame, path: str) -> DataFrame:
-    """200 captures of ``<base_url><path>`` joined to their target (one row per target)."""
+    """The newest 200 capture of ``<base_url><path>`` of each target."""
     t = targets.select("hostname", "base_domain", "base_url",
                        F.concat(F.col("base_url"), F.lit(path)).alias("probe_url"))
-    # narrow the captures to this file name before the join, so only these rows are shuffled
-    c = captures.where((F.col("status_code") == 200) & F.col("url").endswith("/" + path)).select(
-        F.col("url").alias("probe_url"), "body")
-    return t.join(c, "probe_url")
+    # narrow the captures to this file name before the shuffle, so only these rows are in it
+    newest = F.max(F.struct("captured_at", F.coalesce("body", F.lit("")).alias("body")))
+    c = captures.where((F.col("status_code") == 200) & F.col("url").endswith("/" + path)).groupBy(
+        F.col("url").alias("probe_url")).agg(newest.alias("c"))
+    return t.join(c.select("probe_url", F.col("c.body").alias("body")), "probe_url")
 
 
 def robots_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bool = False) -> DataFrame:
@@ -204,55 +230,46 @@ def sitemap_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bo
                                 "in_scope"))
 
 
-def candidate_paths(limit: int = 50) -> list[str]:
-    return fixed.CANDIDATE_PATHS[:limit]
-
-
-def candidate_urls_all(targets: DataFrame, limit: int = 50) -> DataFrame:
-    """targets x candidate paths resolved against the base URL (before the anti-join)."""
-    paths = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("path"))
-                      for i, p in enumerate(candidate_paths(limit))])
-    c = targets.select("hostname", "base_url", F.explode(paths).alias("c"))
+def candidate_urls_all(targets: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """targets x candidate paths resolved against the base URL, each path once."""
+    listed = list(dict.fromkeys(fixed.candidate_paths() if paths is None else paths))
+    structs = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("path")) for i, p in enumerate(listed)])
+    structs = structs.cast("array<struct<rank:int,path:string>>")  # also without paths
+    c = targets.select("hostname", "base_url", F.explode(structs).alias("c"))
     c = c.select("hostname", "base_url", F.col("c.rank").alias("rank"), F.col("c.path").alias("path"))
     c = U.with_resolved(c, "base_url", "path", "url")
     return materialize(U.with_normalized(c, "url", "normalized_url"))
 
 
-def discovered_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bool = False,
-                    candidate_limit: int = 50, links: DataFrame | None = None,
-                    candidates: DataFrame | None = None) -> DataFrame:
-    """All discovered URL rows before dedup (J2): captured pages and their in-scope links
-    (HTML), robots.txt entries (ROBOTS), sitemap entries (SITEMAP), then candidate paths not
-    already known (COMMON_PATHS). Columns: hostname, source, context, order keys, url,
-    normalized_url."""
+def known_urls(captures: DataFrame, targets: DataFrame, links: DataFrame, robots: DataFrame,
+               sitemaps: DataFrame) -> DataFrame:
+    """Discovered URL rows but for the candidates (J2): captured pages and the in-scope links of all
+    captured pages (HTML; a superset of what a crawl reaches), robots.txt entries (ROBOTS), sitemap
+    entries (SITEMAP). Columns: hostname, source, context, order keys, url, normalized_url."""
     pages = captures.where(F.col("status_code") == 200).select("url")
     pages = with_target_of(pages, "url")
     pages = U.with_normalized(pages, "url", "normalized_url")
-    page_rows = pages.select(F.col("tg_host").alias("hostname"), F.lit("HTML").alias("source"),
-                             F.lit(None).cast("string").alias("context"), F.lit(0).alias("k1"),
-                             F.lit(-1).alias("k2"), F.lit(0).alias("k3"), F.col("url").alias("parent"),
-                             "url", "normalized_url")
-    links = (links if links is not None else html_links(captures, include_subdomains)).where("in_scope")
-    links = with_target_of(links, "page_url")
-    link_rows = links.select(F.col("tg_host").alias("hostname"), F.lit("HTML").alias("source"), "context",
-                             F.lit(0).alias("k1"), F.col("tag_rank").alias("k2"), F.col("pos").alias("k3"),
-                             F.col("page_url").alias("parent"), "url", "normalized_url")
-    robots = robots_urls(captures, targets, include_subdomains).where("in_scope")
-    robot_rows = robots.select("hostname", F.lit("ROBOTS").alias("source"),
-                               F.lit(None).cast("string").alias("context"), F.lit(1).alias("k1"),
-                               F.lit(0).alias("k2"), F.col("line_no").alias("k3"), F.lit("").alias("parent"),
-                               "url", "normalized_url")
-    sm = sitemap_urls(captures, targets, include_subdomains).where("in_scope")
-    sm_rows = sm.select("hostname", F.lit("SITEMAP").alias("source"), "context", F.lit(2).alias("k1"),
-                        F.col("kind").alias("k2"), F.col("pos").alias("k3"), F.lit("").alias("parent"),
-                        "url", "normalized_url")
-    known = page_rows.unionByName(link_rows).unionByName(robot_rows).unionByName(sm_rows)
-    cands = candidates if candidates is not None else candidate_urls_all(targets, candidate_limit)
-    cands = cands.join(known.select("normalized_url"), "normalized_url", "left_anti")
-    cand_rows = cands.select("hostname", F.lit("COMMON_PATHS").alias("source"),
-                             F.col("path").alias("context"), F.lit(3).alias("k1"), F.lit(0).alias("k2"),
-                             F.col("rank").alias("k3"), F.lit("").alias("parent"), "url", "normalized_url")
-    return materialize(known.unionByName(cand_rows))
+    none = F.lit(None).cast("string").alias("context")
+    page_rows = pages.select(F.col("tg_host").alias("hostname"), F.lit("HTML").alias("source"), none,
+                             F.lit(0).alias("k1"), F.lit(-1).alias("k2"), F.lit(0).alias("k3"),
+                             F.col("url").alias("parent"), "url", "normalized_url")
+    link_rows = links.where("in_scope").select(
+        "hostname", F.lit("HTML").alias("source"), "context", F.lit(0).alias("k1"), F.col("tag_rank").alias("k2"),
+        F.col("pos").alias("k3"), F.col("page_url").alias("parent"), "url", "normalized_url")
+    robot_rows = robots.where("in_scope").select(
+        "hostname", F.lit("ROBOTS").alias("source"), none, F.lit(1).alias("k1"), F.lit(0).alias("k2"),
+        F.col("line_no").alias("k3"), F.lit("").alias("parent"), "url", "normalized_url")
+    sm_rows = sitemaps.where("in_scope").select(
+        "hostname", F.lit("SITEMAP").alias("source"), "context", F.lit(2).alias("k1"), F.col("kind").alias("k2"),
+        F.col("pos").alias("k3"), F.lit("").alias("parent"), "url", "normalized_url")
+    return materialize(page_rows.unionByName(link_rows).unionByName(robot_rows).unionByName(sm_rows))
+
+
+def candidate_rows(candidates: DataFrame) -> DataFrame:
+    """The candidates in the columns of ``known_urls``."""
+    return candidates.select("hostname", F.lit("COMMON_PATHS").alias("source"), F.col("path").alias("context"),
+                             F.lit(3).alias("k1"), F.lit(0).alias("k2"), F.col("rank").alias("k3"),
+                             F.lit("").alias("parent"), "url", "normalized_url")
 
 
 def dedup_urls(rows: DataFrame) -> DataFrame:
@@ -260,4 +277,4 @@ def dedup_urls(rows: DataFrame) -> DataFrame:
     first = F.min(F.struct("k1", "parent", "k2", "k3", "url", "source", "context", "hostname"))
     d = rows.groupBy("normalized_url").agg(first.alias("f"))
     return d.select("normalized_url", F.col("f.hostname").alias("hostname"), F.col("f.url").alias("url"),
-                    F.col("f.source").alias("source"), F.col("f.context").alias("context"))
+                    F.col("f.source").alias("source"), F.col("f.context").alias("context"), F.col("f.k3").alias("rank"))

@@ -1,30 +1,18 @@
 """Link-graph reachability over captured pages (J4, J5) and crawl statistics (A5).
 
-Breadth-first search done one level at a time with joins, the way a FIFO crawl visits pages:
-
-* the frontier of level d carries a per-target order key ``ord`` (a struct: parent's key, tag
-  rank, position), so "queue order" is data, not task order;
-* the first occurrence of a URL in the frontier wins, URLs visited on earlier levels are removed
-  with an anti-join;
-* the page cap (``max_pages`` responses with status 200 per target) cuts the level at the
-  k-th 200 in queue order, found with ``row_number() <= k`` (partial top-k before the shuffle);
-* links of the visited HTML pages form the next frontier; a link is recorded when its target was
-  not yet visited at the moment its page was processed (earlier level, or same level and not
-  later in queue order);
-* each level is written as a table under the session's checkpoint folder, so lineage stays
-  short and a lost executor recomputes at most one level; the visited set is the union of those
-  tables.
-
-At most ``max_depth + 1`` levels run. Links are extracted once for all captures, keyed by the
-page's dedup key.
+Breadth-first search done one level at a time with joins. The frontier of a level is a set of URLs per
+target; URLs visited on earlier levels are removed with an anti-join, both sides of which are distinct,
+so a URL linked from millions of pages is one row. The search runs until a frontier is empty, or to
+``max_depth`` levels below the seeds if one is given. Each level is written as a table under the
+session's checkpoint folder, so lineage stays short and a lost executor recomputes at most one level.
+Links are extracted once for all captures, keyed by the page's dedup key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposa.functions import fixed
 from exposa.functions import urls as U
 from exposa.operators import analysis as A
 from exposa.operators import discovery as D
@@ -32,115 +20,69 @@ from exposa.session import materialize
 
 
 def page_seeds(captures: DataFrame) -> DataFrame:
-    """Every captured 200 HTML page as a seed, in URL order per host (J5 seeds)."""
-    c = captures.where((F.col("status_code") == 200)
-                       & F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html"))
-    c = D.with_target_of(c.select("url"), "url")
-    return c.select(F.col("tg_host").alias("hostname"), "url")
+    """Every captured 200 HTML page as a seed (J5 seeds)."""
+    c = captures.where((F.col("status_code") == 200) & D.is_html(F.col("content_type")))
+    return D.with_target_of(c.select("url"), "url").select(F.col("tg_host").alias("hostname"), "url")
 
 
-def _edges(captures: DataFrame, include_subdomains: bool, links: DataFrame | None = None) -> DataFrame:
-    links = (links if links is not None else D.html_links(captures, include_subdomains)).where("in_scope")
-    links = U.with_normalized(links.withColumnRenamed("normalized_url", "link_key"), "page_url", "page_key")
-    links = U.with_parts(links, "url", "x_")
-    return links.select("page_key", "tag_rank", "pos", F.col("url").alias("link_url"), "link_key",
-                        U.should_crawl("x_path").alias("crawlable"))
+def edges_of(links: DataFrame) -> DataFrame:
+    """In-scope links by the dedup keys of their page and target."""
+    e = U.with_normalized(links.where("in_scope").withColumnRenamed("normalized_url", "link_key"), "page_url", "page_key")
+    e = U.with_parts(e, "url", "x_")
+    return e.select("page_key", F.col("url").alias("link_url"), "link_key", U.should_crawl("x_path").alias("crawlable"))
 
 
-def crawl(spark: SparkSession, captures: DataFrame, targets: DataFrame, seeds: DataFrame | None = None,
-          max_depth: int = fixed.MAX_DEPTH, max_pages: int = fixed.MAX_PAGES,
-          include_subdomains: bool = False, links: DataFrame | None = None) -> DataFrame:
-    """Recorded URLs of the crawl: (hostname, url, normalized_url, depth, kind) where kind is
-    ``file`` (a non-HTML 200 page) or ``link`` (a newly seen in-scope link), plus ``page`` rows
-    for every crawled 200 page (used by the statistics)."""
+def crawl(captures: DataFrame, targets: DataFrame, links: DataFrame, seeds: DataFrame | None = None,
+          max_depth: int | None = None) -> DataFrame:
+    """What a crawl of each target from its base URL (and the seeds) reaches: (hostname, url,
+    normalized_url, depth, kind, links). ``page``: a crawled response with status 200, ``links`` the links
+    found on it; ``file``: the same, not HTML; ``link``: an in-scope link found on a crawled page, at its
+    least depth. A URL has one row per kind."""
     caps = A.keyed_status(captures).withColumnRenamed("normalized_url", "key")
-    edges = materialize(_edges(captures, include_subdomains, links))
-
-    # Level-0 queue order: seeds in URL order, then the base URL. The key is data (no window
-    # over a host's seeds, which could be a third of all pages).
-    base = targets.select("hostname", F.col("base_url").alias("url"))
+    edges = materialize(edges_of(links))
+    out_degree = edges.groupBy("page_key").agg(F.count("*").alias("links"))
+    start = targets.select("hostname", F.col("base_url").alias("url"))
     if seeds is not None:
-        frontier = seeds.select("hostname", "url", F.lit(0).alias("o")).unionByName(
-            base.withColumn("o", F.lit(1)))
-    else:
-        frontier = base.withColumn("o", F.lit(0))
-    frontier = U.with_normalized(frontier, "url", "key")
-    frontier = frontier.select("hostname", "url", "key",
-                               F.struct(F.col("o").alias("o"), F.col("url").alias("u")).alias("ord"))
+        start = start.unionByName(seeds.select("hostname", "url"))
+    frontier = U.with_normalized(start, "url", "key").select("hostname", "url", "key")
 
-    visited = None          # (hostname, key) of all visited URLs so far
-    crawled = None          # per target: crawled 200 pages so far
-    crawled_pages = None
-    outputs = []
-    for depth in range(max_depth + 1):
-        # first occurrence per URL in queue order, minus earlier levels
-        first = frontier.groupBy("hostname", "key").agg(F.min(F.struct("ord", "url")).alias("f")) \
-            .select("hostname", "key", F.col("f.ord").alias("ord"), F.col("f.url").alias("url"))
+    visited, pages, found_on = None, None, None
+    depth = 0
+    while max_depth is None or depth <= max_depth:
+        level = frontier.groupBy("hostname", "key").agg(F.min("url").alias("url"))
         if visited is not None:
-            first = first.join(visited, ["hostname", "key"], "left_anti")
-        cand = first.join(caps, "key", "left")
-        budget = F.lit(max_pages) if crawled is None else (F.lit(max_pages) - F.coalesce("pages", F.lit(0)))
-        if crawled is not None:
-            cand = cand.join(crawled, "hostname", "left")
-        cand = cand.withColumn("budget", budget.cast("long"))
-        ok = cand.where(F.col("status_code") == 200)
-        w = Window.partitionBy("hostname").orderBy("ord")
-        # the literal bound lets Spark keep only max_pages rows per host and partition before the
-        # shuffle (a hot host never sorts its whole frontier in one task); the per-host budget
-        # (<= max_pages) then picks the cut row
-        top = ok.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.lit(max_pages))
-        cut = top.where(F.col("r") == F.col("budget")).select("hostname", F.col("ord").alias("cut_ord"))
-        level = cand.join(cut, "hostname", "left").where(
-            (F.col("budget") > 0) & (F.col("cut_ord").isNull() | (F.col("ord") <= F.col("cut_ord"))))
-        level = materialize(level.select("hostname", "url", "key", "ord", "status_code", "content_type"))
-
-        pages = level.where(F.col("status_code") == 200)
-        is_html = F.col("content_type").isNull() | (F.col("content_type") == "") | \
-            F.lower(F.col("content_type")).contains("text/html")
-        outputs.append(pages.select("hostname", "url", "key", F.lit(depth).alias("depth"),
-                                    F.lit("page").alias("kind"), F.lit(None).cast("string").alias("parent")))
-        outputs.append(pages.where(~is_html).select("hostname", "url", "key", F.lit(depth).alias("depth"),
-                                                    F.lit("file").alias("kind"),
-                                                    F.lit(None).cast("string").alias("parent")))
-        html = pages.where(is_html).select("hostname", F.col("key").alias("page_key"), F.col("ord").alias("p_ord"),
-                                           F.col("url").alias("parent"))
-        found = html.join(edges, "page_key")
-        # visited-at-that-moment: earlier levels, or this level up to the page's own position
-        same = level.select("hostname", F.col("key").alias("link_key"), F.col("ord").alias("v_ord"))
-        found = found.join(same, ["hostname", "link_key"], "left")
-        found = found.where(F.col("v_ord").isNull() | (F.col("v_ord") > F.col("p_ord")))
-        if visited is not None:
-            found = found.join(visited.withColumnRenamed("key", "link_key"), ["hostname", "link_key"], "left_anti")
-        found = found.select("hostname", "link_url", "link_key", "crawlable", "parent",
-                             F.struct(F.col("p_ord").alias("p"), F.col("tag_rank").cast("long").alias("t"),
-                                      F.col("pos").cast("long").alias("q")).alias("ord"))
-        found = materialize(found)
-        outputs.append(found.select("hostname", F.col("link_url").alias("url"), F.col("link_key").alias("key"),
-                                    F.lit(depth + 1).alias("depth"), F.lit("link").alias("kind"), "parent"))
-        outputs.append(html.join(edges, "page_key").select(
-            "hostname", F.col("link_url").alias("url"), F.col("link_key").alias("key"),
-            F.lit(depth + 1).alias("depth"), F.lit("found").alias("kind"), "parent"))
-
-        lv = level.select("hostname", "key")
-        visited = lv if visited is None else visited.unionByName(lv)
-        # pages crawled so far per host: counted from the level tables already written
-        crawled_pages = pages.select("hostname") if crawled_pages is None else \
-            crawled_pages.unionByName(pages.select("hostname"))
-        crawled = crawled_pages.groupBy("hostname").agg(F.count("*").alias("pages"))
-        frontier = found.where("crawlable").select("hostname", F.col("link_url").alias("url"),
-                                                   F.col("link_key").alias("key"), "ord")
-        if frontier.isEmpty():  # reads the small level table just written
+            level = level.join(visited, ["hostname", "key"], "left_anti")
+        level = materialize(level.join(caps, "key", "left").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
             break
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
-    return out.withColumnRenamed("key", "normalized_url")
+        ok = level.where(F.col("status_code") == 200)
+        html = ok.where(D.is_html(F.col("content_type"))).select("hostname", F.col("key").alias("page_key"))
+        found = materialize(html.join(edges, "page_key").groupBy("hostname", F.col("link_key").alias("key")).agg(
+            F.min("link_url").alias("url"), F.max("crawlable").alias("crawlable")).withColumn("depth", F.lit(depth + 1)))
+        seen = level.select("hostname", "key")
+        visited = seen if visited is None else visited.unionByName(seen)
+        pages = ok if pages is None else pages.unionByName(ok)
+        found_on = found if found_on is None else found_on.unionByName(found)
+        frontier = found.where("crawlable").select("hostname", "url", "key")
+        depth += 1
+    if pages is None:
+        pages = level.where(F.lit(False))
+        found_on = level.select("hostname", "key", "url", F.lit(True).alias("crawlable"), "depth").where(F.lit(False))
+    counted = pages.join(out_degree, pages["key"] == out_degree["page_key"], "left").select(
+        "hostname", "url", "key", "depth", D.is_html(F.col("content_type")).alias("html"), F.coalesce("links", F.lit(0)).alias("links"))
+    page = counted.select("hostname", "url", "key", "depth", F.lit("page").alias("kind"),
+                          F.when(F.col("html"), F.col("links")).otherwise(F.lit(0)).alias("links"))
+    file = counted.where("not html").select("hostname", "url", "key", "depth", F.lit("file").alias("kind"),
+                                            F.lit(0).cast("bigint").alias("links"))
+    link = found_on.groupBy("hostname", "key").agg(F.min(F.struct("depth", "url")).alias("f")).select(
+        "hostname", F.col("f.url").alias("url"), "key", F.col("f.depth").alias("depth"), F.lit("link").alias("kind"),
+        F.lit(0).cast("bigint").alias("links"))
+    return materialize(page.unionByName(file).unionByName(link).withColumnRenamed("key", "normalized_url"))
 
 
 def crawl_statistics(crawl_rows: DataFrame) -> DataFrame:
-    """Per host: pages crawled, links found on crawled pages, links newly recorded (A5)."""
-    c = crawl_rows
-    return c.groupBy("hostname").agg(
+    """Per host: pages crawled, links found on crawled pages, distinct URLs among them (A5)."""
+    return crawl_rows.groupBy("hostname").agg(
         F.count(F.when(F.col("kind") == "page", 1)).cast("long").alias("pages_crawled"),
-        F.count(F.when(F.col("kind") == "found", 1)).cast("long").alias("total_urls_found"),
+        F.sum("links").cast("long").alias("total_urls_found"),
         F.count(F.when(F.col("kind") == "link", 1)).cast("long").alias("unique_urls_found"))

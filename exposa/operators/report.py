@@ -133,20 +133,27 @@ def url_list(resources: DataFrame) -> DataFrame:
     return resources.select("hostname", "normalized_url", F.concat(status, F.col("url")).alias("line"))
 
 
-def report_header(targets: DataFrame, stats: DataFrame, counts: DataFrame, sensitive: DataFrame,
-                  secrets_summary: DataFrame, max_pages: int = fixed.MAX_PAGES,
-                  max_depth: int = fixed.MAX_DEPTH, include_subdomains: bool = False) -> DataFrame:
-    """One row per target (S6 header): target, configuration and statistics."""
+def historical_count(resources: DataFrame) -> DataFrame:
+    """Per host: resources no longer current (header field of S6)."""
+    return resources.groupBy("hostname").agg(_count_if(~F.col("is_current")).alias("historical_urls"))
+
+
+def report_header(targets: DataFrame, captures: DataFrame, stats: DataFrame, counts: DataFrame, sensitive: DataFrame,
+                  secrets_summary: DataFrame, historical: DataFrame, max_depth: int | None = None,
+                  include_subdomains: bool = False) -> DataFrame:
+    """One row per target (S6 header): target, configuration, capture times and statistics."""
     st = (stats.join(counts, "hostname", "left").join(sensitive, "hostname", "left")
-          .join(secrets_summary, "hostname", "left"))
+          .join(secrets_summary, "hostname", "left").join(historical, "hostname", "left"))
+    own = U.with_parts(captures.select("url", "captured_at"), "url", "c_")
+    times = own.groupBy(U.hostname_of_netloc("c_netloc").alias("hostname")).agg(
+        F.min("captured_at").alias("start_time"), F.max("captured_at").alias("end_time"))
     t = targets.select("hostname", F.struct("base_url", "hostname", "base_domain", "scheme", "port").alias("target"))
-    conf = F.struct(F.lit(max_pages).alias("max_pages"), F.lit(max_depth).alias("max_depth"),
-                    F.lit(include_subdomains).alias("include_subdomains"))
-    stat_cols = ["urls_discovered", "urls_checked", "currently_accessible", "documents", "images",
+    conf = F.struct(F.lit(max_depth).cast("int").alias("max_depth"), F.lit(include_subdomains).alias("include_subdomains"))
+    stat_cols = ["urls_discovered", "urls_checked", "currently_accessible", "historical_urls", "documents", "images",
                  "data_files", "potential_sensitive_files", "critical_count", "high_count",
                  "medium_count", "low_count", "info_count", "total_secrets_found"]
-    return t.join(st, "hostname", "left").select(
-        "hostname", "target", conf.alias("configuration"),
+    return t.join(st, "hostname", "left").join(times, "hostname", "left").select(
+        "hostname", "target", conf.alias("configuration"), "start_time", "end_time",
         F.struct(*[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in stat_cols]).alias("statistics"))
 
 
@@ -166,14 +173,31 @@ def report_findings(findings: DataFrame, secrets: DataFrame) -> DataFrame:
         .alias("secrets"))
 
 
+#: Folders that a sink spreads the hosts over.
+HOST_BUCKETS = 64
+
+
+def bucketed(df: DataFrame) -> DataFrame:
+    """A folder per bucket of hosts, not per host: there may be millions of those."""
+    return df.withColumn("host_bucket", F.pmod(F.xxhash64("hostname"), F.lit(HOST_BUCKETS)).cast("int"))
+
+
 def write_json_report(header: DataFrame, findings_rows: DataFrame, path: str) -> None:
-    """JSON sink: ``header/`` (one line per target) and ``findings/`` (one line per finding),
-    both partitioned by host."""
-    header.write.mode("overwrite").partitionBy("hostname").json(f"{path}/header")
-    findings_rows.repartitionByRange("hostname", "normalized_url").write.mode("overwrite") \
-        .partitionBy("hostname").json(f"{path}/findings")
+    """JSON sink: ``header/`` (one line per target, with the time of writing) and ``findings/`` (one line
+    per finding), both by bucket of hosts."""
+    stamped = header.withColumn("generated_at", F.current_timestamp())
+    bucketed(stamped).write.mode("overwrite").partitionBy("host_bucket").json(f"{path}/header")
+    bucketed(findings_rows).repartitionByRange("host_bucket", "hostname", "normalized_url").write.mode("overwrite") \
+        .partitionBy("host_bucket").json(f"{path}/findings")
 
 
 def write_url_list(lines: DataFrame, path: str) -> None:
-    lines.repartitionByRange("hostname", "normalized_url") \
-        .select("hostname", "line").write.mode("overwrite").partitionBy("hostname").text(path)
+    """Text sink: the lines of ``url_list``, by bucket of hosts."""
+    bucketed(lines).repartitionByRange("host_bucket", "hostname", "normalized_url") \
+        .select("host_bucket", "line").write.mode("overwrite").partitionBy("host_bucket").text(path)
+
+
+def write_section_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """The report's tables (S8), one Parquet table per section, by bucket of hosts."""
+    for name, df in tables.items():
+        bucketed(df).write.mode("overwrite").partitionBy("host_bucket").parquet(f"{path}/{name}")

@@ -1,15 +1,16 @@
 """DuckDB SQL oracles: for each registered query, an independent statement of the same result in
 ANSI SQL over the pre-registered views (``pages``, ``documents``, ...).
 
-The SQL is written separately from the Spark plans (RE2 regexes, DuckDB list functions); only the
-fixed values are shared. Queries that are iterative (the crawl) or nested (the JSON report) have
-no oracle and are checked against brute force in the tests instead.
+The SQL is written separately from the Spark plans (RE2 regexes, DuckDB list functions); the fixed
+values and the statement of the queries' input (``responses``) are shared. The crawl is a recursive
+query. Lists that both sides share are held against expected rows of their own in the tests.
 """
 
 from __future__ import annotations
 
 from exposa.functions import fixed
-from exposa.sources.captures import PROBES
+from exposa.functions.secrets import KEY_BLOCK, LINE_MASKS, SECRET_PATTERNS
+from exposa.plans import responses
 
 
 def q(s: str) -> str:
@@ -109,12 +110,7 @@ def is_private(h: str) -> str:
 
 # ------------------------------------------------------------------ shared CTEs
 def captures_cte() -> str:
-    """page captures + per-target probe captures (targets from page hosts)."""
-    rows = []
-    for i, (p, status, ctype, server, location, body) in enumerate(PROBES):
-        def v(x):
-            return "NULL" if x is None else q(x)
-        rows.append(f"({i}, {q(p)}, {status}, {v(ctype)}, {v(server)}, {v(location)}, {v(body)})")
+    """Targets from page hosts; pages and documents as captures."""
     h = host("url")
     return f"""
 hosts AS (SELECT DISTINCT {h} AS hostname FROM pages WHERE {h} IS NOT NULL),
@@ -122,18 +118,7 @@ targets AS (
   SELECT hostname, 'https' AS scheme, 443 AS port, {base_domain('hostname')} AS base_domain,
          'https://' || hostname AS normalized_target, 'https://' || hostname || '/' AS base_url
   FROM hosts WHERE hostname <> 'metadata.google.internal' AND NOT {is_private('hostname')}),
-probe_defs(probe_id, path, status_code, content_type, server, location, body) AS (VALUES {", ".join(rows)}),
-probes AS (
-  SELECT t.base_url || p.path AS url, t.base_url || p.path AS final_url, p.status_code, p.content_type,
-         CAST(CASE WHEN p.body IS NULL THEN NULL ELSE strlen(replace(replace(p.body, '{{base}}', t.base_url), '{{host}}', t.hostname)) END AS BIGINT) AS content_length,
-         p.server, replace(p.location, '{{host}}', t.hostname) AS location,
-         replace(replace(p.body, '{{base}}', t.base_url), '{{host}}', t.hostname) AS body
-  FROM targets t CROSS JOIN probe_defs p),
-captures AS (
-  SELECT url, url AS final_url, 200 AS status_code, 'text/html; charset=utf-8' AS content_type,
-         CAST(strlen(html) AS BIGINT) AS content_length, CAST(NULL AS VARCHAR) AS server,
-         CAST(NULL AS VARCHAR) AS location, html AS body FROM pages
-  UNION ALL SELECT * FROM probes)"""
+{responses.captures_sql(h)}"""
 
 
 def with_ctes(*ctes: str, body: str) -> str:
@@ -159,8 +144,8 @@ def listing_expr(sample: str) -> str:
 ORACLES: dict[str, str] = {}
 
 ORACLES["captures_load"] = with_ctes(captures_cte(), body="""
-SELECT url, CAST(status_code AS BIGINT) AS status_code, content_type, content_length,
-       CAST(length(body) AS BIGINT) AS body_chars FROM captures""")
+SELECT url, CAST(status_code AS BIGINT) AS status_code, content_type, content_length, server, location,
+       captured_at, is_current, CAST(length(body) AS BIGINT) AS body_chars FROM captures""")
 
 ORACLES["content_sample"] = with_ctes(captures_cte(), body=f"""
 SELECT url, CAST(length({SAMPLE}) AS BIGINT) AS sample_chars FROM captures""")
@@ -284,42 +269,62 @@ _INVALID = (r"^(?:[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\
             r"\x{202f}\x{205f}\x{3000}]*$|mailto:|tel:|javascript:|data:|ftp:|file:|#)")
 
 
+_REFERENCE = r"&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&[A-Za-z]+;|[^&]+|&"
+
+
 def decode(v: str) -> str:
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                    ("&apos;", "'"), ("&amp;", "&")]:
-        v = f"replace({v}, {q(ent)}, {q(ch)})"
-    return v
+    """Character references decoded piece by piece."""
+    def character(code: str) -> str:
+        return f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) END"
+    hexadecimal = "TRY_CAST('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]{1,6});$', 1) AS BIGINT)"
+    decimal = "TRY_CAST(regexp_extract(p, '^&#([0-9]{1,7});$', 1) AS BIGINT)"
+    named = " ".join(f"WHEN {q('&' + n + ';')} THEN {q(c)}" for n, c in fixed.ENTITIES.items())
+    piece = (f"CASE WHEN regexp_matches(p, '^&#[xX]') THEN coalesce({character(hexadecimal)}, p) "
+             f"WHEN starts_with(p, '&#') THEN coalesce({character(decimal)}, p) ELSE CASE p {named} ELSE p END END")
+    return (f"(CASE WHEN strpos({v}, '&') > 0 THEN array_to_string(list_transform(regexp_extract_all({v}, {q(_REFERENCE)}), "
+            f"lambda p: {piece}), '') ELSE {v} END)")
+
+
+_ATTR = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+
+
+def attribute(tag_html: str, name: str) -> str:
+    own = (f"list_filter(regexp_extract_all(regexp_replace({tag_html}, '^<[A-Za-z0-9]+|/?>$', '', 'g'), {q(_ATTR)}), "
+           f"lambda a: lower(regexp_extract(a, '^[^\\s=]+')) = {q(name)})[-1]")
+    return (f"regexp_replace(regexp_extract(coalesce({own}, ''), '(?s)=\\s*(.*)$', 1), "
+            f"{q(chr(40) + '?s)^' + chr(34) + '(.*)' + chr(34) + '$|^' + chr(39) + '(.*)' + chr(39) + '$')}, '\\1\\2')")
+
+
+IS_HTML = "(coalesce(content_type, '') = '' OR strpos(lower(content_type), 'text/html') > 0)"
 
 
 def links_ctes(include_subdomains: bool = False) -> list[str]:
     rank = " ".join(f"WHEN {q(t)} THEN {i}" for i, (t, _) in enumerate(fixed.LINK_TAG_ATTRS))
     ctx = " ".join(f"WHEN {q(t)} THEN {q(t + '.' + a)}" for t, a in fixed.LINK_TAG_ATTRS)
-    val = " ".join(
-        f"WHEN {q(t)} THEN regexp_extract(tag_html, {q('(?is)^.*' + chr(92) + 's' + a + r'''\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)''')}, 1)"
-        for t, a in fixed.LINK_TAG_ATTRS)
+    val = " ".join(f"WHEN {q(t)} THEN {attribute('tag_html', a)}" for t, a in fixed.LINK_TAG_ATTRS)
     strip = ("regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), "
              "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1', 'g')")
-    sub = "true" if include_subdomains else "false"
+    own = f"{netloc('url')} = {host('page_url')}"
+    sub = f"ends_with({netloc('url')}, '.' || {base_domain(host('page_url'))})"
     return [f"""
-lk_pages AS (SELECT url AS page_url, {strip} AS h FROM captures
-             WHERE status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0),
+lk_pages AS (SELECT url AS page_url, {strip} AS h FROM captures WHERE status_code = 200 AND {IS_HTML}),
 lk_tags AS (SELECT page_url, unnest(regexp_extract_all(h, {q(TAG_RE)})) AS tag_html,
                    unnest(generate_series(1, len(regexp_extract_all(h, {q(TAG_RE)})))) AS pos FROM lk_pages),
 lk_vals AS (SELECT page_url, pos, lower(regexp_extract(tag_html, '^<([A-Za-z]+)', 1)) AS tag, tag_html FROM lk_tags),
-lk_raw AS (SELECT page_url, pos, CASE tag {rank} END AS tag_rank, CASE tag {ctx} END AS context,
-                  {decode("regexp_replace(CASE tag " + val + " END, '^\"(.*)\"$|^''(.*)''$', '\\1\\2')")} AS href
-           FROM lk_vals),
+lk_attr AS (SELECT page_url, pos, CASE tag {rank} END AS tag_rank, CASE tag {ctx} END AS context, CASE tag {val} END AS raw
+            FROM lk_vals),
+lk_raw AS (SELECT page_url, pos, tag_rank, context, {decode('raw')} AS href FROM lk_attr),
 lk_valid AS (SELECT * FROM lk_raw WHERE href <> '' AND NOT regexp_matches(href, {q(_INVALID)})),
 lk_res AS ({resolved_select('lk_valid', 'page_url', 'href', 'page_url, pos, tag_rank, context, href')}),
-links AS (SELECT page_url, CAST(tag_rank AS BIGINT) AS tag_rank, CAST(pos AS BIGINT) AS pos, context, href, url,
-                 {normalized('url')} AS normalized_url,
-                 coalesce({netloc('url')} <> '' AND ({netloc('url')} = {host('page_url')}
-                   OR ({sub} AND ends_with({netloc('url')}, '.' || {base_domain(host('page_url'))}))), false) AS in_scope
-          FROM lk_res)"""]
+links_all AS (SELECT page_url, CAST(tag_rank AS BIGINT) AS tag_rank, CAST(pos AS BIGINT) AS pos, context, href, url,
+                     {normalized('url')} AS normalized_url, coalesce({netloc('url')} <> '' AND {own}, false) AS in_scope,
+                     coalesce({netloc('url')} <> '' AND ({own} OR {sub}), false) AS in_scope_with_subdomains
+              FROM lk_res),
+links AS (SELECT * EXCLUDE (in_scope_with_subdomains) FROM links_all)"""]
 
 
-def candidates_cte(limit: int = 50) -> str:
-    vals = ", ".join(f"({i}, {q(p)})" for i, p in enumerate(fixed.CANDIDATE_PATHS[:limit]))
+def candidates_cte() -> str:
+    vals = ", ".join(f"({i}, {q(p)})" for i, p in enumerate(fixed.candidate_paths()))
     return f"""
 cand_defs(rank, path) AS (VALUES {vals}),
 cand_in AS (SELECT t.hostname, t.base_url, c.rank, c.path FROM targets t CROSS JOIN cand_defs c),
@@ -399,21 +404,15 @@ _DOC = " OR ".join(f"ends_with(fn, {q(e)})" for e in fixed.SENSITIVE_DOC_EXTENSI
 _KW = " OR ".join(f"strpos(fn, {q(w)}) > 0" for w in fixed.SENSITIVE_KEYWORDS)
 ORACLES["sensitive_documents"] = _with_links(f"SELECT url, ({_KW}) AS has_keyword FROM cls WHERE {_DOC}", _CLS)
 
-ORACLES["scope_filter"] = with_ctes(captures_cte(), *links_ctes(False), body=f"""
-SELECT page_url, pos, url, in_scope,
-       coalesce({netloc('url')} <> '' AND ({netloc('url')} = {host('page_url')}
-                 OR ends_with({netloc('url')}, '.' || {base_domain(host('page_url'))})), false) AS in_scope_with_subdomains
-FROM links""")
+ORACLES["scope_filter"] = _with_links("SELECT page_url, pos, url, in_scope, in_scope_with_subdomains FROM links_all")
 
 ORACLES["path_safety"] = _with_links(f"""
 SELECT path, NOT (strpos(path, '../') > 0 OR strpos(path, '..\\') > 0 OR starts_with(path, '/')
                   OR starts_with(path, '\\') OR (length(path) > 1 AND substr(path, 2, 1) = ':')
                   OR {" OR ".join(f"strpos(lower(path), {q(s)}) > 0" for s in fixed.UNSAFE_PATH_SUBSTRINGS)}) AS is_safe
-FROM (SELECT href AS path FROM links UNION SELECT path FROM (VALUES {", ".join(f"({q(p)})" for p in fixed.CANDIDATE_PATHS)}) v(path))""")
+FROM (SELECT href AS path FROM links UNION SELECT path FROM (VALUES {", ".join(f"({q(p)})" for p in fixed.candidate_paths())}) v(path))""")
 
 # ------------------------------------------------------------------ secrets on documents
-from exposa.functions.secrets import SECRET_PATTERNS  # noqa: E402
-
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _LINES = f"""
 doc_lines0 AS (SELECT doc_id, regexp_split_to_array(text, {q(LINE_BREAK)}) AS parts,
@@ -437,15 +436,6 @@ SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(match_pos AS BIG
             ELSE '***' END AS redacted_value FROM m WHERE v <> ''"""
 
 _WS = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-ORACLES["redacted_snippet"] = with_ctes(_LINES, body=f"""
-SELECT doc_id,
-  regexp_replace(array_to_string(list_transform(lines[1:{fixed.SNIPPET_MAX_LINES}],
-      lambda l: regexp_replace(l, {q(fixed.SNIPPET_SECRET_KEY_PATTERN)}, '\\1\\2[REDACTED]', 'g')), chr(10)),
-      '^{_WS}+|{_WS}+$', '', 'g')
-  || CASE WHEN len(lines) > {fixed.SNIPPET_MAX_LINES}
-          THEN chr(10) || '... (' || CAST(len(lines) - {fixed.SNIPPET_MAX_LINES} AS VARCHAR) || ' more lines)' ELSE '' END AS snippet
-FROM doc_lines""")
-
 
 # ------------------------------------------------------------------ the whole scan
 PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
@@ -462,7 +452,7 @@ def any_contains(col: str, needles) -> str:
 
 def soft404_expr() -> str:
     body = "coalesce(sample, '')"
-    head = f"substr({body}, 1, {fixed.SNIFF_CHARS})"
+    head = body
     html_like = any_contains(f"lower({head})", fixed.HTML_MARKERS)
     non_html = f"(ext IN {in_list(fixed.NON_HTML_EXTENSIONS)} OR {any_contains('filename', fixed.NON_HTML_FILENAME_MARKERS)})"
     html_type = "strpos(lower(coalesce(content_type, '')), 'text/html') > 0"
@@ -485,14 +475,20 @@ def lines_expr(text: str) -> str:
 
 
 def snippet_expr(text: str) -> str:
-    lines = lines_expr(text)
+    lines = lines_expr(f"regexp_replace({text}, {q(KEY_BLOCK)}, '[REDACTED PRIVATE KEY]', 'g')")
     n = fixed.SNIPPET_MAX_LINES
-    return (f"(regexp_replace(array_to_string(list_transform({lines}[1:{n}], lambda l: regexp_replace(l, "
-            f"{q(fixed.SNIPPET_SECRET_KEY_PATTERN)}, '\\1\\2[REDACTED]', 'g')), chr(10)), '^{_WS}+|{_WS}+$', '', 'g') "
+    line = "l"
+    for pattern, _ in LINE_MASKS:
+        line = f"regexp_replace({line}, {q(pattern)}, '\\1[REDACTED]', 'g')"
+    line = f"regexp_replace({line}, {q(fixed.SNIPPET_SECRET_KEY_PATTERN)}, '\\1\\2[REDACTED]', 'g')"
+    return (f"(regexp_replace(array_to_string(list_transform({lines}[1:{n}], lambda l: {line}), chr(10)), '^{_WS}+|{_WS}+$', '', 'g') "
             f"|| CASE WHEN len({lines}) > {n} THEN chr(10) || '... (' || CAST(len({lines}) - {n} AS VARCHAR) "
             f"|| ' more lines)' ELSE '' END)")
 
 
+ORACLES["redacted_snippet"] = f"SELECT doc_id, {snippet_expr('text')} AS snippet FROM documents"
+
+
 def case_map(col: str, mapping: dict, default: str) -> str:
     arms = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
     return f"coalesce(CASE {col} {arms} END, {q(default)})"
@@ -502,9 +498,15 @@ def analysis_ctes(src: str, p: str, calibration: bool) -> str:
     """Resource verdict CTEs over ``src`` (normalized_url, hostname, url, source, context), named
     with prefix ``p``; without calibration the catch-all flag is false."""
     rt, sv = classification_exprs("category", "filename_c")
-    text = f"""a0 AS (SELECT u.*, k.status_code, k.content_type, k.content_length, k.server, k.location,
+    text = f"""pick AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT u.url AS r_url, u.normalized_url AS r_key, u.hostname AS r_host, u.context AS r_context, k.*,
+         row_number() OVER (PARTITION BY u.url, u.normalized_url, u.hostname, u.context
+           ORDER BY k.url <> u.url, coalesce(k.status_code, 0) <> 200, -coalesce(k.captured_at, 0), k.url) AS rn
+  FROM urls u JOIN kc k ON k.key = u.normalized_url) WHERE rn = 1),
+a0 AS (SELECT u.*, k.status_code, k.content_type, k.content_length, k.server, k.location, k.is_current AS k_current,
               {SAMPLE.replace('status_code', 'k.status_code').replace('content_type', 'k.content_type').replace('body', 'k.body')} AS sample,
-              {path('u.url')} AS path FROM urls u LEFT JOIN kc k USING (normalized_url)),
+              {path('u.url')} AS path FROM urls u LEFT JOIN pick k ON k.r_url = u.url AND k.r_key = u.normalized_url
+              AND k.r_host = u.hostname AND k.r_context IS NOT DISTINCT FROM u.context),
 a1 AS (SELECT a0.*, {category_expr('lower(path)')} AS category, split_part(lower(path), '/', -1) AS filename_c,
               {extension('path')} AS ext, lower(split_part(path, '/', -1)) AS filename, status_code IS NOT NULL AS has_response,
               c.catch_all FROM a0 LEFT JOIN catch c USING (hostname)),
@@ -524,9 +526,9 @@ analyzed AS (SELECT *,
        WHEN has_response AND is_directory_listing THEN {q(fixed.LISTING_DESCRIPTION)} END AS description,
   CASE WHEN has_response AND soft_404 THEN 'Soft-404 detected at ' || url || ': status 200 with content-type ' || coalesce(content_type, 'None')
        WHEN has_response AND is_directory_listing THEN 'Directory listing detected at ' || url END AS analysis_note,
-  true AS is_current FROM a3),
+  coalesce(k_current, true) AS is_current FROM a3),
 """
-    text = text.replace("FROM urls u LEFT JOIN kc k", f"FROM {src} u LEFT JOIN kc k")
+    text = text.replace("FROM urls u", f"FROM {src} u").replace("JOIN pick k", f"JOIN {p}pick k").replace("pick AS (", f"{p}pick AS (")
     if not calibration:
         text = text.replace("c.catch_all FROM a0 LEFT JOIN catch c USING (hostname)", "false AS catch_all FROM a0")
     for name in ["analyzed", "a0", "a1", "a2", "a3"]:
@@ -550,8 +552,10 @@ def scan_ctes() -> str:
     desc = case_map("resource_type", fixed.FINDING_DESCRIPTIONS, fixed.FINDING_DESCRIPTION_DEFAULT)
     remed = case_map("resource_type", fixed.FINDING_REMEDIATIONS, fixed.FINDING_REMEDIATION_DEFAULT)
     return f"""
+newest AS (SELECT url, body FROM (SELECT url, body, row_number() OVER (PARTITION BY url ORDER BY captured_at DESC) AS rn
+                                  FROM captures WHERE status_code = 200) WHERE rn = 1),
 rb AS (SELECT t.hostname, t.base_domain, t.base_url, c.body FROM targets t
-       JOIN captures c ON c.url = t.base_url || 'robots.txt' AND c.status_code = 200),
+       JOIN newest c ON c.url = t.base_url || 'robots.txt'),
 rb_lines AS (SELECT hostname, base_url, unnest(string_split(coalesce(body, ''), chr(10))) AS line,
                     unnest(generate_series(1, len(string_split(coalesce(body, ''), chr(10))))) AS line_no FROM rb),
 rb_t AS (SELECT hostname, base_url, line_no, regexp_replace(line, {q(PY_TRIM)}, '', 'g') AS l FROM rb_lines),
@@ -562,7 +566,7 @@ rb_res AS ({resolved_select('rb_ok', 'base_url', 'value', 'hostname, line_no, va
 robots AS (SELECT hostname, CAST(line_no AS BIGINT) AS line_no, value, url, {normalized('url')} AS normalized_url,
                   {in_scope_expr('url', 'hostname', '')} AS in_scope FROM rb_res),
 sm AS (SELECT t.hostname, coalesce(c.body, '') AS body FROM targets t
-       JOIN captures c ON c.url = t.base_url || 'sitemap.xml' AND c.status_code = 200),
+       JOIN newest c ON c.url = t.base_url || 'sitemap.xml'),
 sm_m AS (
   SELECT hostname, 0 AS kind, unnest(regexp_extract_all(body, '(?is)<loc\\b[^>]*>(.*?)</loc\\s*>', 1)) AS v,
          unnest(generate_series(1, len(regexp_extract_all(body, '(?is)<loc\\b[^>]*>(.*?)</loc\\s*>', 1)))) AS pos FROM sm
@@ -580,23 +584,20 @@ known AS (
   UNION ALL SELECT hostname, 'ROBOTS', NULL, 1, '', 0, line_no, url, normalized_url FROM robots WHERE in_scope
   UNION ALL SELECT hostname, 'SITEMAP', context, 2, '', kind, pos, url, normalized_url FROM sitemap WHERE in_scope),
 cand_k AS (SELECT hostname, rank, path, url, {normalized('url')} AS normalized_url FROM cand_all),
-discovered AS (
-  SELECT * FROM known
-  UNION ALL SELECT hostname, 'COMMON_PATHS', path, 3, '', 0, rank, url, normalized_url FROM cand_k
-  WHERE normalized_url NOT IN (SELECT normalized_url FROM known)),
-urls AS (SELECT normalized_url, hostname, url, source, context FROM (
+every AS (
+  SELECT * FROM known UNION ALL SELECT hostname, 'COMMON_PATHS', path, 3, '', 0, rank, url, normalized_url FROM cand_k),
+firsts AS (SELECT normalized_url, hostname, url, source, context, k3 FROM (
   SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY k1, parent, k2, k3, url, source,
-                                 context NULLS FIRST, hostname) AS rn FROM discovered) WHERE rn = 1),
-kc AS (SELECT normalized_url, status_code, content_type, content_length, server, location, body FROM (
-  SELECT *, {normalized('url')} AS normalized_url,
-         row_number() OVER (PARTITION BY {normalized('url')} ORDER BY url, final_url, status_code,
-           content_type NULLS FIRST, content_length NULLS FIRST, server NULLS FIRST, location NULLS FIRST,
-           body NULLS FIRST) AS rn FROM captures) WHERE rn = 1),
+                                 context NULLS FIRST, hostname) AS rn FROM every) WHERE rn = 1),
+urls AS (SELECT normalized_url, hostname, url, source, context FROM firsts),
+discovered AS (SELECT hostname, source, context, k3, url, normalized_url FROM known
+               UNION ALL SELECT hostname, source, context, k3, url, normalized_url FROM firsts WHERE source = 'COMMON_PATHS'),
+kc AS (SELECT *, {normalized('url')} AS key FROM captures),
 catch AS (SELECT {host('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
           WHERE regexp_matches({path('url')}, {q(fixed.CALIBRATION_PATTERN)}) GROUP BY 1),
 {analysis_ctes('urls', '', True)}gated AS (SELECT normalized_url, sample FROM analyzed
-          WHERE is_accessible AND content_type IS NOT NULL AND {gate_types} AND content_length IS NOT NULL
-                AND content_length <> 0 AND content_length < {fixed.SECRET_SCAN_MAX_BYTES} AND sample IS NOT NULL AND sample <> ''),
+          WHERE is_accessible AND content_type IS NOT NULL AND {gate_types} AND coalesce(content_length, 1) <> 0
+                AND sample IS NOT NULL AND sample <> ''),
 sl0 AS (SELECT normalized_url, {lines_expr('sample')} AS lines FROM gated),
 sl AS (SELECT normalized_url, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS line_number FROM sl0),
 sm_all AS ({match_arms}),
@@ -650,7 +651,7 @@ ORACLES["candidate_urls"] = _scan_sql("""SELECT hostname, CAST(k3 AS BIGINT) AS
   FROM discovered WHERE source = 'COMMON_PATHS'""")
 _GATE = any_contains("lower(content_type)", fixed.SECRET_SCAN_TYPES)
 ORACLES["secret_scan_gate"] = _scan_sql(f"""SELECT normalized_url, coalesce(is_accessible AND content_type IS NOT NULL AND
-  {_GATE} AND content_length IS NOT NULL AND content_length <> 0 AND content_length < {fixed.SECRET_SCAN_MAX_BYTES}, false) AS scan
+  {_GATE} AND coalesce(content_length, 1) <> 0, false) AS scan
   FROM analyzed WHERE has_response""")
 ORACLES["soft_404"] = _scan_sql("SELECT normalized_url, ext, filename, catch_all, soft_404 FROM analyzed WHERE status_code = 200")
 ORACLES["analyze_resources"] = _scan_sql("""SELECT normalized_url, hostname, source, CAST(status_code AS BIGINT) AS status_code,
@@ -727,15 +728,16 @@ ORACLES["path_exposure"] = with_ctes(
 
 _STRIP_ALL = ("regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), "
               "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1', 'g')")
-_A_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_A_TAG = r"""(?i)<a\s(?:[^>"']+|"[^"]*"|'[^']*')*>"""
 ORACLES["valid_links"] = with_ctes(captures_cte(), f"""
-raw AS (SELECT unnest(regexp_extract_all({_STRIP_ALL}, {q(_A_HREF)}, 1)) AS r FROM captures WHERE status_code = 200),
-hrefs AS (SELECT {decode("regexp_replace(r, '^\"(.*)\"$|^''(.*)''$', '\\1\\2')")} AS href FROM raw)""", body=f"""
+raw AS (SELECT unnest(regexp_extract_all({_STRIP_ALL}, {q(_A_TAG)})) AS tag FROM captures WHERE status_code = 200),
+vals AS (SELECT {attribute('tag', 'href')} AS v FROM raw),
+hrefs AS (SELECT {decode('v')} AS href FROM vals)""", body=f"""
 SELECT href, CAST(count(*) AS BIGINT) AS occurrences, coalesce(NOT regexp_matches(href, {q(_INVALID)}), false) AS is_valid
 FROM hrefs GROUP BY href""")
 
 
-def _block_links(tag: str, patterns: list, groups: list, valid_filter: bool) -> str:
+def _block_links(tag: str, media: str, patterns: list, groups: list, valid_filter: bool) -> str:
     arms = " UNION ALL ".join(
         f"SELECT page_url, block, {i} AS pattern, unnest(regexp_extract_all(text, {q(pat)}, {g})) AS v, "
         f"unnest(generate_series(1, len(regexp_extract_all(text, {q(pat)}, {g})))) AS pos FROM blk"
@@ -745,9 +747,10 @@ def _block_links(tag: str, patterns: list, groups: list, valid_filter: bool) ->
     cond = (f"NOT regexp_matches(href, {q(_INVALID)})" if valid_filter
             else "href <> '' AND NOT starts_with(href, 'data:')")
     return with_ctes(captures_cte(), f"""
-bodies AS (SELECT url AS page_url, regexp_replace(body, '(?s)<!--.*?-->', '', 'g') AS b FROM captures WHERE status_code = 200),
-blk AS (SELECT page_url, unnest(regexp_extract_all(b, '{blk_re}', 1)) AS text,
-               unnest(generate_series(0, len(regexp_extract_all(b, '{blk_re}', 1)) - 1)) AS block FROM bodies),
+bodies AS (SELECT url AS page_url, CASE WHEN strpos(lower(coalesce(content_type, '')), '{media}') > 0 THEN [coalesce(body, '')]
+             ELSE regexp_extract_all(regexp_replace(coalesce(body, ''), '(?s)<!--.*?-->', '', 'g'), '{blk_re}', 1) END AS b
+           FROM captures WHERE status_code = 200),
+blk AS (SELECT page_url, unnest(b) AS text, unnest(generate_series(0, len(b) - 1)) AS block FROM bodies),
 m AS ({arms}),
 hv AS (SELECT page_url, block, pattern, pos, {href} AS href FROM m WHERE {cond}),
 res AS ({resolved_select('hv', 'page_url', 'href', 'page_url, block, pattern, pos, href')})""", body=f"""
@@ -755,83 +758,80 @@ SELECT page_url, CAST(block AS BIGINT) AS block, CAST(pattern AS BIGINT) AS patt
        {in_scope_expr('url', host('page_url'), '')} AS in_scope FROM res""")
 
 
-from exposa.operators.discovery import CSS_PATTERNS, JS_PATTERNS  # noqa: E402
-
-ORACLES["js_links"] = _block_links("script", JS_PATTERNS, [0, 0, 1], True)
-ORACLES["css_links"] = _block_links("style", CSS_PATTERNS, [1, 1], False)
+ORACLES["js_links"] = _block_links("script", "javascript", fixed.JS_PATTERNS, [0, 0, 1], True)
+ORACLES["css_links"] = _block_links("style", "css", fixed.CSS_PATTERNS, [1, 1], False)
 
 
-# ------------------------------------------------------------------ crawl, unrolled by level
-def crawl_ctes(seeded: bool, max_depth: int = fixed.MAX_DEPTH, max_pages: int = fixed.MAX_PAGES) -> str:
-    """Breadth-first crawl as one CTE per level (the depth bound is a fixed parameter). Queue
-    order keys are BIGINT lists compared lexicographically: (parent key..., tag rank, position)."""
-    sc = should_crawl_expr(path("url"))
-    out = [f"""
-ks AS (SELECT nk, status_code, content_type FROM (
-  SELECT *, {normalized('url')} AS nk, row_number() OVER (PARTITION BY {normalized('url')}
-         ORDER BY url, final_url, status_code, content_type NULLS FIRST) AS rn FROM captures) WHERE rn = 1),
-edges AS (SELECT {normalized('page_url')} AS page_key, tag_rank, pos, url AS link_url, normalized_url AS link_key,
-                 {sc} AS crawlable FROM links WHERE in_scope)"""]
-    if seeded:
-        out.append(f"""
-seeds AS (SELECT {host('url')} AS hostname, url FROM captures
-          WHERE status_code = 200 AND strpos(lower(coalesce(content_type, '')), 'text/html') > 0),
-frontier_0 AS (
-  SELECT hostname, url, {normalized('url')} AS key, [row_number() OVER (PARTITION BY hostname ORDER BY url)] AS ord FROM seeds
-  UNION ALL SELECT hostname, base_url, {normalized('base_url')}, [CAST({2 ** 31 - 1} AS BIGINT)] FROM targets)""")
-    else:
-        out.append(f"""
-frontier_0 AS (SELECT hostname, base_url AS url, {normalized('base_url')} AS key, [CAST(0 AS BIGINT)] AS ord FROM targets)""")
-    for d in range(max_depth + 1):
-        prev_v = f"visited_{d - 1}" if d else None
-        not_visited = (f"AND NOT EXISTS (SELECT 1 FROM {prev_v} v WHERE v.hostname = f.hostname AND v.key = f.key)"
-                       if prev_v else "")
-        pc = f"LEFT JOIN pc_{d - 1} pc USING (hostname)" if d else ""
-        pages_so_far = "coalesce(pc.pages, 0)" if d else "0"
-        not_visited_link = (f"AND NOT EXISTS (SELECT 1 FROM {prev_v} v WHERE v.hostname = fa.hostname AND v.key = fa.link_key)"
-                            if prev_v else "")
-        out.append(f"""
-first_{d} AS (SELECT hostname, url, key, ord FROM (
-  SELECT *, row_number() OVER (PARTITION BY hostname, key ORDER BY ord, url) AS rn FROM frontier_{d}) WHERE rn = 1),
-cand_{d} AS (SELECT f.hostname, f.url, f.key, f.ord, k.status_code, k.content_type, {max_pages} - {pages_so_far} AS budget
-             FROM first_{d} f LEFT JOIN ks k ON f.key = k.nk {pc} WHERE true {not_visited}),
-cut_{d} AS (SELECT hostname, ord AS cut_ord FROM (
-  SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY ord) AS r FROM cand_{d} WHERE status_code = 200) WHERE r = budget),
-level_{d} AS (SELECT c.* FROM cand_{d} c LEFT JOIN cut_{d} USING (hostname)
-              WHERE budget > 0 AND (cut_ord IS NULL OR ord <= cut_ord)),
-pages_{d} AS (SELECT * FROM level_{d} WHERE status_code = 200),
-html_{d} AS (SELECT hostname, key AS page_key, ord AS p_ord FROM pages_{d}
-             WHERE content_type IS NULL OR content_type = '' OR strpos(lower(content_type), 'text/html') > 0),
-found_all_{d} AS (SELECT h.hostname, h.p_ord, e.* FROM html_{d} h JOIN edges e USING (page_key)),
-found_{d} AS (SELECT fa.* FROM found_all_{d} fa LEFT JOIN level_{d} s ON s.hostname = fa.hostname AND s.key = fa.link_key
-              WHERE (s.ord IS NULL OR s.ord > fa.p_ord) {not_visited_link}),
-visited_{d} AS ({f"SELECT hostname, key FROM {prev_v} UNION ALL " if prev_v else ""}SELECT hostname, key FROM level_{d}),
-pc_{d} AS (SELECT hostname, count(*) AS pages FROM ({" UNION ALL ".join(f"SELECT hostname FROM pages_{i}" for i in range(d + 1))})
-           GROUP BY hostname),
-frontier_{d + 1} AS (SELECT hostname, link_url AS url, link_key AS key, list_concat(p_ord, [CAST(tag_rank AS BIGINT), CAST(pos AS BIGINT)]) AS ord
-                     FROM found_{d} WHERE crawlable)""")
-    rows = []
-    for d in range(max_depth + 1):
-        rows += [
-            f"SELECT hostname, url, key, {d} AS depth, 'page' AS kind FROM pages_{d}",
-            f"SELECT hostname, url, key, {d}, 'file' FROM pages_{d} WHERE NOT (content_type IS NULL OR content_type = '' "
-            f"OR strpos(lower(content_type), 'text/html') > 0)",
-            f"SELECT hostname, link_url, link_key, {d + 1}, 'link' FROM found_{d}",
-            f"SELECT hostname, link_url, link_key, {d + 1}, 'found' FROM found_all_{d}",
-        ]
-    out.append("crawl AS (" + " UNION ALL ".join(rows) + ")")
-    return ",".join(out)
+# ------------------------------------------------------------------ crawl
+#: Deeper than any chain of the test data; the recursion needs an end because its rows carry the depth.
+CRAWL_LEVELS = 60
 
 
 def _crawl_sql(seeded: bool, body: str) -> str:
-    return with_ctes(captures_cte(), *links_ctes(), crawl_ctes(seeded), body=body)
-
-
-_REACH = "SELECT hostname, url, key AS normalized_url, CAST(depth AS BIGINT) AS depth, kind FROM crawl WHERE kind <> 'found'"
+    """Reachability as a recursive query: (host, key, depth) by UNION, then the least depth."""
+    ok = f"k.status_code = 200 AND {IS_HTML.replace('content_type', 'k.content_type')}"
+    seeds = (f"UNION ALL SELECT {host('url')}, url FROM captures WHERE status_code = 200 AND {IS_HTML}" if seeded else "")
+    ctes = f"""
+ks AS (SELECT nk, status_code, content_type FROM (
+  SELECT *, {normalized('url')} AS nk, row_number() OVER (PARTITION BY {normalized('url')}
+         ORDER BY coalesce(status_code, 0) <> 200, -coalesce(captured_at, 0), url, content_type NULLS FIRST) AS rn
+  FROM captures) WHERE rn = 1),
+edges AS (SELECT {normalized('page_url')} AS page_key, url AS link_url, normalized_url AS link_key,
+                 {should_crawl_expr(path("url"))} AS crawlable FROM links WHERE in_scope),
+steps AS (SELECT DISTINCT page_key, link_key FROM edges JOIN ks k ON k.nk = page_key WHERE crawlable AND {ok}),
+start AS (SELECT hostname, url, {normalized('url')} AS key FROM (SELECT hostname, base_url AS url FROM targets {seeds})),
+reach(hostname, key, depth) AS (
+  SELECT DISTINCT hostname, key, 0 FROM start
+  UNION SELECT r.hostname, s.link_key, r.depth + 1 FROM reach r JOIN steps s ON s.page_key = r.key WHERE r.depth < {CRAWL_LEVELS}),
+level AS (SELECT hostname, key, min(depth) AS depth FROM reach GROUP BY 1, 2),
+page AS (SELECT l.*, {IS_HTML.replace('content_type', 'k.content_type')} AS html FROM level l JOIN ks k ON k.nk = l.key AND k.status_code = 200),
+found AS (SELECT p.hostname, e.link_key AS key, p.depth + 1 AS depth, min(e.link_url) AS url
+          FROM page p JOIN edges e ON e.page_key = p.key WHERE p.html GROUP BY 1, 2, 3),
+link AS (SELECT hostname, key, depth, url FROM (
+  SELECT *, row_number() OVER (PARTITION BY hostname, key ORDER BY depth) AS rn FROM found) WHERE rn = 1),
+degree AS (SELECT page_key, count(*) AS n FROM edges GROUP BY 1),
+named AS (SELECT p.hostname, p.key, p.depth, p.html, CASE WHEN p.html THEN coalesce(d.n, 0) ELSE 0 END AS links,
+                 coalesce(f.url, s.url) AS url
+          FROM page p LEFT JOIN degree d ON d.page_key = p.key
+          LEFT JOIN (SELECT hostname, key, min(url) AS url FROM start GROUP BY 1, 2) s ON s.hostname = p.hostname AND s.key = p.key AND p.depth = 0
+          LEFT JOIN found f ON f.hostname = p.hostname AND f.key = p.key AND f.depth = p.depth),
+crawl AS (SELECT hostname, url, key, depth, 'page' AS kind, links FROM named
+          UNION ALL SELECT hostname, url, key, depth, 'file', 0 FROM named WHERE NOT html
+          UNION ALL SELECT hostname, url, key, depth, 'link', 0 FROM link)"""
+    return with_ctes(captures_cte(), *links_ctes(), ctes, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_REACH = "SELECT hostname, url, key AS normalized_url, CAST(depth AS BIGINT) AS depth, kind FROM crawl"
 ORACLES["crawl_reachability"] = _crawl_sql(False, _REACH)
 ORACLES["seed_reachability"] = _crawl_sql(True, _REACH)
 ORACLES["crawl_statistics"] = _crawl_sql(True, """
-SELECT hostname, CAST(count(*) FILTER (WHERE kind = 'page') AS BIGINT) AS pages_crawled,
-       CAST(count(*) FILTER (WHERE kind = 'found') AS BIGINT) AS total_urls_found,
-       CAST(count(*) FILTER (WHERE kind = 'link') AS BIGINT) AS unique_urls_found
-FROM crawl GROUP BY hostname""")
+SELECT hostname, CAST(count(*) FILTER (WHERE kind = 'page') AS BIGINT) AS pages_crawled, CAST(sum(links) AS BIGINT) AS total_urls_found,
+       CAST(count(*) FILTER (WHERE kind = 'link') AS BIGINT) AS unique_urls_found FROM crawl GROUP BY hostname""")
+
+
+# ------------------------------------------------------------------ report
+ORACLES["report_json"] = _scan_sql("""
+SELECT f.hostname, f.normalized_url, f.finding_severity AS severity, f.title, f.finding_description AS description, f.evidence,
+       f.remediation, f.url, f.resource_type, f.is_accessible, CAST(s.pos AS BIGINT) AS secret_pos, s.secret_type,
+       s.redacted_value, s.confidence / 100.0 AS confidence
+FROM findings f LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY line_number, match_pos, secret_type, redacted_value) - 1 AS pos
+  FROM secrets) s ON s.normalized_url = f.normalized_url""")
+
+
+def _body(name: str) -> str:
+    """The final SELECT of a whole-scan oracle, to be joined with others."""
+    return ORACLES[name][len(_scan_sql("")):]
+
+
+ORACLES["report_header"] = _scan_sql(f"""
+SELECT t.hostname, t.base_url, t.base_domain, t.scheme, CAST(t.port AS BIGINT) AS port, false AS include_subdomains, c.start_time,
+       c.end_time, {", ".join(f"coalesce({x}, 0) AS {x}" for x in (
+           "urls_discovered", "urls_checked", "currently_accessible", "historical_urls", "documents", "images", "data_files",
+           "potential_sensitive_files", "critical_count", "high_count", "medium_count", "low_count", "info_count",
+           "total_secrets_found"))}
+FROM targets t
+LEFT JOIN ({_body('scan_statistics')}) USING (hostname) LEFT JOIN ({_body('severity_counts')}) USING (hostname)
+LEFT JOIN ({_body('sensitive_file_count')}) USING (hostname) LEFT JOIN ({_body('secret_summary')}) USING (hostname)
+LEFT JOIN (SELECT hostname, CAST(count(*) FILTER (WHERE NOT is_current) AS BIGINT) AS historical_urls FROM resources GROUP BY 1) USING (hostname)
+LEFT JOIN (SELECT {host('url')} AS hostname, min(captured_at) AS start_time, max(captured_at) AS end_time FROM captures GROUP BY 1) c USING (hostname)""")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from exposa.functions import classify as C
 from exposa.functions import content as T
+from exposa.functions import fixed
 from exposa.functions import scope as S
 from exposa.functions import secrets as X
 from exposa.functions import urls as U
@@ -18,20 +19,21 @@ from exposa.operators import analysis as A
 from exposa.operators import discovery as D
 from exposa.operators import graph as G
 from exposa.operators import report as R
-from exposa.plans.scan import Scan, scan_for
+from exposa.plans.scan import DataScan, scan_for
+from exposa.sources import captures as SRC
 
 L = "bigint"
 
 
-def _scan(spark, d) -> Scan:
+def _scan(spark, d) -> DataScan:
     return scan_for(spark, d)
 
 
 # ---------------------------------------------------------------- sources and sinks (S)
 def captures_load(spark, d):
     c = _scan(spark, d).captures
-    return c.select("url", F.col("status_code").cast(L).alias("status_code"), "content_type",
-                    "content_length", F.length("body").cast(L).alias("body_chars"))
+    return c.select("url", F.col("status_code").cast(L).alias("status_code"), "content_type", "content_length",
+                    "server", "location", "captured_at", "is_current", F.length("body").cast(L).alias("body_chars"))
 
 
 def content_sample(spark, d):
@@ -47,24 +49,32 @@ def page_title(spark, d):
 
 
 def robots_urls(spark, d):
-    s = _scan(spark, d)
-    return D.robots_urls(s.captures, s.targets).select(
+    return _scan(spark, d).robots.select(
         "hostname", F.col("line_no").cast(L).alias("line_no"), "value", "url", "normalized_url", "in_scope")
 
 
 def sitemap_urls(spark, d):
-    s = _scan(spark, d)
-    return D.sitemap_urls(s.captures, s.targets).select(
+    return _scan(spark, d).sitemaps.select(
         "hostname", F.col("kind").cast(L).alias("kind"), F.col("pos").cast(L).alias("pos"), "url",
         "normalized_url", "context", "in_scope")
 
 
 def report_json(spark, d):
-    return _scan(spark, d).report_findings()
+    """The report's findings, a row per finding and secret (one row without a secret)."""
+    f = _scan(spark, d).report_findings()
+    return f.select("hostname", "normalized_url", "severity", "title", "description", "evidence", "remediation", "url",
+                    "resource_type", "is_accessible", F.posexplode_outer("secrets").alias("pos", "s")).select(
+        "hostname", "normalized_url", "severity", "title", "description", "evidence", "remediation", "url",
+        "resource_type", "is_accessible", F.col("pos").cast(L).alias("secret_pos"), F.col("s.type").alias("secret_type"),
+        F.col("s.redacted_value").alias("redacted_value"), F.col("s.confidence").alias("confidence"))
 
 
 def report_header(spark, d):
-    return _scan(spark, d).report_header()
+    """The report's header, flat: a row per target."""
+    h = _scan(spark, d).report_header()
+    return h.select("hostname", "target.base_url", "target.base_domain", "target.scheme",
+                    F.col("target.port").cast(L).alias("port"), F.col("configuration.include_subdomains").alias("include_subdomains"),
+                    "start_time", "end_time", "statistics.*")
 
 
 def report_url_list(spark, d):
@@ -83,12 +93,12 @@ def url_parts(spark, d):
 
 
 def _link_urls(spark, d) -> DataFrame:
-    """Distinct resolved link URLs plus candidate and probe URLs."""
+    """Distinct resolved link URLs plus candidate and captured URLs."""
     s = _scan(spark, d)
     links = s.links.select("url")
     cands = s.candidates.select("url")
-    probes = s.captures.select("url")
-    return links.unionByName(cands).unionByName(probes).distinct()
+    captured = s.captures.select("url")
+    return links.unionByName(cands).unionByName(captured).distinct()
 
 
 def url_extension(spark, d):
@@ -115,8 +125,7 @@ def normalize_target(spark, d):
 
 
 def _page_hosts(spark, d):
-    from exposa.sources import captures as SRC
-    return SRC.page_hosts(spark, d)
+    return SRC.hosts(_scan(spark, d).pages)
 
 
 def base_domain(spark, d):
@@ -140,18 +149,15 @@ def should_crawl(spark, d):
 
 # ---------------------------------------------------------------- filters (F)
 def scope_filter(spark, d):
-    s = _scan(spark, d)
-    with_sub = D.html_links(s.captures, include_subdomains=True).select(
-        "page_url", "tag_rank", "pos", F.col("in_scope").alias("in_scope_with_subdomains"))
-    return s.links.join(with_sub, ["page_url", "tag_rank", "pos"]).select(
-        "page_url", F.col("pos").cast(L).alias("pos"), "url", "in_scope", "in_scope_with_subdomains")
+    return _scan(spark, d).links.select("page_url", F.col("pos").cast(L).alias("pos"), "url", "in_scope",
+                                        "in_scope_with_subdomains")
 
 
 def _raw_hrefs(spark, d) -> DataFrame:
     c = _scan(spark, d).captures.where(F.col("status_code") == 200)
-    h = F.regexp_extract_all(D.strip_markup_noise(F.col("body")),
-                             F.lit(r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
-    return c.select(F.explode(h).alias("raw")).select(D.decode_entities(D.unquote(F.col("raw"))).alias("href"))
+    tags = F.regexp_extract_all(D.strip_markup_noise(F.col("body")), F.lit(r"""(?i)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), 0)
+    return c.select(F.explode(tags).alias("tag")).select(
+        D.decode_entities(D.attribute(F.col("tag"), "href")).alias("href"))
 
 
 def valid_links(spark, d):
@@ -181,7 +187,7 @@ def unsafe_urls(spark, d):
 
 def _redirects(spark, d) -> DataFrame:
     s = _scan(spark, d)
-    c = s.captures.where(F.col("status_code").isin(301, 302, 303, 307, 308) & F.col("location").isNotNull()
+    c = s.captures.where(F.col("status_code").isin(fixed.REDIRECT_STATUSES) & F.col("location").isNotNull()
                          & (F.col("location") != ""))
     c = D.with_target_of(c.select("url", "status_code", "location"), "url")
     c = U.with_parts(c, "location", "l_")
@@ -204,7 +210,7 @@ def redirects_blocked(spark, d):
 def path_safety(spark, d):
     s = _scan(spark, d)
     p = s.links.select(F.col("href").alias("path")).unionByName(
-        spark.createDataFrame([(x,) for x in s.candidate_paths()], "path string")).distinct()
+        s.candidates.select("path")).distinct()
     return p.select("path", S.is_safe_path(F.col("path")).alias("is_safe"))
 
 
@@ -246,28 +252,26 @@ def dedup_urls(spark, d):
 
 
 def union_sources(spark, d):
-    r = _scan(spark, d).discovered_rows
+    r = _scan(spark, d).discovered
     return r.groupBy("hostname", "source").agg(F.count("*").cast(L).alias("rows"),
                                                F.countDistinct("normalized_url").cast(L).alias("distinct_urls"))
 
 
 def candidate_urls(spark, d):
-    r = _scan(spark, d).discovered_rows.where(F.col("source") == "COMMON_PATHS")
-    return r.select("hostname", F.col("k3").cast(L).alias("rank"), F.col("context").alias("path"), "url",
-                    "normalized_url")
+    r = _scan(spark, d).urls.where(F.col("source") == "COMMON_PATHS")
+    return r.select("hostname", F.col("rank").cast(L).alias("rank"), F.col("context").alias("path"), "url", "normalized_url")
+
+
+def _reached(crawl):
+    return crawl.select("hostname", "url", "normalized_url", F.col("depth").cast(L).alias("depth"), "kind")
 
 
 def crawl_reachability(spark, d):
-    s = _scan(spark, d)
-    return G.crawl(spark, s.captures, s.targets, seeds=None, links=s.links).where(F.col("kind") != "found").select(
-        "hostname", "url", "normalized_url", F.col("depth").cast(L).alias("depth"), "kind")
+    return _reached(_scan(spark, d).crawl)
 
 
 def seed_reachability(spark, d):
-    s = _scan(spark, d)
-    seeds = G.page_seeds(s.captures)
-    return G.crawl(spark, s.captures, s.targets, seeds=seeds, links=s.links).where(F.col("kind") != "found").select(
-        "hostname", "url", "normalized_url", F.col("depth").cast(L).alias("depth"), "kind")
+    return _reached(_scan(spark, d).seeded_crawl)
 
 
 def resource_secrets(spark, d):
@@ -304,7 +308,6 @@ def sensitive_documents(spark, d):
     u = U.with_parts(_link_urls(spark, d), "url", "u_")
     fn = F.lower(C.filename_of(F.col("u_path")))
     is_doc = F.lit(False)
-    from exposa.functions import fixed
     for e in fixed.SENSITIVE_DOC_EXTENSIONS:
         is_doc = is_doc | fn.endswith(e)
     return u.where(is_doc).select("url", C.has_sensitive_keyword(fn).alias("has_keyword"))
@@ -324,7 +327,7 @@ def analyze_resources(spark, d):
 
 def path_exposure(spark, d):
     s = _scan(spark, d)
-    r = A.path_exposure(s.targets, s.captures, s.candidate_paths())
+    r = A.path_exposure(s.candidates, s.captures)
     return r.select("normalized_url", "hostname", "resource_type", "severity", "is_accessible")
 
 
@@ -390,7 +393,7 @@ def finding_evidence(spark, d):
 # ---------------------------------------------------------------- aggregates and top-k (A, T)
 def scan_statistics(spark, d):
     s = _scan(spark, d)
-    return R.scan_statistics(s.discovered_rows, s.resources)
+    return R.scan_statistics(s.discovered, s.resources)
 
 
 def severity_counts(spark, d):
@@ -407,9 +410,7 @@ def group_counts(spark, d):
 
 
 def crawl_statistics(spark, d):
-    s = _scan(spark, d)
-    c = G.crawl(spark, s.captures, s.targets, seeds=G.page_seeds(s.captures), links=s.links)
-    return G.crawl_statistics(c)
+    return G.crawl_statistics(_scan(spark, d).seeded_crawl)
 
 
 def top_findings(spark, d):

@@ -1,7 +1,8 @@
-"""The scan as a set of lazily built DataFrames over one data folder.
+"""The scan as a set of lazily built DataFrames over one table of captures.
 
-``Scan`` wires sources and operators together; each property is a DataFrame plan (nothing is
-executed until an action). Queries in ``exposa.plans.queries`` select from these plans.
+``Scan`` wires sources and operators together. Tables that several results share (targets, links,
+known URLs, analysed resources, secrets, the crawl) are written once, when a result that needs them is
+first asked for.
 """
 
 from __future__ import annotations
@@ -13,63 +14,74 @@ from pyspark.sql import DataFrame, SparkSession
 from exposa.functions import fixed
 from exposa.operators import analysis as A
 from exposa.operators import discovery as D
+from exposa.operators import graph as G
 from exposa.operators import report as R
 from exposa.operators import risk as K
+from exposa.plans import responses
 from exposa.session import materialize
 from exposa.sources import captures as SRC
 
 
 class Scan:
-    def __init__(self, spark: SparkSession, sf_dir: str, include_subdomains: bool = False,
-                 sample_chars: int | None = None, candidate_limit: int = 50):
-        self.spark = spark
-        self.sf_dir = sf_dir
-        self.include_subdomains = include_subdomains
-        self.sample_chars = sample_chars
-        self.candidate_limit = candidate_limit
+    """``captures``: any table with a ``url`` (see ``sources.captures.as_captures``). ``target_urls``: a
+    table whose ``url`` column names the authorised hosts; without it, those of the captures.
 
-    @cached_property
-    def pages(self) -> DataFrame:
-        return SRC.pages(self.spark, self.sf_dir)
+    ``sample_chars``, ``sniff_chars``, ``max_secret_bytes``, ``max_depth`` and ``paths`` bring back limits
+    of the live scanner; none is set by default."""
 
-    @cached_property
-    def documents(self) -> DataFrame:
-        return SRC.documents(self.spark, self.sf_dir)
+    def __init__(self, captures: DataFrame, target_urls: DataFrame | None = None, include_subdomains: bool = False,
+                 sample_chars: int | None = None, sniff_chars: int | None = None, max_secret_bytes: int | None = None,
+                 max_depth: int | None = None, paths: list[str] | None = None):
+        self.captures = SRC.as_captures(captures)
+        self.target_urls = captures if target_urls is None else target_urls
+        self.include_subdomains = include_subdomains
+        self.sample_chars, self.sniff_chars, self.max_secret_bytes = sample_chars, sniff_chars, max_secret_bytes
+        self.max_depth = max_depth
+        self.paths = fixed.candidate_paths() if paths is None else paths
 
     @cached_property
     def targets(self) -> DataFrame:
-        return materialize(SRC.targets(self.spark, self.sf_dir))
-
-    @cached_property
-    def captures(self) -> DataFrame:
-        return SRC.all_captures(self.spark, self.sf_dir)
+        return materialize(SRC.targets(self.target_urls))
 
     @cached_property
     def links(self) -> DataFrame:
         return D.html_links(self.captures, self.include_subdomains)
 
+    @cached_property
+    def robots(self) -> DataFrame:
+        return D.robots_urls(self.captures, self.targets, self.include_subdomains)
+
+    @cached_property
+    def sitemaps(self) -> DataFrame:
+        return D.sitemap_urls(self.captures, self.targets, self.include_subdomains)
+
     @cached_property
     def candidates(self) -> DataFrame:
-        return D.candidate_urls_all(self.targets, self.candidate_limit)
+        return D.candidate_urls_all(self.targets, self.paths)
 
     @cached_property
-    def discovered_rows(self) -> DataFrame:
-        return D.discovered_urls(self.captures, self.targets, self.include_subdomains, self.candidate_limit,
-                                 links=self.links, candidates=self.candidates)
+    def known(self) -> DataFrame:
+        return D.known_urls(self.captures, self.targets, self.links, self.robots, self.sitemaps)
 
     @cached_property
     def urls(self) -> DataFrame:
-        # not written out: the dedup aggregate is hash-partitioned on normalized_url, the key of
-        # the join with the keyed captures, so that join needs no further shuffle of the URLs
-        return D.dedup_urls(self.discovered_rows)
+        return materialize(D.dedup_urls(self.known.unionByName(D.candidate_rows(self.candidates))))
+
+    @cached_property
+    def discovered(self) -> DataFrame:
+        """(hostname, source, normalized_url) of every discovered row: candidates only where no other
+        source knows the URL."""
+        new = self.urls.where("source = 'COMMON_PATHS'")
+        columns = ["hostname", "source", "normalized_url"]
+        return self.known.select(columns).unionByName(new.select(columns))
 
     @cached_property
     def analyzed(self) -> DataFrame:
-        return materialize(A.analyze(self.urls, self.captures, self.sample_chars))
+        return materialize(A.analyze(self.urls, self.captures, self.sample_chars, sniff_chars=self.sniff_chars))
 
     @cached_property
     def capture_secrets(self) -> DataFrame:
-        return materialize(A.capture_secrets(self.captures, self.sample_chars))
+        return materialize(A.capture_secrets(self.captures, self.sample_chars, self.max_secret_bytes))
 
     @cached_property
     def secrets(self) -> DataFrame:
@@ -88,25 +100,56 @@ class Scan:
     def groups(self) -> DataFrame:
         return R.resource_groups(self.resources)
 
-    def candidate_paths(self) -> list[str]:
-        return fixed.CANDIDATE_PATHS[: self.candidate_limit]
+    @cached_property
+    def crawl(self) -> DataFrame:
+        return G.crawl(self.captures, self.targets, self.links, None, self.max_depth)
+
+    @cached_property
+    def seeded_crawl(self) -> DataFrame:
+        return G.crawl(self.captures, self.targets, self.links, G.page_seeds(self.captures), self.max_depth)
 
     def report_header(self) -> DataFrame:
-        return R.report_header(self.targets, R.scan_statistics(self.discovered_rows, self.resources),
+        return R.report_header(self.targets, self.captures, R.scan_statistics(self.discovered, self.resources),
                                R.severity_counts(self.resources, self.findings),
                                R.sensitive_file_count(self.resources), R.secret_summary(self.resources),
+                               R.historical_count(self.resources), max_depth=self.max_depth,
                                include_subdomains=self.include_subdomains)
 
     def report_findings(self) -> DataFrame:
         return R.report_findings(self.findings, self.secrets)
 
 
-_SCANS: dict[tuple, Scan] = {}
+class DataScan(Scan):
+    """The scan of the given tables: all pages, and the documents as responses of the pages' hosts."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, **options):
+        self.pages = SRC.pages(spark, sf_dir)
+        self.documents = SRC.documents(spark, sf_dir)
+        super().__init__(responses.captures(spark, sf_dir), self.pages, **options)
+
 
+_SCANS: dict[tuple, DataScan] = {}
 
-def scan_for(spark: SparkSession, sf_dir: str) -> Scan:
-    """One scan per (session, data folder): the report queries all read the same resources."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of the files of the two tables, so that new data is a new scan."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for table in ("pages", "documents"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        for f in path.getFileSystem(conf).listStatus(path):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def scan_for(spark: SparkSession, sf_dir: str) -> DataScan:
+    """One scan per session and state of the data: the queries all read the same tables."""
+    key = (spark.sparkContext.applicationId, _files(spark, sf_dir))
     if key not in _SCANS:
-        _SCANS[key] = Scan(spark, sf_dir)
+        _SCANS[key] = DataScan(spark, sf_dir)
     return _SCANS[key]
+
+
+def forget_scans() -> None:
+    """The next query starts a new scan (the bench uses this to charge each query in full)."""
+    _SCANS.clear()

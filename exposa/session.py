@@ -8,6 +8,7 @@ time zone, and a checkpoint folder taken from the cluster's ``spark.checkpoint.d
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,23 +19,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "exposa") -> SparkSession:
     """Create (or reuse) a session with the engine's defaults.
 
-    On a cluster the master and resources come from spark-submit; ``master`` is only used for
-    local runs and tests.
+    On a cluster the master, resources and the number of shuffle partitions come from spark-submit;
+    ``master`` is only used for local runs and tests, where 8 partitions are enough.
     """
     builder = SparkSession.builder.appName(app_name)
+    local = bool(master and master.startswith("local"))
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("EXPOSA_SHUFFLE_PARTITIONS", "8"))
+    if shuffle_partitions or local:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    if master and master.startswith("local"):
+    if local:
         builder = builder.config("spark.driver.memory", os.environ.get("EXPOSA_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,23 +53,36 @@ def apply_job_settings(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage in iterative jobs.
+    """The shared folder used to cut lineage and hold intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local runs, tests) is a
-    fresh folder under the local temp area chosen, and registered on the context.
+    Uses the cluster's ``spark.checkpoint.dir``. Where it is unset, a local master gets a fresh folder
+    under the local temp area, registered on the context; a cluster raises, since executors would not
+    see each other's machine-local files.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="exposa-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/exposa-tables"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application. Results that were built from them must
+    have been written before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df):
     """Write ``df`` as a Parquet table under the checkpoint folder and continue from it.
 
@@ -75,8 +91,9 @@ def materialize(df):
     however many URL stages precede them. The table is computed once (an RDD checkpoint would run
     the plan a second time to write it), read back with column pruning, and lives on the shared
     checkpoint storage, so a lost executor costs at most the step after the last table.
+    ``drop_tables`` deletes them.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/exposa-tables/{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -16,9 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 from exposa.functions import classify as C
 from exposa.functions import content as T
 from exposa.functions import urls as U
+from exposa.operators import analysis as A
+from exposa.operators import report as R
+from exposa.sources.captures import CAPTURE_COLUMNS
 
-CAPTURE_SCHEMA = ("url string, final_url string, status_code int, content_type string, "
-                  "content_length long, server string, location string, body string")
+CAPTURE_SCHEMA = ", ".join(f"{c} {t}" for c, t in CAPTURE_COLUMNS.items())
 
 
 def analyze_captures(captures: DataFrame, catch_all: DataFrame | None = None,
@@ -39,21 +41,12 @@ def analyze_captures(captures: DataFrame, catch_all: DataFrame | None = None,
         c = c.join(catch_all.select("hostname", "catch_all"), "hostname", "left")
     else:
         c = c.withColumn("catch_all", F.lit(False))
-    c = c.withColumn("soft_404", F.coalesce((F.col("status_code") == 200) & T.soft_404(
-        F.col("sample"), F.col("content_type"), F.col("ext"), F.col("filename"), F.col("catch_all")),
-        F.lit(False)))
-    c = c.withColumn("is_directory_listing", F.coalesce(
-        (F.col("status_code") == 200) & T.is_directory_listing(F.col("sample"), F.col("content_type")),
-        F.lit(False)))
-    acc = F.coalesce((F.col("status_code") == 200) & ~F.col("soft_404"), F.lit(False))
-    return c.withColumns({
-        "is_accessible": acc,
-        "resource_type": F.when(F.col("soft_404"), F.lit("FALSE_POSITIVE"))
-        .when(F.col("is_directory_listing"), F.lit("DIRECTORY_LISTING")).otherwise(F.col("class_type")),
-        "severity": F.when(F.col("soft_404"), F.lit("INFORMATIONAL"))
-        .when(F.col("is_directory_listing"), F.lit("MEDIUM")).otherwise(F.col("class_severity")),
-    }).select("hostname", "normalized_url", "url", "status_code", "category", "resource_type",
-              "severity", "is_accessible", "soft_404", "is_directory_listing")
+    c = c.withColumns({
+        "is_directory_listing": F.coalesce((F.col("status_code") == 200) & T.is_directory_listing(
+            F.col("sample"), F.col("content_type")), F.lit(False)),
+        "has_response": F.col("status_code").isNotNull(), **T.head_flags(F.col("sample"))})
+    return A.with_verdict(c).select("hostname", "normalized_url", "url", "status_code", "category", "resource_type",
+                                    "severity", "is_accessible", "soft_404", "is_directory_listing")
 
 
 def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_location: str,
@@ -61,8 +54,8 @@ def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_locati
     """Start the streaming analysis: parquet files in ``source_dir`` -> parquet in ``sink_dir``.
     ``trigger_seconds=None`` processes what is available and stops (backfills, tests)."""
     stream = spark.readStream.schema(CAPTURE_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(source_dir)
-    out = analyze_captures(stream, catch_all)
+    out = R.bucketed(analyze_captures(stream, catch_all))
     w = (out.writeStream.outputMode("append").format("parquet")
-         .option("path", sink_dir).option("checkpointLocation", checkpoint_location).partitionBy("hostname"))
+         .option("path", sink_dir).option("checkpointLocation", checkpoint_location).partitionBy("host_bucket"))
     w = w.trigger(availableNow=True) if trigger_seconds is None else w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()

@@ -30,8 +30,31 @@ CASES = [
     ("https://example.com/latest.pdf", "POTENTIAL_SENSITIVE_DOCUMENT", "MEDIUM"),
     ("https://example.com/app/Models/", "CONFIGURATION_EXPOSURE", "HIGH"),
     ("https://example.com/x/.Homestead/y", "CONFIGURATION_EXPOSURE", "HIGH"),
+    # directories and files of tools
+    ("https://example.com/.svn/entries", "SOURCE_CONTROL_EXPOSURE", "CRITICAL"),
+    ("https://example.com/.svn/wc.db", "SOURCE_CONTROL_EXPOSURE", "CRITICAL"),
+    ("https://example.com/.hg/", "SOURCE_CONTROL_EXPOSURE", "CRITICAL"),
+    ("https://example.com/.git/objects/ab", "SOURCE_CONTROL_EXPOSURE", "CRITICAL"),
+    ("https://example.com/.gitignore", "SOURCE_CONTROL_EXPOSURE", "CRITICAL"),
+    ("https://example.com/.gitattributes", "SOURCE_CONTROL_EXPOSURE", "CRITICAL"),
 ]
 
+#: path -> category, read off the scanner's documentation of its categories, not off our own lists
+CATEGORIES = {
+    "/.svn/entries": "source_control", "/.hg/store/": "source_control", "/a/.gitignore": "source_control",
+    "/.gitattributes": "source_control", "/.idea/workspace.xml": "development", "/.vscode/x": "development",
+    "/.aws/x": "cloud", "/aws/credentials": "cloud", "/aws/config": "cloud", "/.github/workflows/x": "cicd",
+    "/.gitlab-ci.yml": "cicd", "/.travis.yml": "cicd", "/.env": "config", "/db.sqlite3": "database",
+    "/x.bak": "backup", "/x.7z": "archive", "/error.log": "logs", "/id_rsa": "credentials",
+    "/jenkinsfile": "cicd", "/xdebug/": "debug", "/index.html": None, "/about/": None,
+}
+
+
+def test_expected_categories(spark):
+    df = spark.createDataFrame([(p,) for p in CATEGORIES], "path string")
+    got = {r.path: r.category for r in df.select("path", C.path_category(F.lower("path")).alias("category")).collect()}
+    assert got == CATEGORIES
+
 
 def test_reference_cases(spark):
     df = spark.createDataFrame([(u,) for u, _, _ in CASES], "url string")
@@ -46,7 +69,13 @@ def test_framework_rule_size():
     # 143 names x (.yml, .yaml) + 142 dotted directories + 156 other patterns; the scanner's
     # "\.name/.*" twins of the directory patterns match exactly the same paths.
     assert len(fixed.framework_patterns()) == 143 * 2 + 142 + 156
-    assert len(fixed.CANDIDATE_PATHS) == 50
+
+
+def test_candidate_paths():
+    from exposa.functions import fixed
+    paths = fixed.candidate_paths()
+    assert len(paths) == len(set(paths)) == 249
+    assert {".env", "app/Models/", ".svn/wc.db", "wp-admin/", "blackfire/", "CODE_OF_CONDUCT.md"} <= set(paths)
 
 
 def test_random_paths_match_direct_search(spark):

@@ -1,51 +1,74 @@
-"""The join-based crawl against a direct FIFO crawl over the same captured pages."""
+"""The join-based crawl against a direct search over the same captured pages."""
 
 from collections import deque
 
-from pyspark.sql import functions as F
-
+from exposa.operators import discovery as D
 from exposa.operators import graph as G
-from exposa.sources.captures import CAPTURE_COLUMNS
+from exposa.sources.captures import as_captures
 
 PAGES = {
     "https://ex.com/": '<a href="/a">a</a><a href="/b">b</a><a href="/a">again</a><img src="/i.png">',
     "https://ex.com/a": '<a href="/c">c</a><a href="/">home</a><a href="/doc.pdf">d</a>',
     "https://ex.com/b": '<a href="/c">c</a><a href="/missing">m</a>',
-    "https://ex.com/c": '<a href="/d">d</a>',
+    "https://ex.com/c": '<a href="/d">d</a><a href="/doc.jsp">t</a>',
     "https://ex.com/d": '<a href="/e">e</a>',
 }
 
 
-def brute(max_depth, max_pages):
+NULL_TYPE = {"https://ex.com/b"}
+FILES = {"https://ex.com/doc.jsp": "plain"}
+
+
+def brute(max_depth, seeds=()):
+    """A crawl by hand: least depth of each page, links found, and how many."""
     import re
-    visited, queue, out, crawled = set(), deque([("https://ex.com/", 0)]), [], 0
-    while queue and crawled < max_pages:
+    pages = PAGES | FILES
+    depth_of, queue, links, found = {}, deque([("https://ex.com/", 0), *((s, 0) for s in seeds)]), {}, 0
+    while queue:
         url, depth = queue.popleft()
-        if url in visited or depth > max_depth:
+        if url in depth_of or max_depth is not None and depth > max_depth:
             continue
-        visited.add(url)
+        depth_of[url] = depth
         if url not in PAGES:
             continue
-        crawled += 1
         for href in re.findall(r'(?:href|src)="([^"]+)"', PAGES[url]):
             link = "https://ex.com" + href
-            if link not in visited:
-                out.append((link, depth + 1))
-                if not link.endswith((".png", ".pdf")):
-                    queue.append((link, depth + 1))
-    return crawled, sorted(out)
-
-
-def test_crawl_matches_fifo(spark):
-    rows = [(u, u, 200, "text/html", len(b), None, None, b) for u, b in PAGES.items()]
-    caps = spark.createDataFrame(rows, "url string, final_url string, status_code int, content_type string, "
-                                       "content_length long, server string, location string, body string")
-    assert caps.columns == CAPTURE_COLUMNS
+            found += 1
+            links[link] = min(links.get(link, depth + 1), depth + 1)
+            if not link.endswith((".png", ".pdf")):
+                queue.append((link, depth + 1))
+    return {(u, d) for u, d in depth_of.items() if u in pages}, set(links.items()), found
+
+
+def test_crawl_matches_a_search_by_hand(spark):
+    rows = [(u, None if u in NULL_TYPE else "text/html", b) for u, b in PAGES.items()]
+    rows += [(u, "application/x", b) for u, b in FILES.items()]
+    caps = as_captures(spark.createDataFrame(rows, "url string, content_type string, body string"))
     targets = spark.createDataFrame([("ex.com", "https://ex.com/")], "hostname string, base_url string")
-    for max_depth, max_pages in [(3, 150), (1, 150), (3, 2)]:
-        got = G.crawl(spark, caps, targets, max_depth=max_depth, max_pages=max_pages)
-        pages = got.where(F.col("kind") == "page").count()
-        links = sorted((r.url, r.depth) for r in got.where(F.col("kind") == "link").collect())
-        exp_pages, exp_links = brute(max_depth, max_pages)
-        assert pages == exp_pages
-        assert links == exp_links
+    links = D.html_links(caps)
+    for max_depth, seeds in [(None, []), (3, []), (1, []), (0, []), (None, ["https://ex.com/d"])]:
+        start = spark.createDataFrame([("ex.com", u) for u in seeds], "hostname string, url string") if seeds else None
+        got = G.crawl(caps, targets, links, start, max_depth)
+        by_kind = {k: {(r.url, r.depth) for r in got.where(f"kind = '{k}'").collect()} for k in ("page", "file", "link")}
+        pages, found, n = brute(max_depth, seeds)
+        assert by_kind["page"] == pages
+        assert by_kind["link"] == found
+        assert by_kind["file"] == {p for p in pages if p[0] in FILES}
+        stats = G.crawl_statistics(got).collect()[0]
+        assert (stats.pages_crawled, stats.total_urls_found, stats.unique_urls_found) == (len(pages), n, len(found))
+
+
+def test_long_chain_has_no_end(spark):
+    n = 25
+    caps = as_captures(spark.createDataFrame([(f"https://ex.com/{i or ''}", "text/html", f'<a href="/{i + 1}">x</a>') for i in range(n)],
+                                             "url string, content_type string, body string"))
+    targets = spark.createDataFrame([("ex.com", "https://ex.com/")], "hostname string, base_url string")
+    got = G.crawl(caps, targets, D.html_links(caps))
+    assert got.where("kind = 'page'").count() == n
+    assert got.where("kind = 'page'").agg({"depth": "max"}).first()[0] == n - 1
+
+
+def test_no_captures(spark):
+    caps = as_captures(spark.createDataFrame([], "url string, content_type string, body string"))
+    targets = spark.createDataFrame([], "hostname string, base_url string")
+    assert G.crawl(caps, targets, D.html_links(caps)).count() == 0

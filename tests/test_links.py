@@ -1,6 +1,7 @@
-"""Link extraction details: tag/attribute order, quoting, entities, comments and scripts."""
+"""Link extraction details: tag/attribute order, quoting, entities, comments, scripts and media types."""
 
 from exposa.operators import discovery as D
+from exposa.sources.captures import as_captures
 
 HTML = ('<html><body><!-- <a href="/commented">x</a> -->'
         '<a title="a>b" href="/quoted-gt">q</a>'
@@ -12,12 +13,12 @@ HTML = ('<html><body><!-- <a href="/commented">x</a> -->'
         '</body></html>')
 
 
+def captures(spark, rows):
+    return as_captures(spark.createDataFrame(rows, "url string, content_type string, body string"))
+
+
 def test_html_links(spark):
-    caps = spark.createDataFrame(
-        [("https://ex.com/dir/page", "https://ex.com/dir/page", 200, "text/html", 1, None, None, HTML)],
-        "url string, final_url string, status_code int, content_type string, content_length long, "
-        "server string, location string, body string")
-    rows = D.html_links(caps).orderBy("tag_rank", "pos").collect()
+    rows = D.html_links(captures(spark, [("https://ex.com/dir/page", "text/html", HTML)])).orderBy("tag_rank", "pos").collect()
     got = [(r.context, r.url) for r in rows]
     assert got == [
         ("a.href", "https://ex.com/quoted-gt"),
@@ -28,3 +29,42 @@ def test_html_links(spark):
         ("link.href", "https://ex.com/style.css"),
     ]
     assert all(r.in_scope for r in rows)
+
+
+def hrefs(spark, html, content_type="text/html"):
+    return [r.href for r in D.html_links(captures(spark, [("https://ex.com/", content_type, html)])).orderBy("pos").collect()]
+
+
+def test_attributes_are_whole_names(spark):
+    assert hrefs(spark, '<a href="/real" title="see href=/fake">x</a><a data-href="/no" href=/yes>y</a>'
+                        '<a href="/first" HREF = \'/last\'>z</a><a xhref="/no">n</a><a href>e</a><a title="a>b" href="/c">q</a>') == [
+        "/real", "/yes", "/last", "/c"]
+
+
+def test_character_references(spark):
+    assert hrefs(spark, '<a href="/caf&#233;&#xE9;&eacute;">1</a><a href="/?a=1&amp;b=2&c=3">2</a><a href="/&amp;lt;&unknown;&#0;&#x110000;">3</a>'
+                        '<a href="/&#128512;&#xD800;">4</a>') == [
+        "/caf\u00e9\u00e9\u00e9", "/?a=1&b=2&c=3", "/&lt;&unknown;&#0;&#x110000;", "/\U0001F600&#xD800;"]
+
+
+def test_missing_content_type_is_html(spark):
+    assert hrefs(spark, '<a href="/x">x</a>', None) == hrefs(spark, '<a href="/x">x</a>', "") == ["/x"]
+    assert hrefs(spark, '<a href="/x">x</a>', "text/plain") == []
+
+
+def test_scripts_and_style_sheets_of_their_own(spark):
+    caps = captures(spark, [("https://ex.com/a.js", "application/javascript", 'get("/api/x"); c = "https://ex.com/y.js";'),
+                            ("https://ex.com/s.css", "text/css", "b { background: url(/i.png) } @import '/t.css';"),
+                            ("https://ex.com/", "text/html", '<script>f("/in")</script><style>p { background: url(z.gif) }</style>')])
+    assert {(r.page_url, r.url) for r in D.js_links(caps).collect()} == {
+        ("https://ex.com/a.js", "https://ex.com/api/x"), ("https://ex.com/a.js", "https://ex.com/y.js"), ("https://ex.com/", "https://ex.com/in")}
+    assert {(r.page_url, r.url) for r in D.css_links(caps).collect()} == {
+        ("https://ex.com/s.css", "https://ex.com/i.png"), ("https://ex.com/s.css", "https://ex.com/t.css"), ("https://ex.com/", "https://ex.com/z.gif")}
+
+
+def test_recaptured_page_keeps_its_links_once_per_capture(spark):
+    caps = captures(spark, [("https://ex.com/", "text/html", '<a href="/x">x</a><a href="https://sub.ex.com/y">y</a>')] * 2)
+    rows = D.html_links(caps).collect()
+    assert len(rows) == 4
+    assert {(r.url, r.in_scope, r.in_scope_with_subdomains) for r in rows} == {
+        ("https://ex.com/x", True, True), ("https://sub.ex.com/y", False, True)}
