@@ -251,7 +251,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     inputs = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"),
                           F.coalesce("html", F.lit("")).alias("html"))
-    removed = materialize(unimportant(node_counts(inputs.select("host", "html"))))
+    # the counts are a table: four results below are taken from them
+    removed = materialize(unimportant(materialize(node_counts(inputs.select("host", "html")))))
     by_host = removed.groupBy("host").agg(F.collect_list(F.struct("path", "value")).alias("removed"))
     n = removed.count()
     if n == 0:
