@@ -1,8 +1,8 @@
 """Helpers shared by the operators: table access, Arrow batch functions, XXH64 and tables in the
 shared folder.
 
-Rows reach Python in Arrow batches of at most ``BATCH_ROWS`` rows, so a task holds one batch of
-texts however large its partition is.
+Rows reach Python in Arrow batches of about ``BATCH_BYTES`` bytes, so a task holds little more than the
+longest text however large its partition is.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from exposa.session import checkpoint_dir, materialize  # noqa: F401  (re-exported)
 
-#: Rows of one Arrow batch handed to Python.
-BATCH_ROWS = 1000
+#: Bytes after which an Arrow batch handed to Python is closed.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,9 @@ def text_of(name: str = "text") -> Column:
 
 
 def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-               schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with a bound on the rows of a batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+               schema: str) -> DataFrame:
+    """``mapInArrow`` with a bound on the bytes of a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -16,7 +16,7 @@ from exposa.llm.common import materialize
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
     return (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
             .where("a != b").distinct())
 

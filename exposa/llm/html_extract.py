@@ -272,4 +272,4 @@ def extract(pages: DataFrame) -> DataFrame:
                                "n_chars": [len(t) for t in texts]})
 
     return in_batches(joined.select("page_id", "url", "host", "html", "removed"), run,
-                      "page_id long, url string, text string, n_chars long", rows=200)
+                      "page_id long, url string, text string, n_chars long")

@@ -265,5 +265,4 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | N
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return in_batches(ranked(cut_pieces).select(*columns, "rank"), run,
-                      "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
-                      rows=50_000)
+                      "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -187,7 +187,7 @@ def scan(documents: DataFrame) -> DataFrame:
             yield batch(DIGEST, out)
 
     return in_batches(found, run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, "
-                      "base_sha256 string, spans string", rows=5000)
+                      "base_sha256 string, spans string")
 
 
 def redacted(text: str, formats: Formats) -> str:

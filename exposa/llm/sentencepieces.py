@@ -184,7 +184,7 @@ def encode(documents: DataFrame, model_path: str | None = None) -> DataFrame:
             yield batch(ENCODED, {"doc_id": rows.column("doc_id"), "ids": ids,
                                   "decoded": [e.model.decode(x) for x in ids]})
 
-    return in_batches(_inputs(documents), run, "doc_id long, ids array<int>, decoded string", rows=200)
+    return in_batches(_inputs(documents), run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(documents: DataFrame, model_path: str | None = None) -> DataFrame:

@@ -91,7 +91,7 @@ def bit_correlations(points: DataFrame) -> np.ndarray:
             total += (x.T @ x).astype(np.int64)
         yield batch(schema, {"cell": np.arange(4096, dtype=np.int32), "n": total.ravel()})
 
-    sums = dict(in_batches(points, count, "cell int, n long", rows=100_000).groupBy("cell").agg(F.sum("n")).collect())
+    sums = dict(in_batches(points, count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())
     both = np.array([sums.get(i, 0) for i in range(4096)], float).reshape(64, 64)
     n, ones = max(1, points.count()), np.diag(both)
     spread = np.sqrt(np.maximum(ones / n * (1 - ones / n), 1e-9))
@@ -217,7 +217,7 @@ def make_plan(points: DataFrame, max_bits: int = MAX_BITS, parts: int | None = N
             yield batch(schema, {"part": np.full(len(used), i, np.int32), "value": used.astype(np.int32),
                                  "n": total[i][used]})
 
-    rows = (in_batches(points, count, "part int, value int, n long", rows=100_000)
+    rows = (in_batches(points, count, "part int, value int, n long")
             .groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas())
     histogram = np.zeros((len(groups), 1 << HISTOGRAM_BITS))
     histogram[rows["part"].to_numpy(int), rows["value"].to_numpy(int)] = rows["n"]
@@ -262,7 +262,7 @@ def meetings(points: DataFrame, plan: Plan) -> DataFrame:
                             sent = blocks > b
                             yield from rows_of(_key(i, np.full(int(sent.sum()), b, np.int64), value[sent]), 1, point[sent])
 
-    return in_batches(points, run, "key long, probe byte, fp long", rows=20_000)
+    return in_batches(points, run, "key long, probe byte, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +326,7 @@ def links(points: DataFrame, plan: Plan) -> DataFrame:
             yield batch(LINK, {"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     met = meetings(points, plan).repartition("key").sortWithinPartitions("key", "probe")
-    return in_batches(met, verify, "a long, b long", rows=20_000)
+    return in_batches(met, verify, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,

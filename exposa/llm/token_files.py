@@ -171,7 +171,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     # a given number of partitions: the manifest is small, and would else be read by one task
     files = manifest.select("path", "start").repartitionByRange(max(1, manifest.count()), "start")
-    return in_batches(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=1)
+    return in_batches(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(documents: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

@@ -142,7 +142,7 @@ def filter_urls(pages: DataFrame, host_rules: Sequence[HostRule] = HOST_RULES,
 
     inputs = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
     return in_batches(inputs, run, "page_id long, host string, path string, rule string, verdict string, "
-                      "n_candidates long", rows=10_000)
+                      "n_candidates long")
 
 
 def oracle(host_rules: Sequence[HostRule] = HOST_RULES, pattern_rules: Sequence[PatternRule] = PATTERN_RULES) -> str:

@@ -216,7 +216,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, shard_size: int
                 hits = list(nearest(g, row["ids"], row["query_ids"], np.array(row["qs"], np.float64), k))
                 yield batch(HIT, {f.name: list(c) for f, c in zip(HIT, zip(*hits) if hits else [[]] * 3)})
 
-    hits = in_batches(sent.join(index, ["dim", "shard"]), run, "query_id long, vec_id long, score double", rows=1)
+    hits = in_batches(sent.join(index, ["dim", "shard"]), run, "query_id long, vec_id long, score double")
     best = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return (best.withColumn("rank", rank).where(F.col("rank") <= k)
