@@ -52,12 +52,14 @@ NOISE_TAGS = frozenset("aside button canvas datalist dialog footer form frame he
                        "noframes noscript object option script select style svg template textarea video audio".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation "
                         "search toolbar".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
-                        "comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu "
-                        "modal nav navbar navigation newsletter notice notices notification pager pagination popup "
+NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment "
+                        "comments commentlist consent cookie cookies copyright disclaimer disqus footer header masthead menu "
+                        "modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup "
                         "promo promoted related respond share sharing sidebar social sponsor sponsored subscribe "
                         "subscription toolbar widget widgets".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: With these, a class names what the element stands beside.
+BESIDE = frozenset(("has", "with", "no", "without"))
 #: What may itself be the page's content though a class word says otherwise.
 NEVER_NOISE = frozenset(("html", "body", "article", "main"))
 _WORD = re.compile(r"[a-z]+")
@@ -111,8 +113,9 @@ class PageParser(HTMLParser):
             return True
         for name, value in attrs:
             if name in ("class", "id") and value:
-                for word in value.lower().split():
-                    if word in NOISE_WORDS or not NOISE_WORDS.isdisjoint(_WORD.findall(word)):
+                for name_part in value.lower().split():
+                    words = _WORD.findall(name_part)
+                    if not NOISE_WORDS.isdisjoint(words) and BESIDE.isdisjoint(words):
                         return True
             elif name == "role" and value and value.lower() in NOISE_ROLES:
                 return True

@@ -13,6 +13,7 @@ PAGES = [
     ("table", "<article><table><tr><td>a<td>b</tr></table><ul><li>c<li>d</ul><pre>e\n  f</pre></article>", "a\nb\nc\nd\ne f"),
     ("header", "<body><header>site</header><article><header><h1>title</h1></header><p>x</p></article></body>", "title\nx"),
     ("two", "<article><p>a</p></article><div>between</div><article><p>b</p></article>", "a\nb"),
+    ("beside", "<body class='page with-sidebar no-header'><div class='content has-ads'><p>kept</p></div><div class='right-sidebar'>s</div></body>", "kept"),
     ("malformed", "<article><p class=>a</p></p></b><p>b</i></div>c</article>", "a\nb\nc"),
 ]
 
