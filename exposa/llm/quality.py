@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposa.llm.common import batch, in_batches, materialize, text_of
+from exposa.llm.common import batch, in_batches, materialize, sample_by_hash, text_of
 
 BITS = 16
 LABELLED = 20_000
@@ -65,8 +65,9 @@ def features(text: str) -> np.ndarray:
 
 def sample_labels(labels: DataFrame) -> dict[int, int]:
     """doc_id -> quality of at most LABELLED labelled documents."""
-    rows = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect())
+    known = (labels.where("doc_id is not null and quality is not null")
+             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")))
+    rows = sample_by_hash(known, LABELLED, "doc_id").collect()
     return {r["doc_id"]: int(r["quality"]) for r in rows}
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exposa.llm.automata import Automaton, infer, symbols
-from exposa.llm.common import batch, in_batches, materialize, text_of
+from exposa.llm.common import batch, in_batches, materialize, sample_by_hash, text_of
 
 KINDS = ("assign", "access", "hex", "format")
 MIN_RUN = 16
@@ -144,12 +144,11 @@ def learn(found: DataFrame, examples: int = EXAMPLES) -> Formats:
     """Automata from a bounded sample of the found matches: the ``examples`` shapes of each kind
     whose hashes with their position are smallest."""
     spans = (found.select("doc_id", F.explode(F.arrays_zip("kind", "start", "shape")).alias("s"))
-             .select("doc_id", "s.*").where(F.length("shape") <= LONGEST)
-             .withColumn("order", F.xxhash64("doc_id", "start", "shape")))
+             .select("doc_id", "s.*").where(F.length("shape") <= LONGEST))
     labelled: dict[str, Counter] = public_examples()
     ordinary: Counter = Counter()
     for kind, name in enumerate((*KINDS[:3], "ordinary")):
-        rows = spans.where(F.col("kind") == kind).orderBy("order", "shape").limit(examples).select("shape").collect()
+        rows = sample_by_hash(spans.where(F.col("kind") == kind), examples, "doc_id", "start", "shape").select("shape").collect()
         if rows:
             counts = Counter(r["shape"] for r in rows)
             if kind == CANDIDATE:

@@ -103,3 +103,12 @@ def test_without_labels_all_stay(spark):
 
 def test_empty_table(spark):
     assert Q.score(documents(spark, []), labels_table(spark)).collect() == []
+
+
+def test_sample_by_hash(spark):
+    from exposa.llm.common import sample_by_hash
+    df = spark.range(5000).toDF("x")
+    assert 90 <= sample_by_hash(df, 100, "x").count() <= 100
+    assert sample_by_hash(df, 4000, "x").count() == 4000
+    assert {r.x for r in sample_by_hash(df, 50, "x").collect()} <= {r.x for r in sample_by_hash(df, 300, "x").collect()}
+    assert sample_by_hash(df, 5001, "x").count() == 5000
