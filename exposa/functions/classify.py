@@ -13,6 +13,8 @@ remaining patterns as one alternation.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,18 +76,13 @@ def _case(key: Column, mapping: dict[str, str], default) -> Column:
 
 
 def has_sensitive_keyword(filename: Column) -> Column:
-    """Substring test of the sensitive words on the lower-cased file name (C4)."""
-    cond = F.lit(False)
-    for w in fixed.SENSITIVE_KEYWORDS:
-        cond = cond | filename.contains(w)
-    return cond
+    """Substring test of the sensitive words on the lower-cased file name (C4). One pattern, as a chain
+    of tests would grow the generated code beyond what the JVM compiles."""
+    return filename.rlike("|".join(map(re.escape, fixed.SENSITIVE_KEYWORDS)))
 
 
-def _ends_with_any(col: Column, exts: list[str]) -> Column:
-    cond = F.lit(False)
-    for e in exts:
-        cond = cond | col.endswith(e)
-    return cond
+def ends_with_any(col: Column, exts: list[str]) -> Column:
+    return col.rlike("(?:" + "|".join(map(re.escape, exts)) + r")\z")
 
 
 def classification(category: Column, filename: Column) -> tuple[Column, Column]:
@@ -94,8 +91,8 @@ def classification(category: Column, filename: Column) -> tuple[Column, Column]:
                      F.lit(fixed.CATEGORY_DEFAULT[0]))
     cat_sev = _case(category, {k: v[1] for k, v in fixed.CATEGORY_MAP.items()},
                     F.lit(fixed.CATEGORY_DEFAULT[1]))
-    is_doc = _ends_with_any(filename, fixed.SENSITIVE_DOC_EXTENSIONS)
-    is_img = _ends_with_any(filename, fixed.CLASSIFIER_IMAGE_EXTENSIONS)
+    is_doc = ends_with_any(filename, fixed.SENSITIVE_DOC_EXTENSIONS)
+    is_img = ends_with_any(filename, fixed.CLASSIFIER_IMAGE_EXTENSIONS)
     sensitive = has_sensitive_keyword(filename)
     rtype = (F.when(category.isNotNull(), cat_type)
              .when(is_doc & sensitive, F.lit("POTENTIAL_SENSITIVE_DOCUMENT"))

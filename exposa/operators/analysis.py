@@ -48,9 +48,7 @@ def capture_features(captures: DataFrame, sample_chars: int | None = None,
     c = c.withColumns({"is_directory_listing": listing, "has_sample": has_sample,
                        "_p": F.lower(F.regexp_replace(F.col("cf_path"), r"(?s)(.)/$", "$1"))})
     fn = C.filename_of(F.col("_p"))
-    doc = F.lit(False)
-    for e in fixed.SENSITIVE_DOC_EXTENSIONS:
-        doc = doc | fn.endswith(e)
+    doc = C.ends_with_any(fn, fixed.SENSITIVE_DOC_EXTENSIONS)
     may_find = (F.col("is_directory_listing") | C.path_category(F.col("_p")).isNotNull()
                 | C.path_category(F.concat(F.col("_p"), F.lit("/"))).isNotNull() | doc)
     flags = T.head_flags(F.col("sample"), sniff_chars)

@@ -307,10 +307,7 @@ def classify_urls(spark, d):
 def sensitive_documents(spark, d):
     u = U.with_parts(_link_urls(spark, d), "url", "u_")
     fn = F.lower(C.filename_of(F.col("u_path")))
-    is_doc = F.lit(False)
-    for e in fixed.SENSITIVE_DOC_EXTENSIONS:
-        is_doc = is_doc | fn.endswith(e)
-    return u.where(is_doc).select("url", C.has_sensitive_keyword(fn).alias("has_keyword"))
+    return u.where(C.ends_with_any(fn, fixed.SENSITIVE_DOC_EXTENSIONS)).select("url", C.has_sensitive_keyword(fn).alias("has_keyword"))
 
 
 def soft_404(spark, d):
