@@ -7,18 +7,39 @@ longest text however large its partition is.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import exposa
 from exposa.session import checkpoint_dir, materialize  # noqa: F401  (re-exported)
 
 #: Bytes after which an Arrow batch handed to Python is closed.
 BATCH_BYTES = 16 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Workers import this package by name, wherever they run: the driver hands them its source, once
+    for an application (the driver serves the archive, executors fetch it)."""
+    sc, root = spark.sparkContext, Path(exposa.__file__).parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():  # or it came as an archive itself
+        return
+    archive = Path(tempfile.mkdtemp(prefix="exposa-src-")) / "exposa.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -31,6 +52,7 @@ def text_of(name: str = "text") -> Column:
 def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                schema: str) -> DataFrame:
     """``mapInArrow`` with a bound on the bytes of a batch."""
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 

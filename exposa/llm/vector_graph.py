@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exposa.llm.common import batch, in_batches, materialize
+from exposa.llm.common import batch, in_batches, materialize, ship_package
 
 SHARD = 4096
 #: Out-degree, beam of the building search, and relaxation of the pruning.
@@ -172,6 +172,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def build_index(vectors: DataFrame, k: int, shard_size: int = SHARD) -> tuple[DataFrame, dict[int, int]]:
     """The index table, and each dimension's number of shards. ``vectors``: vec_id, v."""
+    ship_package(vectors.sparkSession)
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     points = (vectors.distinct().withColumn("rn", first).where(F.col("rn") <= k + 1)
               .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
