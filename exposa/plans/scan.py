@@ -120,12 +120,13 @@ class Scan:
 
 
 class DataScan(Scan):
-    """The scan of the given tables: all pages, and the documents as responses of the pages' hosts."""
+    """The scan of the given tables: all pages, and the documents as responses of the pages' hosts. The
+    captures are written as a table first, as a crawl's export would be."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, **options):
         self.pages = SRC.pages(spark, sf_dir)
         self.documents = SRC.documents(spark, sf_dir)
-        super().__init__(responses.captures(spark, sf_dir), self.pages, **options)
+        super().__init__(materialize(responses.captures(spark, sf_dir)), self.pages, **options)
 
 
 _SCANS: dict[tuple, DataScan] = {}
