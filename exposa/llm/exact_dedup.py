@@ -52,7 +52,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
               .withColumn("bucket", bucket(max_depth)))
     fits = (levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
             .where((F.col("held") <= capacity) | (F.col("depth") == max_depth)).select("depth", "bucket"))
-    return levels.join(fits, ["depth", "bucket"]).groupBy("slot").agg(F.min("depth").alias("depth"))
+    # at most 2**(max_depth + 1) nodes
+    return levels.join(F.broadcast(fits), ["depth", "bucket"]).groupBy("slot").agg(F.min("depth").alias("depth"))
 
 
 def build_index(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
