@@ -18,7 +18,7 @@ import os
 import re
 
 #: Words a worker remembers; later words are merged each time they occur.
-MEMORY = 600_000
+MEMORY = 300_000
 #: Splitting pattern of the vocabulary; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _FAR = re.compile("[^\x00-\x1b\x20-\x7e\xa1-\u024f]")

@@ -38,7 +38,7 @@ TEMPERATURE = 0.05
 #: Cost of losing a good document, in bad documents kept.
 GOOD_COST = 10.0
 #: Words a worker remembers the hashes of.
-MEMORY = 500_000
+MEMORY = 150_000
 # Odd multipliers that spread the bits of a pair of hashes.
 _MIX1, _MIX2, _REPEAT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x3039 << 48)
 
