@@ -1,0 +1,160 @@
+"""Near duplicates by exact Jaccard similarity, for the pipeline's stage (op 3's fingerprints and more).
+
+Two documents are near duplicates if the sets of their ``SHINGLE``-word shingles have a Jaccard similarity
+of ``SIMILAR`` or more; groups are the connected components.
+
+*Candidates.* Equal sets are one point. Pairs come from op 3's SimHash search (fingerprints of the same
+shingles) and from MinHash: pairs that agree in all ``ROWS`` minima of one of ``BANDS`` bands. A pair at
+similarity s is missed by the bands with probability (1 - s**ROWS)**BANDS, 5e-5 at 0.8. A wider SimHash
+radius instead cannot be searched in the limits: pairs at 0.8 differ in about 10 of 64 bits, and at 15
+bits some 1e-5 of all unrelated pairs would be candidates, a number that grows with the square of the input.
+
+*Verification.* Every pair taken is compared by its sets. The first round compares each point with the
+least point of its band's bucket, found by map-side aggregation, so a bucket with very many points is no
+hot group. The second compares, in each bucket, all other pairs that the first round's links have not
+brought into one component already.
+
+Defined results: a null text is the empty text; texts without words are near duplicates of each other;
+a null doc_id gets its group's component, which is null only if all its doc_ids are; repeated rows share
+a result; an empty table gives an empty result; other columns are kept by ``keep_one``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from exposa.llm import simhash
+from exposa.llm.common import batch, in_batches, materialize, text_of
+from exposa.llm.components import components
+
+SHINGLE, SIMILAR = 5, 0.8
+BANDS, ROWS = 25, 5
+#: Shingles whose minima are taken at a time.
+CHUNK = 1 << 12
+_random = np.random.default_rng(42)
+_MULTIPLY = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: str) -> set[bytes]:
+    """Words are split and lowered as op 3 does; a text of fewer words is one shingle."""
+    words = text.encode().lower().split()
+    if not words:
+        return set()
+    return {b" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def sketch(own: set[bytes]) -> tuple[int, list[int]]:
+    """A digest of the set, and a hash of each band's minima."""
+    hash_of = xxhash.xxh64_intdigest
+    h = np.sort(np.fromiter((hash_of(s) for s in own), np.uint64, len(own)))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), CHUNK):
+        np.minimum(least, (_MULTIPLY[:, None] * h[None, at:at + CHUNK] + _ADD[:, None]).min(axis=1), out=least)
+    bands = [xxhash.xxh64_intdigest(m.tobytes(), k) - (1 << 63) for k, m in enumerate(least.reshape(BANDS, ROWS))]
+    return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63), bands
+
+
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("point", pa.int64()), ("fp", pa.int64()),
+                    ("bands", pa.list_(pa.int64()))])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column("text").to_pylist()
+            fp = np.array([simhash.fingerprint(t, SHINGLE) for t in texts], np.uint64).view(np.int64)
+            points, bands = zip(*(sketch(shingles(t)) for t in texts)) if texts else ((), ())
+            yield batch(SKETCH, {"doc_id": rows.column("doc_id"), "text_hash": rows.column("text_hash"),
+                                 "point": points, "fp": pa.array(fp), "bands": bands})
+
+    return in_batches(docs, run, "doc_id long, text_hash long, point long, fp long, bands array<long>")
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of points whose sets are similar. ``points`` has (point, text_hash), ``docs``
+    (text_hash, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            columns = [rows.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]
+            found, held, own = [], None, set()
+            for a, b, text_a, text_b in zip(*columns):
+                if a != held:
+                    held, own = a, shingles(text_a)
+                if similar(own, shingles(text_b)):
+                    found.append((a, b))
+            yield batch(PAIR, {"a": [a for a, _ in found], "b": [b for _, b in found]})
+
+    used = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
+    texts = materialize(points.join(used, "point").join(docs.select("text_hash", "text"), "text_hash")
+                        .groupBy("point").agg(F.first("text").alias("text")))
+    met = (pairs.join(texts.select(F.col("point").alias("b"), F.col("text").alias("text_b")), "b")
+           .join(texts.select(F.col("point").alias("a"), F.col("text").alias("text_a")), "a"))
+    return in_batches(met.select("a", "b", "text_a", "text_b"), run, "a long, b long")
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def simhash_pairs(points: DataFrame) -> DataFrame:
+    """Pairs of points that op 3 links: of equal fingerprints, and of those within its bits."""
+    by_fp = materialize(points.groupBy("fp").agg(F.min("point").alias("head")))
+    equal = points.join(by_fp, "fp").select(*_ordered("head", "point"))
+    links = simhash.links(by_fp.select("fp"), simhash.make_plan(by_fp.select("fp")))
+    near = (links.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+            .join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(*_ordered("x", "y")))
+    return equal.union(near)
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """Per document: doc_id, component_id."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    rows = materialize(sketches(docs))
+    points = materialize(rows.groupBy("point").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"),
+                                                   F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    banded = points.select("point", F.posexplode("bands").alias("band", "value"))
+    heads = banded.groupBy("band", "value").agg(F.min("point").alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(banded.join(heads.drop("n"), ["band", "value"]))  # buckets of two points or more
+    stars = shared.select(*_ordered("head", "point"))
+    first = materialize(stars.union(simhash_pairs(points.select("point", "fp"))).where("a != b").distinct())
+    links = materialize(verified(first, points, docs))
+    # pairs of one bucket, neither its head, that no link has brought together
+    roots = components(links)
+    rest = (shared.where("point != head").join(roots.withColumnRenamed("node", "point"), "point", "left")
+            .withColumn("root", F.coalesce("root", "point")))
+    mixed = rest.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rest = materialize(rest.join(mixed.select("band", "value"), ["band", "value"]).select("band", "value", "point", "root"))
+    other = rest.select("band", "value", F.col("point").alias("point_b"), F.col("root").alias("root_b"))
+    second = (rest.join(other, ["band", "value"]).where("root < root_b")
+              .select(*_ordered("point", "point_b")).distinct())
+    second = materialize(second.join(first, ["a", "b"], "left_anti"))
+    links = materialize(links.union(verified(second, points, docs)))
+    rooted = points.join(components(links).withColumnRenamed("node", "point"), "point", "left").select(
+        "point", "least", F.coalesce("root", "point").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return (rows.select("doc_id", "point").join(rooted.join(named, "root").select("point", "component_id"), "point")
+            .select("doc_id", "component_id"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The document of smallest doc_id of each group, with all its columns."""
+    kept = (near_duplicates(documents).where("doc_id <=> component_id")
+            .select(F.col("doc_id").alias("kept_id")).distinct())
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -1,0 +1,72 @@
+"""The pipeline's near-dedup against brute-force Jaccard."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline as C
+from llm_cases import AWKWARD, documents, prose
+
+from exposa.llm import near_dedup as N
+
+
+def brute_sets(rows):
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def brute_names(rows):
+    sets, name = brute_sets(rows), list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if name[i] != name[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = name[i], name[j]
+                name = [new if x == old else x for x in name]
+    least = {}
+    for (d, _), c in zip(rows, name):
+        least[c] = min((x for x in (least.get(c), d) if x is not None), default=None)
+    return [least[c] for c in name]
+
+
+def changed(text, n, seed):
+    r, words = random.Random(seed), text.split()
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"other{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def copies():
+    """Pairs at all similarities from 0.6 on, and chains of small changes."""
+    r, rows = random.Random(9), []
+    for i in range(250):
+        text = " ".join(f"{r.choice(('a', 'of', 'in'))}{r.randrange(5000)}" for _ in range(200))
+        rows += [(10 * i + 1000, text), (10 * i + 1001, changed(text, i % 11, i))]
+        if i % 10 == 0:
+            for k in range(2, 8):
+                text = changed(text, 3, i + k)
+                rows.append((10 * i + 1000 + k, text))
+    return rows
+
+
+def test_recall_of_brute_force_jaccard(spark):
+    rows = copies()
+    want = brute_names(rows)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(spark, rows)).collect()}
+    near = [(d, c) for (d, _), c in zip(rows, want) if d != c]
+    assert len(near) > 150 and all(got[d] == c for (d, _), c in zip(rows, want))
+    kept = {r["doc_id"] for r in C.near_stage(spark, documents(spark, rows), "").collect()}
+    assert kept == set(want)
+
+
+def test_groups_that_share_a_bucket_but_not_its_head(spark, monkeypatch):
+    """All points meet in one bucket: the second round compares those that the head is not like."""
+    monkeypatch.setattr(N, "sketch", lambda own, f=N.sketch: (f(own)[0], [7]))
+    monkeypatch.setattr(N, "simhash_pairs", lambda points: points.select(points.point.alias("a"), points.point.alias("b")))
+    rows = [(10 * i + k, changed(prose(i, 120), k, k)) for i in range(1, 5) for k in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(spark, rows)).collect()}
+    assert [got[d] for d, _ in rows] == brute_names(rows)
+
+
+def test_awkward_rows(spark):
+    got = Counter((r["doc_id"], r["component_id"]) for r in N.near_duplicates(documents(spark)).collect())
+    assert got == Counter(zip((d for d, _ in AWKWARD), brute_names(AWKWARD)))
+    assert N.keep_one(documents(spark, [])).collect() == []
