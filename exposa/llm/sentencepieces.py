@@ -8,7 +8,8 @@ prefix are unique, so a position from which no way led on needs no second visit:
 these positions. Compatibility is found by re-merging the two strings and remembered.
 
 No piece of the vocabulary has a space mark after another character (checked on loading), so a text
-is encoded word by word, and each worker remembers the first ``MEMORY`` words it meets. The model's
+is encoded word by word, and each worker remembers the first ``MEMORY`` short words it meets.
+A word is cut first where no piece holds the two neighbours. The model's
 own normaliser prepares the text; characters outside the vocabulary become byte pieces. Decoding is
 the library's ``decode(ids)``.
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from exposa.llm.common import batch, in_batches, text_of
 
-#: Words a worker remembers.
-MEMORY = 800_000
+#: Words a worker remembers, and their greatest length.
+MEMORY, SHORT = 800_000, 64
 #: Pairs of tokens whose compatibility a worker remembers.
 PAIRS = 1_000_000
 SPACE = "▁"
@@ -121,25 +122,31 @@ class Backtracking:
                 before = out[-1] << 32 if out else 0
         return out
 
+    def parted(self, word: str) -> Iterator[str]:
+        """The word cut between neighbours outside ``joined``: no piece holds such a pair."""
+        at, joined = 0, self.joined
+        for k in range(1, len(word)):
+            if word[k - 1:k + 1] not in joined:
+                yield word[at:k]
+                at = k
+        yield word[at:]
+
     def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word, remembered. Characters outside the vocabulary never merge; no piece holds
-        a pair of neighbours outside ``joined``, so words part there."""
+        """Ids of a word, remembered if it is short. Characters outside the vocabulary never merge, so
+        words part there too."""
         if (ids := self.words.get(word)) is not None:
             return ids
-        if not self.characters.issuperset(word):
-            out: list[int] = []
-            for known, run in itertools.groupby(word, self.characters.__contains__):
-                part = "".join(run)
-                if known:
-                    out += self.word(part)
-                else:
-                    out += [self.bytes[b] for b in part.encode()] if self.bytes else [self.unknown] * len(part)
-            ids = tuple(out)
-        elif len(word) > 1 and word[-2:] not in self.joined:
-            ids = self.word(word[:-1]) + self.word(word[-1])
-        else:
-            ids = tuple(self.tokens(word))
-        if len(self.words) < self.memory:
+        out: list[int] = []
+        known_all = self.characters.issuperset(word)
+        for known, run in ((True, word),) if known_all else itertools.groupby(word, self.characters.__contains__):
+            text = "".join(run)
+            if not known:
+                out += [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown] * len(text)
+                continue
+            for part in self.parted(text):
+                out += self.tokens(part) if part == word else self.word(part)
+        ids = tuple(out)
+        if len(word) <= SHORT and len(self.words) < self.memory:
             self.words[word] = ids
         return ids
 

@@ -48,3 +48,13 @@ def test_encode_gives_ids_and_text(spark):
 
 def test_empty_table(spark):
     assert S.digests(documents(spark, [])).collect() == []
+
+
+def test_long_runs_without_joined_neighbours():
+    e = S.Backtracking(S.default_path())
+    single = "".join(sorted(c for c in e.characters if c + c not in e.joined)[:40])
+    texts = ["0" * 50_000, "1234567890" * 300, "x" + "7" * 3000 + "xx", "日" * 2000, "0日é" * 1500, single * 50]
+    texts += [f"no {n} 0{'1' * n}a{'2' * n} end" for n in (1, 2, 70, 1100)]
+    for t in texts:
+        assert e.encode(t) == e.model.encode(t), t[:20]
+    assert max(map(len, e.words)) <= S.SHORT
