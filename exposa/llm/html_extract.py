@@ -14,13 +14,16 @@ presentation's with the mean of its contents'. A block is removed if its content
 unimportant on a host where the node is on ``LEAST_PAGES`` pages or more. Markup fixes the importance of
 two kinds of branches: what it drops has none, and plain paragraphs, headings, lists and tables right in
 an article have full importance (several copies of an article on one host are not a template).
-Statistics are counts by (host, path, value), added up before the shuffle, so a host with a third of all
-pages is no hot group; what is removed is a table of (host, path, content), broadcast only when its
+Statistics are counts by (host, path, value) over pages of different contents: rows are dealt by all of these,
+then added up before the second shuffle, so a host with a third of all pages is no hot group; what is removed is a table of (host, path, content), broadcast only when its
 measured size is small, else joined by host.
 
 Defined results: a null html is the empty text (text empty); a null URL has the empty host; a null page_id
-stays null; repeated rows give a row each, and count as a page each; an empty table gives an empty result;
-other columns are ignored. An element that drops its content ends where an article or main begins.
+stays null; repeated rows give a row each; an empty table gives an empty result;
+other columns are ignored. An element that drops its content and is never closed ends where an article or
+main begins; an article in a closed one goes with it. A head ends at the first element or text it cannot hold;
+a form stays if it holds more text than the rest of the page. Pages of equal blocks on a host count as one in
+the style tree. If all blocks are removed the text is empty.
 """
 
 from __future__ import annotations
@@ -61,7 +64,11 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: With these, a class names what the element stands beside.
 BESIDE = frozenset(("has", "with", "no", "without"))
 #: What may itself be the page's content though a class word says otherwise.
-NEVER_NOISE = frozenset(("html", "body", "article", "main"))
+NEVER_NOISE = frozenset(("html", "body", "main"))
+#: An article of such a class is not the page's.
+NOISE_ARTICLES = frozenset("ad ads advert advertisement comment comments disqus promo related respond widget".split())
+#: What a head holds; anything else ends one whose end tag is omitted.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -78,8 +85,24 @@ class PageParser(HTMLParser):
         super().__init__(convert_charrefs=True)
 
     def parse(self, html: str) -> "PageParser":
+        """A second pass follows if the first one met an article in a dropped branch that is never closed,
+        or dropped a form that holds most of the page's text."""
+        self._pass(html, frozenset(), frozenset())
+        kept = sum(len(content) for _, content, _ in self.blocks)
+        forms = frozenset(k for k, n in self.form_text.items() if n > kept)
+        unclosed = self.around_article - self.closed
+        # in a second pass what the first one dropped unseen counts too
+        return self._pass(html, self.starts - self.closed, forms) if unclosed or forms else self
+
+    def _pass(self, html: str, unclosed: set[int] | frozenset[int], forms: frozenset[int]) -> "PageParser":
         self.reset()
-        self.stack: list[tuple[str, str, bool]] = []  # tag, path, drops its content
+        self.unclosed, self.forms = unclosed, forms
+        self.number, self.dropper = 0, -1  # of start tags; of the one whose content is dropped
+        self.starts: set[int] = set()
+        self.closed: set[int] = set()  # those that their own end tag closed
+        self.around_article: set[int] = set()
+        self.form_text: dict[int, int] = {}
+        self.stack: list[tuple[str, str, bool, int]] = []  # tag, path, drops its content, number
         self.dropping = self.mains = 0
         self.parts: list[str] = []
         self.blocks: list[tuple[str, str, int]] = []
@@ -102,14 +125,18 @@ class PageParser(HTMLParser):
             self.parts.clear()
 
     def _pop(self) -> None:
-        tag, _, drops = self.stack.pop()
+        tag, _, drops, _ = self.stack.pop()
         self.dropping -= drops
         self.mains -= tag in MAIN_TAGS
 
     def _drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER_NOISE:
             return False
-        if tag in NOISE_TAGS or tag == "header" and not self.mains:
+        if tag == "article":
+            return any(not NOISE_ARTICLES.isdisjoint(words) and BESIDE.isdisjoint(words)
+                       for name, value in attrs if name in ("class", "id") and value
+                       for words in map(_WORD.findall, value.lower().split()))
+        if tag in NOISE_TAGS and self.number not in self.forms or tag == "header" and not self.mains:
             return True
         for name, value in attrs:
             if name in ("class", "id") and value:
@@ -130,9 +157,15 @@ class PageParser(HTMLParser):
             if not self.dropping:
                 self.parts.append(" ")
             return
-        if tag in MAIN_TAGS:
-            while self.dropping:
-                self._pop()
+        self.number += 1
+        self.starts.add(self.number)
+        if self.stack and (tag == "body" and self._in_head() or self.stack[-1][0] == "head" and tag not in HEAD_TAGS):
+            self._end("head")
+        if tag in MAIN_TAGS and self.dropping:
+            self.around_article.add(self.dropper)
+            if self.dropper in self.unclosed:
+                while self.dropping:
+                    self._pop()
         if tag in BLOCK:
             self._flush()
             if tag in ENDS_P and self._open("p"):
@@ -142,7 +175,7 @@ class PageParser(HTMLParser):
         if tag in VOID:
             return
         if self.dropping:
-            self.stack.append((tag, "", False))
+            self.stack.append((tag, "", False, self.number))
             self.mains += tag in MAIN_TAGS
             return
         drops = self._drops(tag, attrs)
@@ -153,17 +186,22 @@ class PageParser(HTMLParser):
             self.nodes.setdefault(above, []).append(tag)
         else:
             path = self._path()
-        self.stack.append((tag, path, drops))
+        self.stack.append((tag, path, drops, self.number))
         self.dropping += drops
+        if drops:
+            self.dropper, self.dropper_tag = self.number, tag
         self.mains += tag in MAIN_TAGS
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             self.handle_starttag(tag, attrs)
 
+    def _in_head(self) -> bool:
+        return any(entry[0] == "head" for entry in self.stack[:2])
+
     def _open(self, tag: str) -> bool:
         """Whether the tag is open, up to the nearest element that bounds it."""
-        for t, _, _ in reversed(self.stack):
+        for t, *_ in reversed(self.stack):
             if t == tag:
                 return True
             if t in ("table", "td", "th", "li", "div", "section", "article", "main", "body"):
@@ -180,12 +218,18 @@ class PageParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK and not self.dropping:
             self._flush()
-        if any(t == tag for t, _, _ in reversed(self.stack)):
+        own = next((number for t, _, _, number in reversed(self.stack) if t == tag), None)
+        if own is not None:
+            self.closed.add(own)
             self._end(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.dropping and self.stack[-1][0] == "head" and data.strip():
+            self._end("head")
         if not self.dropping:
             self.parts.append(data)
+        elif self.dropper_tag == "form" and (self.stack[-1][0] == "form" or self.stack[-1][0] not in NOISE_TAGS):
+            self.form_text[self.dropper] = self.form_text.get(self.dropper, 0) + len(" ".join(data.split()))
 
 
 def digest(content: str) -> int:
@@ -193,23 +237,23 @@ def digest(content: str) -> int:
 
 
 def main_text(parser: PageParser, removed: set[tuple[str, int]]) -> str:
-    """The article's blocks if there is one, else all blocks, without removed branches (unless nothing
-    would be left)."""
+    """The article's blocks if there is one, else all blocks, without removed branches."""
     blocks = [b for b in parser.blocks if b[2] != OUTSIDE] or parser.blocks
     kept = [b for b in blocks if b[2] == PLAIN or (b[0], digest(b[1])) not in removed] if removed else blocks
-    return "\n".join(content for _, content, _ in kept or blocks)
+    return "\n".join(content for _, content, _ in kept)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")))
 
 
-STAT = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int8()), ("value", pa.int64())])
+STAT = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int8()), ("value", pa.int64()),
+                  ("page", pa.int64())])
 PAGE, STYLE, CONTENT = 0, 1, 2
 
 
 def node_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): on how many pages a node stands, shows a child sequence, and holds
+    """(host, path, kind, value, n): on how many pages of different contents a node stands, shows a child sequence, and holds
     a content (where markup does not fix its importance)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +264,13 @@ def node_counts(pages: DataFrame) -> DataFrame:
                 p = parser.parse(html)
                 own = {(host, path, CONTENT, digest(content)) for path, content, standing in p.blocks if standing != PLAIN}
                 own |= {(host, path, STYLE, digest(">".join(tags))) for path, tags in p.nodes.items()}
-                out.extend(own)
-                out.extend({(host, x[1], PAGE, 0) for x in own})
-            columns = list(zip(*out)) if out else [[]] * 4
+                page = digest("\n".join(f"{path}\t{content}" for path, content, _ in p.blocks))
+                out.extend((*x, page) for x in own)
+                out.extend((host, path, PAGE, 0, page) for path in {x[1] for x in own})
+            columns = list(zip(*out)) if out else [[]] * 5
             yield batch(STAT, {f.name: list(c) for f, c in zip(STAT, columns)})
 
-    return (in_batches(pages, run, "host string, path string, kind byte, value long")
+    return (in_batches(pages, run, "host string, path string, kind byte, value long, page long").distinct()
             .groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n")))
 
 

@@ -71,3 +71,28 @@ def test_without_broadcast(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert H.extract(frame(spark, [])).collect() == []
+
+
+MARKUP = [
+    ("<div><p>The text</p></div><div id=comments><article class=comment-body><p>c</p></article></div>", "The text"),
+    ("<div><p>The text</p></div><article class=comment-body><p>c</p></article>", "The text"),
+    ("<p>The text</p><aside><article><p>teaser</p></article></aside>", "The text"),
+    ("<article><p>a</p></article><nav><li>menu<main><p>b", "a\nb"),
+    ("<html><head><title>t</title><body><p>The text</p></body></html>", "The text"),
+    ("<head><meta charset=utf-8><title>t</title><p>The text", "The text"),
+    ("<head><title>t</title>The text", "The text"),
+    ("<body><form action=x><div><p>The text</p><select><option>o</select></div></form></body>", "The text"),
+    ("<body><p>The text is longer</p><form><p>f</p></form></body>", "The text is longer"),
+]
+
+
+def test_markup_neither_loses_nor_keeps_whole_texts():
+    for html, want in MARKUP:
+        assert H.main_text(H.PageParser().parse(html), set()) == want, html
+
+
+def test_all_removed_is_empty(spark):
+    only = "<body><div class=top>Welcome to our site</div><div class=end>All rights reserved</div></body>"
+    rows = [(i, f"http://one.net/{i}", template(i)) for i in range(12)] + [(50, "http://one.net/x", only)]
+    text = {r["page_id"]: r["text"] for r in H.extract(frame(spark, rows)).collect()}
+    assert text[50] == "" and text[3] == "Text 3 of its own kind"
