@@ -5,10 +5,10 @@ Pieces of one length are interchangeable, so the packing problem is a histogram
 
 * best-fit decreasing gives the first incumbent;
 * bin completion, a branch and bound, fills one kind of sequence at a time around the largest piece left:
-  it enumerates the undominated fillings of the rest (no filling is kept whose waste and pieces another
-  one betters), tries them from the least waste on, applies each as often as the counts allow, and prunes
-  a branch when its waste shows that the incumbent cannot be beaten. It ends when the incumbent meets the
-  lower bound, or after ``NODES`` nodes, with the incumbent.
+  it tries a few promising fillings of the rest from the least waste on, then lazily all maximal ones,
+  applies each as often as the counts allow, then all fewer times, and prunes a branch when its waste shows
+  that the incumbent cannot be beaten. It ends when the incumbent meets the lower bound, when all is
+  tried, or after ``NODES`` nodes and dead ends, with the incumbent.
 
 The result is a list of patterns (at most a few thousand, for any input), each with a number of
 sequences. On the executors each piece gets a rank among the pieces of its length (ranked within salted
@@ -87,7 +87,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
 
 
 def fillings(space: int, lengths: list[int], left: dict[int, int], many: int = FILLINGS) -> list[Pattern]:
-    """Undominated fillings of ``space`` from the pieces left, least waste first, at most ``many``.
+    """Promising fillings of ``space`` from the pieces left, least waste first, at most ``many``.
 
     A filling dominates another of no less sum whose pieces can be grouped into its pieces; here: fewer
     and larger pieces go before more and smaller ones of the same sum, and a sum is kept once."""
@@ -118,6 +118,52 @@ def fillings(space: int, lengths: list[int], left: dict[int, int], many: int = F
     return [best[s] for s in sorted(best, reverse=True)[:many]]
 
 
+def all_fillings(space: int, lengths: list[int], left: dict[int, int]) -> Iterator[Pattern | None]:
+    """Every maximal filling (no piece left fits the rest), largest pieces first; None for a dead end."""
+    total = [0]
+    for x in reversed(lengths):
+        total.append(total[-1] + x * left[x])
+    total.reverse()  # of the pieces from a length on
+    todo: list[tuple[int, int, int, Pattern]] = [(0, space, space + 1, ())]
+    while todo:
+        i, room, must, filling = todo.pop()  # the rest must be less than ``must``
+        while i < len(lengths) and lengths[i] > room:
+            i += 1
+        if room - total[i] >= must:
+            yield None
+        elif i == len(lengths):
+            yield filling
+        else:
+            x = lengths[i]
+            most = min(left[x], room // x)
+            for k in range(most + 1):
+                todo.append((i + 1, room - k * x, must if k == left[x] else min(must, x), filling + (x,) * k))
+
+
+def branches(largest: int, space: int, before: dict[int, int]) -> Iterator[tuple[Pattern, int] | None]:
+    """(pattern, times) around the largest piece: the most promising fillings as often as they go, then all
+    others, then all fewer times; None for a dead end."""
+    left = dict(before)
+    left[largest] -= 1
+    lengths = sorted((k for k, v in left.items() if v), reverse=True)
+
+    def most(pattern: Pattern) -> int:
+        return min(before[k] // n for k, n in Counter(pattern).items())
+
+    first = fillings(space, lengths, left)
+    for f in first:
+        yield (largest, *f), most((largest, *f))
+    for f in all_fillings(space, lengths, left):
+        if f is None or f not in first:
+            yield f if f is None else ((largest, *f), most((largest, *f)))
+    for f in all_fillings(space, lengths, left):
+        if f is None:
+            yield None
+        else:
+            for times in range(most((largest, *f)) - 1, 0, -1):
+                yield (largest, *f), times
+
+
 def _nearest(room: int, usable: list[int], most: int, have: set[int]) -> list[int]:
     """The largest usable lengths up to ``room`` and ``most`` (``usable`` falls)."""
     limit = min(room, most)
@@ -140,7 +186,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
     best = best_fit(histogram, capacity)
     bound, total = lower_bound(histogram, capacity), sum(k * v for k, v in histogram.items())
     budget = nodes
-    # a path of choices: (pieces left, sequences used, waste, fillings not tried yet, largest piece)
+    # a path of choices: (pieces left, sequences used, waste, branches not tried yet, choices before)
     path: list[list] = []
     state, used, waste, chosen = dict(histogram), 0, 0, []
     while sum(best.values()) > bound and budget > 0:
@@ -148,22 +194,24 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
         allowed = (sum(best.values()) - 1) * capacity - total
         if state and waste <= allowed and used + lower_bound_fast(state, capacity) < sum(best.values()):
             largest = max(state)
-            left = dict(state)
-            left[largest] -= 1
-            lengths = sorted((k for k, v in left.items() if v), reverse=True)
-            path.append([state, used, waste, fillings(capacity - largest, lengths, left)[::-1], largest, len(chosen)])
+            path.append([state, used, waste, branches(largest, capacity - largest, state), len(chosen)])
         elif not state and used < sum(best.values()):
             best = Counter()
             for pattern, times in chosen:
                 best[pattern] += times
-        while path and not path[-1][3]:
-            path.pop()
-        if not path:
+        option = None
+        while path and option is None and budget > 0:
+            option = next(path[-1][3], ())
+            if option is None:
+                budget -= 1
+            elif not option:
+                path.pop()
+                option = None
+        if option is None:
             break
-        before, used, waste, options, largest, depth = path[-1]
-        pattern = (largest, *options.pop())
+        before, used, waste, _, depth = path[-1]
+        pattern, times = option
         need = Counter(pattern)
-        times = min(before[k] // n for k, n in need.items())
         del chosen[depth:]
         chosen.append((pattern, times))
         state = dict(before)

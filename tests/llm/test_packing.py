@@ -95,3 +95,11 @@ def test_documents_are_packed_whole(spark):
 
 def test_empty_table(spark):
     assert P.pack(documents(spark, [])).collect() == []
+
+
+def test_search_tries_fillings_of_equal_sums():
+    # 50+25+25, 36+34+30, 43+37+20: {25, 25} beside 50 has the sum of {30, 20}
+    histogram = Counter([50, 43, 37, 36, 34, 30, 25, 25, 20])
+    patterns = P.solve(histogram, 100)
+    check_solution(histogram, 100, patterns)
+    assert used(patterns) == 3
