@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exposa.llm import exact_dedup, near_dedup, packing, quality, secret_scan
+from exposa.llm import exact_dedup, packing, quality, secret_scan, simhash
 from exposa.llm.common import materialize, table
 
 
@@ -23,8 +23,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8): the one of smallest doc_id."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near duplicates (4-word shingles, at most 4 bits apart): the one of
+    smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
