@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposa.llm import (exact_dedup, html_extract, packing, quality, secret_scan, sentencepieces, simhash,
-                        token_files, url_filter, vector_graph)
+from exposa.llm import (concat_cut, exact_dedup, filter_audit, html_extract, packing, quality, secret_scan,
+                        sentencepieces, simhash, source_divergence, token_files, url_filter, vector_graph)
 from exposa.llm.common import table
 
 
@@ -50,8 +50,21 @@ def op10_html_extract(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract(table(spark, d, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return source_divergence.audit(table(spark, d, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op13_concat_cut(spark: SparkSession, d: str) -> DataFrame:
+    return concat_cut.pack(table(spark, d, "documents"))
+
+
 _QUERIES = [op1_secret_scan, op2_url_filter, op3_simhash, op4_packing, op5_exact_dedup, op6_token_files, op7_quality,
-            op8_vector_graph, op9_sentencepiece, op10_html_extract]
+            op8_vector_graph, op9_sentencepiece, op10_html_extract, op11_source_divergence, op12_filter_audit,
+            op13_concat_cut]
 LLM_QUERIES = {f.__name__: f for f in _QUERIES}
 
 LLM_ORACLES = {
@@ -62,4 +75,6 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) kept, sha256(t) text_sha256
 FROM d""",
+    "op11_source_divergence": source_divergence.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }

@@ -82,7 +82,7 @@ def test_awkward_rows(spark):
 def test_registered():
     names = E.queries().keys()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
 
 
