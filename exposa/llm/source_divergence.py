@@ -12,12 +12,12 @@ to 2.8e14 occurrences; sums of divergences stay below 2^63 while V is below 2e9.
 
 * ``pair``: each source against each other one of its language, summed over all kept terms. Tasks hold a
   matrix of sums for each language and send it instead of a row for each term and pair.
-* ``term``: terms a source has more of than its language, the ``top`` first.
+* ``term``: terms a source has more of than its language, the ``top`` first; batches send no more of a source
+  than can be among them.
 
-A hot source or language is many rows of terms, which hash by (lang, term); its ranks are cut before the
-shuffle. Per language the sources and their totals are one row, which joins to the terms. The result has a row
-for each two sources of a language, so memory of that order is taken: a task sends its sums whenever it holds
-``CELLS``.
+A hot source or language is many rows of terms, which hash by (lang, term). Per language the sources' totals
+are one row, which joins to the terms. The result has a row for each two sources of a language, so memory of
+that order is taken: a task sends its sums whenever it holds ``CELLS``.
 
 Defined results: null text, lang and source count as ''; a document without terms still makes its (lang, source)
 occur; rows that repeat a doc_id count each; an empty table gives an empty result; other columns are ignored.
@@ -43,7 +43,8 @@ TABLE = bytes(b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() e
 
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("docs", pa.int64()),
                     ("n", pa.int64())])
-SUMS = pa.schema([("lang", pa.string()), ("other", pa.int32()), ("sums", pa.list_(pa.int64()))])
+VALUES = pa.schema([("lang", pa.string()), ("source", pa.int32()), ("other", pa.int32()), ("term", pa.string()),
+                    ("value", pa.int64())])
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -54,9 +55,13 @@ def term_counts(documents: DataFrame) -> DataFrame:
         entries = 0
 
         def sums() -> pa.RecordBatch:
-            rows = [(lang, source, term, docs[term], n) for (lang, source), (docs, total) in held.items()
-                    for term, n in total.items()]
-            return batch(COUNTS, dict(zip(COUNTS.names, zip(*rows))))
+            """Both counters of a group met its terms in the same order."""
+            sizes = [len(total) for _, total in held.values()]
+            terms, docs, n = ([x for pair in held.values() for x in pick(*pair)] for pick in
+                              (lambda d, t: t, lambda d, t: d.values(), lambda d, t: t.values()))
+            lang, source = (np.repeat(np.array([k[i] for k in held], object), sizes) for i in (0, 1))
+            return batch(COUNTS, {"lang": pa.array(lang, pa.string()), "source": pa.array(source, pa.string()),
+                                  "term": terms, "docs": docs, "n": n})
 
         for rows in batches:
             for lang, source, text in zip(*(rows.column(c).to_pylist() for c in ("lang", "source", "text"))):
@@ -76,89 +81,105 @@ def term_counts(documents: DataFrame) -> DataFrame:
                       "lang string, source string, term binary, docs long, n long")
 
 
-def share(n: str, total: str) -> str:
-    """SQL of 1 + floor(SCALE * (n + 1) / total), without overflow below 2.8e14."""
+def share(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """1 + floor(SCALE * (n + 1) / total), without overflow below 2.8e14."""
     first, second = 31_250, 32_000
     assert first * second == SCALE
-    a = f"(({n}) + 1) * {first}"
-    return f"(1 + ({a} div ({total})) * {second} + ((({a}) % ({total})) * {second}) div ({total}))"
+    whole, rest = np.divmod((n + 1) * first, total)
+    return 1 + whole * second + rest * second // total
 
 
-def kept_terms(documents: DataFrame, min_docs: int) -> DataFrame:
-    """lang, term, n (of the language), entries (occurrences by source), of the terms that enough documents hold."""
-    sums = (term_counts(documents).repartition("lang", "term").groupBy("lang", "term", "source")
-            .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+def numbered_sources(documents: DataFrame) -> DataFrame:
+    """lang, source, place: the sources of a language in their order, from 0."""
+    return (documents.select("lang", "source").distinct()
+            .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1))
+
+
+def kept_terms(documents: DataFrame, sources: DataFrame, min_docs: int) -> DataFrame:
+    """lang, term, n (of the language), entries (place of a source, n), of the terms that enough documents hold."""
+    sums = (term_counts(documents).join(sources, ["lang", "source"]).repartition("lang", "term")
+            .groupBy("lang", "term", "place").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
     return (sums.groupBy("lang", "term")
             .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"),
-                 F.collect_list(F.struct("source", "n")).alias("entries"))
+                 F.collect_list(F.struct("place", "n")).alias("entries"))
             .where(F.col("docs") >= min_docs).select("lang", F.col("term").cast("string").alias("term"), "n", "entries"))
 
 
-def language_table(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """A row for each language: lang, V, N, sources (source, N), by source."""
+def language_table(sources: DataFrame, terms: DataFrame) -> DataFrame:
+    """A row for each language with terms: lang, lang_total (N + V) and totals, the same of each source by place."""
     by_source = (terms.select("lang", F.explode("entries").alias("e"))
-                 .groupBy("lang", F.col("e.source").alias("source")).agg(F.sum("e.n").alias("N")))
-    return (documents.select("lang", "source").distinct().join(by_source, ["lang", "source"], "left")
-            .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("N", F.lit(0)).alias("N"))))
-                                 .alias("sources"))
-            .join(terms.groupBy("lang").agg(F.count("*").alias("V"), F.sum("n").alias("N")), "lang", "left")
-            .select("lang", F.coalesce("V", F.lit(0)).alias("V"), F.coalesce("N", F.lit(0)).alias("N"), "sources"))
+                 .groupBy("lang", F.col("e.place").alias("place")).agg(F.sum("e.n").alias("N")))
+    sizes = terms.groupBy("lang").agg(F.count("*").alias("V"), F.sum("n").alias("lang_n"))
+    return (sources.join(by_source, ["lang", "place"], "left").join(sizes, "lang")
+            .groupBy("lang", (F.col("lang_n") + F.col("V")).alias("lang_total"))
+            .agg(F.sort_array(F.collect_list(F.struct("place", (F.coalesce("N", F.lit(0)) + F.col("V")).alias("total")))).alias("s"))
+            .select("lang", "lang_total", F.col("s.total").alias("totals")))
 
 
-def pair_sums(shares: DataFrame) -> DataFrame:
-    """lang, source, other (places in the language's list), value: divergences summed over all terms."""
+def divergences(terms: DataFrame, languages: DataFrame, top: int) -> DataFrame:
+    """lang, source (place), other (place; null for a term's row), term (null for a pair's), value: partial sums of
+    the pairs, and the terms that may be among the first of their source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
 
         def sums() -> Iterator[pa.RecordBatch]:
             for lang, matrix in held.items():
-                for start in range(0, len(matrix), 512):
-                    own = range(start, min(start + 512, len(matrix)))
-                    yield batch(SUMS, {"lang": [lang] * len(own), "other": list(own), "sums": [matrix[k] for k in own]})
+                k, step = len(matrix), max(1, 200_000 // len(matrix))
+                for at in range(0, k, step):
+                    part = matrix[at:at + step]
+                    other, source = np.divmod(np.arange(part.size, dtype=np.int32), k)
+                    yield batch(VALUES, {"lang": [lang] * part.size, "source": source, "other": other + at,
+                                         "term": pa.nulls(part.size, pa.string()), "value": part.ravel()})
 
         for rows in batches:
             langs = np.array(rows.column("lang").to_pylist(), object)
             for lang in set(langs):
-                own = rows.column("p").filter(pa.array(langs == lang))
-                p = own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-                if lang not in held:
-                    held[lang] = np.zeros((p.shape[1], p.shape[1]), np.int64)
-                for other in range(p.shape[1]):
+                own = rows.filter(pa.array(langs == lang))
+                total = own.column("totals")[0].values.to_numpy()
+                entry = np.repeat(np.arange(own.num_rows), own.column("places").value_lengths().to_numpy())
+                place = own.column("places").flatten().to_numpy(zero_copy_only=False)
+                p = np.tile(share(np.zeros_like(total), total), (own.num_rows, 1))
+                p[entry, place] = share(own.column("counts").flatten().to_numpy(zero_copy_only=False), total[place])
+                sums_of = held.setdefault(lang, np.zeros((len(total), len(total)), np.int64))
+                for other in range(len(total)):
                     q = p[:, other:other + 1]
-                    held[lang][other] += ((p - q) ** 2 // q).sum(0)
+                    sums_of[other] += ((p - q) ** 2 // q).sum(0)
+                q = share(own.column("n").to_numpy(), own.column("lang_total")[0].as_py())[entry]
+                more = p[entry, place] > q
+                entry, place, q = entry[more], place[more], q[more]
+                value = (p[entry, place] - q) ** 2 // q
+                for source in np.unique(place):
+                    at = np.flatnonzero(place == source)
+                    if len(at) > top:  # and all that tie with the last
+                        at = at[value[at] >= np.partition(value[at], -top)[-top]]
+                    yield batch(VALUES, {"lang": [lang] * len(at), "source": np.full(len(at), source, np.int32),
+                                         "other": pa.nulls(len(at), pa.int32()), "value": value[at],
+                                         "term": own.column("term").take(pa.array(entry[at]))})
             if sum(m.size for m in held.values()) >= CELLS:
                 yield from sums()
                 held.clear()
         yield from sums()
 
-    parts = in_batches(shares.select("lang", "p"), run, "lang string, other int, sums array<long>")
-    return (parts.select("lang", "other", F.posexplode("sums").alias("source", "value"))
-            .groupBy("lang", "source", "other").agg(F.sum("value").alias("value")))
+    rows = terms.join(languages, "lang").select("lang", "term", "n", "lang_total", "totals", F.col("entries.place").alias("places"),
+                                                F.col("entries.n").alias("counts"))
+    return in_batches(rows, run, "lang string, source int, other int, term string, value long")
 
 
 def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank."""
     documents = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    terms = materialize(kept_terms(documents, min_docs))
-    languages = materialize(language_table(documents, terms))
-    cells = (terms.withColumnRenamed("n", "lang_n").join(languages, "lang")
-             .withColumn("by_source", F.map_from_entries("entries"))
-             .withColumn("cells", F.expr("transform(sources, s -> struct(s.source AS source, "
-                                         "coalesce(by_source[s.source], 0L) AS n, s.N + V AS total))"))
-             .withColumn("cells", F.expr(f"transform(cells, c -> struct(c.source, c.n, {share('c.n', 'c.total')} AS p))"))
-             .select("lang", "term", F.expr(share("lang_n", "N + V")).alias("q"), "cells"))
-    distinct = (cells.select("lang", "term", "q", F.explode("cells").alias("c"))
-                .where("c.n > 0 AND c.p > q")
-                .select("lang", "c.source", F.lit("term").alias("part"), F.col("term").alias("item"),
-                        F.expr("((c.p - q) * (c.p - q)) div q").alias("value")))
-    sums = pair_sums(cells.select("lang", F.col("cells.p").alias("p")))
-    names = languages.select("lang", "sources", F.posexplode("sources").alias("g", "own"))
-    pairs = (names.select("lang", "g", F.col("own.source").alias("source"), F.posexplode("sources").alias("h", "theirs"))
-             .where("g <> h").select("lang", "g", "h", "source", F.col("theirs.source").alias("item"))
-             .join(sums.select(F.col("lang"), F.col("source").alias("g"), F.col("other").alias("h"), "value"),
-                   ["lang", "g", "h"], "left")
+    sources = materialize(numbered_sources(documents))
+    terms = materialize(kept_terms(documents, sources, min_docs))
+    values = materialize(divergences(terms, materialize(language_table(sources, terms)), top))
+    own = sources.withColumnRenamed("place", "g")
+    others = sources.select("lang", F.col("source").alias("item"), F.col("place").alias("h"))
+    sums = (values.where("term IS NULL").groupBy("lang", F.col("source").alias("g"), F.col("other").alias("h"))
+            .agg(F.sum("value").alias("value")))
+    pairs = (own.join(others, "lang").where("g <> h").join(sums, ["lang", "g", "h"], "left")
              .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value")))
+    distinct = (values.where("term IS NOT NULL").select("lang", F.col("source").alias("g"), F.col("term").alias("item"), "value")
+                .join(own, ["lang", "g"]).select("lang", "source", F.lit("term").alias("part"), "item", "value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = [df.withColumn("rank", F.row_number().over(order)) for df in (pairs, distinct)]
     return ranked[0].unionByName(ranked[1].where(F.col("rank") <= top))
