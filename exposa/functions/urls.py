@@ -83,6 +83,16 @@ def port_text_of_netloc(net) -> Column:
     return F.regexp_replace(_c(net), r"(?s)^(?:.*@)?(?:[^\[]*\[[^\]]*\]?[^:]*:?(.*)|[^:]*:?(.*))$", "$1$2")
 
 
+def site(scheme, net) -> Column:
+    """Name of the site a URL belongs to: the host, with the port unless it is the scheme's own. So letter
+    case, a port that is spelled out, and http or https make no difference; null without a host."""
+    scheme, host, port = _c(scheme), hostname_of_netloc(net), port_text_of_netloc(net)
+    own = ((scheme == "https") & (port.try_cast("int") == 443)) | ((scheme == "http") & (port.try_cast("int") == 80))
+    name = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    return F.when(port.rlike("^[0-9]{1,5}$") & ~F.coalesce(own, F.lit(False)),
+                  F.concat(name, F.lit(":"), port.try_cast("int").cast("string"))).otherwise(name)
+
+
 def extension(path_col) -> Column:
     """'.' + text after the last '.' of the whole path, lower-cased; '' without a dot."""
     return F.lower(F.regexp_extract(_c(path_col), r"(?s)(\.[^.]*)$", 1))

@@ -91,7 +91,7 @@ def catch_all_hosts(captures: DataFrame) -> DataFrame:
     """Hosts whose calibration path (a file that cannot exist) answered 200."""
     c = U.with_parts(captures.select("url", "status_code"), "url", "p_")
     c = c.where(F.col("p_path").rlike(fixed.CALIBRATION_PATTERN))
-    c = c.select(U.hostname_of_netloc("p_netloc").alias("hostname"),
+    c = c.select(U.site("p_scheme", "p_netloc").alias("hostname"),
                  (F.col("status_code") == 200).alias("ok"))
     return c.groupBy("hostname").agg(F.max("ok").alias("catch_all"))
 

@@ -83,21 +83,27 @@ def unquote(v: Column) -> Column:
 
 
 def with_target_of(df: DataFrame, url_col: str, prefix: str = "tg_") -> DataFrame:
-    """Target host and base domain of a capture's own URL."""
+    """Site (``{prefix}host``) and base domain of a capture's own URL."""
     df = U.with_parts(df, url_col, f"{prefix}p_")
-    df = df.withColumn(f"{prefix}host", U.hostname_of_netloc(f"{prefix}p_netloc"))
-    df = df.withColumn(f"{prefix}base_domain", U.base_domain(F.col(f"{prefix}host")))
+    df = df.withColumn(f"{prefix}host", U.site(f"{prefix}p_scheme", f"{prefix}p_netloc"))
+    df = df.withColumn(f"{prefix}base_domain", U.base_domain(U.hostname_of_netloc(f"{prefix}p_netloc")))
     return df.drop(*[f"{prefix}p_{k}" for k in U.PART_NAMES])
 
 
+def in_site(prefix: str, host: str, base_domain: str, include_subdomains) -> Column:
+    """Scope (F1) of a URL in its parts, by its site; one with user information is out."""
+    own = F.when(~F.col(f"{prefix}netloc").contains("@"), U.site(f"{prefix}scheme", f"{prefix}netloc"))
+    return S.in_scope(F.coalesce(own, F.lit("")), host, base_domain, include_subdomains)
+
+
 def finish_links(df: DataFrame, base_col: str, href_col: str, include_subdomains: bool) -> DataFrame:
     """Valid-link filter (F2), resolution (U4), dedup key (U3) and scope flag (F1)."""
     df = df.where(S.is_valid_link(F.col(href_col)))
     df = U.with_resolved(df, base_col, href_col, "url")
     df = U.with_normalized(df, "url", "normalized_url", keep_parts=True, prefix="l_")
     df = df.withColumns({
-        "in_scope": S.in_scope("l_netloc", "tg_host", "tg_base_domain", include_subdomains),
-        "in_scope_with_subdomains": S.in_scope("l_netloc", "tg_host", "tg_base_domain", True)})
+        "in_scope": in_site("l_", "tg_host", "tg_base_domain", include_subdomains),
+        "in_scope_with_subdomains": in_site("l_", "tg_host", "tg_base_domain", True)})
     return df.drop(*[f"l_{k}" for k in U.PART_NAMES])
 
 
@@ -175,20 +181,23 @@ def css_links(captures: DataFrame, include_subdomains: bool = False) -> DataFram
     s = s.where((F.col("href") != "") & ~F.col("href").startswith("data:"))
     s = U.with_resolved(s, "page_url", "href", "url")
     s = U.with_normalized(s, "url", "normalized_url", keep_parts=True, prefix="l_")
-    s = s.withColumn("in_scope", S.in_scope("l_netloc", "tg_host", "tg_base_domain", include_subdomains))
+    s = s.withColumn("in_scope", in_site("l_", "tg_host", "tg_base_domain", include_subdomains))
     return materialize(s.select("page_url", "block", "pattern", "pos", "href", "url", "normalized_url",
                                 "in_scope"))
 
 
-def _probe_files(captures: DataFrame, targets: DataFrame, path: str) -> DataFrame:
-    """The newest 200 capture of ``<base_url><path>`` of each target."""
-    t = targets.select("hostname", "base_domain", "base_url",
-                       F.concat(F.col("base_url"), F.lit(path)).alias("probe_url"))
+def _probe_files(captures: DataFrame, targets: DataFrame, name: str) -> DataFrame:
+    """The 200 capture of the file ``name`` at the root of each target's site: of the target's scheme first, then
+    the newest."""
     # narrow the captures to this file name before the shuffle, so only these rows are in it
+    c = captures.where((F.col("status_code") == 200) & F.lower("url").contains("/" + name)).select("url", "body", "captured_at")
+    c = U.with_parts(c, "url", "p_").where((F.col("p_path") == "/" + name) & (F.col("p_query") == ""))
     newest = F.max(F.struct("captured_at", F.coalesce("body", F.lit("")).alias("body")))
-    c = captures.where((F.col("status_code") == 200) & F.col("url").endswith("/" + path)).groupBy(
-        F.col("url").alias("probe_url")).agg(newest.alias("c"))
-    return t.join(c.select("probe_url", F.col("c.body").alias("body")), "probe_url")
+    c = c.groupBy(U.site("p_scheme", "p_netloc").alias("hostname"), F.col("p_scheme").alias("c_scheme")).agg(newest.alias("c"))
+    best = F.max(F.struct(F.col("c_scheme") == F.col("scheme"), "c.captured_at", "c.body"))
+    return (targets.select("hostname", "base_domain", "base_url", "scheme").join(c, "hostname")
+            .groupBy("hostname", "base_domain", "base_url").agg(best.alias("b"))
+            .select("hostname", "base_domain", "base_url", "b.body"))
 
 
 def robots_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bool = False) -> DataFrame:
@@ -205,7 +214,7 @@ def robots_urls(captures: DataFrame, targets: DataFrame, include_subdomains: boo
     r = r.where((F.col("value") != "") & (F.col("value") != "/"))
     r = U.with_resolved(r, "base_url", "value", "url")
     r = U.with_normalized(r, "url", "normalized_url", keep_parts=True, prefix="l_")
-    r = r.withColumn("in_scope", S.in_scope("l_netloc", "hostname", "base_domain", include_subdomains))
+    r = r.withColumn("in_scope", in_site("l_", "hostname", "base_domain", include_subdomains))
     return materialize(r.select("hostname", (F.col("line_no") + 1).alias("line_no"), "value", "url",
                                 "normalized_url", "in_scope"))
 
@@ -224,7 +233,7 @@ def sitemap_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bo
                  F.regexp_replace(decode_entities(F.col("m.v")), PY_TRIM, "").alias("url"))
     s = s.where(F.col("url") != "")
     s = U.with_normalized(s, "url", "normalized_url", keep_parts=True, prefix="l_")
-    s = s.withColumn("in_scope", S.in_scope("l_netloc", "hostname", "base_domain", include_subdomains))
+    s = s.withColumn("in_scope", in_site("l_", "hostname", "base_domain", include_subdomains))
     return materialize(s.select("hostname", "kind", "pos", "url", "normalized_url",
                                 F.when(F.col("kind") == 1, F.lit("sitemap_index")).alias("context"),
                                 "in_scope"))

@@ -145,7 +145,7 @@ def report_header(targets: DataFrame, captures: DataFrame, stats: DataFrame, cou
     st = (stats.join(counts, "hostname", "left").join(sensitive, "hostname", "left")
           .join(secrets_summary, "hostname", "left").join(historical, "hostname", "left"))
     own = U.with_parts(captures.select("url", "captured_at"), "url", "c_")
-    times = own.groupBy(U.hostname_of_netloc("c_netloc").alias("hostname")).agg(
+    times = own.groupBy(U.site("c_scheme", "c_netloc").alias("hostname")).agg(
         F.min("captured_at").alias("start_time"), F.max("captured_at").alias("end_time"))
     t = targets.select("hostname", F.struct("base_url", "hostname", "base_domain", "scheme", "port").alias("target"))
     conf = F.struct(F.lit(max_depth).cast("int").alias("max_depth"), F.lit(include_subdomains).alias("include_subdomains"))

@@ -65,6 +65,16 @@ def host(x):
     return host_of_netloc(netloc(x))
 
 
+def site(x: str) -> str:
+    """Host of a URL, with its port unless that is the scheme's own."""
+    info, h = f"regexp_extract({netloc(x)}, '([^@]*)$', 1)", host(x)
+    port = (f"(CASE WHEN strpos({info}, '[') > 0 THEN regexp_extract({info}, '\\][^:]*:(.*)$', 1) "
+            f"ELSE regexp_extract({info}, ':(.*)$', 1) END)")
+    name = f"(CASE WHEN strpos({h}, ':') > 0 THEN '[' || {h} || ']' ELSE {h} END)"
+    return (f"(CASE WHEN regexp_matches({port}, '^[0-9]{{1,5}}$') AND NOT ({scheme(x)} || TRY_CAST({port} AS INT) IN ('https443', 'http80')) "
+            f"THEN {name} || ':' || TRY_CAST({port} AS INT) ELSE {name} END)")
+
+
 def normalized(x: str) -> str:
     p = path(x)
     qy = query(x)
@@ -113,12 +123,24 @@ def captures_cte() -> str:
     """Targets from page hosts; pages and documents as captures."""
     h = host("url")
     return f"""
+{responses.captures_sql(h)},
 hosts AS (SELECT DISTINCT {h} AS hostname FROM pages WHERE {h} IS NOT NULL),
+reached AS (SELECT site, sch, away, ok FROM (
+    SELECT {site('url')} AS site, {scheme('url')} AS sch, false AS away, (status_code = 200)::INT AS ok FROM captures
+    UNION ALL SELECT {site('url')}, {scheme("url")}, false, 0 FROM captures
+    UNION ALL SELECT site, unnest([f, t]), unnest([true, false]), 0 FROM (
+      SELECT {site('url')} AS site, {scheme('url')} AS f, {scheme('location')} AS t FROM captures
+      WHERE status_code IN (301, 302, 303, 307, 308) AND {path('url')} IN ('', '/') AND {query('url')} = '' AND {path('location')} IN ('', '/')
+            AND {scheme('location')} IN ('http', 'https') AND {scheme('location')} <> {scheme('url')} AND {site('location')} = {site('url')}))
+  WHERE site IS NOT NULL AND sch IN ('http', 'https')),
+votes AS (SELECT site, sch, row_number() OVER (PARTITION BY site ORDER BY away, ok DESC, n DESC, sch DESC) AS rn FROM (
+  SELECT site, sch, bool_or(away) AS away, sum(ok) AS ok, count(*) FILTER (NOT away) AS n FROM reached GROUP BY 1, 2)),
 targets AS (
-  SELECT hostname, 'https' AS scheme, 443 AS port, {base_domain('hostname')} AS base_domain,
-         'https://' || hostname AS normalized_target, 'https://' || hostname || '/' AS base_url
-  FROM hosts WHERE hostname <> 'metadata.google.internal' AND NOT {is_private('hostname')}),
-{responses.captures_sql(h)}"""
+  SELECT site AS hostname, sch AS scheme, CASE WHEN strpos(site, ':') > 0 THEN CAST(split_part(site, ':', 2) AS INT)
+              WHEN sch = 'https' THEN 443 ELSE 80 END AS port,
+         {base_domain("split_part(site, ':', 1)")} AS base_domain, sch || '://' || split_part(site, ':', 1) AS normalized_target,
+         sch || '://' || site || '/' AS base_url
+  FROM votes WHERE rn = 1 AND split_part(site, ':', 1) <> 'metadata.google.internal' AND NOT {is_private("split_part(site, ':', 1)")})"""
 
 
 def with_ctes(*ctes: str, body: str) -> str:
@@ -178,7 +200,7 @@ FROM (SELECT host, host = 'metadata.google.internal' OR {is_private('host')} AS
 ORACLES["target_base_url"] = with_ctes(captures_cte(), body="SELECT hostname, base_url FROM targets")
 
 ORACLES["catch_all_hosts"] = with_ctes(captures_cte(), body=f"""
-SELECT {host('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
+SELECT {site('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
 WHERE regexp_matches({path('url')}, '{fixed.CALIBRATION_PATTERN}') GROUP BY 1""")
 
 _LOC_HOSTS = f"SELECT {host('location')} AS host FROM captures WHERE location IS NOT NULL AND {host('location')} IS NOT NULL"
@@ -195,7 +217,7 @@ SELECT url, (h IS NULL OR lower(h) IN {in_list(fixed.LOCALHOST_NAMES)} OR {is_pr
 FROM (SELECT url, {host('url')} AS h FROM (SELECT url FROM captures UNION SELECT location FROM captures WHERE location IS NOT NULL))""")
 
 _REDIRECTS = f"""redirects AS (
-  SELECT url, status_code, location, {host('url')} AS th, {host('location')} AS lh FROM captures
+  SELECT url, status_code, location, {site('url')} AS ts, {host('url')} AS th, {host('location')} AS lh FROM captures
   WHERE status_code IN (301, 302, 303, 307, 308) AND location IS NOT NULL AND location <> ''),
 verdicts AS (
   SELECT *, CASE WHEN lh IS NULL THEN 'relative' WHEN {is_private('lh')} THEN 'blocked_private'
@@ -206,8 +228,8 @@ ORACLES["redirect_verdict"] = with_ctes(captures_cte(), _REDIRECTS, body="""
 SELECT url, CAST(status_code AS BIGINT) AS status_code, location, verdict FROM verdicts""")
 
 ORACLES["redirects_blocked"] = with_ctes(captures_cte(), _REDIRECTS, body="""
-SELECT th AS hostname, CAST(count(*) FILTER (WHERE starts_with(verdict, 'blocked')) AS BIGINT) AS redirects_blocked
-FROM verdicts GROUP BY th""")
+SELECT ts AS hostname, CAST(count(*) FILTER (WHERE starts_with(verdict, 'blocked')) AS BIGINT) AS redirects_blocked
+FROM verdicts GROUP BY ts""")
 
 
 # ------------------------------------------------------------------ links and resolution
@@ -304,8 +326,8 @@ def links_ctes(include_subdomains: bool = False) -> list[str]:
     val = " ".join(f"WHEN {q(t)} THEN {attribute('tag_html', a)}" for t, a in fixed.LINK_TAG_ATTRS)
     strip = ("regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), "
              "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1', 'g')")
-    own = f"{netloc('url')} = {host('page_url')}"
-    sub = f"ends_with({netloc('url')}, '.' || {base_domain(host('page_url'))})"
+    own = f"strpos({netloc('url')}, '@') = 0 AND {site('url')} = {site('page_url')}"
+    sub = f"strpos({netloc('url')}, '@') = 0 AND ends_with({site('url')}, '.' || {base_domain(host('page_url'))})"
     return [f"""
 lk_pages AS (SELECT url AS page_url, {strip} AS h FROM captures WHERE status_code = 200 AND {IS_HTML}),
 lk_tags AS (SELECT page_url, unnest(regexp_extract_all(h, {q(TAG_RE)})) AS tag_html,
@@ -317,8 +339,8 @@ lk_raw AS (SELECT page_url, pos, tag_rank, context, {decode('raw')} AS href FROM
 lk_valid AS (SELECT * FROM lk_raw WHERE href <> '' AND NOT regexp_matches(href, {q(_INVALID)})),
 lk_res AS ({resolved_select('lk_valid', 'page_url', 'href', 'page_url, pos, tag_rank, context, href')}),
 links_all AS (SELECT page_url, CAST(tag_rank AS BIGINT) AS tag_rank, CAST(pos AS BIGINT) AS pos, context, href, url,
-                     {normalized('url')} AS normalized_url, coalesce({netloc('url')} <> '' AND {own}, false) AS in_scope,
-                     coalesce({netloc('url')} <> '' AND ({own} OR {sub}), false) AS in_scope_with_subdomains
+                     {normalized('url')} AS normalized_url, coalesce({own}, false) AS in_scope,
+                     coalesce(({own}) OR ({sub}), false) AS in_scope_with_subdomains
               FROM lk_res),
 links AS (SELECT * EXCLUDE (in_scope_with_subdomains) FROM links_all)"""]
 
@@ -443,7 +465,7 @@ PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
 
 
 def in_scope_expr(url: str, h: str, bd: str) -> str:
-    return f"coalesce({netloc(url)} <> '' AND {netloc(url)} = {h}, false)"
+    return f"coalesce(strpos({netloc(url)}, '@') = 0 AND {site(url)} = {h}, false)"
 
 
 def any_contains(col: str, needles) -> str:
@@ -552,10 +574,12 @@ def scan_ctes() -> str:
     desc = case_map("resource_type", fixed.FINDING_DESCRIPTIONS, fixed.FINDING_DESCRIPTION_DEFAULT)
     remed = case_map("resource_type", fixed.FINDING_REMEDIATIONS, fixed.FINDING_REMEDIATION_DEFAULT)
     return f"""
-newest AS (SELECT url, body FROM (SELECT url, body, row_number() OVER (PARTITION BY url ORDER BY captured_at DESC) AS rn
-                                  FROM captures WHERE status_code = 200) WHERE rn = 1),
-rb AS (SELECT t.hostname, t.base_domain, t.base_url, c.body FROM targets t
-       JOIN newest c ON c.url = t.base_url || 'robots.txt'),
+roots AS (SELECT {site('url')} AS hostname, {scheme('url')} AS sch, {path('url')} AS path, coalesce(body, '') AS body, captured_at
+          FROM captures WHERE status_code = 200 AND {query('url')} = '' AND {path('url')} IN ('/robots.txt', '/sitemap.xml')),
+newest AS (SELECT * FROM (
+  SELECT t.*, r.path, r.body, row_number() OVER (PARTITION BY t.hostname, r.path ORDER BY r.sch <> t.scheme, r.captured_at DESC, r.body DESC) AS rn
+  FROM targets t JOIN roots r USING (hostname)) WHERE rn = 1),
+rb AS (SELECT hostname, base_domain, base_url, body FROM newest WHERE path = '/robots.txt'),
 rb_lines AS (SELECT hostname, base_url, unnest(string_split(coalesce(body, ''), chr(10))) AS line,
                     unnest(generate_series(1, len(string_split(coalesce(body, ''), chr(10))))) AS line_no FROM rb),
 rb_t AS (SELECT hostname, base_url, line_no, regexp_replace(line, {q(PY_TRIM)}, '', 'g') AS l FROM rb_lines),
@@ -565,8 +589,7 @@ rb_ok AS (SELECT * FROM rb_v WHERE value <> '' AND value <> '/'),
 rb_res AS ({resolved_select('rb_ok', 'base_url', 'value', 'hostname, line_no, value')}),
 robots AS (SELECT hostname, CAST(line_no AS BIGINT) AS line_no, value, url, {normalized('url')} AS normalized_url,
                   {in_scope_expr('url', 'hostname', '')} AS in_scope FROM rb_res),
-sm AS (SELECT t.hostname, coalesce(c.body, '') AS body FROM targets t
-       JOIN newest c ON c.url = t.base_url || 'sitemap.xml'),
+sm AS (SELECT hostname, body FROM newest WHERE path = '/sitemap.xml'),
 sm_m AS (
   SELECT hostname, 0 AS kind, unnest(regexp_extract_all(body, '(?is)<loc\\b[^>]*>(.*?)</loc\\s*>', 1)) AS v,
          unnest(generate_series(1, len(regexp_extract_all(body, '(?is)<loc\\b[^>]*>(.*?)</loc\\s*>', 1)))) AS pos FROM sm
@@ -578,9 +601,9 @@ sitemap AS (SELECT hostname, CAST(kind AS BIGINT) AS kind, CAST(pos AS BIGINT) A
                    CASE WHEN kind = 1 THEN 'sitemap_index' END AS context, {in_scope_expr('url', 'hostname', '')} AS in_scope
             FROM sm_u WHERE url <> ''),
 known AS (
-  SELECT {host('url')} AS hostname, 'HTML' AS source, CAST(NULL AS VARCHAR) AS context, 0 AS k1, url AS parent, -1 AS k2, 0 AS k3,
+  SELECT {site('url')} AS hostname, 'HTML' AS source, CAST(NULL AS VARCHAR) AS context, 0 AS k1, url AS parent, -1 AS k2, 0 AS k3,
          url, {normalized('url')} AS normalized_url FROM captures WHERE status_code = 200
-  UNION ALL SELECT {host('page_url')}, 'HTML', context, 0, page_url, tag_rank, pos, url, normalized_url FROM links WHERE in_scope
+  UNION ALL SELECT {site('page_url')}, 'HTML', context, 0, page_url, tag_rank, pos, url, normalized_url FROM links WHERE in_scope
   UNION ALL SELECT hostname, 'ROBOTS', NULL, 1, '', 0, line_no, url, normalized_url FROM robots WHERE in_scope
   UNION ALL SELECT hostname, 'SITEMAP', context, 2, '', kind, pos, url, normalized_url FROM sitemap WHERE in_scope),
 cand_k AS (SELECT hostname, rank, path, url, {normalized('url')} AS normalized_url FROM cand_all),
@@ -593,7 +616,7 @@ urls AS (SELECT normalized_url, hostname, url, source, context FROM firsts),
 discovered AS (SELECT hostname, source, context, k3, url, normalized_url FROM known
                UNION ALL SELECT hostname, source, context, k3, url, normalized_url FROM firsts WHERE source = 'COMMON_PATHS'),
 kc AS (SELECT *, {normalized('url')} AS key FROM captures),
-catch AS (SELECT {host('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
+catch AS (SELECT {site('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
           WHERE regexp_matches({path('url')}, {q(fixed.CALIBRATION_PATTERN)}) GROUP BY 1),
 {analysis_ctes('urls', '', True)}gated AS (SELECT normalized_url, sample FROM analyzed
           WHERE is_accessible AND content_type IS NOT NULL AND {gate_types} AND coalesce(content_length, 1) <> 0
@@ -755,7 +778,7 @@ m AS ({arms}),
 hv AS (SELECT page_url, block, pattern, pos, {href} AS href FROM m WHERE {cond}),
 res AS ({resolved_select('hv', 'page_url', 'href', 'page_url, block, pattern, pos, href')})""", body=f"""
 SELECT page_url, CAST(block AS BIGINT) AS block, CAST(pattern AS BIGINT) AS pattern, CAST(pos AS BIGINT) AS pos, href, url,
-       {in_scope_expr('url', host('page_url'), '')} AS in_scope FROM res""")
+       {in_scope_expr('url', site('page_url'), '')} AS in_scope FROM res""")
 
 
 ORACLES["js_links"] = _block_links("script", "javascript", fixed.JS_PATTERNS, [0, 0, 1], True)
@@ -770,7 +793,7 @@ CRAWL_LEVELS = 60
 def _crawl_sql(seeded: bool, body: str) -> str:
     """Reachability as a recursive query: (host, key, depth) by UNION, then the least depth."""
     ok = f"k.status_code = 200 AND {IS_HTML.replace('content_type', 'k.content_type')}"
-    seeds = (f"UNION ALL SELECT {host('url')}, url FROM captures WHERE status_code = 200 AND {IS_HTML}" if seeded else "")
+    seeds = (f"UNION ALL SELECT {site('url')}, url FROM captures WHERE status_code = 200 AND {IS_HTML}" if seeded else "")
     ctes = f"""
 ks AS (SELECT nk, status_code, content_type FROM (
   SELECT *, {normalized('url')} AS nk, row_number() OVER (PARTITION BY {normalized('url')}
@@ -834,4 +857,4 @@ FROM targets t
 LEFT JOIN ({_body('scan_statistics')}) USING (hostname) LEFT JOIN ({_body('severity_counts')}) USING (hostname)
 LEFT JOIN ({_body('sensitive_file_count')}) USING (hostname) LEFT JOIN ({_body('secret_summary')}) USING (hostname)
 LEFT JOIN (SELECT hostname, CAST(count(*) FILTER (WHERE NOT is_current) AS BIGINT) AS historical_urls FROM resources GROUP BY 1) USING (hostname)
-LEFT JOIN (SELECT {host('url')} AS hostname, min(captured_at) AS start_time, max(captured_at) AS end_time FROM captures GROUP BY 1) c USING (hostname)""")
+LEFT JOIN (SELECT {site('url')} AS hostname, min(captured_at) AS start_time, max(captured_at) AS end_time FROM captures GROUP BY 1) c USING (hostname)""")

@@ -190,10 +190,10 @@ def _redirects(spark, d) -> DataFrame:
     c = s.captures.where(F.col("status_code").isin(fixed.REDIRECT_STATUSES) & F.col("location").isNotNull()
                          & (F.col("location") != ""))
     c = D.with_target_of(c.select("url", "status_code", "location"), "url")
-    c = U.with_parts(c, "location", "l_")
-    c = c.withColumn("l_host", U.hostname_of_netloc("l_netloc"))
+    c = U.with_parts(U.with_parts(c, "location", "l_"), "url", "u_")
+    c = c.withColumns({"l_host": U.hostname_of_netloc("l_netloc"), "u_host": U.hostname_of_netloc("u_netloc")})
     return c.withColumn("verdict", S.redirect_verdict(
-        F.col("l_host"), S.is_private_ip(F.col("l_host")), F.col("tg_host"), F.col("tg_base_domain")))
+        F.col("l_host"), S.is_private_ip(F.col("l_host")), F.col("u_host"), F.col("tg_base_domain")))
 
 
 def redirect_verdict(spark, d):

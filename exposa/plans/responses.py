@@ -3,11 +3,12 @@
 The given tables hold pages but no other responses. So each document stands for one captured response
 of a page's host (page_id = doc_id modulo the number of pages), with the document's text in its body;
 path, status, type and redirect follow from doc_id and the text's length. Hosts differ in what they
-expose, in redirects, in secrets and in whether unknown paths answer 200.
+expose, in redirects, in secrets, in whether unknown paths answer 200, and in how they are reached: over
+http or https, at another port, or spelled in capitals.
 
 The expressions are plain SQL that Spark and DuckDB read alike: they are the queries' input, not an
 operator, so both sides of a comparison share them. Columns: i (doc_id), t (text), n (its length), h
-(host).
+(host), o (origin).
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from exposa.functions import urls as U
 from exposa.sources import captures as SRC
 
+#: Origin of a host's responses.
+ORIGIN = ("CASE length(h) % 4 WHEN 0 THEN 'http://' || h WHEN 1 THEN 'https://' || upper(h) WHEN 2 THEN 'http://' || h || ':8080' "
+          "ELSE 'https://' || h || ':443' END")
 _SLUG = "'' || (i % 13)"
 _LINKS = ("'<p><a href=\"/page-' || ((i + 1) % 13) || '.html\">next</a> <a title=\"see href=/fake\" href=\"/page-' || "
           "((i + n) % 13) || '.html?a=1&amp;b=' || (n % 3) || '\">more</a> <a href=\"/docs/' || (n % 5) || '.pdf\">doc</a> "
@@ -41,8 +45,8 @@ RESPONSES = [
      "'  Allow: /page-' || (n % 13) || '.html ' || chr(10) || 'Disallow: /old-' || (n % 7) || '.sql' || chr(10) || "
      "'Sitemap: /sitemap.xml' || chr(10) || 'disallow: /ignored' || chr(10) || '# ' || replace(t, chr(10), ' ')"),
     ("'sitemap.xml'", "200", "'application/xml'", "NULL",
-     "'<sitemapindex><sitemap><loc>https://' || h || '/sitemap-' || (n % 3) || '.xml</loc></sitemap></sitemapindex><urlset>"
-     "<url><loc> https://' || h || '/page-' || (i % 13) || '.html </loc></url><url><loc>https://elsewhere.example/' || i || "
+     "'<sitemapindex><sitemap><loc>' || o || '/sitemap-' || (n % 3) || '.xml</loc></sitemap></sitemapindex><urlset>"
+     "<url><loc> ' || o || '/page-' || (i % 13) || '.html </loc></url><url><loc>https://elsewhere.example/' || i || "
      "'</loc></url></urlset>'"),
     ("'old-' || " + _SLUG, "301", "'text/html'", "'https://ext' || (n % 5) || '.example.net/'", "''"),
     ("'moved-' || " + _SLUG, "302", "'text/html'", "'/login?from=' || n", "''"),
@@ -64,7 +68,8 @@ RESPONSES = [
      + _LINKS + " || replace(replace(t, '<', ' '), '&', ' ') || '<script>go(\"/api/p' || (n % 6) || '\");</script></body></html>'"),
     ("'wxs-calibration-0123456789abcdef.txt'", "CASE WHEN n % 4 = 0 THEN 200 ELSE 404 END", "'text/html'", "NULL", "'<html>gone</html>'"),
     ("'data/' || " + _SLUG + " || '.txt'", "200", "CASE WHEN n % 5 = 0 THEN NULL ELSE 'text/plain; charset=utf-8' END", "NULL", "t"),
-    ("''", "200", "'text/html; charset=utf-8'", "NULL",
+    ("''", "CASE WHEN n % 5 = 0 THEN 301 ELSE 200 END", "'text/html; charset=utf-8'",
+     "CASE WHEN n % 5 = 0 THEN replace(o, 'http://', 'https://') || '/' END",
      "'<html><head><title>Home &amp; more</title></head><body><a href=\"/page-' || (n % 13) || '.html\">p</a><a href=files/>f</a>"
      "<a href=\"/old-' || (n % 13) || '\">o</a><a href=\"mailto:x@example.com\">m</a><a href=\"/caf&#233;-' || (n % 3) || '\">c</a>' || "
      + _LINKS + " || replace(replace(t, '<', ' '), '&', ' ') || '</body></html>'"),
@@ -78,9 +83,9 @@ def _case(column: int) -> str:
     return f"CASE i % {len(RESPONSES)} {arms} END"
 
 
-#: column -> SQL over (i, t, n, h)
+#: column -> SQL over (i, t, n, h, o)
 DOCUMENT_CAPTURE = {
-    "url": f"'https://' || h || '/' || ({_case(0)})",
+    "url": f"o || '/' || ({_case(0)})",
     "status_code": _case(1),
     "content_type": _case(2),
     "server": SERVER,
@@ -98,7 +103,8 @@ def document_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = SRC.documents(spark, sf_dir).select(
         F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     n_pages = max(1, pages.count())
-    rows = docs.join(host, F.col("i") % n_pages == F.col("page_id")).withColumn("n", F.length("t").cast("bigint"))
+    rows = docs.join(host, F.col("i") % n_pages == F.col("page_id")).withColumns(
+        {"n": F.length("t").cast("bigint"), "o": F.expr(ORIGIN)})
     return SRC.as_captures(rows.select(*[F.expr(e).alias(c) for c, e in DOCUMENT_CAPTURE.items()]))
 
 
@@ -110,7 +116,7 @@ def captures_sql(host_of_url: str) -> str:
     """The same rows as CTEs ``doc_rows``, ``captures`` for DuckDB; ``host_of_url`` gives the host of ``url``."""
     columns = ", ".join(f"{e} AS {c}" for c, e in DOCUMENT_CAPTURE.items())
     return f"""
-doc_rows AS (SELECT doc_id AS i, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, p.h FROM documents
+doc_rows AS (SELECT doc_id AS i, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, p.h, {ORIGIN} AS o FROM documents
              JOIN (SELECT page_id, {host_of_url} AS h FROM pages) p ON doc_id % (SELECT count(*) FROM pages) = p.page_id
              WHERE p.h IS NOT NULL),
 doc_captures AS (SELECT {columns} FROM doc_rows),

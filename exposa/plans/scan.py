@@ -24,7 +24,7 @@ from exposa.sources import captures as SRC
 
 class Scan:
     """``captures``: any table with a ``url`` (see ``sources.captures.as_captures``). ``target_urls``: a
-    table whose ``url`` column names the authorised hosts; without it, those of the captures.
+    table whose ``url`` column names the authorised sites; without it, those of the captures.
 
     ``sample_chars``, ``sniff_chars``, ``max_secret_bytes``, ``max_depth`` and ``paths`` bring back limits
     of the live scanner; none is set by default."""
@@ -41,7 +41,7 @@ class Scan:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return materialize(SRC.targets(self.target_urls))
+        return materialize(SRC.targets(self.target_urls, self.captures))
 
     @cached_property
     def links(self) -> DataFrame:
@@ -126,7 +126,7 @@ class DataScan(Scan):
     def __init__(self, spark: SparkSession, sf_dir: str, **options):
         self.pages = SRC.pages(spark, sf_dir)
         self.documents = SRC.documents(spark, sf_dir)
-        super().__init__(materialize(responses.captures(spark, sf_dir)), self.pages, **options)
+        super().__init__(materialize(responses.captures(spark, sf_dir)), **options)
 
 
 _SCANS: dict[tuple, DataScan] = {}

@@ -3,7 +3,7 @@
 The engine works on responses that were already captured; it sends no request. A capture row is one
 response: ``CAPTURE_COLUMNS``. ``as_captures`` takes any table with a ``url`` and fills the columns it
 lacks, so that a crawl's export can be scanned as it is. ``targets`` gives one authorised target per
-host of a URL column.
+site of a URL column.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exposa.functions import fixed
 from exposa.functions import scope as S
 from exposa.functions import urls as U
 
@@ -60,16 +61,43 @@ def hosts(urls: DataFrame) -> DataFrame:
             .where(F.col("host").isNotNull()).distinct())
 
 
-def targets(urls: DataFrame) -> DataFrame:
-    """One target per host of a ``url`` column, normalised like a user-supplied target.
-
-    Hosts are reduced first (partial aggregation) and written as a small table, so the target
-    expressions run once per host and the validity filter is not inlined into URL parsing.
+def origins(urls: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """(site, scheme, named, away, ok, n): how the sites of a ``url`` column are reached. ``named``: a URL of the
+    column has it; ``ok``: captures with status 200; ``away``: the root redirects to the site's other scheme,
+    which then is an origin too. One row per site and scheme, added up before the shuffle."""
+    none = {"status_code": F.lit(None).cast("int"), "location": F.lit(None).cast("string")}
+    rows = urls.select("url", F.lit(True).alias("named"), *[c.alias(k) for k, c in none.items()])
+    if captures is not None:
+        rows = rows.unionByName(captures.select("url", F.lit(False).alias("named"), "status_code", "location"))
+    rows = U.with_parts(U.with_parts(rows, "url", "p_"), "location", "l_")
+    rows = rows.select("named", "status_code", F.col("p_scheme").alias("scheme"), F.col("l_scheme").alias("to"),
+                       U.site("p_scheme", "p_netloc").alias("site"),
+                       (F.col("status_code").isin(fixed.REDIRECT_STATUSES) & F.col("p_path").isin("", "/")
+                        & (F.col("p_query") == "") & F.col("l_scheme").isin("http", "https")
+                        & (F.col("l_scheme") != F.col("p_scheme")) & F.col("l_path").isin("", "/")
+                        & (U.site("l_scheme", "l_netloc") == U.site("p_scheme", "p_netloc"))).alias("away"))
+    rows = rows.where(F.col("site").isNotNull() & F.col("scheme").isin("http", "https"))
+    away = F.coalesce("away", F.lit(False))
+    ends = F.array(F.struct("scheme", away.alias("away"), (F.col("status_code") == 200).cast("int").alias("ok")),
+                   F.when(away, F.struct(F.col("to").alias("scheme"), F.lit(False).alias("away"), F.lit(0).alias("ok"))))
+    return (rows.select("site", "named", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("e"))
+            .groupBy("site", "e.scheme").agg(F.max("named").alias("named"), F.max("e.away").alias("away"),
+                                             F.sum("e.ok").alias("ok"), F.count("*").alias("n")))
+
+
+def targets(urls: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """One target per site of a ``url`` column, normalised like a user-supplied target (U5-U7). Its scheme is
+    voted for: not one that redirects away, then the one with most captures of status 200, most rows, https.
+
+    ``hostname`` names the site: the host, with a port that is not the scheme's own. Sites are reduced first
+    (partial aggregation) and written as a small table, so the target expressions run once per site.
     """
     from exposa.session import materialize
-    found = materialize(hosts(urls).withColumnRenamed("host", "original_url"))
+    vote = F.struct(~F.col("away"), "ok", "n", F.col("scheme"))  # 'https' sorts after 'http'
+    found = materialize(origins(urls, captures).groupBy("site").agg(F.max("named").alias("named"), F.max(vote).alias("v"))
+                        .where("named").select("site", F.concat("v.scheme", F.lit("://"), "site").alias("original_url")))
     t = S.with_target(found, "original_url", "t_")
     return t.where(F.col("t_error").isNull()).select(
-        "original_url", F.col("t_scheme").alias("scheme"), F.col("t_hostname").alias("hostname"),
+        "original_url", F.col("t_scheme").alias("scheme"), F.col("site").alias("hostname"),
         F.col("t_port").alias("port"), F.col("t_base_domain").alias("base_domain"),
-        F.col("t_normalized").alias("normalized_target"), F.col("t_base_url").alias("base_url"))
+        F.col("t_normalized").alias("normalized_target"), F.concat("t_scheme", F.lit("://"), "site", F.lit("/")).alias("base_url"))

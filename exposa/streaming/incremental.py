@@ -27,7 +27,7 @@ def analyze_captures(captures: DataFrame, catch_all: DataFrame | None = None,
                      sample_chars: int | None = None) -> DataFrame:
     """Row-local analysis of captures (no dedup, no discovery): works on a stream or a batch."""
     c = U.with_normalized(captures, "url", "normalized_url", keep_parts=True, prefix="u_")
-    c = c.withColumns({"path": F.col("u_path"), "hostname": U.hostname_of_netloc("u_netloc")})
+    c = c.withColumns({"path": F.col("u_path"), "hostname": U.site("u_scheme", "u_netloc")})
     c = c.drop(*[f"u_{k}" for k in U.PART_NAMES])
     c = C.with_classification(c, "path")
     c = c.withColumns({
