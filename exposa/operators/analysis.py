@@ -58,7 +58,7 @@ def capture_features(captures: DataFrame, sample_chars: int | None = None,
         F.when(F.col("has_sample") & may_find, X.redacted_snippet(F.col("sample"))).alias("snippet"))
 
 
-def _order() -> list[F.Column]:
+def capture_order() -> list[F.Column]:
     """Which capture of a URL counts: status 200 first, then the newest."""
     return [(F.coalesce(F.col("status_code"), F.lit(0)) != 200).alias("o1"),
             (-F.coalesce(F.col("captured_at"), F.lit(0))).alias("o2")]
@@ -70,7 +70,7 @@ def with_captures(urls: DataFrame, features: DataFrame) -> DataFrame:
     (``min`` over an ordered struct, aggregated map-side; rows carry features, not bodies)."""
     rest = [c for c in FEATURE_COLUMNS if c != "url"]
     copies = features.groupBy("normalized_url", F.col("url").alias("capture_url")).agg(
-        F.min(F.struct(*_order(), *rest)).alias("c"))
+        F.min(F.struct(*capture_order(), *rest)).alias("c"))
     both = urls.join(copies, "normalized_url", "left")
     best = F.min(F.struct((~F.coalesce(F.col("capture_url") == F.col("url"), F.lit(False))).alias("o0"),
                           F.col("c.o1").alias("o1"), F.col("c.o2").alias("o2"), "capture_url", "c"))
@@ -82,7 +82,7 @@ def with_captures(urls: DataFrame, features: DataFrame) -> DataFrame:
 def keyed_status(captures: DataFrame) -> DataFrame:
     """(normalized_url, status_code, content_type) of the capture that counts per dedup key."""
     c = U.with_normalized(captures.select("url", "status_code", "content_type", "captured_at"), "url", "normalized_url")
-    first = F.min(F.struct(*_order(), "url", "status_code", "content_type"))
+    first = F.min(F.struct(*capture_order(), "url", "status_code", "content_type"))
     return c.groupBy("normalized_url").agg(first.alias("c")).select(
         "normalized_url", F.col("c.status_code").alias("status_code"), F.col("c.content_type").alias("content_type"))
 

@@ -832,6 +832,43 @@ SELECT hostname, CAST(count(*) FILTER (WHERE kind = 'page') AS BIGINT) AS pages_
        CAST(count(*) FILTER (WHERE kind = 'link') AS BIGINT) AS unique_urls_found FROM crawl GROUP BY hostname""")
 
 
+# ------------------------------------------------------------------ redirect chains
+def _chain_sql(body: str) -> str:
+    """Every chain walked hop by hop until it ends or comes back to a key of its way."""
+    ctes = f"""
+counted AS (SELECT * FROM (
+  SELECT *, {normalized('url')} AS key, row_number() OVER (PARTITION BY {normalized('url')}
+         ORDER BY coalesce(status_code, 0) <> 200, -coalesce(captured_at, 0), url, status_code NULLS FIRST, location NULLS FIRST) AS rn
+  FROM captures) WHERE rn = 1),
+rd_in AS (SELECT key, url AS r_url, location FROM counted WHERE status_code IN (301, 302, 303, 307, 308) AND location <> ''),
+rd_res AS ({resolved_select('rd_in', 'r_url', 'location', 'key, r_url, location')}),
+rd AS (SELECT key, r_url, {host('location')} AS host, url AS to_url, {normalized('url')} AS to_key FROM rd_res),
+walk(key, r_url, n, host, to_url, to_key, way) AS (
+  SELECT key, r_url, 1, host, to_url, to_key, [key] FROM rd
+  UNION ALL SELECT w.key, w.r_url, n + 1, rd.host, rd.to_url, rd.to_key, list_append(way, rd.key)
+  FROM walk w JOIN rd ON rd.key = w.to_key WHERE NOT list_contains(way, w.to_key)),
+hop AS (SELECT key, r_url, host, min(n) AS first_hop FROM walk WHERE host IS NOT NULL GROUP BY 1, 2, 3),
+judged AS (SELECT *, CASE WHEN {is_private('host')} THEN 'blocked_private' WHEN host = {host('r_url')} THEN 'allowed'
+                          WHEN ends_with(host, '.' || {base_domain(host('r_url'))}) THEN 'allowed' ELSE 'blocked_domain' END AS verdict FROM hop),
+firsts AS (SELECT key, min(first_hop) FILTER (starts_with(verdict, 'blocked')) AS blocked_hop,
+                  arg_min(verdict, first_hop) FILTER (starts_with(verdict, 'blocked')) AS blocked FROM judged GROUP BY 1),
+ends AS (SELECT *, CASE WHEN list_contains(way, to_key) THEN list_min(way[list_position(way, to_key):]) END AS loop FROM walk
+         WHERE list_contains(way, to_key) OR to_key NOT IN (SELECT key FROM rd)),
+chains AS (SELECT {site('r_url')} AS hostname, r_url AS url, CASE WHEN loop IS NULL THEN CAST(n AS BIGINT) END AS hops,
+                  CASE WHEN loop IS NULL THEN to_url END AS final_url,
+                  CASE WHEN loop IS NOT NULL THEN 'loop' WHEN c.status_code IS NOT NULL THEN 'final' ELSE 'unseen' END AS outcome,
+                  CASE WHEN loop IS NULL THEN CAST(c.status_code AS BIGINT) END AS final_status, loop,
+                  coalesce(f.blocked, CASE WHEN f.key IS NOT NULL THEN 'allowed' ELSE 'relative' END) AS verdict,
+                  CAST(f.blocked_hop AS BIGINT) AS blocked_hop
+           FROM ends e LEFT JOIN counted c ON c.key = e.to_key LEFT JOIN firsts f ON f.key = e.key)"""
+    return with_ctes(captures_cte(), ctes, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLES["redirect_chains"] = _chain_sql("SELECT * FROM chains")
+ORACLES["redirect_hops"] = _chain_sql(f"""
+SELECT {site('r_url')} AS hostname, r_url AS url, host, CAST(first_hop AS BIGINT) AS first_hop, verdict FROM judged""")
+
+
 # ------------------------------------------------------------------ report
 ORACLES["report_json"] = _scan_sql("""
 SELECT f.hostname, f.normalized_url, f.finding_severity AS severity, f.title, f.finding_description AS description, f.evidence,

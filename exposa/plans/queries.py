@@ -18,6 +18,7 @@ from exposa.functions import urls as U
 from exposa.operators import analysis as A
 from exposa.operators import discovery as D
 from exposa.operators import graph as G
+from exposa.operators import redirects as RD
 from exposa.operators import report as R
 from exposa.plans.scan import DataScan, scan_for
 from exposa.sources import captures as SRC
@@ -207,6 +208,14 @@ def redirects_blocked(spark, d):
         F.count(F.when(F.col("verdict").startswith("blocked"), 1)).cast(L).alias("redirects_blocked"))
 
 
+def redirect_chains(spark, d):
+    return RD.redirect_chains(_scan(spark, d).captures).withColumn("final_status", F.col("final_status").cast(L))
+
+
+def redirect_hops(spark, d):
+    return RD.redirect_hops(_scan(spark, d).captures)
+
+
 def path_safety(spark, d):
     s = _scan(spark, d)
     p = s.links.select(F.col("href").alias("path")).unionByName(
@@ -433,7 +442,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         report_header, report_url_list,
         url_parts, url_extension, normalize_url, resolve_links, normalize_target, base_domain,
         target_base_url, file_category, should_crawl,
-        scope_filter, valid_links, private_hosts, unsafe_urls, redirect_verdict, path_safety,
+        scope_filter, valid_links, private_hosts, unsafe_urls, redirect_verdict, redirect_chains, redirect_hops, path_safety,
         secret_scan_gate, directory_listing,
         html_links, js_links, css_links,
         dedup_urls, union_sources, candidate_urls, crawl_reachability, seed_reachability,

@@ -52,6 +52,11 @@ RESPONSES = [
     ("'moved-' || " + _SLUG, "302", "'text/html'", "'/login?from=' || n", "''"),
     ("'intranet-' || " + _SLUG, "307", "'text/html'", "'http://192.168.' || (n % 256) || '.1/'", "''"),
     ("'www-' || " + _SLUG, "308", "'text/html'", "'https://www.' || h || '/'", "''"),
+    ("'hop-' || (n % 3)", "302", "'text/html'", "'/hop-' || ((n + 1) % 3)", "''"),
+    ("'hop-' || (i % 3)", "301", "'text/html'", "CASE n % 4 WHEN 0 THEN o || '/hop-' || (n % 3) WHEN 1 THEN 'http://ext' || (n % 3) || "
+     "'.example.net/hop-1' WHEN 2 THEN 'files/' ELSE 'hop-' || ((i + 2) % 3) END", "''"),
+    ("'hop-' || (n % 3) || '/'", "307", "'text/html'", "CASE n % 3 WHEN 0 THEN '/hop-' || ((i + n) % 3) || '#x' WHEN 1 THEN 'https://10.1.' || (n % 9) || "
+     "'.2/hop-0' ELSE '//www.' || h || '/hop-2' END", "''"),
     ("'docs/' || (n % 5) || '.pdf'", "200", "'application/pdf'", "NULL", "NULL"),
     ("'internal-' || " + _SLUG + " || '.pdf'", "200", "'application/pdf'", "NULL", "NULL"),
     ("'app-' || " + _SLUG + " || '.js'", "200", "'application/javascript'", "NULL",
