@@ -800,7 +800,7 @@ ks AS (SELECT nk, status_code, content_type FROM (
          ORDER BY coalesce(status_code, 0) <> 200, -coalesce(captured_at, 0), url, content_type NULLS FIRST) AS rn
   FROM captures) WHERE rn = 1),
 edges AS (SELECT {normalized('page_url')} AS page_key, url AS link_url, normalized_url AS link_key,
-                 {should_crawl_expr(path("url"))} AS crawlable FROM links WHERE in_scope),
+                 {should_crawl_expr(path("url"))} AS crawlable, tag_rank, pos FROM links WHERE in_scope),
 steps AS (SELECT DISTINCT page_key, link_key FROM edges JOIN ks k ON k.nk = page_key WHERE crawlable AND {ok}),
 start AS (SELECT hostname, url, {normalized('url')} AS key FROM (SELECT hostname, base_url AS url FROM targets {seeds})),
 reach(hostname, key, depth) AS (
@@ -832,6 +832,37 @@ SELECT hostname, CAST(count(*) FILTER (WHERE kind = 'page') AS BIGINT) AS pages_
        CAST(count(*) FILTER (WHERE kind = 'link') AS BIGINT) AS unique_urls_found FROM crawl GROUP BY hostname""")
 
 
+def _budget_sql(max_pages: int, max_depth: int) -> str:
+    """The seeded crawl with a page budget, its levels written out: each level's URLs in the order of the queue."""
+    full = _crawl_sql(True, "")
+    head = full[:full.index("start AS (")]
+    ok = IS_HTML.replace('content_type', 'k.content_type')
+    ctes = [f"""start AS (SELECT hostname, url, {normalized('url')} AS key, pr FROM (SELECT hostname, base_url AS url, 0 AS pr FROM targets
+      UNION ALL SELECT {site('url')}, url, 1 FROM captures WHERE status_code = 200 AND {IS_HTML})),
+found0 AS (SELECT hostname, url, key, pr, 0 AS tr, 0 AS ps, true AS crawlable FROM start)"""]
+    for d in range(max_depth + 1):
+        seen = "".join(f" AND (hostname, key) NOT IN (SELECT (hostname, key) FROM level{e})" for e in range(d))
+        taken = " + ".join(["0"] + [f"(SELECT count(*) FROM page{e} WHERE page{e}.hostname = ok{d}.hostname)" for e in range(d)])
+        ctes.append(f"""
+level{d} AS (SELECT hostname, key, min(url) AS url, min({{'a': pr, 'b': tr, 'c': ps, 'd': url}}) AS o FROM found{d} WHERE crawlable{seen} GROUP BY 1, 2),
+ok{d} AS (SELECT l.*, {ok} AS html, row_number() OVER (PARTITION BY hostname ORDER BY o) AS rank FROM level{d} l
+          JOIN ks k ON k.nk = l.key AND k.status_code = 200),
+page{d} AS (SELECT * FROM ok{d} WHERE rank <= {max_pages} - ({taken})),
+found{d + 1} AS (SELECT p.hostname, e.link_url AS url, e.link_key AS key, p.rank AS pr, e.tag_rank AS tr, e.pos AS ps, e.crawlable
+                 FROM page{d} p JOIN edges e ON e.page_key = p.key WHERE p.html)""")
+    levels = range(max_depth + 1)
+    pages = " UNION ALL ".join(f"SELECT hostname, url, key AS normalized_url, {d} AS depth, html FROM page{d}" for d in levels)
+    links = " UNION ALL ".join(f"SELECT hostname, url, key, {d + 1} AS depth FROM found{d + 1}" for d in levels)
+    return head + ",".join(ctes) + f""", pages_all AS ({pages}), links_all_levels AS ({links}),
+links_first AS (SELECT hostname, key, min({{'a': depth, 'b': url}}) AS f FROM links_all_levels GROUP BY 1, 2)
+SELECT hostname, url, normalized_url, CAST(depth AS BIGINT) AS depth, 'page' AS kind FROM pages_all
+UNION ALL SELECT hostname, url, normalized_url, depth, 'file' FROM pages_all WHERE NOT html
+UNION ALL SELECT hostname, f.b, key, f.a, 'link' FROM links_first"""
+
+
+ORACLES["crawl_budget"] = _budget_sql(3, 3)
+
+
 # ------------------------------------------------------------------ redirect chains
 def _chain_sql(body: str) -> str:
     """Every chain walked hop by hop until it ends or comes back to a key of its way."""

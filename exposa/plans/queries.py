@@ -283,6 +283,15 @@ def seed_reachability(spark, d):
     return _reached(_scan(spark, d).seeded_crawl)
 
 
+#: Budget and depth of the registered budgeted crawl; the cut is the feature.
+CRAWL_BUDGET = (3, 3)
+
+
+def crawl_budget(spark, d):
+    s, (pages, depth) = _scan(spark, d), CRAWL_BUDGET
+    return _reached(G.crawl(s.captures, s.targets, s.links, G.page_seeds(s.captures), depth, pages))
+
+
 def resource_secrets(spark, d):
     r = _scan(spark, d).resources.where(F.col("secret_count") > 0)
     return r.select("normalized_url", "secret_count", "has_critical_secret")
@@ -445,7 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scope_filter, valid_links, private_hosts, unsafe_urls, redirect_verdict, redirect_chains, redirect_hops, path_safety,
         secret_scan_gate, directory_listing,
         html_links, js_links, css_links,
-        dedup_urls, union_sources, candidate_urls, crawl_reachability, seed_reachability,
+        dedup_urls, union_sources, candidate_urls, crawl_reachability, seed_reachability, crawl_budget,
         resource_secrets, risk_lookup, catch_all_hosts,
         path_category, classify_urls, sensitive_documents, soft_404, analyze_resources,
         path_exposure, resource_groups,

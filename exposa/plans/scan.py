@@ -26,17 +26,17 @@ class Scan:
     """``captures``: any table with a ``url`` (see ``sources.captures.as_captures``). ``target_urls``: a
     table whose ``url`` column names the authorised sites; without it, those of the captures.
 
-    ``sample_chars``, ``sniff_chars``, ``max_secret_bytes``, ``max_depth`` and ``paths`` bring back limits
+    ``sample_chars``, ``sniff_chars``, ``max_secret_bytes``, ``max_depth``, ``max_pages`` and ``paths`` bring back limits
     of the live scanner; none is set by default."""
 
     def __init__(self, captures: DataFrame, target_urls: DataFrame | None = None, include_subdomains: bool = False,
                  sample_chars: int | None = None, sniff_chars: int | None = None, max_secret_bytes: int | None = None,
-                 max_depth: int | None = None, paths: list[str] | None = None):
+                 max_depth: int | None = None, max_pages: int | None = None, paths: list[str] | None = None):
         self.captures = SRC.as_captures(captures)
         self.target_urls = captures if target_urls is None else target_urls
         self.include_subdomains = include_subdomains
         self.sample_chars, self.sniff_chars, self.max_secret_bytes = sample_chars, sniff_chars, max_secret_bytes
-        self.max_depth = max_depth
+        self.max_depth, self.max_pages = max_depth, max_pages
         self.paths = fixed.candidate_paths() if paths is None else paths
 
     @cached_property
@@ -102,11 +102,12 @@ class Scan:
 
     @cached_property
     def crawl(self) -> DataFrame:
-        return G.crawl(self.captures, self.targets, self.links, None, self.max_depth)
+        return G.crawl(self.captures, self.targets, self.links, None, self.max_depth, self.max_pages)
 
     @cached_property
     def seeded_crawl(self) -> DataFrame:
-        return G.crawl(self.captures, self.targets, self.links, G.page_seeds(self.captures), self.max_depth)
+        return G.crawl(self.captures, self.targets, self.links, G.page_seeds(self.captures), self.max_depth,
+                       self.max_pages)
 
     def report_header(self) -> DataFrame:
         return R.report_header(self.targets, self.captures, R.scan_statistics(self.discovered, self.resources),

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -93,7 +94,33 @@ def materialize(df):
     checkpoint storage, so a lost executor costs at most the step after the last table.
     ``drop_tables`` deletes them.
     """
-    spark = df.sparkSession
-    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(_written(df))
+
+
+def _written(df, *by: str) -> str:
+    path = f"{_tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return path
+
+
+#: Folders of a table by buckets.
+BUCKETS = 32
+
+
+def bucket_of(key):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+class Buckets:
+    """A table written in folders by bucket of a key, of which a reader takes those its keys are in."""
+
+    def __init__(self, df, key: str):
+        df = df.withColumn("bucket", bucket_of(key))
+        # a bucket may be many files, a file holds few buckets; the folders are listed once
+        path = _written(df.repartitionByRange("bucket", key), "bucket")
+        self.table = df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def read(self, buckets: list[int] | None = None):
+        """All rows, or those of some buckets."""
+        df = self.table if buckets is None else self.table.where(F.col("bucket").isin(buckets))
+        return df.drop("bucket")
