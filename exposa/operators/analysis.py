@@ -53,7 +53,7 @@ def capture_features(captures: DataFrame, sample_chars: int | None = None,
                 | C.path_category(F.concat(F.col("_p"), F.lit("/"))).isNotNull() | doc)
     flags = T.head_flags(F.col("sample"), sniff_chars)
     return c.select(
-        "normalized_url", "url", "final_url", "status_code", "content_type", "content_length", "server",
+        "normalized_url", F.coalesce("etag", "last_modified").alias("validator"), "url", "final_url", "status_code", "content_type", "content_length", "server",
         "location", "captured_at", "is_current", "is_directory_listing", "has_sample", *[v.alias(k) for k, v in flags.items()],
         F.when(F.col("has_sample") & may_find, X.redacted_snippet(F.col("sample"))).alias("snippet"))
 
@@ -64,16 +64,34 @@ def capture_order() -> list[F.Column]:
             (-F.coalesce(F.col("captured_at"), F.lit(0))).alias("o2")]
 
 
+#: Statuses of a capture that shows a version of a URL: 304 says that an earlier response still holds.
+SHOWING = [200, 304]
+
+
+def versions(captures: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    """(keys, o1, o2, c): of each version of a URL the capture that counts (``payload`` in ``c``), to be compared by
+    (o1, o2). A version is what its validator names: ETag, else Last-Modified, else none. A 304 stands for the
+    responses of its version before it: they count as seen then, and are as current as it is. Copies are reduced
+    map-side (``min`` and ``max`` over structs), so a URL captured any number of times is one row per map task."""
+    shown = F.when(F.col("status_code").isin(SHOWING), F.struct(F.coalesce("captured_at", F.lit(0)).alias("at"),
+                                                                 F.coalesce("is_current", F.lit(True)).alias("current")))
+    v = captures.groupBy(*keys, "validator").agg(F.min(F.struct(*capture_order(), *payload)).alias("c"), F.max(shown).alias("shown"))
+    fetched = ~F.col("c.o1")
+    v = v.withColumn("o2", F.when(fetched, -F.col("shown.at")).otherwise(F.col("c.o2")))
+    if "is_current" in payload:
+        v = v.withColumn("c", F.when(fetched, F.col("c").withField("is_current", F.col("shown.current"))).otherwise(F.col("c")))
+    return v.select(*keys, "c.o1", "o2", "c")
+
+
 def with_captures(urls: DataFrame, features: DataFrame) -> DataFrame:
     """Each URL (one row per normalized_url) with one capture of its dedup key, if there is any: of its
-    own spelling first, then status 200, then the newest. Copies of a URL are reduced before the join
-    (``min`` over an ordered struct, aggregated map-side; rows carry features, not bodies)."""
+    own spelling first, then status 200, then the version seen last. Copies of a URL are reduced before the join
+    (rows carry features, not bodies)."""
     rest = [c for c in FEATURE_COLUMNS if c != "url"]
-    copies = features.groupBy("normalized_url", F.col("url").alias("capture_url")).agg(
-        F.min(F.struct(*capture_order(), *rest)).alias("c"))
+    copies = versions(features.withColumnRenamed("url", "capture_url"), ["normalized_url", "capture_url"], rest)
     both = urls.join(copies, "normalized_url", "left")
     best = F.min(F.struct((~F.coalesce(F.col("capture_url") == F.col("url"), F.lit(False))).alias("o0"),
-                          F.col("c.o1").alias("o1"), F.col("c.o2").alias("o2"), "capture_url", "c"))
+                          "o1", "o2", "capture_url", "c"))
     one = both.groupBy(*urls.columns).agg(best.alias("b"))
     return one.select(*urls.columns, F.col("b.capture_url").alias("capture_url"),
                       *[F.col(f"b.c.{k}").alias(k) for k in rest])
@@ -81,10 +99,10 @@ def with_captures(urls: DataFrame, features: DataFrame) -> DataFrame:
 
 def keyed_status(captures: DataFrame) -> DataFrame:
     """(normalized_url, status_code, content_type) of the capture that counts per dedup key."""
-    c = U.with_normalized(captures.select("url", "status_code", "content_type", "captured_at"), "url", "normalized_url")
-    first = F.min(F.struct(*capture_order(), "url", "status_code", "content_type"))
-    return c.groupBy("normalized_url").agg(first.alias("c")).select(
-        "normalized_url", F.col("c.status_code").alias("status_code"), F.col("c.content_type").alias("content_type"))
+    c = captures.select("url", "status_code", "content_type", "captured_at", "is_current", F.coalesce("etag", "last_modified").alias("validator"))
+    c = versions(U.with_normalized(c, "url", "normalized_url"), ["normalized_url", "url"], ["status_code", "content_type"])
+    return c.groupBy("normalized_url").agg(F.min(F.struct("o1", "o2", "url", "c")).alias("b")).select(
+        "normalized_url", F.col("b.c.status_code").alias("status_code"), F.col("b.c.content_type").alias("content_type"))
 
 
 def catch_all_hosts(captures: DataFrame) -> DataFrame:

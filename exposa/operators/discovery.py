@@ -188,12 +188,17 @@ def css_links(captures: DataFrame, include_subdomains: bool = False) -> DataFram
 
 def _probe_files(captures: DataFrame, targets: DataFrame, name: str) -> DataFrame:
     """The 200 capture of the file ``name`` at the root of each target's site: of the target's scheme first, then
-    the newest."""
+    the one seen last."""
     # narrow the captures to this file name before the shuffle, so only these rows are in it
-    c = captures.where((F.col("status_code") == 200) & F.lower("url").contains("/" + name)).select("url", "body", "captured_at")
+    c = captures.where(F.col("status_code").isin(200, 304) & F.lower("url").contains("/" + name)).select(
+        "url", "body", "status_code", "captured_at", F.coalesce("etag", "last_modified").alias("validator"))
     c = U.with_parts(c, "url", "p_").where((F.col("p_path") == "/" + name) & (F.col("p_query") == ""))
-    newest = F.max(F.struct("captured_at", F.coalesce("body", F.lit("")).alias("body")))
-    c = c.groupBy(U.site("p_scheme", "p_netloc").alias("hostname"), F.col("p_scheme").alias("c_scheme")).agg(newest.alias("c"))
+    # a 304 says that the response of its version before it still holds
+    c = c.groupBy("url", U.site("p_scheme", "p_netloc").alias("hostname"), F.col("p_scheme").alias("c_scheme"), "validator").agg(
+        F.max("captured_at").alias("seen"),
+        F.max(F.when(F.col("status_code") == 200, F.struct("captured_at", F.coalesce("body", F.lit("")).alias("body")))).alias("n"))
+    c = c.where(F.col("n").isNotNull()).groupBy("hostname", "c_scheme").agg(
+        F.max(F.struct(F.col("seen").alias("captured_at"), "n.body")).alias("c"))
     best = F.max(F.struct(F.col("c_scheme") == F.col("scheme"), "c.captured_at", "c.body"))
     return (targets.select("hostname", "base_domain", "base_url", "scheme").join(c, "hostname")
             .groupBy("hostname", "base_domain", "base_url").agg(best.alias("b"))

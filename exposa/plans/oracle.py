@@ -124,6 +124,9 @@ def captures_cte() -> str:
     h = host("url")
     return f"""
 {responses.captures_sql(h)},
+shown AS (SELECT *, max(CASE WHEN status_code IN (200, 304) THEN captured_at END) OVER v AS shown_at,
+                 arg_max(is_current, captured_at) FILTER (status_code IN (200, 304)) OVER v AS shown_current
+          FROM captures WINDOW v AS (PARTITION BY url, coalesce(etag, last_modified))),
 hosts AS (SELECT DISTINCT {h} AS hostname FROM pages WHERE {h} IS NOT NULL),
 reached AS (SELECT site, sch, away, ok FROM (
     SELECT {site('url')} AS site, {scheme('url')} AS sch, false AS away, (status_code = 200)::INT AS ok FROM captures
@@ -165,9 +168,13 @@ def listing_expr(sample: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["captures_load"] = with_ctes(captures_cte(), body="""
+_HEADERS = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {q(n)} END" for n, c in [
+    ("etag", "etag"), ("last-modified", "last_modified"), ("location", "location"), ("server", "server")])
+ORACLES["captures_load"] = with_ctes(captures_cte(), body=f"""
 SELECT url, CAST(status_code AS BIGINT) AS status_code, content_type, content_length, server, location,
-       captured_at, is_current, CAST(length(body) AS BIGINT) AS body_chars FROM captures""")
+       captured_at, is_current, etag, last_modified, {title_expr(SAMPLE)} AS title, CAST(NULL AS VARCHAR) AS error,
+       CASE WHEN url NOT IN (SELECT url FROM pages) THEN concat_ws(',', {_HEADERS}) END AS header_names,
+       CAST(length(body) AS BIGINT) AS body_chars FROM captures""")
 
 ORACLES["content_sample"] = with_ctes(captures_cte(), body=f"""
 SELECT url, CAST(length({SAMPLE}) AS BIGINT) AS sample_chars FROM captures""")
@@ -523,7 +530,7 @@ def analysis_ctes(src: str, p: str, calibration: bool) -> str:
     text = f"""pick AS (SELECT * EXCLUDE (rn) FROM (
   SELECT u.url AS r_url, u.normalized_url AS r_key, u.hostname AS r_host, u.context AS r_context, k.*,
          row_number() OVER (PARTITION BY u.url, u.normalized_url, u.hostname, u.context
-           ORDER BY k.url <> u.url, coalesce(k.status_code, 0) <> 200, -coalesce(k.captured_at, 0), k.url) AS rn
+           ORDER BY k.url <> u.url, coalesce(k.status_code, 0) <> 200, -coalesce(k.seen, 0), k.url, -k.captured_at) AS rn
   FROM urls u JOIN kc k ON k.key = u.normalized_url) WHERE rn = 1),
 a0 AS (SELECT u.*, k.status_code, k.content_type, k.content_length, k.server, k.location, k.is_current AS k_current,
               {SAMPLE.replace('status_code', 'k.status_code').replace('content_type', 'k.content_type').replace('body', 'k.body')} AS sample,
@@ -574,10 +581,10 @@ def scan_ctes() -> str:
     desc = case_map("resource_type", fixed.FINDING_DESCRIPTIONS, fixed.FINDING_DESCRIPTION_DEFAULT)
     remed = case_map("resource_type", fixed.FINDING_REMEDIATIONS, fixed.FINDING_REMEDIATION_DEFAULT)
     return f"""
-roots AS (SELECT {site('url')} AS hostname, {scheme('url')} AS sch, {path('url')} AS path, coalesce(body, '') AS body, captured_at
-          FROM captures WHERE status_code = 200 AND {query('url')} = '' AND {path('url')} IN ('/robots.txt', '/sitemap.xml')),
+roots AS (SELECT {site('url')} AS hostname, {scheme('url')} AS sch, {path('url')} AS path, coalesce(body, '') AS body, captured_at,
+                 shown_at FROM shown WHERE status_code = 200 AND {query('url')} = '' AND {path('url')} IN ('/robots.txt', '/sitemap.xml')),
 newest AS (SELECT * FROM (
-  SELECT t.*, r.path, r.body, row_number() OVER (PARTITION BY t.hostname, r.path ORDER BY r.sch <> t.scheme, r.captured_at DESC, r.body DESC) AS rn
+  SELECT t.*, r.path, r.body, row_number() OVER (PARTITION BY t.hostname, r.path ORDER BY r.sch <> t.scheme, r.shown_at DESC, r.captured_at DESC) AS rn
   FROM targets t JOIN roots r USING (hostname)) WHERE rn = 1),
 rb AS (SELECT hostname, base_domain, base_url, body FROM newest WHERE path = '/robots.txt'),
 rb_lines AS (SELECT hostname, base_url, unnest(string_split(coalesce(body, ''), chr(10))) AS line,
@@ -615,7 +622,9 @@ firsts AS (SELECT normalized_url, hostname, url, source, context, k3 FROM (
 urls AS (SELECT normalized_url, hostname, url, source, context FROM firsts),
 discovered AS (SELECT hostname, source, context, k3, url, normalized_url FROM known
                UNION ALL SELECT hostname, source, context, k3, url, normalized_url FROM firsts WHERE source = 'COMMON_PATHS'),
-kc AS (SELECT *, {normalized('url')} AS key FROM captures),
+kc AS (SELECT * EXCLUDE (is_current, shown_at, shown_current), {normalized('url')} AS key,
+              CASE WHEN status_code = 200 THEN shown_at ELSE captured_at END AS seen,
+              CASE WHEN status_code = 200 THEN shown_current ELSE is_current END AS is_current FROM shown),
 catch AS (SELECT {site('url')} AS hostname, bool_or(status_code = 200) AS catch_all FROM captures
           WHERE regexp_matches({path('url')}, {q(fixed.CALIBRATION_PATTERN)}) GROUP BY 1),
 {analysis_ctes('urls', '', True)}gated AS (SELECT normalized_url, sample FROM analyzed
@@ -797,8 +806,9 @@ def _crawl_sql(seeded: bool, body: str) -> str:
     ctes = f"""
 ks AS (SELECT nk, status_code, content_type FROM (
   SELECT *, {normalized('url')} AS nk, row_number() OVER (PARTITION BY {normalized('url')}
-         ORDER BY coalesce(status_code, 0) <> 200, -coalesce(captured_at, 0), url, content_type NULLS FIRST) AS rn
-  FROM captures) WHERE rn = 1),
+         ORDER BY coalesce(status_code, 0) <> 200, -(CASE WHEN status_code = 200 THEN shown_at ELSE coalesce(captured_at, 0) END), url,
+                  -captured_at, content_type NULLS FIRST) AS rn
+  FROM shown) WHERE rn = 1),
 edges AS (SELECT {normalized('page_url')} AS page_key, url AS link_url, normalized_url AS link_key,
                  {should_crawl_expr(path("url"))} AS crawlable, tag_rank, pos FROM links WHERE in_scope),
 steps AS (SELECT DISTINCT page_key, link_key FROM edges JOIN ks k ON k.nk = page_key WHERE crawlable AND {ok}),

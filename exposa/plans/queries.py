@@ -34,7 +34,8 @@ def _scan(spark, d) -> DataScan:
 def captures_load(spark, d):
     c = _scan(spark, d).captures
     return c.select("url", F.col("status_code").cast(L).alias("status_code"), "content_type", "content_length",
-                    "server", "location", "captured_at", "is_current", F.length("body").cast(L).alias("body_chars"))
+                    "server", "location", "captured_at", "is_current", "etag", "last_modified", "title", "error",
+                    F.array_join(F.sort_array(F.map_keys("headers")), ",").alias("header_names"), F.length("body").cast(L).alias("body_chars"))
 
 
 def content_sample(spark, d):

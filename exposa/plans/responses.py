@@ -71,6 +71,9 @@ RESPONSES = [
     ("'page-' || " + _SLUG + " || '.html'", "200", "CASE WHEN n % 4 = 0 THEN NULL ELSE 'text/html' END", "NULL",
      "'<!DOCTYPE html><html><head><title>Page ' || n || '</title><style>b { background: url(\"/img/s' || (n % 5) || '.png\") }</style></head><body>' || "
      + _LINKS + " || replace(replace(t, '<', ' '), '&', ' ') || '<script>go(\"/api/p' || (n % 6) || '\");</script></body></html>'"),
+    ("'page-' || " + _SLUG + " || '.html'", "304", "NULL", "NULL", "NULL"),
+    ("'.env'", "304", "NULL", "NULL", "NULL"),
+    ("'robots.txt'", "304", "NULL", "NULL", "NULL"),
     ("'wxs-calibration-0123456789abcdef.txt'", "CASE WHEN n % 4 = 0 THEN 200 ELSE 404 END", "'text/html'", "NULL", "'<html>gone</html>'"),
     ("'data/' || " + _SLUG + " || '.txt'", "200", "CASE WHEN n % 5 = 0 THEN NULL ELSE 'text/plain; charset=utf-8' END", "NULL", "t"),
     ("''", "CASE WHEN n % 5 = 0 THEN 301 ELSE 200 END", "'text/html; charset=utf-8'",
@@ -80,6 +83,8 @@ RESPONSES = [
      + _LINKS + " || replace(replace(t, '<', ' '), '&', ' ') || '</body></html>'"),
     ("'backup-' || " + _SLUG + " || '.zip'", "404", "'text/html'", "NULL", "'Not Found'"),
 ]
+ETAG = "CASE WHEN n % 3 > 0 THEN '\"v' || (n % 2) || '\"' END"
+LAST_MODIFIED = "CASE WHEN n % 6 = 0 THEN 'Tue, 02 Jan 2024 0' || (n % 4) || ':00:00 GMT' END"
 SERVER = "CASE WHEN n % 3 = 0 THEN 'nginx' WHEN n % 3 = 1 THEN 'Apache' END"
 
 
@@ -95,6 +100,8 @@ DOCUMENT_CAPTURE = {
     "content_type": _case(2),
     "server": SERVER,
     "location": _case(3),
+    "etag": ETAG,
+    "last_modified": LAST_MODIFIED,
     "body": _case(4),
     "captured_at": "1700000000 + 3600 * (i % 1000) + i",
     "is_current": "i % 6 <> 5",
@@ -110,7 +117,12 @@ def document_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_pages = max(1, pages.count())
     rows = docs.join(host, F.col("i") % n_pages == F.col("page_id")).withColumns(
         {"n": F.length("t").cast("bigint"), "o": F.expr(ORIGIN)})
-    return SRC.as_captures(rows.select(*[F.expr(e).alias(c) for c, e in DOCUMENT_CAPTURE.items()]))
+    captured = rows.select(*[F.expr(e).alias(c) for c, e in DOCUMENT_CAPTURE.items()])
+    # a crawl's export has these as headers, spelled as servers spell them
+    spelled = {"Server": "server", "LOCATION": "location", "ETag": "etag", "last-modified": "last_modified"}
+    entries = F.array(*[F.struct(F.lit(k).alias("name"), F.col(c).alias("value")) for k, c in spelled.items()])
+    headers = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return SRC.as_captures(captured.withColumn("headers", headers).drop(*spelled.values()))
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +140,8 @@ doc_captures AS (SELECT {columns} FROM doc_rows),
 captures AS (
   SELECT url, url AS final_url, 200 AS status_code, 'text/html; charset=utf-8' AS content_type,
          CAST(strlen(html) AS BIGINT) AS content_length, CAST(NULL AS VARCHAR) AS server, CAST(NULL AS VARCHAR) AS location,
-         html AS body, page_id AS captured_at, true AS is_current FROM pages
+         html AS body, page_id AS captured_at, true AS is_current, CAST(NULL AS VARCHAR) AS etag, CAST(NULL AS VARCHAR) AS last_modified
+  FROM pages
   UNION ALL
-  SELECT url, url, status_code, content_type, CAST(strlen(body) AS BIGINT), server, location, body, captured_at, is_current
-  FROM doc_captures)"""
+  SELECT url, url, status_code, content_type, CAST(strlen(body) AS BIGINT), server, location, body, captured_at, is_current, etag,
+         last_modified FROM doc_captures)"""

@@ -8,9 +8,10 @@ site of a URL column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exposa.functions import content as T
 from exposa.functions import fixed
 from exposa.functions import scope as S
 from exposa.functions import urls as U
@@ -19,24 +20,52 @@ from exposa.functions import urls as U
 CAPTURE_COLUMNS = {
     "url": "string", "final_url": "string", "status_code": "int", "content_type": "string",
     "content_length": "bigint", "server": "string", "location": "string", "body": "string",
-    "captured_at": "bigint", "is_current": "boolean",
+    "captured_at": "bigint", "is_current": "boolean", "headers": "map<string,string>", "etag": "string",
+    "last_modified": "string", "title": "string", "redirect_chain": "array<string>", "error": "string",
 }
+#: columns that a response header gives where the column is absent or null
+FROM_HEADERS = {"content_type": "content-type", "content_length": "content-length", "server": "server",
+                "location": "location", "etag": "etag", "last_modified": "last-modified"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lower_names(headers: Column) -> Column:
+    """A header map with lower-case names. Names that differ in letter case only are one header, its values
+    joined by a comma in the map's order."""
+    names = F.array_distinct(F.transform(F.map_keys(headers), lambda k: F.lower(F.trim(k))))
+
+    def entry(name):
+        own = F.filter(F.map_entries(headers), lambda e: F.lower(F.trim(e["key"])) == name)
+        return F.struct(name, F.array_join(F.transform(own, lambda e: e["value"]), ", "))
+
+    return F.map_from_entries(F.transform(names, entry))
+
+
 def as_captures(df: DataFrame) -> DataFrame:
-    """``df`` as captures: further columns dropped, missing ones filled (final URL: the URL; status 200;
-    length: the body's bytes; current: true; else null)."""
+    """``df`` as captures: further columns dropped, missing ones filled (final URL: the URL; status 200; current:
+    true; title: the body's; those of ``FROM_HEADERS`` from the headers; length: else the body's bytes; else
+    null). Header names come out in lower case."""
     have = set(df.columns)
-    body = F.col("body") if "body" in have else F.lit(None).cast("string")
-    fill = {"final_url": F.col("url"), "status_code": F.lit(200),
-            "content_length": F.octet_length(body), "is_current": F.lit(True)}
-    return df.select(*[(F.coalesce(F.col(c), fill[c]) if c in have and c in ("final_url", "is_current") else
-                        F.col(c) if c in have else fill.get(c, F.lit(None))).cast(t).alias(c)
-                       for c, t in CAPTURE_COLUMNS.items()])
+    headers = lower_names(F.col("headers")) if "headers" in have else F.lit(None).cast("map<string,string>")
+    df = df.withColumn("headers", headers)
+    given = {c: F.col(c) if c in have else F.lit(None) for c in CAPTURE_COLUMNS}
+    body = given["body"].cast("string")
+    out = {c: given[c].cast(t) for c, t in CAPTURE_COLUMNS.items()} | {"headers": F.col("headers")}
+    out["final_url"] = F.coalesce(out["final_url"], F.col("url").cast("string"))
+    out["is_current"] = F.coalesce(out["is_current"], F.lit(True))
+    if "status_code" not in have:
+        out["status_code"] = F.lit(200)
+    for column, name in FROM_HEADERS.items() if "headers" in have else ():
+        value = F.nullif(F.try_element_at(F.col("headers"), F.lit(name)), F.lit(""))
+        out[column] = F.coalesce(out[column], value.try_cast(CAPTURE_COLUMNS[column]))
+    if "content_length" not in have:
+        out["content_length"] = F.coalesce(out["content_length"], F.octet_length(body).cast("bigint"))
+    sample = T.response_sample(body, out["status_code"], out["content_type"], None)
+    out["title"] = F.coalesce(out["title"], T.page_title(sample, out["content_type"]))
+    return df.select(*[v.alias(c) for c, v in out.items()])
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
