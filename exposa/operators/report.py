@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from exposa.functions import classify as C
 from exposa.functions import fixed
 from exposa.functions import urls as U
+from exposa.operators.publish import publish
 
 
 def _count_if(cond) -> F.Column:
@@ -183,21 +184,48 @@ def bucketed(df: DataFrame) -> DataFrame:
 
 
 def write_json_report(header: DataFrame, findings_rows: DataFrame, path: str) -> None:
-    """JSON sink: ``header/`` (one line per target, with the time of writing) and ``findings/`` (one line
-    per finding), both by bucket of hosts."""
-    stamped = header.withColumn("generated_at", F.current_timestamp())
-    bucketed(stamped).write.mode("overwrite").partitionBy("host_bucket").json(f"{path}/header")
-    bucketed(findings_rows).repartitionByRange("host_bucket", "hostname", "normalized_url").write.mode("overwrite") \
-        .partitionBy("host_bucket").json(f"{path}/findings")
+    """JSON sink: ``header`` (one line per target, with the time of writing) and ``findings`` (one line
+    per finding), both by bucket of hosts, published together (``publish.published`` gives their folders)."""
+    stamped = bucketed(header.withColumn("generated_at", F.current_timestamp()))
+    rows = bucketed(findings_rows).repartitionByRange("host_bucket", "hostname", "normalized_url")
+    publish(header.sparkSession, path, {
+        "header": lambda folder: stamped.write.partitionBy("host_bucket").json(folder),
+        "findings": lambda folder: rows.write.partitionBy("host_bucket").json(folder)})
 
 
 def write_url_list(lines: DataFrame, path: str) -> None:
-    """Text sink: the lines of ``url_list``, by bucket of hosts."""
-    bucketed(lines).repartitionByRange("host_bucket", "hostname", "normalized_url") \
-        .select("host_bucket", "line").write.mode("overwrite").partitionBy("host_bucket").text(path)
+    """Text sink: the lines of ``url_list``, by bucket of hosts, published as ``urls``."""
+    rows = bucketed(lines).repartitionByRange("host_bucket", "hostname", "normalized_url").select("host_bucket", "line")
+    publish(lines.sparkSession, path, {"urls": lambda folder: rows.write.partitionBy("host_bucket").text(folder)})
 
 
 def write_section_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """The report's tables (S8), one Parquet table per section, by bucket of hosts."""
-    for name, df in tables.items():
-        bucketed(df).write.mode("overwrite").partitionBy("host_bucket").parquet(f"{path}/{name}")
+    """The report's tables (S8), one Parquet table per section, by bucket of hosts, published together."""
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        publish(spark, path, {name: (lambda folder, df=df: bucketed(df).write.partitionBy("host_bucket").parquet(folder))
+                              for name, df in tables.items()})
+
+
+def report_sections(header: DataFrame, groups: DataFrame, findings: DataFrame, resources: DataFrame) -> DataFrame:
+    """The report's sections as one table (S8): hostname, section, pos, label, url, value. Counts have a label and a
+    value; listed rows their place, and how many more there are (historical: how many in all)."""
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    names = [f.name for f in header.schema["statistics"].dataType.fields]
+    stats = header.select("hostname", F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(n).alias("label"),
+                                                                   F.col(f"statistics.{n}").alias("value")) for i, n in enumerate(names, 1)])).alias("s"))
+    parts = [
+        stats.select("hostname", F.lit("statistics").alias("section"), "s.pos", "s.label", none.alias("url"), "s.value"),
+        group_counts(groups).select("hostname", F.lit("groups").alias("section"), zero.alias("pos"), F.col("group_name").alias("label"),
+                                    none.alias("url"), F.col("resources").alias("value")),
+        top_findings(findings).select("hostname", F.concat(F.lit("top_"), F.lower("finding_severity")).alias("section"),
+                                      F.col("rank").alias("pos"), F.col("title").alias("label"), "url", F.col("more").alias("value")),
+        top_resources(groups).select("hostname", F.concat(F.lit("top_"), F.col("group_name")).alias("section"), F.col("rank").alias("pos"),
+                                     none.alias("label"), "url", F.col("more").alias("value")),
+        historical_urls(resources).select("hostname", F.lit("historical").alias("section"), F.col("rank").alias("pos"), none.alias("label"),
+                                          "url", F.col("total").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -218,6 +218,15 @@ SELECT host, {is_private('host')} AS is_private,
             WHEN {is_private('host')} THEN 'private_address' END AS reason
 FROM (SELECT hostname AS host FROM hosts UNION {_LOC_HOSTS})""")
 
+_RANGES = [(c, *c.partition("/")[::2]) for c in fixed.PRIVATE_RANGES + ["192.168.0.0/17", "192.168.128.0/20", "10.1.4.0/22", "10.1.7.2", "0.0.0.0/0"]
+           if ":" not in c]
+_V4_OF = "(" + " + ".join(f"TRY_CAST(split_part({{0}}, '.', {i + 1}) AS BIGINT) * {1 << 24 - 8 * i}" for i in range(4)) + ")"
+ORACLES["address_ranges"] = with_ctes(captures_cte(), body=f"""
+SELECT host, cidr FROM (SELECT host, {_V4_OF.format('host')} AS a FROM (SELECT hostname AS host FROM hosts UNION {_LOC_HOSTS})
+                        WHERE regexp_matches(host, '{IPV4}')) JOIN
+  (SELECT cidr, {_V4_OF.format('net')} AS low, 1::BIGINT << (32 - n) AS size FROM (VALUES {", ".join(f"({q(c)}, {q(net)}, {n or 32})" for c, net, n in _RANGES)}) v(cidr, net, n))
+  ON a BETWEEN low AND low + size - 1""")
+
 ORACLES["unsafe_urls"] = with_ctes(captures_cte(), body=f"""
 SELECT url, (h IS NULL OR lower(h) IN {in_list(fixed.LOCALHOST_NAMES)} OR {is_private('h')}
              OR h IN ('169.254.169.254', 'metadata.google.internal')) AS is_unsafe
@@ -936,3 +945,13 @@ LEFT JOIN ({_body('scan_statistics')}) USING (hostname) LEFT JOIN ({_body('sever
 LEFT JOIN ({_body('sensitive_file_count')}) USING (hostname) LEFT JOIN ({_body('secret_summary')}) USING (hostname)
 LEFT JOIN (SELECT hostname, CAST(count(*) FILTER (WHERE NOT is_current) AS BIGINT) AS historical_urls FROM resources GROUP BY 1) USING (hostname)
 LEFT JOIN (SELECT {site('url')} AS hostname, min(captured_at) AS start_time, max(captured_at) AS end_time FROM captures GROUP BY 1) c USING (hostname)""")
+
+_STATS = ["urls_discovered", "urls_checked", "currently_accessible", "historical_urls", "documents", "images", "data_files",
+          "potential_sensitive_files", "critical_count", "high_count", "medium_count", "low_count", "info_count", "total_secrets_found"]
+ORACLES["report_sections"] = _scan_sql(f"""
+SELECT hostname, 'statistics' AS section, unnest(generate_series(1, {len(_STATS)})) AS pos, unnest([{", ".join(q(x) for x in _STATS)}]) AS label,
+       CAST(NULL AS VARCHAR) AS url, unnest([{", ".join(_STATS)}]) AS value FROM ({_body('report_header')})
+UNION ALL SELECT hostname, 'groups', 0, group_name, NULL, resources FROM ({_body('group_counts')})
+UNION ALL SELECT hostname, 'top_' || lower(finding_severity), rank, title, url, more FROM ({_body('top_findings')})
+UNION ALL SELECT hostname, 'top_' || group_name, rank, NULL, url, more FROM ({_body('top_resources')})
+UNION ALL SELECT hostname, 'historical', rank, NULL, url, total FROM ({_body('historical_urls')})""")

@@ -15,6 +15,7 @@ from exposa.functions import fixed
 from exposa.functions import scope as S
 from exposa.functions import secrets as X
 from exposa.functions import urls as U
+from exposa.operators import addresses as AD
 from exposa.operators import analysis as A
 from exposa.operators import discovery as D
 from exposa.operators import graph as G
@@ -83,6 +84,10 @@ def report_url_list(spark, d):
     return R.url_list(_scan(spark, d).resources).select("hostname", "line")
 
 
+def report_sections(spark, d):
+    return _scan(spark, d).report_sections()
+
+
 # ---------------------------------------------------------------- URL projections (U)
 def _page_parts(spark, d):
     p = _scan(spark, d).pages.select("page_id", "url")
@@ -179,6 +184,15 @@ def private_hosts(spark, d):
                     S.private_reason(F.col("host")).alias("reason"))
 
 
+#: Ranges that the registered query adds to the private ones, as a user may.
+MORE_RANGES = ["192.168.0.0/17", "192.168.128.0/20", "10.1.4.0/22", "10.1.7.2", "0.0.0.0/0"]
+
+
+def address_ranges(spark, d):
+    h = _page_hosts(spark, d).unionByName(_location_hosts(spark, d)).distinct()
+    return AD.in_ranges(h, "host", AD.ranges(spark, fixed.PRIVATE_RANGES + MORE_RANGES))
+
+
 def unsafe_urls(spark, d):
     s = _scan(spark, d)
     u = s.captures.select("url").unionByName(
@@ -449,10 +463,10 @@ def findings_by_severity(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         captures_load, content_sample, page_title, robots_urls, sitemap_urls, report_json,
-        report_header, report_url_list,
+        report_header, report_url_list, report_sections,
         url_parts, url_extension, normalize_url, resolve_links, normalize_target, base_domain,
         target_base_url, file_category, should_crawl,
-        scope_filter, valid_links, private_hosts, unsafe_urls, redirect_verdict, redirect_chains, redirect_hops, path_safety,
+        scope_filter, valid_links, private_hosts, address_ranges, unsafe_urls, redirect_verdict, redirect_chains, redirect_hops, path_safety,
         secret_scan_gate, directory_listing,
         html_links, js_links, css_links,
         dedup_urls, union_sources, candidate_urls, crawl_reachability, seed_reachability, crawl_budget,

@@ -116,6 +116,9 @@ class Scan:
                                R.historical_count(self.resources), max_depth=self.max_depth,
                                include_subdomains=self.include_subdomains)
 
+    def report_sections(self) -> DataFrame:
+        return R.report_sections(self.report_header(), self.groups, self.findings, self.resources)
+
     def report_findings(self) -> DataFrame:
         return R.report_findings(self.findings, self.secrets)
 
