@@ -20,19 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposa.functions import fixed
+from exposa.functions import references as R
 from exposa.functions import scope as S
 from exposa.functions import urls as U
 from exposa.session import materialize
 
 LINK_TAGS = [t for t, _ in fixed.LINK_TAG_ATTRS]
-# A start tag up to its closing '>', where quoted attribute values may contain '>' (as for an
-# HTML parser). Possessive quantifiers: the three alternatives start with different characters,
-# so nothing is ever given back and the match cannot backtrack.
-TAG_REGEX = r"(?i)<(?:" + "|".join(LINK_TAGS) + r""")\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# A start tag up to its closing '>', read as a parser reads it: white space and slashes, attribute names, and values
+# that may be quoted only right after '='. So a quote inside a name or a bare value is a plain character, '>' inside
+# a quoted value does not end the tag, and a quote that is never closed does not swallow the page. Possessive
+# quantifiers: the alternatives start with different characters, so nothing is ever given back.
+TAG_REGEX = (r"(?i)<(?:" + "|".join(LINK_TAGS) + r""")[\s/](?:[\s/]++|[^\s/>][^\s/>=]*+"""
+             r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+>""")
 # One attribute with its value, if it has one.
-ATTR_REGEX = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
-# A character reference, a run without one, or a lone '&'.
-REFERENCE_REGEX = r"&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&[A-Za-z]+;|[^&]+|&"
+ATTR_REGEX = r"""[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?"""
 PY_TRIM = (r"^[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+"
            r"|[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+$")
 
@@ -49,30 +50,9 @@ def strip_markup_noise(html: Column) -> Column:
     return F.regexp_replace(h, r"(?is)(<style\b[^>]*>).*?</style\s*>", "$1")
 
 
-def _character(code: Column) -> Column:
-    """The character of a code point, null where there is none."""
-    ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-
-
-def decode_entities(v: Column) -> Column:
-    """Numeric and common named character references decoded in one pass; unknown ones stay."""
-    named = F.create_map(*[F.lit(x) for n, c in fixed.ENTITIES.items() for x in (f"&{n};", c)])
-
-    def piece(p: Column) -> Column:
-        hexadecimal = F.conv(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10).try_cast("bigint")
-        decimal = F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1).try_cast("bigint")
-        return (F.when(p.rlike("^&#[xX]"), F.coalesce(_character(hexadecimal), p))
-                .when(p.startswith("&#"), F.coalesce(_character(decimal), p))
-                .otherwise(F.coalesce(F.try_element_at(named, p), p)))
-
-    decoded = F.array_join(F.transform(F.regexp_extract_all(v, F.lit(REFERENCE_REGEX), 0), piece), "")
-    return F.when(v.contains("&"), decoded).otherwise(v)
-
-
 def attribute(tag_html: Column, name: str) -> Column:
     """The value of an attribute of a start tag, unquoted; the last one counts; '' without."""
-    inside = F.regexp_replace(tag_html, r"^<[A-Za-z0-9]+|/?>$", "")
+    inside = F.regexp_replace(tag_html, r"^<[A-Za-z0-9]+|>$", "")
     own = F.filter(F.regexp_extract_all(inside, F.lit(ATTR_REGEX), 0),
                    lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name)
     return unquote(F.regexp_extract(F.coalesce(F.try_element_at(own, F.lit(-1)), F.lit("")), r"(?s)=\s*(.*)$", 1))
@@ -133,7 +113,7 @@ def html_links(captures: DataFrame, include_subdomains: bool = False) -> DataFra
         own = attribute(F.col("tag_html"), attr)
         value = F.when(here, own) if value is None else value.when(here, own)
     c = c.select("page_url", "tg_host", "tg_base_domain", rank.alias("tag_rank"), (F.col("pos") + 1).alias("pos"),
-                 context.alias("context"), decode_entities(value).alias("href"))
+                 context.alias("context"), R.decode(value).alias("href"))
     c = c.where(F.col("href") != "")
     return materialize(finish_links(c, "page_url", "href", include_subdomains).select(
         "page_url", F.col("tg_host").alias("hostname"), "tag_rank", "pos", "context", "href", "url", "normalized_url",
@@ -235,7 +215,7 @@ def sitemap_urls(captures: DataFrame, targets: DataFrame, include_subdomains: bo
                       lambda v, j: F.struct(F.lit(1).alias("kind"), j.alias("pos"), v.alias("v")))
     s = s.select("hostname", "base_domain", F.explode(F.concat(locs, idx)).alias("m"))
     s = s.select("hostname", "base_domain", F.col("m.kind").alias("kind"), (F.col("m.pos") + 1).alias("pos"),
-                 F.regexp_replace(decode_entities(F.col("m.v")), PY_TRIM, "").alias("url"))
+                 F.regexp_replace(R.decode(F.col("m.v")), PY_TRIM, "").alias("url"))
     s = s.where(F.col("url") != "")
     s = U.with_normalized(s, "url", "normalized_url", keep_parts=True, prefix="l_")
     s = s.withColumn("in_scope", in_site("l_", "hostname", "base_domain", include_subdomains))

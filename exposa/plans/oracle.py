@@ -8,7 +8,10 @@ query. Lists that both sides share are held against expected rows of their own i
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from exposa.functions import fixed
+from exposa.functions.references import windows_1252
 from exposa.functions.secrets import KEY_BLOCK, LINE_MASKS, SECRET_PATTERNS
 from exposa.plans import responses
 
@@ -118,11 +121,19 @@ def is_private(h: str) -> str:
             f"WHEN regexp_matches({lh}, '{IPV6}') THEN {v6} ELSE false END, false)")
 
 
+_REFERENCE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
+#: The named references, as a map that queries join as one row.
+ENTS = ("ents AS (SELECT MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in html5.items()) + "} AS named, MAP {"
+        + ", ".join(f"{c}: {q(t)}" for c, t in windows_1252().items()) + "} AS old)")
+
+
+
 # ------------------------------------------------------------------ shared CTEs
 def captures_cte() -> str:
     """Targets from page hosts; pages and documents as captures."""
     h = host("url")
     return f"""
+{ENTS},
 {responses.captures_sql(h)},
 shown AS (SELECT *, max(CASE WHEN status_code IN (200, 304) THEN captured_at END) OVER v AS shown_at,
                  arg_max(is_current, captured_at) FILTER (status_code IN (200, 304)) OVER v AS shown_current
@@ -302,32 +313,32 @@ END AS url FROM (
       FROM (SELECT *, {parts_select(base, 'b_')}, {parts_select(href, 'h_')} FROM {rel}))))"""
 
 
-TAG_RE = r"(?i)<(?:" + "|".join(t for t, _ in fixed.LINK_TAG_ATTRS) + r""")\s(?:[^>"']+|"[^"]*"|'[^']*')*>"""
+TAG_RE = (r"(?i)<(?:" + "|".join(t for t, _ in fixed.LINK_TAG_ATTRS) + r""")[\s/](?:[\s/]+|[^\s/>][^\s/>=]*"""
+          r"""(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?)*>""")
 _INVALID = (r"^(?:[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
             r"\x{202f}\x{205f}\x{3000}]*$|mailto:|tel:|javascript:|data:|ftp:|file:|#)")
 
 
-_REFERENCE = r"&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&[A-Za-z]+;|[^&]+|&"
-
-
 def decode(v: str) -> str:
-    """Character references decoded piece by piece."""
+    """Character references decoded piece by piece; ``ents`` must be in the FROM."""
     def character(code: str) -> str:
-        return f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) END"
-    hexadecimal = "TRY_CAST('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]{1,6});$', 1) AS BIGINT)"
-    decimal = "TRY_CAST(regexp_extract(p, '^&#([0-9]{1,7});$', 1) AS BIGINT)"
-    named = " ".join(f"WHEN {q('&' + n + ';')} THEN {q(c)}" for n, c in fixed.ENTITIES.items())
-    piece = (f"CASE WHEN regexp_matches(p, '^&#[xX]') THEN coalesce({character(hexadecimal)}, p) "
-             f"WHEN starts_with(p, '&#') THEN coalesce({character(decimal)}, p) ELSE CASE p {named} ELSE p END END")
+        return (f"CASE WHEN {code} BETWEEN 128 AND 159 THEN coalesce(old[CAST({code} AS INTEGER)], chr(CAST({code} AS INTEGER))) "
+                f"WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) END")
+    hexadecimal = "TRY_CAST('0x' || regexp_extract(p, '^&#[xX]0*([0-9a-fA-F]{1,6});?$', 1) AS BIGINT)"
+    decimal = "TRY_CAST(regexp_extract(p, '^&#0*([0-9]{1,7});?$', 1) AS BIGINT)"
+    longest = "list_max(list_filter(generate_series(2, length(p) - 2), lambda k: named[substr(p, 2, k)] IS NOT NULL))"
+    piece = (f"CASE WHEN NOT starts_with(p, '&') OR p = '&' THEN p WHEN regexp_matches(p, '^&#[xX]') THEN coalesce({character(hexadecimal)}, p) "
+             f"WHEN starts_with(p, '&#') THEN coalesce({character(decimal)}, p) "
+             f"ELSE coalesce(named[substr(p, 2)], named[substr(p, 2, {longest})] || substr(p, {longest} + 2), p) END")
     return (f"(CASE WHEN strpos({v}, '&') > 0 THEN array_to_string(list_transform(regexp_extract_all({v}, {q(_REFERENCE)}), "
             f"lambda p: {piece}), '') ELSE {v} END)")
 
 
-_ATTR = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_ATTR = r"""[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?"""
 
 
 def attribute(tag_html: str, name: str) -> str:
-    own = (f"list_filter(regexp_extract_all(regexp_replace({tag_html}, '^<[A-Za-z0-9]+|/?>$', '', 'g'), {q(_ATTR)}), "
+    own = (f"list_filter(regexp_extract_all(regexp_replace({tag_html}, '^<[A-Za-z0-9]+|>$', '', 'g'), {q(_ATTR)}), "
            f"lambda a: lower(regexp_extract(a, '^[^\\s=]+')) = {q(name)})[-1]")
     return (f"regexp_replace(regexp_extract(coalesce({own}, ''), '(?s)=\\s*(.*)$', 1), "
             f"{q(chr(40) + '?s)^' + chr(34) + '(.*)' + chr(34) + '$|^' + chr(39) + '(.*)' + chr(39) + '$')}, '\\1\\2')")
@@ -351,7 +362,7 @@ lk_tags AS (SELECT page_url, unnest(regexp_extract_all(h, {q(TAG_RE)})) AS tag_h
 lk_vals AS (SELECT page_url, pos, lower(regexp_extract(tag_html, '^<([A-Za-z]+)', 1)) AS tag, tag_html FROM lk_tags),
 lk_attr AS (SELECT page_url, pos, CASE tag {rank} END AS tag_rank, CASE tag {ctx} END AS context, CASE tag {val} END AS raw
             FROM lk_vals),
-lk_raw AS (SELECT page_url, pos, tag_rank, context, {decode('raw')} AS href FROM lk_attr),
+lk_raw AS (SELECT page_url, pos, tag_rank, context, {decode('raw')} AS href FROM lk_attr, ents),
 lk_valid AS (SELECT * FROM lk_raw WHERE href <> '' AND NOT regexp_matches(href, {q(_INVALID)})),
 lk_res AS ({resolved_select('lk_valid', 'page_url', 'href', 'page_url, pos, tag_rank, context, href')}),
 links_all AS (SELECT page_url, CAST(tag_rank AS BIGINT) AS tag_rank, CAST(pos AS BIGINT) AS pos, context, href, url,
@@ -612,7 +623,7 @@ sm_m AS (
   UNION ALL
   SELECT hostname, 1 AS kind, unnest(regexp_extract_all(body, '(?is)<sitemap\\b[^>]*>.*?<loc\\b[^>]*>(.*?)</loc\\s*>', 1)) AS v,
          unnest(generate_series(1, len(regexp_extract_all(body, '(?is)<sitemap\\b[^>]*>.*?<loc\\b[^>]*>(.*?)</loc\\s*>', 1)))) AS pos FROM sm),
-sm_u AS (SELECT hostname, kind, pos, regexp_replace({decode('v')}, {q(PY_TRIM)}, '', 'g') AS url FROM sm_m),
+sm_u AS (SELECT hostname, kind, pos, regexp_replace({decode('v')}, {q(PY_TRIM)}, '', 'g') AS url FROM sm_m, ents),
 sitemap AS (SELECT hostname, CAST(kind AS BIGINT) AS kind, CAST(pos AS BIGINT) AS pos, url, {normalized('url')} AS normalized_url,
                    CASE WHEN kind = 1 THEN 'sitemap_index' END AS context, {in_scope_expr('url', 'hostname', '')} AS in_scope
             FROM sm_u WHERE url <> ''),
@@ -769,11 +780,11 @@ ORACLES["path_exposure"] = with_ctes(
 
 _STRIP_ALL = ("regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), "
               "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1', 'g')")
-_A_TAG = r"""(?i)<a\s(?:[^>"']+|"[^"]*"|'[^']*')*>"""
+_A_TAG = TAG_RE
 ORACLES["valid_links"] = with_ctes(captures_cte(), f"""
 raw AS (SELECT unnest(regexp_extract_all({_STRIP_ALL}, {q(_A_TAG)})) AS tag FROM captures WHERE status_code = 200),
-vals AS (SELECT {attribute('tag', 'href')} AS v FROM raw),
-hrefs AS (SELECT {decode('v')} AS href FROM vals)""", body=f"""
+vals AS (SELECT {attribute('tag', 'href')} AS v FROM raw WHERE regexp_matches(tag, '^<[aA][\\s/]')),
+hrefs AS (SELECT {decode('v')} AS href FROM vals, ents)""", body=f"""
 SELECT href, CAST(count(*) AS BIGINT) AS occurrences, coalesce(NOT regexp_matches(href, {q(_INVALID)}), false) AS is_valid
 FROM hrefs GROUP BY href""")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from exposa.functions import classify as C
 from exposa.functions import content as T
 from exposa.functions import fixed
+from exposa.functions import references as CR
 from exposa.functions import scope as S
 from exposa.functions import secrets as X
 from exposa.functions import urls as U
@@ -162,9 +163,9 @@ def scope_filter(spark, d):
 
 def _raw_hrefs(spark, d) -> DataFrame:
     c = _scan(spark, d).captures.where(F.col("status_code") == 200)
-    tags = F.regexp_extract_all(D.strip_markup_noise(F.col("body")), F.lit(r"""(?i)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), 0)
-    return c.select(F.explode(tags).alias("tag")).select(
-        D.decode_entities(D.attribute(F.col("tag"), "href")).alias("href"))
+    tags = F.regexp_extract_all(D.strip_markup_noise(F.col("body")), F.lit(D.TAG_REGEX), 0)
+    return c.select(F.explode(tags).alias("tag")).where(F.col("tag").rlike(r"^<[aA][\s/]")).select(
+        CR.decode(D.attribute(F.col("tag"), "href")).alias("href"))
 
 
 def valid_links(spark, d):

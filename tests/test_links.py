@@ -1,5 +1,15 @@
 """Link extraction details: tag/attribute order, quoting, entities, comments, scripts and media types."""
 
+import random
+import re
+from html import unescape
+from html.entities import html5
+from html.parser import HTMLParser
+
+from pyspark.sql import functions as F
+
+from exposa.functions import fixed
+from exposa.functions import references as R
 from exposa.operators import discovery as D
 from exposa.sources.captures import as_captures
 
@@ -47,6 +57,60 @@ def test_character_references(spark):
         "/caf\u00e9\u00e9\u00e9", "/?a=1&b=2&c=3", "/&lt;&unknown;&#0;&#x110000;", "/\U0001F600&#xD800;"]
 
 
+def parsed(html):
+    """(tag, value) of the link attributes, in page order, by the standard library's parser."""
+    out = []
+
+    class Parser(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            names = dict(fixed.LINK_TAG_ATTRS)
+            if tag in names and dict(attrs).get(names[tag]):
+                out.append(dict(attrs)[names[tag]])
+
+        handle_startendtag = handle_starttag
+    Parser().feed(html)
+    return out
+
+
+def test_random_tags_against_a_parser(spark):
+    """Quotes in odd places, bare values, missing white space, slashes, and references of every kind."""
+    r = random.Random(11)
+    names = sorted(html5)
+    values = ["/a", "/b?x=1", "/it's", '/say"x', "/a>b", "/c/", "p q", "/\u00e9", "", "/x=y", "/#f"]
+    pages = []
+    for _ in range(300):
+        page = ""
+        for _ in range(r.randrange(1, 6)):
+            value = r.choice(values)
+            for _ in range(r.randrange(3)):
+                name = r.choice(names)
+                value += r.choice([f"&{name}", f"&{name};", f"&{name.rstrip(';')}", f"&{name.rstrip(';')}{r.choice('xyz=1')}", "&#65;", "&#x42", "&#150;",
+                                   "&#0067", "&", "&&", "&;", "&amp;amp;", "&nosuchname;", "&\u00e9;"])
+            quote = r.choice(['"', "'", ""])
+            value = value.replace(quote, "") if quote else re.sub(r"[\s>\"']", "", value) or "v"
+            pairs = [f"href{r.choice(['=', ' = ', '= '])}{quote}{value}{quote}"]
+            pairs += r.sample(["title=it's", "class='a>b'", 'alt="x\'y"', "disabled", "data-href=/no", "/", "x-y='1'", "HREF2=/no"], r.randrange(4))
+            r.shuffle(pairs)
+            page += f"<{r.choice(['a', 'A', 'link', 'abbr', 'b'])} {r.choice([' ', chr(10), '  ']).join(pairs)}{r.choice(['', ' ', ' /'])}>text it's "
+        pages.append(page)
+    caps = captures(spark, [(f"https://ex.com/{i}", "text/html", p) for i, p in enumerate(pages)])
+    tags = F.regexp_extract_all("body", F.lit(D.TAG_REGEX), 0)
+    got = {u: v for u, v in caps.select("url", F.transform(tags, lambda t: R.decode(D.attribute(t, "href"))).alias("v")).collect()}
+    for i, p in enumerate(pages):
+        assert [v for v in got[f"https://ex.com/{i}"] if v] == parsed(p), p
+
+
+def test_every_named_reference(spark):
+    cases = [f"&{n}" for n in html5] + [f"/{n}&{n}x" for n in html5] + ["&notit;", "&ampamp;", "&lt", "&g", "&;", "&&lt;&", "&" + "a" * 60 + ";", "&#x;", "&#;"]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    for c, v in df.select("c", R.decode(F.col("c"))).collect():
+        assert v == unescape(c), c
+
+
+def test_unclosed_quote_does_not_swallow_the_page(spark):
+    assert hrefs(spark, '<a href="/lost>x</a><p>text</p><a href=/found>y</a>') == ["/found"]
+
+
 def test_missing_content_type_is_html(spark):
     assert hrefs(spark, '<a href="/x">x</a>', None) == hrefs(spark, '<a href="/x">x</a>', "") == ["/x"]
     assert hrefs(spark, '<a href="/x">x</a>', "text/plain") == []
