@@ -448,6 +448,7 @@ cls_in AS (SELECT url, lower({path('url')}) AS lp FROM link_urls),
 cls AS (SELECT url, lp, {category_expr('lp')} AS category, split_part(lp, '/', -1) AS fn FROM cls_in)""")
 _RT, _SV = classification_exprs("category", "fn")
 ORACLES["path_category"] = _with_links("SELECT url, category FROM cls", _CLS)
+ORACLES["path_index"] = _with_links("SELECT DISTINCT lp AS path, category FROM cls", _CLS)
 ORACLES["classify_urls"] = _with_links(f"SELECT url, {_RT} AS resource_type, {_SV} AS severity FROM cls", _CLS)
 _DOC = " OR ".join(f"ends_with(fn, {q(e)})" for e in fixed.SENSITIVE_DOC_EXTENSIONS)
 _KW = " OR ".join(f"strpos(fn, {q(w)}) > 0" for w in fixed.SENSITIVE_KEYWORDS)

@@ -20,6 +20,7 @@ from exposa.operators import addresses as AD
 from exposa.operators import analysis as A
 from exposa.operators import discovery as D
 from exposa.operators import graph as G
+from exposa.operators import path_index as PI
 from exposa.operators import redirects as RD
 from exposa.operators import report as R
 from exposa.plans.scan import DataScan, scan_for
@@ -333,6 +334,12 @@ def path_category(spark, d):
     return _classified_links(spark, d).select("url", "category")
 
 
+def path_index(spark, d):
+    """Categories of distinct paths through the index of patterns."""
+    paths = U.with_parts(_link_urls(spark, d), "url", "u_").select(F.col("u_path").alias("path"))
+    return PI.categories(paths).select("path", "category")
+
+
 def classify_urls(spark, d):
     return _classified_links(spark, d).select("url", F.col("class_type").alias("resource_type"),
                                               F.col("class_severity").alias("severity"))
@@ -472,7 +479,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         html_links, js_links, css_links,
         dedup_urls, union_sources, candidate_urls, crawl_reachability, seed_reachability, crawl_budget,
         resource_secrets, risk_lookup, catch_all_hosts,
-        path_category, classify_urls, sensitive_documents, soft_404, analyze_resources,
+        path_category, path_index, classify_urls, sensitive_documents, soft_404, analyze_resources,
         path_exposure, resource_groups,
         secret_matches, secret_redaction, secret_severity, redacted_snippet, secret_summary,
         assess_risk, risk_modifiers, findings, finding_text, finding_evidence,
