@@ -23,6 +23,7 @@ from exposa.operators import graph as G
 from exposa.operators import path_index as PI
 from exposa.operators import redirects as RD
 from exposa.operators import report as R
+from exposa.operators import wrapped as WR
 from exposa.plans.scan import DataScan, scan_for
 from exposa.sources import captures as SRC
 
@@ -385,6 +386,14 @@ def secret_matches(spark, d):
                     F.col("confidence").cast(L).alias("confidence"))
 
 
+def wrapped_secrets(spark, d):
+    """Secrets that run over line ends, in all captured bodies."""
+    c = _scan(spark, d).captures.where(F.col("status_code") == 200).select("url", "captured_at", "body")
+    m = WR.wrapped_secrets(c, ["url", "captured_at"], "body")
+    return m.select("url", "captured_at", F.col("line_number").cast(L).alias("line_number"), F.col("end_line").cast(L).alias("end_line"),
+                    "secret_type", "redacted_value", F.col("confidence").cast(L).alias("confidence"))
+
+
 def secret_redaction(spark, d):
     m = _document_secrets(spark, d)
     return m.select("doc_id", F.col("line_number").cast(L).alias("line_number"),
@@ -481,7 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         resource_secrets, risk_lookup, catch_all_hosts,
         path_category, path_index, classify_urls, sensitive_documents, soft_404, analyze_resources,
         path_exposure, resource_groups,
-        secret_matches, secret_redaction, secret_severity, redacted_snippet, secret_summary,
+        secret_matches, wrapped_secrets, secret_redaction, secret_severity, redacted_snippet, secret_summary,
         assess_risk, risk_modifiers, findings, finding_text, finding_evidence,
         scan_statistics, severity_counts, sensitive_file_count, group_counts, crawl_statistics,
         redirects_blocked, top_findings, top_resources, historical_urls, findings_by_severity,
