@@ -32,30 +32,50 @@ _BACKSLASH = r"\\\s*$"
 KEY_BLOCK = r"(?s)-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _joint(line: Column, following: Column) -> Column:
-    """How a line goes on in the next: 2 literal, 1 backslash, 4 hard wrap, 0 not at all."""
-    return (F.when(line.rlike(_CLOSED) & following.rlike(_OPENED), F.lit(2)).when(line.rlike(_BACKSLASH), F.lit(1))
-            .when((F.length(line) >= WRAP) & line.rlike(_TOKEN + f"{{{RUN}}}$") & following.rlike(r"^\s*" + _TOKEN), F.lit(4)).otherwise(F.lit(0)))
+    """How a line goes on in the next: 2 literal, 1 backslash, 4 hard wrap, 0 not at all. A line's end and the next
+    one's start are looked at before any expression runs."""
+    blank = F.lit(" \t")
+    start = F.substring(F.ltrim(following, blank), 1, 1)
+    return _let(F.substring(F.rtrim(line, blank), -1, 1), lambda end: (
+        F.when(end.isin('"', "'", "+", ".", "\\") & start.isin('"', "'") & line.rlike(_CLOSED), F.lit(2)).when(end == "\\", F.lit(1))
+        .when((F.length(line) >= WRAP) & start.rlike(_TOKEN) & F.substring(line, -RUN, RUN).rlike(f"^{_TOKEN}{{{RUN}}}$"), F.lit(4))
+        .otherwise(F.lit(0))))
 
 
 def _runs(text: Column) -> Column:
     """Joined lines: ``<number of the first line>:<piece><JOINT><piece>...``, in an array. Neighbours come from arrays
-    zipped with themselves, as an array read inside a lambda would be computed again for every line."""
-    lines = X.split_lines(F.translate(text, JOINT, ""))
-    following = F.concat(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), F.array(F.lit(None).cast("string")))
-    joined = F.transform(F.arrays_zip(lines, following), lambda p: F.struct(
-        p["0"].alias("line"), F.coalesce(F.when(p["1"].isNotNull(), _joint(p["0"], p["1"])), F.lit(0)).alias("after")))
-    before = F.concat(F.array(F.lit(0)), F.transform(joined, lambda j: j["after"]))
-
+    zipped with themselves."""
     def piece(p, i):
-        line, after, before = p["0"]["line"], p["0"]["after"], p["1"]
+        line, after, before = p["line"], p["after"], p["before"]
         body = F.when(before == 2, F.regexp_replace(line, _OPENED, "")).when(before > 0, F.regexp_replace(line, r"^\s+", "")).otherwise(line)
         body = F.when(after == 2, F.regexp_replace(body, _CLOSED, "")).when(after == 1, F.regexp_replace(body, _BACKSLASH, "")).otherwise(body)
         number = F.when(before == 0, F.concat((i + 1).cast("string"), F.lit(":"))).otherwise(F.lit(""))
-        # of what is zipped, one is longer by an entry that has no line
+        # of what is zipped, the last is longer by an entry that has no line
         return F.coalesce(F.concat(number, body, F.when(after > 0, F.lit(JOINT)).otherwise(F.lit("\n"))), F.lit(""))
 
-    return F.filter(F.split(F.array_join(F.transform(F.arrays_zip(joined, before), piece), ""), "\n"), lambda r: r.contains(JOINT))
+    def joined(lines, joints):
+        ends = F.zip_with(lines, joints, lambda line, after: F.struct(line.alias("line"), after.alias("after")))
+        both = F.zip_with(ends, F.concat(F.array(F.lit(0)), joints), lambda e, before: F.struct(
+            e["line"].alias("line"), e["after"].alias("after"), before.alias("before")))
+        pieces = F.transform(both, piece)
+        return F.filter(F.split(F.array_join(pieces, ""), "\n"), lambda r: r.contains(JOINT))
+
+    def joints(lines):
+        following = F.concat(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), F.array(F.lit(None).cast("string")))
+        return F.zip_with(lines, following, lambda a, b: F.when(b.isNull(), F.lit(0)).otherwise(_joint(a, b)))
+
+    def lines(parts):  # no empty line after the last break
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    none = F.array().cast("array<string>")
+    return _let(F.split(F.translate(text, JOINT, ""), X.LINE_BREAK, -1), lambda parts: _let(lines(parts), lambda ls: _let(
+        joints(ls), lambda js: F.when(F.exists(js, lambda j: j > 0), joined(ls, js)).otherwise(none))))
 
 
 def _placed(text: Column, pattern: str, type_rank: int, group: int) -> Column:
