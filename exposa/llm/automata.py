@@ -114,8 +114,10 @@ class Automaton:
         return total + self.log_end[at]
 
 
-def infer(examples: Iterable[tuple[str, int]], alpha: float = 0.05, alphabet: int = 8) -> Automaton:
-    """``examples``: (symbols, how often). A smaller alpha merges more."""
+def infer(examples: Iterable[tuple[str, int]], alpha: float = 0.05, alphabet: int = 8,
+          smoothing: float = 0.1) -> Automaton:
+    """``examples``: (symbols, how often). A smaller alpha merges more; ``smoothing`` is what each state's symbols
+    count beforehand."""
     t = prefix_tree(examples)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     red: list[int] = []
@@ -136,4 +138,4 @@ def infer(examples: Iterable[tuple[str, int]], alpha: float = 0.05, alphabet: in
         else:
             red.append(state)
             blue.extend((state, c, to) for c, to in t[state].next.items())
-    return Automaton(t, red, alphabet)
+    return Automaton(t, red, alphabet, smoothing)

@@ -128,6 +128,116 @@ def test_formats_are_found_and_prose_is_not(spark):
     assert sum(out[1000 + i]["n_format"] for i in range(len(prose))) == 0
 
 
+def learned(texts):
+    """Formats from the texts' own base matches and runs, as ``learn`` makes them."""
+    examples, ordinary = S.public_examples(), Counter()
+    for t in texts:
+        base = S.base_spans(t)
+        for _, k, _, v in base:
+            examples.setdefault(S.KINDS[k], Counter())[symbols(v)] += 1
+        ordinary.update(symbols(v) for _, v in S.candidates(t, base))
+    return S.Formats(examples, ordinary)
+
+
+def test_keys_joined_to_other_text_are_found_exactly(spark):
+    formats = learned([t or "" for _, t in sample_texts(spark, 1000)])
+    r = random.Random(12)
+    contexts = ["a {} b", "MY_PAT={}", "{}.", "u/{}", "https://h.example.com/a/b?key={}&x=1", "see {}/path/to-more.txt",
+                "0123456789abcdef/{}", "token={}"]
+    for name, (prefix, chars, length) in S.PUBLIC_FORMATS.items():
+        for context in contexts:
+            hit = 0
+            for _ in range(100):
+                key = prefix + "".join(r.choices(chars, k=length))
+                text = context.format(key)
+                at, base = text.index(key), S.base_spans(text)
+                spans = [(s + x, s + y) for s, v in S.candidates(text, base) for x, y in formats.spans(symbols(v))]
+                spans += [(s, e) for s, k, e, _ in base if k == 0]
+                hit += any(s <= at and at + len(key) == e and (s == at or text[s:at] == "token=") for s, e in spans)
+            assert hit >= 85, (name, context, hit)
+
+
+def test_joined_keys_do_not_pass_for_ordinary(spark):
+    r = random.Random(13)
+    keys = ["ghp_" + "".join(r.choices(S.PUBLIC_FORMATS["github"][1], k=36)) for _ in range(8)]
+    rows = [(i, f"x GITHUB_PAT={k} y") for i, k in enumerate(keys[:6])] + [(6, f"x {keys[6]} y"), (7, f"{keys[7]}/a")]
+    rows += [(10 + i, "some/path/to/nothing here") for i in range(5)]
+    out = {x["doc_id"]: x["spans"] for x in S.scan(documents(spark, rows)).collect()}
+    for i in range(8):
+        at = rows[i][1].index(keys[i])
+        assert out[i] == f"format:{at}:{at + 40}"
+    assert not any(out[10 + i] for i in range(5))
+    texts = {x["doc_id"]: x["text"] for x in S.redact(documents(spark, rows)).collect()}
+    assert texts[0] == "x GITHUB_PAT=[format] y" and texts[7] == "[format]/a"
+
+
+def test_candidates_are_the_runs_outside_base_spans():
+    r = random.Random(14)
+    parts = ["token=abcdefghijkl", "0123456789abcdef", "AKIAABCDEFGHIJKLMN", "/", "-", " ", "zzzzzzzz", "Qq7_", "password: "]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        base = S.base_spans(text)
+        free = [c in VALUE and not any(s <= i < e for s, _, e, _ in base) for i, c in enumerate(text)]
+        want, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and free[end]:
+                end += 1
+            if end - at >= S.MIN_RUN:
+                want.append((at, text[at:end]))
+            at = max(end, at + 1)
+        assert S.candidates(text, base) == want, text
+
+
+def test_heaviest_against_all_sets():
+    r = random.Random(15)
+    for _ in range(300):
+        parts = []
+        for _ in range(r.randint(0, 8)):
+            s = r.randint(0, 12)
+            parts.append((s + r.randint(1, 6), s, float(r.randint(1, 20))))
+        best = 0.0
+        for mask in range(1 << len(parts)):
+            chosen = sorted((p[1], p[0], p[2]) for i, p in enumerate(parts) if mask >> i & 1)
+            if all(x[1] <= y[0] for x, y in zip(chosen, chosen[1:])):
+                best = max(best, sum(x[2] for x in chosen))
+        got = S.heaviest(parts)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        assert sum(max(w for e, s, w in parts if (s, e) == g) for g in got) == best
+
+
+def test_spans_against_trying_every_part(spark):
+    formats = learned([t or "" for _, t in sample_texts(spark, 1000)])
+    r = random.Random(16)
+    pieces = ["ghp_", "xoxb-", "12-34", "AbC9", "/", "=", "deadbeef01", "word", "z9Z8y7", "AIza", ".", "sk_live_"]
+    for _ in range(150):
+        shape = symbols("".join(r.choice(pieces) for _ in range(r.randint(2, 14))))
+        cost, parts = formats._ordinary_cost(shape), []
+        for s in range(len(shape)):
+            for e in range(s + S.MIN_RUN, len(shape) + 1):
+                if (s and shape[s - 1] in S.CLASSES) or (e < len(shape) and shape[e] in S.CLASSES):
+                    continue
+                part = shape[s:e]
+                for a, floor, needs_digit in formats.formats:
+                    x = a.log_likelihood(part)
+                    gain = x - cost[e] + cost[s] - S.JOINT * ((s > 0) + (e < len(shape)))
+                    if x / (len(part) + 1) >= floor and gain >= S.MARGIN and ("0" in part or not needs_digit):
+                        parts.append((e, s, gain))
+        weight = {}
+        for e, s, w in parts:
+            weight[s, e] = max(w, weight.get((s, e), 0))
+        got, want = formats.spans(shape), S.heaviest(parts)
+        assert abs(sum(weight[g] for g in got) - sum(weight[w] for w in want)) < 1e-6, shape
+
+
+def test_long_runs_take_linear_time():
+    formats = learned(["some/path/to/nothing"])
+    key = "ghp_" + "".join(random.Random(17).choices(S.PUBLIC_FORMATS["github"][1], k=36))
+    text = f"{key}." * 500
+    assert formats.spans(symbols(text)) == [(41 * i, 41 * i + 40) for i in range(500)]
+    assert formats.spans(symbols("x" * 200_000)) == []
+
+
 def test_automaton_is_a_distribution():
     r = random.Random(1)
     words = Counter("".join(r.choice("ab") for _ in range(r.randint(1, 6))) for _ in range(800))
