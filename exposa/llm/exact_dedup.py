@@ -8,8 +8,9 @@
    doubling the directory until no bucket is overfull ends with.
 3. *Index files.* Owner tasks take ranges of buckets (range partitions), chain the keys of one hash
    by SHA-256, and write the index as Parquet in the shared folder.
-4. *Look-up.* Each row finds its entry by (hash, SHA-256); large entries' rows are split by
-   adaptive execution (only 50-byte rows take part).
+4. *Look-up.* Each row's hash gives its slot, the directory its bucket; in the bucket's part of the
+   index it follows the chain of its hash to the entry of its SHA-256. Large entries' rows are split by
+   adaptive execution (only 60-byte rows take part).
 
 Defined results: a null text is the empty text; of rows with equal text the largest doc_id stays, a
 null doc_id only if there is no other; rows that repeat a doc_id and its text form one group and share
@@ -56,28 +57,39 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     return levels.join(F.broadcast(fits), ["depth", "bucket"]).groupBy("slot").agg(F.min("depth").alias("depth"))
 
 
-def build_index(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index: bucket, depth, h, chain (place among the keys of one h), sha, keep_id, group_size."""
+def in_bucket(rows: DataFrame, buckets: DataFrame, max_depth: int) -> DataFrame:
+    """``rows`` with the slot of their hash ``h``, and the depth and bucket that the directory has for it."""
+    return (rows.withColumn("slot", slot(max_depth)).join(F.broadcast(buckets), "slot")
+            .withColumn("bucket", bucket(max_depth)))
+
+
+def build(documents: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """The directory, and the index: bucket, depth, h, chain (place among the keys of one h), sha, keep_id,
+    group_size."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_of()).alias("norm"))
     keys = materialize(
         rows.select("doc_id", "norm", F.xxhash64("norm").alias("h"))
         .groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"))
-    buckets = directory(keys, capacity, max_depth)
-    placed = (keys.withColumn("slot", slot(max_depth)).join(F.broadcast(buckets), "slot")
-              .withColumn("bucket", bucket(max_depth)))
-    owned = placed.repartitionByRange("bucket", "h")
+    buckets = materialize(directory(keys, capacity, max_depth))
+    owned = in_bucket(keys, buckets, max_depth).repartitionByRange("bucket", "h")
     chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha"))
-    return materialize(owned.select("bucket", "depth", "h", chain.alias("chain"), "sha", "keep_id", "group_size"))
+    return buckets, materialize(owned.select("bucket", "depth", "h", chain.alias("chain"), "sha", "keep_id", "group_size"))
+
+
+def build_index(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The index alone."""
+    return build(documents, capacity, max_depth)[1]
 
 
 def exact_dedup(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(documents, capacity, max_depth)
+    buckets, index = build(documents, capacity, max_depth)
     norm = normalised(text_of())
     members = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(norm).alias("h"),
                                F.unhex(F.sha2(norm, 256)).alias("sha"))
-    return (members.join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
+    return (in_bucket(members, buckets, max_depth)
+            .join(index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"])
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("sha")).alias("text_sha256")))
 
@@ -85,6 +97,12 @@ def exact_dedup(documents: DataFrame, capacity: int = CAPACITY, max_depth: int =
 def keep_last(documents: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The kept document of each text, with all its columns. Rows that repeat a kept doc_id and its text
     all stay, as they share the kept flag."""
-    kept = build_index(documents, capacity, max_depth).select("keep_id", "sha")
-    sha = F.unhex(F.sha2(normalised(F.coalesce(documents["text"], F.lit(""))), 256))
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["keep_id"]) & (sha == kept["sha"]), "left_semi")
+    buckets, index = build(documents, capacity, max_depth)
+    kept = index.select("bucket", "h", "sha", "keep_id")
+    norm = normalised(F.coalesce(documents["text"], F.lit("")))
+    # the row's own columns may bear any name, so what the look-up needs lies in one struct
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64(norm).alias("h"),
+                            F.unhex(F.sha2(norm, 256)).alias("sha"))
+    rows = in_bucket(rows, buckets, max_depth)
+    own = [rows[c] == kept[c] for c in ("bucket", "h", "sha")]
+    return rows.join(kept, [*own, rows["row"]["doc_id"].eqNullSafe(kept["keep_id"])], "left_semi").select("row.*")

@@ -65,3 +65,13 @@ def test_keep_last(spark):
 def test_no_python_on_the_main_path(spark):
     plan = X.exact_dedup(documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_look_up_goes_through_small_buckets(spark):
+    rows = AWKWARD + [(1000 + i, f"text {i % 300}") for i in range(600)]
+    got = rows_of(X.exact_dedup(documents(spark, rows), capacity=10, max_depth=8),
+                  "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert got == rows_of(X.exact_dedup(documents(spark, rows)), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    kept = X.keep_last(documents(spark, rows), capacity=10, max_depth=8)
+    assert kept.columns == documents(spark, rows).columns
+    assert rows_of(kept, "doc_id", "text") == rows_of(X.keep_last(documents(spark, rows)), "doc_id", "text")
