@@ -1,18 +1,20 @@
 """URL filtering by host/path rules and by pattern rules indexed by their rarest literal token (op 2).
 
 A host/path rule fits its host and all subdomains if the path starts with the rule's; the longest
-fitting rule decides. Other URLs go to the pattern rules: each has a regular expression and the
-literal tokens every match contains. The rule is indexed under the one of these tokens that is rarest
-among all URLs of the table (a count over the whole table, of the rules' tokens only). A URL's tokens
-fetch its candidate rules from that index, and only those run their expression; rules without a
-literal token are always candidates. Of the fitting patterns an allow rule beats a block rule; a URL
-that no rule fits is allowed.
+fitting rule decides. Other URLs go to the pattern rules, regular expressions. The whole tokens that an
+expression asks for are read from its parsed form, for each of its alternatives (``pattern_tokens``). A rule is
+indexed under one token of each alternative: the one that is rarest among all URLs of the table (a count over
+the whole table, of the rules' tokens only). A URL's tokens fetch its candidate rules from that index, and only
+those run their expression; rules with an alternative that asks for no token are always candidates. Of the
+fitting patterns an allow rule beats a block rule; a URL that no rule fits is allowed.
 
-Rules are a parameter of the operator, not data: a few thousand travel with each task.
+Rules are a parameter of the operator, not data: tens of thousands travel with each task, and a worker compiles those
+that it runs.
 
 Defined results: a null URL or one without ``://`` has empty host and path, and only pattern rules can
 fit it (a null URL is the empty text); repeated rows give a row each; an empty table gives an empty
-result; other columns are ignored. Tokens are runs of ASCII letters and digits, lower-cased.
+result; other columns are ignored. Tokens are runs of ASCII letters and digits, lower-cased, where the four
+characters that match ASCII letters when case is ignored count as these.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exposa.llm.common import batch, in_batches
+from exposa.llm.pattern_tokens import LOWER, needed, tokens
 
 
 @dataclass(frozen=True)
@@ -37,10 +41,8 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``literals``: lower-case tokens that stand whole in every URL the pattern fits."""
     verdict: str
     pattern: str
-    literals: tuple[str, ...]
 
 
 #: The fixed host/path rules of the production list.
@@ -53,24 +55,19 @@ HOST_RULES = (
 )
 #: Pattern rules of the production list: sites and paths that no training corpus wants.
 PATTERN_RULES = (
-    PatternRule("block", r"(?i)://([a-z0-9-]+\.)*spam-farm\.", ("spam", "farm")),
-    PatternRule("block", r"(?i)://([a-z0-9-]+\.)*adult-x\.", ("adult", "x")),
-    PatternRule("block", r"(?i)://([a-z0-9-]+\.)*casino(-[a-z0-9]+)*\.", ("casino",)),
-    PatternRule("block", r"(?i)[/?&.](porn|xxx)[/?&.=]", ()),
-    PatternRule("block", r"(?i)[?&](sessionid|phpsessid|jsessionid)=", ()),
-    PatternRule("block", r"(?i)/wp-(login|admin)(\.php|/|$)", ("wp",)),
-    PatternRule("block", r"(?i)/(cart|checkout)/(add|pay)(/|$)", ()),
-    PatternRule("allow", r"(?i)://([a-z0-9-]+\.)*example\.com/[a-z]+/[0-9]+/?(\.html)?$", ("example", "com")),
+    PatternRule("block", r"(?i)://([a-z0-9-]+\.)*spam-farm\."),
+    PatternRule("block", r"(?i)://([a-z0-9-]+\.)*adult-x\."),
+    PatternRule("block", r"(?i)://([a-z0-9-]+\.)*casino(-[a-z0-9]+)*\."),
+    PatternRule("block", r"(?i)[/?&.](porn|xxx)[/?&.=]"),
+    PatternRule("block", r"(?i)[?&](sessionid|phpsessid|jsessionid)="),
+    PatternRule("block", r"(?i)/wp-(login|admin)(\.php|/|$)"),
+    PatternRule("block", r"(?i)/(cart|checkout)/(add|pay)(/|$)"),
+    PatternRule("allow", r"(?i)://([a-z0-9-]+\.)*example\.com/[a-z]+/[0-9]+/?(\.html)?$"),
 )
-_TOKEN = re.compile("[a-z0-9]+")
 SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()),
                     ("rule", pa.string()), ("verdict", pa.string()), ("n_candidates", pa.int64())])
 
 
-def tokens(url: str) -> set[str]:
-    return set(_TOKEN.findall(url.translate(_LOWER)))
-
-
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -82,27 +79,34 @@ def host_and_path(url: str) -> tuple[str, str]:
     return host.translate(_LOWER), re.match(r"[^?#]*", rest[len(host):]).group()
 
 
+_FOLDS = "".join(map(chr, LOWER)), "".join(map(chr, LOWER)).translate(LOWER)
+
+
 def token_counts(pages: DataFrame, wanted: Sequence[str]) -> dict[str, int]:
     """In how many URLs of the table each of the rules' tokens stands (as many rows as tokens)."""
-    found = F.array_distinct(F.regexp_extract_all(F.translate(F.col("url"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-                                                              "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z0-9]+)"), 1))
-    rows = (pages.select(F.explode(F.array_intersect(found, F.array(*map(F.lit, wanted)))).alias("token"))
+    found = F.array_distinct(F.regexp_extract_all(F.translate(F.col("url"), *_FOLDS), F.lit("([a-z0-9]+)"), 1))
+    rows = (pages.select(F.explode(F.array_intersect(found, F.split(F.lit(" ".join(wanted)), " "))).alias("token"))
             .groupBy("token").count().collect()) if wanted else []
     return {r["token"]: r["count"] for r in rows}
 
 
+#: A worker's expressions: as many as there are rules at most.
+_compiled = cache(re.compile)
+
+
 class RuleIndex:
     def __init__(self, host_rules: Sequence[HostRule], pattern_rules: Sequence[PatternRule], counts: dict[str, int]):
         self.hosts: dict[str, list[HostRule]] = {}
         for r in sorted(host_rules, key=lambda r: -len(r.host + r.path)):
             self.hosts.setdefault(r.host, []).append(r)
-        self.patterns = [(r.verdict, re.compile(r.pattern)) for r in pattern_rules]
+        self.patterns = [(r.verdict, r.pattern) for r in pattern_rules]
         self.by_token: dict[str, list[int]] = {}
         self.always: list[int] = []
         for i, r in enumerate(pattern_rules):
-            if r.literals:
-                rarest = min(r.literals, key=lambda t: (counts.get(t, 0), t))
-                self.by_token.setdefault(rarest, []).append(i)
+            alternatives = needed(r.pattern)
+            if all(alternatives):
+                for t in {min(a, key=lambda t: (counts.get(t, 0), t)) for a in alternatives}:
+                    self.by_token.setdefault(t, []).append(i)
             else:
                 self.always.append(i)
 
@@ -122,8 +126,8 @@ class RuleIndex:
         rule = self.host_rule(host, path)
         if rule:
             return host, path, rule.host + rule.path, rule.verdict, 0
-        candidates = [*self.always, *(i for t in tokens(url) for i in self.by_token.get(t, ()))]
-        verdicts = {self.patterns[i][0] for i in candidates if self.patterns[i][1].search(url)}
+        candidates = {*self.always, *(i for t in tokens(url) for i in self.by_token.get(t, ()))}
+        verdicts = {verdict for verdict, p in map(self.patterns.__getitem__, candidates) if _compiled(p).search(url)}
         verdict = "block" if verdicts == {"block"} else "allow"
         return host, path, None, verdict, len(candidates)
 
@@ -132,7 +136,7 @@ def filter_urls(pages: DataFrame, host_rules: Sequence[HostRule] = HOST_RULES,
                 pattern_rules: Sequence[PatternRule] = PATTERN_RULES) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, n_candidates (pattern rules that ran)."""
     index = RuleIndex(host_rules, pattern_rules,
-                      token_counts(pages, sorted({t for r in pattern_rules for t in r.literals})))
+                      token_counts(pages, sorted({t for r in pattern_rules for a in needed(r.pattern) for t in a})))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
