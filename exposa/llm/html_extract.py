@@ -11,12 +11,16 @@ that have the node, its presentation importance is the entropy (to the base m) o
 it shows, 0 if every page shows the same; the importance of a content is 1 less the entropy of its
 spread over the pages, 1 for a text on one page and 0 for a text on all. A node's importance mixes its
 presentation's with the mean of its contents'. A block is removed if its content and its node are both
-unimportant on a host where the node is on ``LEAST_PAGES`` pages or more. Markup fixes the importance of
-two kinds of branches: what it drops has none, and plain paragraphs, headings, lists and tables right in
-an article have full importance (several copies of an article on one host are not a template).
+unimportant on a host where the node is on ``LEAST_PAGES`` pages or more. Markup is a prior: what it drops has
+no importance, and a plain paragraph, heading, list or table right in an article is no style of its own (its node
+holds the article and notices alike), so its content alone decides, and must be nearly without importance (below
+``PLAIN_IMPORTANCE``: on more than half of a million pages, on all of five). Of the pages that hold the same such
+blocks, near copies of an article are no template: where these blocks are most of an article's plain text, all stay.
 Statistics are counts by (host, path, value) over pages of different contents: rows are dealt by all of these,
-then added up before the second shuffle, so a host with a third of all pages is no hot group; what is removed is a table of (host, path, content), broadcast only when its
-measured size is small, else joined by host.
+then added up before the second shuffle, so a host with a third of all pages is no hot group; what is removed is a
+table of (host, path, content), broadcast only when its measured size is small, else joined by host. A content of
+importance below 0.4 stands on more than m**0.6 of m pages, so a host's row holds at most m**0.4 times the blocks of
+a mean page.
 
 Defined results: a null html is the empty text (text empty); a null URL has the empty host; a null page_id
 stays null; repeated rows give a row each; an empty table gives an empty result;
@@ -42,6 +46,8 @@ from exposa.llm.common import batch, in_batches, materialize
 #: A node is judged on a host that has it on this many pages; importance below which a branch goes;
 #: share of a node's importance that its contents give.
 LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_SHARE = 5, 0.4, 0.9
+#: Importance below which a plain block of an article goes; share of an article's plain text beyond which none goes.
+PLAIN_IMPORTANCE, MOST_PLAIN = 0.05, 0.5
 #: Rows of the table of removed branches up to which it is broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -239,8 +245,13 @@ def digest(content: str) -> int:
 def main_text(parser: PageParser, removed: set[tuple[str, int]]) -> str:
     """The article's blocks if there is one, else all blocks, without removed branches."""
     blocks = [b for b in parser.blocks if b[2] != OUTSIDE] or parser.blocks
-    kept = [b for b in blocks if b[2] == PLAIN or (b[0], digest(b[1])) not in removed] if removed else blocks
-    return "\n".join(content for _, content, _ in kept)
+    if removed:
+        goes = [(path, digest(content)) in removed for path, content, _ in blocks]
+        plain = sum(len(content) for _, content, standing in blocks if standing == PLAIN)
+        template = sum(len(b[1]) for b, gone in zip(blocks, goes) if gone and b[2] == PLAIN)
+        keep_plain = template > MOST_PLAIN * plain
+        blocks = [b for b, gone in zip(blocks, goes) if not gone or b[2] == PLAIN and keep_plain]
+    return "\n".join(content for _, content, _ in blocks)
 
 
 def host_of(url: Column) -> Column:
@@ -249,12 +260,12 @@ def host_of(url: Column) -> Column:
 
 STAT = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int8()), ("value", pa.int64()),
                   ("page", pa.int64())])
-PAGE, STYLE, CONTENT = 0, 1, 2
+PAGE, STYLE, CONTENT, PLAIN_CONTENT = range(4)
 
 
 def node_counts(pages: DataFrame) -> DataFrame:
     """(host, path, kind, value, n): on how many pages of different contents a node stands, shows a child sequence, and holds
-    a content (where markup does not fix its importance)."""
+    a content (plain or not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = PageParser()
@@ -262,7 +273,8 @@ def node_counts(pages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for host, html in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist()):
                 p = parser.parse(html)
-                own = {(host, path, CONTENT, digest(content)) for path, content, standing in p.blocks if standing != PLAIN}
+                own = {(host, path, PLAIN_CONTENT if standing == PLAIN else CONTENT, digest(content))
+                       for path, content, standing in p.blocks}
                 own |= {(host, path, STYLE, digest(">".join(tags))) for path, tags in p.nodes.items()}
                 page = digest("\n".join(f"{path}\t{content}" for path, content, _ in p.blocks))
                 out.extend((*x, page) for x in own)
@@ -288,8 +300,9 @@ def unimportant(counts: DataFrame) -> DataFrame:
          / F.sum(F.when(F.col("kind") == CONTENT, F.col("n")))).alias("content"))
     importance = F.lit(1 - CONTENT_SHARE) * F.col("style") + F.lit(CONTENT_SHARE) * F.col("content")
     low = nodes.where(importance < LEAST_IMPORTANCE).select("host", "path")
-    return (known.where((F.col("kind") == CONTENT) & (content < LEAST_IMPORTANCE)).join(low, ["host", "path"])
-            .select("host", "path", "value"))
+    low_contents = known.where((F.col("kind") == CONTENT) & (content < LEAST_IMPORTANCE)).join(low, ["host", "path"])
+    low_plain = known.where((F.col("kind") == PLAIN_CONTENT) & (content < PLAIN_IMPORTANCE))
+    return low_contents.select("host", "path", "value").union(low_plain.select("host", "path", "value")).distinct()
 
 
 TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
