@@ -287,22 +287,28 @@ def node_counts(pages: DataFrame) -> DataFrame:
 
 
 def unimportant(counts: DataFrame) -> DataFrame:
-    """(host, path, value) of the contents to remove."""
-    entropy = -F.sum(F.when(F.col("kind") == STYLE, F.col("n") / F.col("m") * F.log(F.col("n") / F.col("m")))) / F.log("m")
-    content = 1 - F.log(F.col("n").cast("double")) / F.log("m")
-    m = counts.where(F.col("kind") == PAGE).select("host", "path", F.col("n").cast("double").alias("m")).where(
-        F.col("m") >= LEAST_PAGES)
-    known = counts.where(F.col("kind") != PAGE).join(m, ["host", "path"])
-    nodes = known.groupBy("host", "path", "m").agg(
-        F.coalesce(entropy, F.lit(0.0)).alias("style"),
-        # mean over the contents' occurrences
-        (F.sum(F.when(F.col("kind") == CONTENT, content * F.col("n")))
-         / F.sum(F.when(F.col("kind") == CONTENT, F.col("n")))).alias("content"))
-    importance = F.lit(1 - CONTENT_SHARE) * F.col("style") + F.lit(CONTENT_SHARE) * F.col("content")
-    low = nodes.where(importance < LEAST_IMPORTANCE).select("host", "path")
-    low_contents = known.where((F.col("kind") == CONTENT) & (content < LEAST_IMPORTANCE)).join(low, ["host", "path"])
-    low_plain = known.where((F.col("kind") == PLAIN_CONTENT) & (content < PLAIN_IMPORTANCE))
-    return low_contents.select("host", "path", "value").union(low_plain.select("host", "path", "value")).distinct()
+    """(host, path, value) of the contents to remove. A node's entropies follow from sums of n and n log n, which each task
+    adds up before the shuffle; only contents that can be unimportant are joined with their nodes."""
+    kind, n = F.col("kind"), F.col("n").cast("double")
+
+    def sums(k: int, name: str) -> list[Column]:
+        return [F.sum(F.when(kind == k, n)).alias(name), F.sum(F.when(kind == k, n * F.log(n))).alias(f"{name}_log")]
+
+    m = F.col("m")
+    style = F.coalesce((F.col("style") * F.log(m) - F.col("style_log")) / m / F.log(m), F.lit(0.0))
+    content = 1 - F.col("content_log") / F.col("content") / F.log(m)  # mean over the contents' occurrences
+    importance = F.lit(1 - CONTENT_SHARE) * style + F.lit(CONTENT_SHARE) * content
+    nodes = (counts.where(kind != PLAIN_CONTENT).groupBy("host", "path")
+             .agg(F.max(F.when(kind == PAGE, n)).alias("m"), *sums(STYLE, "style"), *sums(CONTENT, "content"))
+             .where(m >= LEAST_PAGES)
+             .select("host", "path", "m", F.coalesce(importance < LEAST_IMPORTANCE, F.lit(False)).alias("low")))
+    # importance below x asks for more than m ** (1 - x) pages, and m is LEAST_PAGES at least
+    often = counts.where((kind == CONTENT) & (n > LEAST_PAGES ** (1 - LEAST_IMPORTANCE))
+                         | (kind == PLAIN_CONTENT) & (n > LEAST_PAGES ** (1 - PLAIN_IMPORTANCE)))
+    own = 1 - F.log(n) / F.log(m)
+    return (often.join(nodes, ["host", "path"])
+            .where((kind == CONTENT) & F.col("low") & (own < LEAST_IMPORTANCE) | (kind == PLAIN_CONTENT) & (own < PLAIN_IMPORTANCE))
+            .select("host", "path", "value").distinct())
 
 
 TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
