@@ -6,8 +6,9 @@ random edges, a greedy beam search from the shard's central point proposes neigh
 pruning keeps a candidate only if no kept neighbour is nearer to it by the factor ``ALPHA``, so short
 and long edges of all directions remain; kept edges are added in reverse and pruned where a point has
 too many. The index is a table of one row per shard in the shared folder. Blocks of queries go to every
-shard of their dimension, a beam search there returns the nearest found, and the best ``k`` of all shards
-are kept. Every vector is indexed; nothing is sampled.
+shard of their dimension, whose task reads the shard once and then one block after the other; a beam search
+there returns the nearest found, and the best ``k`` of all shards are kept. Every vector is indexed; nothing
+is sampled.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components take no part;
 vectors are only compared within their dimension; a query does not find its own vec_id, however many
@@ -204,20 +205,30 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, shard_size: int
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     of_dim = F.element_at(F.create_map(*(F.lit(x) for pair in shards.items() for x in pair)), F.col("dim")) if shards else F.lit(1)
     # a row for each block of queries; a block holds about QUERY_BLOCK queries
-    packed = (queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    packed = (queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
               .groupBy("dim", "block").agg(F.collect_list("vec_id").alias("query_ids"), F.collect_list("v").alias("qs")))
     sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), of_dim - 1)))
+    # a task reads a shard, then the blocks sent to it one by one: nothing is joined, so nothing is broadcast
+    both = index.withColumn("block", F.lit(-1)).unionByName(sent, allowMissingColumns=True)
+    tasks = max(1, 2 * sum(shards.values()))  # twice as many as shards, so that few get several
+    dealt = both.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = g = ids = None
         for rows in batches:
-            for row in rows.to_pylist():
-                x = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-                edges = np.frombuffer(row["edges"], np.int32).reshape(len(x), -1).astype(np.int64)
-                g = Graph(x, edges, row["start"])
-                hits = list(nearest(g, row["ids"], row["query_ids"], np.array(row["qs"], np.float64), k))
-                yield batch(HIT, {f.name: list(c) for f, c in zip(HIT, zip(*hits) if hits else [[]] * 3)})
-
-    hits = in_batches(sent.join(index, ["dim", "shard"]), run, "query_id long, vec_id long, score double")
+            for i in range(rows.num_rows):
+                row = {name: rows.column(name)[i] for name in rows.schema.names}
+                at, dim = (row["dim"].as_py(), row["shard"].as_py()), row["dim"].as_py()
+                if row["block"].as_py() < 0:
+                    x = np.frombuffer(row["vectors"].as_py(), np.float64).reshape(-1, dim)
+                    edges = np.frombuffer(row["edges"].as_py(), np.int32).reshape(len(x), -1).astype(np.int64)
+                    shard, g, ids = at, Graph(x, edges, row["start"].as_py()), row["ids"].as_py()
+                elif shard == at:  # a shard that got no points has no row
+                    q = row["qs"].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                    hits = list(nearest(g, ids, row["query_ids"].as_py(), q, k))
+                    yield batch(HIT, {f.name: list(c) for f, c in zip(HIT, zip(*hits) if hits else [[]] * 3)})
+
+    hits = in_batches(dealt, run, "query_id long, vec_id long, score double")
     best = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return (best.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -68,3 +68,13 @@ def test_pruning_keeps_diverse_edges():
 
 def test_empty_table(spark):
     assert search(spark, []) == {}
+
+
+def test_queries_are_not_broadcast(spark):
+    """They go to every shard, so a broadcast of them would grow with the square of the table."""
+    rows = [(i, [math.sin(i), math.cos(3 * i), float(i % 7)]) for i in range(1000)]
+    df = V.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, shard_size=40)
+    got = found(df)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    want = brute(rows)
+    assert set(got) == set(want) and all(len(got[q]) == 10 for q in want)
