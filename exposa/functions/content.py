@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exposa.functions import fixed
+from exposa.functions.urls import once
 
 # Python's str.strip()/lstrip() whitespace, as a regex class usable by the JVM engine.
 PY_SPACE = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -55,7 +56,7 @@ def page_title(sample: Column, content_type: Column) -> Column:
 
 def is_directory_listing(sample: Column, content_type: Column) -> Column:
     html = lower_ct(content_type).contains("text/html")
-    return html & _contains_any(F.lower(F.coalesce(sample, F.lit(""))), fixed.LISTING_INDICATORS)
+    return html & once(F.lower(F.coalesce(sample, F.lit(""))), lambda low: _contains_any(low, fixed.LISTING_INDICATORS))
 
 
 def secret_scan_gate(accessible: Column, content_type: Column, content_length: Column,
@@ -67,7 +68,7 @@ def secret_scan_gate(accessible: Column, content_type: Column, content_length: C
 
 
 def looks_like_html(head: Column) -> Column:
-    return _contains_any(F.lower(head), fixed.HTML_MARKERS)
+    return once(F.lower(head), lambda low: _contains_any(low, fixed.HTML_MARKERS))
 
 
 def implies_non_html(ext: Column, filename: Column) -> Column:
@@ -89,7 +90,7 @@ def head_flags(sample: Column, sniff_chars: int | None = None) -> dict[str, Colu
         "head_html": looks_like_html(head),
         "head_env": head.rlike("(?d)" + fixed.ENV_LINE_PATTERN),
         "head_json": head.rlike(r"^" + PY_SPACE + r"*[\[{]"),
-        "head_sql": _contains_any(F.upper(head), fixed.SQL_MARKERS),
+        "head_sql": once(F.upper(head), lambda up: _contains_any(up, fixed.SQL_MARKERS)),
         "head_key": head.contains(fixed.KEY_MARKER),
         "head_log": head.rlike("(?d)" + fixed.LOG_LINE_PATTERN),
     }

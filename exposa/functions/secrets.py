@@ -7,11 +7,15 @@ them the same way. Scanning is per line, which gives the line number of each mat
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exposa.functions import fixed
 from exposa.functions.content import PY_SPACE
+from exposa.functions.urls import once
 
 # (secret_type, what stands before the value, the value, what stands after it, confidence percent)
 SECRET_PARTS = [
@@ -38,6 +42,9 @@ def _masking(before: str, value: str, after: str) -> tuple[str, str]:
 
 #: Applied to each line in this order; a private key's whole block is masked before.
 LINE_MASKS = [_masking(b, v, a) for name, b, v, a, _ in SECRET_PARTS if name != "PRIVATE_KEY"]
+#: Of each of them, what its matches hold in the lower-cased line; and of the secret-looking assignments.
+MASK_KEYWORDS = [["akia", "asia"], ["eyj"], ["://"], ["authorization"], ["api"], ["token"], ["pass", "pwd"], ["encryption", "app_key"]]
+SNIPPET_KEYWORDS = ["pass", "secret", "token", "api", "private", "access", "auth", "credential", "pwd"]
 KEY_BLOCK = r"(?s)-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----.*?(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----|\z)"
 
 # Any-type prefilter: a document with no match skips the per-line explode entirely.
@@ -52,11 +59,13 @@ SECRET_KEYWORDS = ["akia", "asia", "-----begin", "eyj", "://", "authorization",
 
 
 def may_contain_secret(text: Column) -> Column:
-    lt = F.lower(text)
-    cond = F.lit(False)
-    for k in SECRET_KEYWORDS:
-        cond = cond | lt.contains(k)
-    return cond & text.rlike(ANY_SECRET)
+    def keyword(low):
+        cond = F.lit(False)
+        for k in SECRET_KEYWORDS:
+            cond = cond | low.contains(k)
+        return cond
+
+    return once(F.lower(text), keyword) & text.rlike(ANY_SECRET)
 
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -72,26 +81,38 @@ def redact(secret_type: Column, value: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines as the scanner splits them: every line-break kind, no trailing empty line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    ends_with_break = text.rlike(f"(?:{LINE_BREAK})$")
-    return (F.when((text == "") | text.isNull(), F.array().cast("array<string>"))
-            .when(ends_with_break, F.slice(parts, 1, F.size(parts) - 1))
-            .otherwise(parts))
+    def split(text):
+        ends_with_break = text.rlike(f"(?:{LINE_BREAK})$")
+        return (F.when((text == "") | text.isNull(), F.array().cast("array<string>"))
+                .otherwise(once(F.split(text, LINE_BREAK, -1), lambda parts: F.when(
+                    ends_with_break, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))))
+
+    return once(text, split)
 
 
 def mask_secrets(line: Column) -> Column:
-    """A line with every secret value (X1) and every secret-looking assignment masked."""
-    for pattern, replacement in LINE_MASKS:
-        line = F.regexp_replace(line, pattern, replacement)
-    return F.regexp_replace(line, fixed.SNIPPET_SECRET_KEY_PATTERN, "$1$2[REDACTED]")
+    """A line with every secret value (X1) and every secret-looking assignment masked. A pattern runs on lines with
+    one of its keywords; masking takes no keyword into a line."""
+    masks = [*zip(MASK_KEYWORDS, LINE_MASKS), (SNIPPET_KEYWORDS, (fixed.SNIPPET_SECRET_KEY_PATTERN, "$1$2[REDACTED]"))]
+
+    def masked(low):
+        out = line
+        for words, (pattern, replacement) in masks:
+            may = functools.reduce(operator.or_, [low.contains(w) for w in words])
+            out = once(out, lambda v: F.when(may, F.regexp_replace(v, pattern, replacement)).otherwise(v))
+        return out
+
+    return once(F.lower(line), masked)
 
 
 def redacted_snippet(sample: Column, max_lines: int = fixed.SNIPPET_MAX_LINES) -> Column:
     """First ``max_lines`` lines, stripped, without secrets (private keys as whole blocks, X1 matches,
     secret-looking assignments), plus a ``... (N more lines)`` note (X4)."""
-    lines = split_lines(F.regexp_replace(sample, KEY_BLOCK, "[REDACTED PRIVATE KEY]"))
-    masked = F.transform(F.slice(lines, 1, max_lines), mask_secrets)
-    body = F.regexp_replace(F.array_join(masked, "\n"), f"^{PY_SPACE}+|{PY_SPACE}+$", "")
-    n = F.size(lines)
-    return F.when(n > max_lines, F.concat(body, F.lit("\n... ("), (n - max_lines).cast("string"),
-                                          F.lit(" more lines)"))).otherwise(body)
+    def snippet(lines):
+        masked = F.transform(F.slice(lines, 1, max_lines), mask_secrets)
+        body = F.regexp_replace(F.array_join(masked, "\n"), f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+        n = F.size(lines)
+        return F.when(n > max_lines, F.concat(body, F.lit("\n... ("), (n - max_lines).cast("string"),
+                                              F.lit(" more lines)"))).otherwise(body)
+
+    return once(split_lines(F.regexp_replace(sample, KEY_BLOCK, "[REDACTED PRIVATE KEY]")), snippet)

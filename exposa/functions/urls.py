@@ -32,6 +32,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it: inside conditions Spark would
+    compute it again for every reading."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clean(url) -> Column:
     """Drop tab/CR/LF anywhere and control characters or spaces at the start."""
     return F.regexp_replace(F.translate(_c(url), "\t\r\n", ""), _LEADING_JUNK, "")
@@ -86,11 +92,16 @@ def port_text_of_netloc(net) -> Column:
 def site(scheme, net) -> Column:
     """Name of the site a URL belongs to: the host, with the port unless it is the scheme's own. So letter
     case, a port that is spelled out, and http or https make no difference; null without a host."""
-    scheme, host, port = _c(scheme), hostname_of_netloc(net), port_text_of_netloc(net)
-    own = ((scheme == "https") & (port.try_cast("int") == 443)) | ((scheme == "http") & (port.try_cast("int") == 80))
-    name = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
-    return F.when(port.rlike("^[0-9]{1,5}$") & ~F.coalesce(own, F.lit(False)),
-                  F.concat(name, F.lit(":"), port.try_cast("int").cast("string"))).otherwise(name)
+    scheme = _c(scheme)
+
+    def named(parts):
+        host, port = parts["host"], parts["port"]
+        own = ((scheme == "https") & (port.try_cast("int") == 443)) | ((scheme == "http") & (port.try_cast("int") == 80))
+        name = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+        return F.when(port.rlike("^[0-9]{1,5}$") & ~F.coalesce(own, F.lit(False)),
+                      F.concat(name, F.lit(":"), port.try_cast("int").cast("string"))).otherwise(name)
+
+    return once(F.struct(hostname_of_netloc(net).alias("host"), port_text_of_netloc(net).alias("port")), named)
 
 
 def extension(path_col) -> Column:
